@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import ngram_jaccard_components
+
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_store import tokenize_to_store
 
@@ -25,6 +31,20 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import score_quality
+
+    held_out = fold(F.col("doc_id"), 3) == 1
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.5)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score_toxicity
+
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontamination import find_contamination
 
@@ -34,17 +54,48 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base = ("assign", "access", "hex")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.filter("secret_spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    base_text = told(F.filter("secret_spans", lambda s: s["kind"].isin(*base)))
+    return found.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), told(F.col("secret_spans")).alias("spans"))
+
+
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_pages
+
+    index = archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "range_no", "position")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)[1]
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import judge_documents
+
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_token_store": op2_token_store,
+        "op3_quality_score": op3_quality_score,
+        "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_warc_index": op7_warc_index,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import parts_for, shared_dir
+from tessera.llm.common import materialize, parts_for, shared_dir
 from tessera.llm.tokens import encoder
 
 MAGIC = b"TSF1"
@@ -180,8 +180,11 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     ranged.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
-def read_token_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, unsigned 32-bit little endian)."""
+def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200_000) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary, unsigned 32-bit little endian).
+
+    The frames' first positions are broadcast up to broadcast_frames frames (5 MB), and joined by a shuffle beyond.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +213,14 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
                             "ids": pa.array([ids[b:e].astype("<u4").tobytes() for b, e in zip(begin.tolist(), cut.tolist(), strict=True)], pa.binary()),
                         })
 
-    # one row for each frame of some million tokens: small beside the data at any size
+    # one row for each frame of some million tokens
     order = T.StructType([T.StructField(k, T.LongType()) for k in ("shard", "frame", "tokens")])
     sizes = files.mapInArrow(heads, order)
     shard_base = _running(sizes.groupBy("shard").agg(F.sum("tokens").alias("tokens")), [], "shard", "shard_base")
     base = _running(sizes, ["shard"], "frame", "frame_base").join(shard_base.select("shard", "shard_base"), "shard")
-    base = base.select("shard", "frame", (F.col("shard_base") + F.col("frame_base")).alias("base"))
+    base = materialize(base.select("shard", "frame", (F.col("shard_base") + F.col("frame_base")).alias("base")), "frames")
+    if base.count() <= broadcast_frames:
+        base = F.broadcast(base)
     rows = files.mapInArrow(rows_of, "shard long, frame long, doc_id long, local long, n_tokens long, ids binary")
     return rows.join(base, ["shard", "frame"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
 
