@@ -231,7 +231,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return out.select(*[c for c in docs.columns if c not in mine], *[v.alias(k) for k, v in mine.items()])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.0, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.0, text: str = "text", **options) -> DataFrame:
     """The documents whose share of hit words is at most most_hit, with their own columns."""
-    clean = F.col("n_hit") <= most_hit * F.col("n_words")
-    return find_contamination(docs, benchmark, **options).filter(clean).select(*[c for c in docs.columns])
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    found = find_contamination(docs.toDF(*own), benchmark, text=own[docs.columns.index(text)], **options)
+    return found.filter(F.col("n_hit") <= most_hit * F.col("n_words")).select(*own).toDF(*docs.columns)

@@ -79,6 +79,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)[1]
 
 
+def op9_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import as_transcript, parse_transcripts
+
+    turns = parse_transcripts(as_transcript(table(spark, sf_dir, "conversations")))
+    return turns.select("conv_id", F.col("seq").alias("turn"), F.col("part").cast("long").alias("part"), "role", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
+OP9_SQL = """
+SELECT conv_id, turn, 0::BIGINT AS part, role,
+       sha256('<|' || role || '|>' || chr(10) || trim(text, ' ') || '<|end|>' || chr(10)) AS rendered_sha256
+FROM conversations
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import judge_documents
 
@@ -95,9 +109,10 @@ def queries() -> dict[str, Query]:
         "op6_secret_scan": op6_secret_scan,
         "op7_warc_index": op7_warc_index,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_chat_turns": op9_chat_turns,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_turns": OP9_SQL}

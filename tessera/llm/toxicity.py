@@ -258,9 +258,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, in_fold: Column, target: st
 
 
 def score_with(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, toxicity_score, and toxicity_hits (word number, kind, term) of every whole text."""
+    """The kept columns (but for any called like the new ones), toxicity_score, and toxicity_hits (word number, kind, term) of every whole text."""
     names = docs.columns
-    keep = names if keep is None else keep
+    keep = [c for c in (names if keep is None else keep) if c not in ("toxicity_score", "toxicity_hits")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     hit = pa.list_(pa.struct([("word", pa.int32()), ("kind", pa.string()), ("term", pa.string())]))
 
