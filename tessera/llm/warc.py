@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, parts_for, shared_dir
+from tessera.llm.common import materialize, shared_dir
 
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 RECORD = "page_id long, url string, urlkey string, date string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
@@ -78,13 +78,18 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
         at = end + 4
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, files: int | None = None, chunk_bytes: int = 16 << 20) -> None:
-    """Write page_id, url, html as WARC files; payloads of at least least_bytes are stored once."""
-    files = files or parts_for(pages, 16 << 20)
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes: int = 16 << 20, broadcast_copies: int = 300_000) -> None:
+    """Write page_id, url, html as WARC files; payloads of at least least_bytes are stored once.
+
+    The digests that occur more than once are broadcast up to broadcast_copies of them (20 MB),
+    so that payloads stay where they were read; beyond, both sides are shuffled.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     # page_ids only, and counted before they are shuffled
     copies = rows.filter(F.col("n_bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("sha1", "first_id")
+    copies = materialize(copies, "copies")
+    copies = F.broadcast(copies) if copies.count() <= broadcast_copies else copies
     kinds = rows.join(copies, "sha1", "left")
     # each file holds pages of all ranges of URLs, as a crawler would write them
     kinds = kinds.select("page_id", "url", "payload", "sha1", "n_bytes", F.when(F.col("first_id") > F.col("page_id"), F.col("first_id")).alias("refers_to"))

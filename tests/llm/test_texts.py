@@ -111,9 +111,9 @@ def test_archive_round_trip_and_order(spark):
     rows = [(i, f"https://www.site{rng.randrange(4)}.example.com/{rng.choice('abc')}?q={i % 3}#f", "<p>" + rng.choice(["x", "y\r\n\r\nz", "é"]) * rng.randrange(3)) for i in range(120)]
     rows += [(500, None, None), (501, "x", ""), (None, "y", "alone"), (7, rows[7][1], rows[7][2])]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
-    for least in (0, 5):
+    for least, most in ((0, 0), (5, 1000)):
         path = shared_dir(spark, "test-warc")
-        warc.write_archive(pages, path, least, files=4)
+        warc.write_archive(pages.repartition(4), path, least, broadcast_copies=most)
         index = warc.capture_index(warc.read_archive(spark, path), ranges=5).orderBy("range_no", "position").collect()
         top = {}
         for d, _, h in rows:
