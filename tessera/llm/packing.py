@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, rows_of
 from tessera.llm.tokens import encoder
 
 
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capaci
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in rows_of(batch):
                 ids = enc.encode(text or "") + tail
                 rows += [(doc_id, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut_points(len(ids) // 4, capacity))]
                 held += len(ids)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, parts_for, shared_dir
+from tessera.llm.common import materialize, parts_for, rows_of, shared_dir
 from tessera.llm.tokens import encoder
 
 MAGIC = b"TSF1"
@@ -138,7 +138,7 @@ def frames_of(data: bytes) -> Iterator[tuple]:
         at += size
 
 
-def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, frame_tokens: int = 4_000_000) -> None:
+def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, frame_tokens: int = 2_000_000) -> None:
     """Write doc_id, text as token files; part files are ranges of doc_id in ascending order.
 
     shards defaults to one per 16 MB of input. A frame closes at frame_tokens, so a
@@ -162,7 +162,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in rows_of(batch):
                 coded = enc.encode(text or "") + tail
                 keys.append(doc_id)
                 ids.append(coded)
@@ -198,7 +198,7 @@ def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200
                     at += size
             yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("shard", "frame", "tokens"))})
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 for shard, number, keys, ends, ids in frames_of(data):
@@ -221,7 +221,7 @@ def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200
     base = materialize(base.select("shard", "frame", (F.col("shard_base") + F.col("frame_base")).alias("base")), "frames")
     if base.count() <= broadcast_frames:
         base = F.broadcast(base)
-    rows = files.mapInArrow(rows_of, "shard long, frame long, doc_id long, local long, n_tokens long, ids binary")
+    rows = files.mapInArrow(documents_of, "shard long, frame long, doc_id long, local long, n_tokens long, ids binary")
     return rows.join(base, ["shard", "frame"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 

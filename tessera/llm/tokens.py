@@ -38,7 +38,7 @@ def _byte_chars() -> dict[int, int]:
 class WordwiseEncoder:
     """Encodes texts to ids; at most ``most`` pieces are kept, which bounds the worker's memory, never the result."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

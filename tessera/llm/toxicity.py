@@ -2,9 +2,9 @@
 
 The lexicon is learnt from labelled training rows: words and word beginnings (stems)
 that stand in toxic documents far more often than in others. It is kept as a trie.
-Each distinct word of a text becomes a Levenshtein automaton, whose states are rows of
-edit distances capped at the limit, and is intersected with the trie: both advance
-letter by letter, and a branch is left as soon as no state can accept. So misspelled
+Each distinct word of a text becomes a Levenshtein automaton, whose states are (letters
+read, edits left), and is intersected with the trie: both advance letter by letter, and a
+branch is left as soon as no state can go on. So misspelled
 terms (one edit in terms of five letters or more) are found without a list of
 misspellings. A word that neither begins with the first half of a term nor ends with its second half
 is more than one edit away from it, and skips the automaton.
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize, rows_of
 from tessera.llm.samples import training_labels
 
 STEMS = (4, 5, 6, 7)
@@ -49,8 +50,8 @@ class Trie:
     """Nodes as dictionaries of letters; a term's end holds (term, whole) under the empty key. whole is False for stems."""
 
     root: dict = field(default_factory=dict)
-    heads: set[str] = field(default_factory=set)
-    tails: set[str] = field(default_factory=set)
+    heads: dict[str, set[int]] = field(default_factory=dict)
+    tails: dict[str, set[int]] = field(default_factory=dict)
     sizes: tuple[int, ...] = ()
     fuzzy_from: int = 5
 
@@ -65,14 +66,17 @@ class Trie:
             node[""] = (term, whole or node.get("", ("", False))[1])
             if whole and len(term) >= fuzzy_from:
                 half = len(term) // 2
-                t.heads.add(term[:half])
-                t.tails.add(term[half:])
+                near = {len(term) - 1, len(term), len(term) + 1}
+                t.heads.setdefault(term[:half], set()).update(near)
+                t.tails.setdefault(term[half:], set()).update(near)
                 sizes |= {half, len(term) - half}
         t.sizes = tuple(sorted(sizes))
         return t
 
     def may_be_near(self, word: str) -> bool:
-        return any(word[:k] in self.heads or word[-k:] in self.tails for k in self.sizes)
+        """Whether some term of about its length begins or ends like the word."""
+        n, none = len(word), ()
+        return any(n in self.heads.get(word[:k], none) or n in self.tails.get(word[-k:], none) for k in self.sizes)
 
     def exact(self, word: str) -> str | None:
         """The term that is the word, or the longest stem that begins it ("stem*")."""
@@ -90,22 +94,24 @@ class Trie:
 
     def fuzzy(self, word: str, edits: int = 1) -> str | None:
         """A whole term within so many edits: the word's Levenshtein automaton intersected with the trie."""
-        n = len(word)
-        start = tuple(min(i, edits + 1) for i in range(n + 1))
-        stack = [(self.root, start)]
-        best: tuple[int, str] | None = None
+        n, best = len(word), None
+        # states (trie node, letters of the word read, edits left); equal letters cost nothing
+        stack = [(self.root, 0, edits)]
         while stack:
-            node, state = stack.pop()
-            end = node.get("")
-            if end is not None and end[1] and len(end[0]) >= self.fuzzy_from and state[n] <= edits and (best is None or (state[n], end[0]) < best):
-                best = (state[n], end[0])
-            for ch, child in node.items():
-                if ch:
-                    row = [min(state[0] + 1, edits + 1)]
-                    for i in range(n):
-                        row.append(min(state[i] + (word[i] != ch), state[i + 1] + 1, row[i] + 1, edits + 1))
-                    if min(row) <= edits:
-                        stack.append((child, tuple(row)))
+            node, i, left = stack.pop()
+            if i == n and (end := node.get("")) is not None and end[1] and len(end[0]) >= self.fuzzy_from:
+                found = (edits - left, end[0])
+                best = found if best is None or found < best else best
+            if i < n and (child := node.get(word[i])) is not None:
+                stack.append((child, i + 1, left))
+            if left:
+                if i < n:
+                    stack.append((node, i + 1, left - 1))  # a letter too many
+                for ch, child in node.items():
+                    if ch:
+                        stack.append((child, i, left - 1))  # a letter left out
+                        if i < n and ch != word[i]:
+                            stack.append((child, i + 1, left - 1))  # another letter
         return best[1] if best else None
 
 
@@ -152,9 +158,8 @@ class Scorer:
                 out.append((i, *h))
         return out, words
 
-    def scores(self, text: str | None) -> list[float]:
-        """The document's context-window scores, in the order of SCORES."""
-        found, words = self.hits(text)
+    def scores(self, found: list[tuple[int, str, str]], words: list[str]) -> list[float]:
+        """The document's context-window scores from its hits, in the order of SCORES."""
         if not found:
             return [0.0] * len(SCORES)
         at = [i for i, *_ in found]
@@ -176,16 +181,17 @@ def _units(text: str | None) -> set[str]:
     return words | {x[:k] + "*" for x in words for k in STEMS if len(x) > k}
 
 
-def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3) -> list[tuple[str, bool]]:
+def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3, least_weight: float = 8.0) -> list[tuple[str, bool]]:
     """Terms that toxic documents of rows (text, y) use far more often than others.
 
-    Counting runs in Spark with partial counts per task; at most most_terms rows reach the driver.
+    A unit's weight is the logarithm of how many times more often, times the root of its toxic
+    documents; least_weight leaves out what chance would put there. Counting runs in Spark with partial counts per task; at most most_terms rows reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, y in rows_of(batch):
                 tally[1 if y else 0].update(_units(text))
                 if len(tally[0]) > 1_000_000:
                     yield _tally(tally)
@@ -199,8 +205,8 @@ def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3)
     counts = rows.select("text", "y").mapInArrow(count, "unit string, in_toxic long, in_clean long").groupBy("unit").agg(F.sum("in_toxic").alias("t"), F.sum("in_clean").alias("c"))
     p_t, p_c = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
     weight = F.log(p_t / p_c) * F.sqrt("t")
-    # rare in clean documents: at least ten times as often in toxic ones
-    kept = counts.filter((F.col("t") >= least_docs) & (p_t >= 10 * p_c)).withColumn("weight", weight).orderBy(F.desc("weight"), "unit").limit(most_terms)
+    # in one toxic document of fifty or more, and at least ten times as often as in clean ones
+    kept = counts.filter((F.col("t") >= max(least_docs, toxic // 50)) & (p_t >= 10 * p_c)).withColumn("weight", weight).filter(F.col("weight") >= least_weight).orderBy(F.desc("weight"), "unit").limit(most_terms)
     units = [(r["unit"], r["t"], r["c"]) for r in kept.select("unit", "t", "c").collect()]
     stems = {u[:-1] for u, *_ in units if u.endswith("*")}
     # the shortest stem says it all; a word that a stem covers isn't needed either unless it is as strong alone
@@ -235,8 +241,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, in_fold: Column, target: st
     spark = docs.sparkSession
     known = training_labels(labels, target, in_fold, most_labels)
     chosen = F.broadcast(known) if most_labels <= broadcast_rows else known
-    from tessera.llm.common import materialize
-
     rows = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y"), "toxic-sample")
     model = ToxicityModel(learn_lexicon(rows))
     shared = spark.sparkContext.broadcast(model)
@@ -244,7 +248,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, in_fold: Column, target: st
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            x = [scorer.scores(t) for t in batch.column(0).to_pylist()]
+            x = [scorer.scores(*scorer.hits(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": batch.column(1)})
 
     got = rows.mapInArrow(measure, "x array<double>, y int").collect()
@@ -268,13 +272,16 @@ def score_with(docs: DataFrame, model: ToxicityModel, text: str = "text", keep:
         m = shared.value
         scorer = Scorer(m)
         for batch in batches:
-            col = batch.column(names.index(text)).to_pylist()
+            measured, found = [], []
+            for (t,) in rows_of(batch.select([text])):
+                h, words = scorer.hits(t)
+                measured.append(scorer.scores(h, words))
+                found.append([{"word": i, "kind": k, "term": term} for i, k, term in h])
             if m.weights is None:
-                s = np.full(len(col), m.base)
+                s = np.full(len(found), m.base)
             else:
-                x = (np.asarray([scorer.scores(t) for t in col]).reshape(-1, len(SCORES)) - m.mean) / m.scale
+                x = (np.asarray(measured).reshape(-1, len(SCORES)) - m.mean) / m.scale
                 s = 1 / (1 + np.exp(-np.clip(np.column_stack((x, np.ones(len(x)))) @ m.weights, -30, 30)))
-            found = [[{"word": i, "kind": k, "term": t} for i, k, t in scorer.hits(x)[0]] for x in col]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(s), pa.array(found, hit)], names=[*keep, "toxicity_score", "toxicity_hits"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["toxicity_score double", "toxicity_hits array<struct<word:int,kind:string,term:string>>"])
