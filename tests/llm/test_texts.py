@@ -248,3 +248,47 @@ def test_rules_judge_documents(spark):
     good = [rows[i]["kept"] for i in range(900) if i % 9]
     assert np.mean(good) > 0.97 and np.mean([rows[i]["kept"] for i in range(0, 900, 9)]) < 0.1
     assert quality_rules.judge_documents(empty(spark), labels).count() == 0
+
+
+def test_blockwise_viterbi_equals_one_pass(spark):
+    from tessera.llm import chat
+
+    rng = random.Random(12)
+    rows = []
+    for conv in range(6):
+        for seq in range(rng.randrange(1, 40)):
+            who = rng.choice(["User: ", "Assistant: ", "System: ", "", ""])
+            rows.append((conv, seq, who + "\n".join(prose(rng, rng.randrange(1, 6)) + rng.choice(["", "?"]) for _ in range(rng.randrange(1, 4)))))
+    rows += [(None, 0, "User: hi"), (9, 0, None), (9, 0, ""), (10, None, "AI: x")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, seq long, text string, role string")
+    small = chat.parse_transcripts(df, block=4).collect()
+    whole = chat.parse_transcripts(df, block=1000).collect()
+    assert sorted(map(tuple, small), key=str) == sorted(map(tuple, whole), key=str)
+    for conv in range(6):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        lines = [x for r in mine for x in chat.split_lines(r[2])]
+        roles = chat.decode(lines, 0, None, True)
+        best = max_path(chat, lines)
+        assert path_score(chat, lines, roles) == pytest.approx(best)
+    assert chat.parse_transcripts(df.limit(0)).count() == 0
+
+
+def path_score(chat, lines, roles):
+    total = 0.0
+    for k, line in enumerate(lines):
+        emit, marked, _ = chat.line_scores(line)
+        total += emit[roles[k]] + (chat.START[roles[k]] if k == 0 else (chat.TURN if marked else chat.STAY)[roles[k - 1]][roles[k]])
+    return total
+
+
+def max_path(chat, lines):
+    return float(chat.transfer(lines, True)[0].max())
+
+
+def test_markers_are_recovered(spark):
+    from tessera.llm import chat
+
+    conv = spark.createDataFrame([(1, 0, "system", "Be brief."), (1, 1, "user", "What is it?\nTell me."), (1, 2, "assistant", "A thing.\n- one"), (1, 3, None, "more")], "conv_id long, turn long, role string, text string")
+    got = chat.parse_transcripts(chat.as_transcript(conv)).orderBy("seq").collect()
+    assert [(r.role, r.content) for r in got][:3] == [("system", "Be brief."), ("user", "What is it?\nTell me."), ("assistant", "A thing.\n- one")]
+    assert got[0].rendered == "<|system|>\nBe brief.<|end|>\n"
