@@ -37,7 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts: a bare random string, an account or key identifier, and where to use them.
 _SECRET_PART = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])")
-_ID_PART = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|(?:client|tenant|account|key|user)[_-]?(?:id|name)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_.@-]{4,})", re.ASCII | re.IGNORECASE)
+_ID_PART = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|(?:client|tenant|account|key|user)[_-]?(?:id|name)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_.@-]{3,})", re.ASCII | re.IGNORECASE)
 _ENDPOINT_PART = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3|ftp)://[^\s\"'<>]{4,}|(?<![\w.@-])(?:[a-z0-9-]+\.)+(?:internal|amazonaws\.com|example\.com)(?::\d+)?(?![\w.-])", re.ASCII)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
