@@ -2,14 +2,14 @@
 
 The base kinds (assign, access, hex) are reported as they stand. Access identifiers,
 bare secrets and endpoints are weak on their own: a 40-character string may be a
-checksum and a host name is no secret. They are parts, found by shape. A document is
-cut into scopes, intervals of text between blank lines, and ``link_parts`` joins the
-parts' intervals with the scopes' by overlap. Only a scope that holds complementary
-parts (a secret with an identifier or an endpoint) reports them, as kinds secret, id
-and endpoint; base spans are never dropped.
+checksum and a host name is no secret. They are parts, found by shape. ``link_parts``
+joins secrets with identifiers and endpoints that stand in the same paragraph, less than
+``most_lines`` lines apart, wherever in the paragraph that is; paragraphs end at blank
+lines. Only parts that complete one another are reported, as kinds secret, id and
+endpoint; base spans are never dropped.
 
-The join is a sweep inside one document: both sides are sorted by start, so it takes
-time linear in the document, and no rows are shuffled.
+The join is one on intervals of line numbers inside one document: both sides are sorted,
+so it takes a binary search for each part, and no rows are shuffled.
 
 Defined results: a null text is the empty text, with no spans; spans are code points,
 end exclusive, ordered by start and then by kind; rows that repeat are scanned each on
@@ -36,7 +36,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Parts: a bare random string, an account or key identifier, and where to use them.
-_SECRET_PART = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])")
+_SECRET_PART = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _ID_PART = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{12,}|(?:client|tenant|account|key|user)[_-]?(?:id|name)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_.@-]{3,})", re.ASCII | re.IGNORECASE)
 _ENDPOINT_PART = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3|ftp)://[^\s\"'<>]{4,}|(?<![\w.@-])(?:[a-z0-9-]+\.)+(?:internal|amazonaws\.com|example\.com)(?::\d+)?(?![\w.-])", re.ASCII)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
@@ -69,7 +69,7 @@ def parts(text: str) -> list[Span]:
 
 
 def scopes(text: str, most_lines: int) -> list[tuple[int, int]]:
-    """Paragraphs between blank lines; longer ones are cut into overlapping windows of most_lines lines."""
+    """Paragraphs between blank lines; longer ones are cut into overlapping windows of most_lines lines. scan() links by distance instead."""
     out, at = [], 0
     for stop in [*[m.start() for m in _BLANK.finditer(text)], len(text)]:
         lines = [at, *[m.end() for m in re.finditer("\n", text[at:stop]) if m.end() < stop - at]]
@@ -84,17 +84,22 @@ def scopes(text: str, most_lines: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_parts(found: list[Span], areas: list[tuple[int, int]]) -> list[Span]:
-    """Interval join of parts with scopes; the parts of scopes that complete one another."""
-    found = sorted(found)
-    starts, linked = [p[0] for p in found], set()
-    longest = max((e - s for s, e, _ in found), default=0)
-    for lo, hi in areas:
-        here = [p for p in found[bisect_right(starts, lo - longest - 1) : bisect_right(starts, hi - 1)] if p[1] > lo]
-        kinds = {k for *_, k in here}
-        if "secret" in kinds and kinds & {"id", "endpoint"}:
-            linked.update(here)
-    return sorted(linked)
+def places(text: str, found: list[Span]) -> list[tuple[int, int]]:
+    """(paragraph, line) of each part; a part lies in one line."""
+    ends, blanks = [m.start() for m in re.finditer("\n", text)], [m.start() for m in _BLANK.finditer(text)]
+    return [(bisect_right(blanks, s), bisect_right(ends, s)) for s, *_ in found]
+
+
+def link_parts(found: list[Span], at: list[tuple[int, int]], most_lines: int) -> list[Span]:
+    """Interval join on line numbers: the parts that have a complementary part in their paragraph, less than most_lines lines away."""
+    secret, other = (sorted(p for (*_, k), p in zip(found, at, strict=True) if (k == "secret") == is_secret) for is_secret in (True, False))
+
+    def linked(kind: str, paragraph: int, line: int) -> bool:
+        those = other if kind == "secret" else secret
+        k = bisect_right(those, (paragraph, line - most_lines))
+        return k < len(those) and those[k][0] == paragraph and those[k][1] < line + most_lines
+
+    return sorted(p for p, (paragraph, line) in zip(found, at, strict=True) if linked(p[2], paragraph, line))
 
 
 def scan(text: str | None, most_lines: int = 12) -> list[Span]:
@@ -104,7 +109,7 @@ def scan(text: str | None, most_lines: int = 12) -> list[Span]:
     spans = base_spans(text)
     weak = parts(text)
     if len(weak) > 1:
-        spans += link_parts(weak, scopes(text, most_lines))
+        spans += link_parts(weak, places(text, weak), most_lines)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

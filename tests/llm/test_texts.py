@@ -97,6 +97,27 @@ def test_scopes_cover_long_paragraphs():
     assert all(b[0] <= a[1] for a, b in zip(areas, areas[1:]))
 
 
+def test_links_depend_on_distance_only():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY4"
+    for first in range(30):
+        for apart in (0, 1, 7, 11, 12, 13):
+            for swap in (False, True):
+                lines = [f"line {i}" for i in range(60)]
+                a, b = ("user_id=bobby", key) if swap else (key, "user_id=bobby")
+                lines[first], lines[first + apart] = (f"{a} {b}", f"{a} {b}") if not apart else (a, b)
+                kinds = [k for *_, k in secrets.scan("\n".join(lines))]
+                assert kinds == ([] if apart > 11 else [x for _, x in sorted([(0, "id" if swap else "secret"), (1, "secret" if swap else "id")])])
+    assert secrets.scan(f"{key}\n \nuser_id=bobby") == []
+
+
+def test_long_secrets_are_parts():
+    rng = random.Random(8)
+    for n in (89, 90, 300, 5000):
+        key = "a1" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 2))
+        assert (14, 14 + n, "secret") in secrets.scan(f"user_id=bobby {key}")
+    assert secrets.parts("=" * 3 + "x1" * 50 + "===") == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = awkward(spark).unionByName(spark.createDataFrame([(3000, "password=hunter22 x", "en", "s", 19, None, None)], awkward(spark).schema))
     out = secrets.redact_secrets(docs)
