@@ -392,6 +392,13 @@ def greedy_assignment_items(spark, d):
     return M.exclusive_assignment(x, "item", "choice", "score", "rank").agg(F.countDistinct("item").alias("items"))
 
 
+@query(None)
+def greedy_assignment(spark, d):
+    """item, choice, score of every order with a candidate, over all of lineitem; a recursive SQL pass takes too long, so it is tested against a plain greedy pass."""
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("choice"), F.round(1 - F.col("l_discount") * 4, 4).alias("score"), F.col("l_linenumber").alias("rank"))
+    return M.exclusive_assignment(x, "item", "choice", "score", "rank").select("item", "choice", "score")
+
+
 @query("""
 SELECT conv_id, u.turn AS user_turn, a.turn AS reply_turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') u LEFT JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant') a USING (conv_id, k)""")
 def zip_by_order(spark, d):
@@ -496,9 +503,9 @@ def wrap_screens(spark, d):
 
 @query(None)
 def timed_lines(spark, d):
-    x = t(spark, d, "conversations").filter("turn = 0").select("conv_id", "text", F.lit(0.0).alias("start"), (F.length("text") * 0.1).alias("end"))
-    chars = W.boundary_marks(W.expand_chars(x, "text"), ["conv_id"], ["char_no"]).drop("text")
-    return W.timed_lines(chars.select("conv_id", "char_no", "ch", "char_start", "char_end", "may_break"), ["conv_id"], "char_no").groupBy("conv_id", "line_no").agg(F.count("*").alias("n"), F.min("char_start").alias("start"), F.max("char_end").alias("end"))
+    x = t(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(0.0).alias("start"), (F.length("text") * 0.1).alias("end"))
+    chars = W.boundary_marks(W.expand_chars(x, "text"), ["conv_id", "turn"], ["char_no"]).drop("text")
+    return W.timed_lines(chars.select("conv_id", "turn", "char_no", "ch", "char_start", "char_end", "may_break"), ["conv_id", "turn"], "char_no").groupBy("conv_id", "turn", "line_no").agg(F.count("*").alias("n"), F.min("char_start").alias("start"), F.max("char_end").alias("end"))
 
 
 # Catalogs
@@ -558,6 +565,14 @@ def srt_cues(spark, d):
     return files.srt_cues(x, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("cue").alias("cue"))
 
 
+@query("""
+SELECT conv_id, turn, md5((turn + 1)::VARCHAR || chr(10) || '00:' || printf('%02d', (turn * 5) // 60) || ':' || printf('%02d', (turn * 5) % 60) || ',000 --> 00:' || printf('%02d', (turn * 5 + 4) // 60) || ':' || printf('%02d', (turn * 5 + 4) % 60) || ',500' || chr(10) || text || chr(10)) AS cue FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
+def srt_cues_whole(spark, d):
+    """The cues of srt_cues with their whole texts."""
+    x = t(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("cue_no"), (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4.5).alias("end"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return files.srt_cues(x, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("cue").alias("cue"))
+
+
 @query("""
 WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS used, count(*) FILTER (value > 100) AS usable FROM events GROUP BY 1),
 l AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id, event_type ORDER BY value) AS gap FROM events)

@@ -1,5 +1,6 @@
 """Worked cases, brute force and invariants of single operators."""
 
+import hashlib
 import random
 import wave
 
@@ -179,6 +180,33 @@ def test_assignment_equals_a_greedy_pass(spark):
     assert {r.item: r.choice for r in M.exclusive_assignment(vec, "item", "choice", "score", "rank").collect()} == {1: "B", 2: "A", 3: None}
 
 
+def test_assignment_query_covers_all_of_lineitem(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(9), k, rng.randrange(11) / 100) for i in range(1, 40) for k in range(rng.randrange(1, 4))]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["greedy_assignment"][0](spark, str(tmp_path)).collect()
+    assert sorted(r["item"] for r in got) == list(range(1, 40))
+    assert {(r["item"], r["choice"]) for r in got if r["choice"] is not None} == greedy([(i, c, round(1 - x * 4, 4), k) for i, c, k, x in rows], 0.55)
+
+
+def test_lines_and_cues_take_every_turn_whole(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    rows = [(1, 0, "short"), (1, 1, "x" * 60), (2, 5, "a b c, " * 20)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {}
+    for r in QUERIES["timed_lines"][0](spark, str(tmp_path)).collect():
+        got.setdefault((r["conv_id"], r["turn"]), {})[r["line_no"]] = r["n"]
+    for c, k, text in rows:
+        lines = W.segment_chars([(i * 0.1, (i + 1) * 0.1, x in " ,") for i, x in enumerate(text)])
+        assert got[c, k] == {n: lines.count(n) for n in set(lines)}
+    cues = {(r["conv_id"], r["turn"]): r["cue"] for r in QUERIES["srt_cues_whole"][0](spark, str(tmp_path)).collect()}
+    want = "2\n00:00:05,000 --> 00:00:09,500\n" + "x" * 60 + "\n"
+    assert cues[1, 1] == hashlib.md5(want.encode()).hexdigest()
+
+
 def test_monotone_chain():
     assert M.monotone_chain([(1, 10), (2, 50), (3, 11), (4, 12), (5, 12), (6, 3)]) == [(1, 10), (3, 11), (4, 12), (5, 12)]
 
