@@ -18,7 +18,8 @@ segments that fall into each fragment.
    with one hub, the class with the most common n-grams. A class that ends up in another
    component than the hub is searched for once more, by its n-grams outside the hub: what it
    may share with any partner inside the hub is bounded by its overlap with the hub, so a
-   partner must share one of those. Links within a component can't change it.
+   partner must share one of those. Links within a component can't change it; for the number
+   of a class's links they are counted afterwards, in blocks of the component's classes.
 4. Overlaps. The reduced sets are cut into fragments of the same order; the overlap of
    each candidate pair is counted in each fragment separately and summed per pair.
    ``100 * overlap >= 100 * t * union`` makes a link.
@@ -290,8 +291,12 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
-def similar_links(sets: DataFrame, percent: int, list_cut: int = 24, parts: int = 4) -> DataFrame:
-    """Links (a, b) between classes: enough of them that the components are those of all links."""
+def similar_links(sets: DataFrame, percent: int, list_cut: int = 24, parts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) between classes, class_id of the classes in long lists).
+
+    The links are enough for the components to be those of all links; those that may be missing
+    lie within a component, between two classes in long lists.
+    """
     posts = sets.select("class_id", "n", "common", F.explode("prefix").alias("gram"))
     lists = posts.groupBy("gram").agg(F.count("*").alias("k"), F.max(F.struct("common", "class_id", "n")).alias("hub")).filter("k > 1")
     posts = materialize(posts.join(lists, "gram"), "postings")
@@ -309,10 +314,10 @@ def similar_links(sets: DataFrame, percent: int, list_cut: int = 24, parts: int
     found = materialize(_overlaps(tried, sets, parts), "overlaps")
     links = found.filter(_linked(percent)).select("a", "b")
     if long_.isEmpty():
-        return links
+        return links, sizes.select("class_id")
     more = _beyond_hubs(sets, long_, hubs, found, links, percent)
     more = _overlaps(materialize(_ordered(more.filter(fits)), "pairs").join(found.select("a", "b"), ["a", "b"], "left_anti"), sets, parts)
-    return materialize(links.union(more.filter(_linked(percent)).select("a", "b")), "all-links")
+    return materialize(links.union(more.filter(_linked(percent)).select("a", "b")), "all-links"), sizes.select("class_id")
 
 
 def _beyond_hubs(sets: DataFrame, long_: DataFrame, hubs: DataFrame, found: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -356,12 +361,83 @@ def _beyond_hubs(sets: DataFrame, long_: DataFrame, hubs: DataFrame, found: Data
     return pairs.union(small)
 
 
+def _block_degrees(rows: list[tuple], alone: bool, percent: int) -> tuple[list[int], np.ndarray]:
+    """One pair of blocks (sides 0 and 1, either may be empty), or a block alone with itself, of rows (class_id, n, grams, side): the class ids, and how many links each has across."""
+    rows = sorted(rows, key=lambda r: (r[3], r[0]))
+    size, flat = np.asarray([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    _, at = np.unique(flat, return_inverse=True)
+    edges = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows])))
+    degree = np.zeros(len(rows), np.int64)
+    mine = int(np.searchsorted([r[3] for r in rows], 1))
+    mark = np.zeros(int(at.max()) + 1, np.int32)
+    for k in range(mine):
+        lo = k + 1 if alone else mine  # a block with itself counts each pair once
+        if lo == len(rows):
+            break
+        own = at[edges[k] : edges[k + 1]]
+        mark[own] = 1
+        overlap = np.add.reduceat(mark[at[edges[lo] :]], edges[lo:-1] - edges[lo]).astype(np.int64)
+        mark[own] = 0
+        linked = 100 * overlap >= percent * (size[k] + size[lo:] - overlap)
+        degree[k] += linked.sum()
+        degree[lo:] += linked
+    return [r[0] for r in rows], degree
+
+
+def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_classes: int = 256, block_grams: int = 400_000) -> DataFrame:
+    """class_id, n_class_links: the number of classes each class is linked with, over all pairs.
+
+    Pairs of which one class is in no long list have all been tried, and are counted from the
+    links. For the others the classes in long lists of each component are dealt into blocks: by
+    size, so that only blocks of equal or neighbouring sizes can hold links, and by hash. Each
+    pair of blocks is one task's group, counts all its overlaps, and passes on one number a class.
+    """
+    width = float(np.log(100 / percent * 1.0001))
+    mine = long_.join(labels.withColumnRenamed("id", "class_id"), "class_id").join(sets.select("class_id", "n", "grams"), "class_id")
+    mine = mine.withColumn("band", F.floor(F.log("n") / width).cast("long"))
+    bands = mine.groupBy("component", "band").agg(F.count("*").alias("k"), F.sum(F.size("grams")).alias("g"))
+    bands = materialize(bands.select("component", "band", "k", F.ceil(F.greatest(F.col("k") / block_classes, F.col("g") / block_grams)).cast("long").alias("blocks")), "bands")
+    near = bands.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")).unionByName(bands.select("component", (F.col("band") + 1).alias("band"), F.lit(0).cast("long").alias("above"), F.col("blocks").alias("below")), allowMissingColumns=True)
+    near = near.groupBy("component", "band").agg(F.max("above").alias("above"), F.max("below").alias("below"))
+    bands = bands.join(near, ["component", "band"], "left").na.fill(0, ["above", "below"]).filter("k > 1 or above > 0 or below > 0")
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
+    dealt = mine.join(bands, ["component", "band"]).withColumn("block", block)
+    # each pair is named by its lower block: (band, block) and then the step in bands and the other block; a block with itself is met once, as side 0
+    meet = lambda band, low, step, high, side: F.struct(band.alias("low_band"), low.alias("low"), F.lit(step).alias("step"), high.alias("high"), F.lit(side).alias("side"))
+    upto = lambda k, f: F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("long"), k - 1), f)).otherwise(F.array().cast("array<struct<low_band:bigint,low:bigint,step:int,high:bigint,side:int>>"))
+    band, b = F.col("band"), F.col("block")
+    within = upto(F.col("blocks"), lambda o: F.when(b <= o, meet(band, b, 0, o, 0)).otherwise(meet(band, o, 0, b, 1)))
+    met = F.concat(within, upto(F.col("above"), lambda o: meet(band, b, 1, o, 0)), upto(F.col("below"), lambda o: meet(band - 1, o, 1, b, 1)))
+    keys = ["component", "low_band", "low", "step", "high"]
+    groups = dealt.select("component", "class_id", "n", "grams", F.explode(met).alias("m")).select("component", "m.*", "class_id", "n", "grams")
+
+    def count(table: pa.Table) -> pa.Table:
+        grams = table.column("grams").combine_chunks()
+        flat, ends = grams.flatten().to_numpy(), np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
+        ids, n, side = (table.column(c).to_pylist() for c in ("class_id", "n", "side"))
+        low, high, step = (table.column(c)[0].as_py() for c in ("low", "high", "step"))
+        got, degree = _block_degrees([(ids[k], n[k], flat[ends[k] : ends[k + 1]], side[k]) for k in range(len(ids))], step == 0 and low == high, percent)
+        return pa.table([pa.array(got, pa.int64()), pa.array(degree, pa.int64())], names=["class_id", "n_class_links"])
+
+    counted = groups.groupBy(*keys).applyInArrow(count, "class_id long, n_class_links long")
+    seen = lambda key: long_.select(F.col("class_id").alias(key), F.lit(1).alias(f"long_{key}"))
+    other = links.join(seen("a"), "a", "left").join(seen("b"), "b", "left").filter("long_a is null or long_b is null")
+    told = other.select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("n_class_links"))
+    return told.union(counted).groupBy("class_id").agg(F.sum("n_class_links").alias("n_class_links"))
+
+
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id and n_class_links of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id and n_class_links (the number of other classes it is linked with) of every document."""
+    return _components(docs, n, percent, True, **options)
+
+
+def _components(docs: DataFrame, n: int = 5, percent: int = 75, count_links: bool = True, **options) -> DataFrame:
+    """ngram_jaccard_components(); without count_links, n_class_links is null for classes with links, and no links are counted."""
     members, sets = reduced_sets(docs, n, percent)
-    links = similar_links(sets, percent, **options)
+    links, long_ = similar_links(sets, percent, **options)
     labels = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_class_links"))
+    none = labels.select(F.col("id").alias("class_id"), F.lit(None).cast("long").alias("n_class_links"))
+    degree = materialize(class_degrees(links, materialize(long_, "long-listed"), labels, sets, percent), "degrees") if count_links else none
     full = members.filter("size > 0")
     classes = full.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.min("check_id").alias("lo"), F.max("check_id").alias("hi"))
     classes = materialize(classes.withColumn("ok", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("two sets share a class id"))).otherwise(F.lit(True))).select("class_id", "first_doc", "ok"), "classes")
@@ -384,7 +460,7 @@ def keep_one_per_component(docs: DataFrame, broadcast_ids: int = 1_000_000, **op
     Rows that repeat both doc_id and text count as one document. Rows with a null doc_id
     can't be named and all stay.
     """
-    found = materialize(ngram_jaccard_components(docs, **options).select("doc_id", "component_id"), "components")
+    found = materialize(_components(docs, count_links=False, **options).select("doc_id", "component_id"), "components")
     gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 import zlib
 
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, awkward_documents, empty
+from tests.llm.helpers import awkward, awkward_documents, empty, prose
 from tessera.llm import ngram_join, packing, token_store
 from tessera.llm.common import shared_dir
 from tessera.llm.queries import tokenizer_path
@@ -49,6 +50,33 @@ def test_components_equal_all_pairs(spark, cut):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
+def brute_degrees(rows, percent=75):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        if w:
+            sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(d)
+    linked = lambda a, b: a != b and 100 * len(a & b) >= percent * len(a | b)
+    return sorted(((d, sum(linked(a, b) for b in sets)) for a, ids in sets.items() for d in ids), key=str)
+
+
+@pytest.mark.parametrize("cut", [3, 24])
+@pytest.mark.parametrize("block", [3, 256])
+def test_links_equal_all_pairs(spark, monkeypatch, cut, block):
+    monkeypatch.setattr(ngram_join.class_degrees, "__defaults__", (block, 400_000))
+    rng = random.Random(6)
+    rows = [(r[0], r[1]) for r in awkward_documents()]
+    base = prose(rng, 150).split()
+    for i in range(70):  # near copies of many lengths, some far from one another
+        w = base[: rng.randrange(90, 151)]
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"odd{rng.randrange(1000)}"
+        rows.append((3000 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_jaccard_components(docs, list_cut=cut).filter("n_shingles > 0").select("doc_id", "n_class_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_degrees(rows)
+
+
 def test_joins_of_an_empty_table(spark):
     assert ngram_join.ngram_jaccard_components(empty(spark)).count() == 0
     assert ngram_join.keep_one_per_component(empty(spark)).count() == 0
