@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +37,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts get 1,000 rows and 8 MB at most, unless the session has set other limits: they lie outside the heap, once in the JVM and once in Python."""
+    for key, default, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", str(64 << 20), str(8 << 20))):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, default).rstrip("bB") in (default, "67108864"):
+            spark.conf.set(name, small)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -43,6 +55,63 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Memory(dict):
+    """A cache of about most_bytes at most. What comes when it is full is worked out again each time, so the bound never changes a result."""
+
+    def __init__(self, most_bytes: int):
+        super().__init__()
+        self.room = most_bytes
+
+    def keep(self, key: str | bytes, value: object) -> None:
+        size = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if size <= self.room:
+            self.room -= size
+            self[key] = value
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """A Python worker's object for key, kept from task to task until another is asked for: a worker holds one operator's cache at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system; a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """A function for mapInArrow or applyInArrow that releases memory when it ends, and drops what other operators have kept, if it keeps nothing itself."""
+
+    @wraps(run)
+    def go(data):
+        if not keeps:
+            _KEPT.clear()
+        try:
+            out = run(data)
+            return _released(out) if isinstance(out, Iterator) else out
+        finally:
+            release()
+
+    return go
+
+
+def _released(out: Iterator) -> Iterator:
+    try:
+        yield from out
+    finally:
+        release()
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df: for a file scan the size of its files.
 

@@ -13,10 +13,16 @@ The benchmark is read in blocks of at most ``block_chars`` characters; each bloc
 is broadcast on its own and takes one pass over the documents, so no broadcast
 grows with the benchmark.
 
+A window that stands in several items is searched once. All of them are told as items;
+matches name the first of them.
+
 Defined results: a null or empty text has no words and no hits; an item with fewer
 words than the window is one window; an item without words never occurs; items that
-repeat an item_id count once; an empty benchmark marks nothing; extra columns are
-kept, also when they are called like the benchmark's.
+repeat an item_id count once; an item with a null item_id hits words, but has no id to
+tell; an empty benchmark marks nothing, and an empty table of documents gives an empty
+result; a very long text is searched whole, and a very long word is one word; extra
+columns are kept, but for those called n_words, n_hit, items, hits or matches, which
+find_contamination replaces and decontaminate keeps.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, and blanks the rest.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -68,7 +76,7 @@ def _inside(ids: np.ndarray, step: int) -> np.ndarray:
 
 
 class Suffixes:
-    """The suffixes of a block of benchmark items, with their windows."""
+    """The suffixes of a block of benchmark items, with their distinct windows."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.vocab: dict[bytes, int] = {}
@@ -84,11 +92,20 @@ class Suffixes:
         self.item_start = np.asarray(starts, dtype=np.int64)
         # a window starts wherever enough words are left; a short item is one window
         rows = [(k, p, min(window, len(s))) for k, s in enumerate(seqs) for p in range(max(1, len(s) - window + 1))]
-        self.item, self.at, self.size = (np.asarray(c, dtype=np.int64) for c in (zip(*rows, strict=True) if rows else ([], [], [])))
-        self.shortest = int(self.size.min()) if rows else 0
+        item, at, size = (np.asarray(c, dtype=np.int64) for c in (zip(*rows, strict=True) if rows else ([], [], [])))
+        self.shortest = int(size.min()) if rows else 0
+        cols = np.arange(window)
+        test = np.concatenate((self.flat, np.zeros(window, np.int64)))
+        begin = self.item_start[item] + at
+        want = np.where(cols < size[:, None], test[begin[:, None] + cols], 0)
+        # equal windows are one: searched once, whatever number of items they stand in, and told by the first of them
+        self.want, first, of = np.unique(want, axis=0, return_index=True, return_inverse=True) if rows else (want, at, at)
+        self.item, self.at, self.size = item[first], at[first], size[first]
+        order = np.lexsort((item, of.ravel()))
+        self.members = np.split(item[order], np.cumsum(np.bincount(of.ravel(), minlength=len(first)))[:-1]) if rows else []
 
     def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix, position, length) of all places where a suffix's window stands, longest match each."""
+        """(window, position, length) of all places where a window stands, with the longest match of its first item there."""
         none = np.zeros(0, np.int64)
         if not len(self.size) or not ids.any():
             return none, none, none
@@ -97,7 +114,7 @@ class Suffixes:
         test = np.concatenate((self.flat, np.zeros(self.window, np.int64)))
         begin = self.item_start[self.item] + self.at
         cols = np.arange(self.window)
-        want = np.where(cols < self.size[:, None], test[begin[:, None] + cols], 0)
+        want = self.want
 
         def compare(pos: np.ndarray, rows: np.ndarray) -> np.ndarray:
             """-1, 0, 1: training suffix against window, over the window's words."""
@@ -156,7 +173,7 @@ def _annotate(docs: DataFrame, block: list[tuple[str, str | None]], window: int,
                 yield _hits(batch.slice(lo), parts, suffixes, shortest)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _n_words long, _hits {HITS}, _items array<string>, _matches {MATCHES}")
+    return docs.mapInArrow(tidy(run), f"{schema}, _n_words long, _hits {HITS}, _items array<string>, _matches {MATCHES}")
 
 
 def _hits(rows: pa.RecordBatch, parts: list[np.ndarray], suffixes: Suffixes, shortest: int) -> pa.RecordBatch:
@@ -171,28 +188,30 @@ def _hits(rows: pa.RecordBatch, parts: list[np.ndarray], suffixes: Suffixes, sho
             source.append((d, a, b - a))
     ids = np.concatenate(shard) if shard else np.zeros(0, np.int32)
     suffix, pos, length = suffixes.matches(ids)
-    hits, items, matches = ([[] for _ in parts] for _ in range(3))
+    hits, matches, items = [[] for _ in parts], [[] for _ in parts], [set() for _ in parts]
     if len(pos):
         src = np.asarray(source)
         run_at = np.cumsum(src[:, 2] + 1) - (src[:, 2] + 1)
         run = np.searchsorted(run_at, pos, side="right") - 1
         doc, start = src[run, 0], src[run, 1] + pos - run_at[run]
         order = np.lexsort((start, doc))
+        open_: dict[tuple, int] = {}  # where the last match of (document, item, diagonal) ends
         for j in order.tolist():
             d, s, e = int(doc[j]), int(start[j]), int(start[j] + suffixes.size[suffix[j]])
             if hits[d] and s <= hits[d][-1]["end"]:
                 hits[d][-1]["end"] = max(e, hits[d][-1]["end"])
             else:
                 hits[d].append({"start": s, "end": e})
-            item, at = suffixes.items[suffixes.item[suffix[j]]], int(suffixes.at[suffix[j]])
-            items[d].append(item)
-            before = matches[d][-1] if matches[d] else None
-            if before is None or not any(m["item_id"] == item and m["doc_start"] - m["item_start"] == s - at and s < m["doc_start"] + m["length"] for m in matches[d][-50:]):
-                matches[d].append({"item_id": item, "item_start": at, "doc_start": s, "length": int(length[j])})
+            k, at = int(suffixes.item[suffix[j]]), int(suffixes.at[suffix[j]])
+            if s >= open_.get((d, k, s - at), 0):
+                open_[d, k, s - at] = s + int(length[j])
+                matches[d].append({"item_id": suffixes.items[k], "item_start": at, "doc_start": s, "length": int(length[j])})
+        for d, w in np.unique(np.column_stack((doc, suffix)), axis=0).tolist():
+            items[d].update(suffixes.members[w].tolist())
     extra = [
         pa.array(lengths, pa.int64()),
         pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-        pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+        pa.array([sorted({suffixes.items[k] for k in x} - {None}) for x in items], pa.list_(pa.string())),
         pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))),
     ]
     names = [*rows.schema.names, "_n_words", "_hits", "_items", "_matches"]

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import tidy
+
 #: Whole numbers of a document, in the order of document_counts().
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_upper", "n_letters_ascii", "n_digits", "n_commas", "n_stops", "n_marks", "n_pipes", "n_distinct", "n_same_next", "n_top_word", "n_upper_words", "n_marked_words", "n_long_words")
 #: Ratios that a model sees, in the order of ratios().
@@ -22,7 +24,8 @@ _SPACES = " \t\n\v\f\r"
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
 _DIGITS = b"0123456789"
-_UPPER_WORD = re.compile(rb"(?<![^ \t-\r])[A-Z\x80-\xff]*[A-Z][A-Z\x80-\xff]*[A-Z][A-Z\x80-\xff]*[^a-z \t-\r]*(?![^ \t-\r])")
+#: Two capitals before any other ASCII character; no part of the pattern gives back what it has taken, so it is linear.
+_TWO_CAPITALS = re.compile(rb"[\x80-\xff]*+[A-Z][\x80-\xff]*+[A-Z]")
 _MARKED = re.compile(rb"([*#$%&!])\1(?![^ \t-\r])")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,7 +74,7 @@ def document_counts(text: str | None) -> tuple[int, ...]:
         n, len(text) - sum(text.count(c) for c in _SPACES), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated_words(ids),
         len(lines), len(text), upper, len(raw) - len(raw.translate(None, _LETTERS)), len(raw) - len(raw.translate(None, _DIGITS)),
         raw.count(b","), raw.count(b"."), raw.count(b"!") + raw.count(b"?"), raw.count(b"|"), len(seen),
-        int((ids[1:] == ids[:-1]).sum()), int(counts.max()), len(_UPPER_WORD.findall(raw)) if upper * 8 > n else 0, len(_MARKED.findall(raw)), int((counts[[i for i, w in enumerate(seen) if len(w) > 24]]).sum()) if n else 0,
+        int((ids[1:] == ids[:-1]).sum()), int(counts.max()), sum(int(counts[i]) for w, i in seen.items() if w.isupper() and _TWO_CAPITALS.match(w)), len(_MARKED.findall(raw)), int((counts[[i for i, w in enumerate(seen) if len(w) > 24]]).sum()) if n else 0,
     )
 
 
@@ -85,7 +88,7 @@ def document_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(rows[:, j]) for j in range(len(COUNTS))]], names=[*keep, *COUNTS])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"{c} long" for c in COUNTS])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def ratios(counts: np.ndarray) -> np.ndarray:

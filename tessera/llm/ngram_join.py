@@ -1,14 +1,16 @@
 """N-gram Jaccard self-join with vertical partitioning, and its components.
 
-Every document is a set of 64-bit hashes of its word n-grams; equal sets form one
-class, and only classes are joined. The order of the hashes is the global n-gram
-order. It is cut into fragments, equal ranges of hashes, and every class into the
-segments that fall into each fragment.
+Every document is a set of 56-bit hashes of its word n-grams; equal sets form one
+class, named by 128 bits of digest, and only classes are joined. The order of the hashes
+is the global n-gram order. It is cut into fragments, equal ranges of hashes, and every
+class into the segments that fall into each fragment.
 
 1. Fragments. A task per fragment counts in how many classes each n-gram stands, and
    passes on those n-grams that stand in two or more; no other n-gram can be part of
-   an overlap. Segments travel packed, 5 bytes an n-gram, and copies of a class meet
-   in the fragment and count once.
+   an overlap. Segments travel packed, 7 bytes an n-gram, and copies of a class meet
+   in the fragment and count once. A task counts its fragment in parts, so its arrays stay
+   small. An n-gram that so many classes share that they would fill a fragment is
+   found in a sample beforehand, goes to all fragments by class, and ranks as the most common.
 2. Classes. The passed n-grams of a class, its reduced set, come together again. A
    class whose reduced set is smaller than its least overlap with any partner,
    ceil(t * n), is out. For the others, the rarest n-grams up to the usual prefix
@@ -23,14 +25,18 @@ segments that fall into each fragment.
 4. Overlaps. The reduced sets are cut into fragments of the same order; the overlap of
    each candidate pair is counted in each fragment separately and summed per pair.
    ``100 * overlap >= 100 * t * union`` makes a link.
-5. Components of the links by min-label propagation with pointer jumping; labels and
-   links are tables, written each round.
+5. Components of the links by contraction: in each round every vertex follows its neighbour of
+   lowest rank, and what has come together is one vertex of the next round, so two rounds halve the
+   vertices of any graph. Labels and links are tables, written each round.
 
 Defined results: a null or empty text has no n-grams, is linked with nothing and is its own
 component; a text of fewer than ``n`` words is one n-gram of all of them; rows that repeat are equal
-sets; a null doc_id belongs to its class but names no component; an empty table gives an empty
-result; columns other than doc_id and text are ignored. Class ids are 64-bit digests of sets; a
-collision is looked for with a second digest and raises.
+sets; a null doc_id belongs to its class but names no component; a very long text or word is hashed
+whole like any other; an empty table gives an empty result; columns other than doc_id and text, however
+they are called, are ignored.
+
+Two n-grams share a hash with probability 2**-56, two different sets a class with 2**-128: some 1e-17 over all
+pairs of 5e10 sets.
 """
 
 from __future__ import annotations
@@ -43,11 +49,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_LOWER, input_bytes, materialize, rows_of
+from tessera.llm.common import ASCII_LOWER, Memory, input_bytes, kept, materialize, rows_of, tidy
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-#: Low bits of an n-gram's hash that travel; the fragment number holds the bits above them.
-LOW_BITS = 40
+#: Bits of an n-gram's hash; all of them travel.
+HASH_BITS = 56
+#: Classes that may share an n-gram before its postings are dealt out by class.
+HOT_CLASSES = 2_000_000
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -59,14 +67,13 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of the distinct word n-grams of a text, sorted."""
 
-    def __init__(self, n: int = 5, most: int = 400_000):
-        self.n, self.most = n, most
-        self.known: dict[bytes, int] = {}
+    def __init__(self, n: int = 5):
+        self.n = n
+        self.known = Memory(24 << 20)
 
     def _word(self, w: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        if len(self.known) < self.most:
-            self.known[w] = h
+        self.known.keep(w, h)
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -79,30 +86,29 @@ class Shingler:
         out = np.full(len(h) - k + 1, np.uint64(k))
         for j in range(k):
             out = _scramble(out + h[j : len(h) - k + 1 + j] * _MIX[j % 5])
-        return np.unique(out)
-
+        return np.unique(out >> np.uint64(64 - HASH_BITS))
 
-def _digest(grams: np.ndarray, salt: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8, salt=salt).digest(), "little", signed=True)
 
-
-_PACKED = "fragment int, kind int, class binary, n binary, len binary, low binary, doc_id long, class_id long, check_id long, size long"
+_PACKED = "fragment int, kind int, class binary, n binary, len binary, gram binary, doc_id long, class_id binary, size long"
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
     names = [x.split()[0] for x in _PACKED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
-def _low_bytes(low: np.ndarray) -> bytes:
-    """40-bit numbers as two planes, 32 bits and 8 bits."""
-    return low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u1").tobytes()
+def _gram_bytes(grams: np.ndarray) -> bytes:
+    """56-bit numbers as three planes, of 32, 16 and 8 bits."""
+    return grams.astype("<u4").tobytes() + (grams >> np.uint64(32)).astype("<u2").tobytes() + (grams >> np.uint64(48)).astype("<u1").tobytes()
 
 
-def _low_of(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u1", n, 4 * n).astype(np.uint64) << np.uint64(32)
+def _grams_of(data: bytes) -> np.ndarray:
+    n = len(data) // 7
+    out = np.frombuffer(data, "<u4", n).astype(np.uint64)
+    out |= np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+    out |= np.frombuffer(data, "<u1", n, 6 * n).astype(np.uint64) << np.uint64(48)
+    return out
 
 
 def _planes(x: np.ndarray, kind: str) -> bytes:
@@ -116,43 +122,86 @@ def _of_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def segments(docs: DataFrame, fragments: int, n: int, chunk: int = 2_000_000) -> DataFrame:
+def _class_numbers(cls: np.ndarray) -> np.ndarray:
+    """The first 64 bits of class ids."""
+    return np.ascontiguousarray(cls).view("<u8").reshape(-1, 2)[:, 0]
+
+
+def _binary(cls: np.ndarray) -> pa.Array:
+    """Class ids as a column."""
+    fixed = pa.Array.from_buffers(pa.binary(16), len(cls), [None, pa.py_buffer(np.ascontiguousarray(cls).tobytes())])
+    return fixed.cast(pa.binary())
+
+
+def hot_grams(docs: DataFrame, n: int, most: int, sample: int = 200_000, longest: int = 1_000_000) -> np.ndarray:
+    """Sorted hashes of the n-grams that more than about most documents share, counted in a sample of the documents.
+
+    They steer the work only: whatever is listed here, or missing, the join's result is the same. Tables of no more than most rows have none.
+    """
+    rows = docs.count()
+    if rows <= most:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, sample / rows)
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            sets = [shingle(text) for (text,) in rows_of(batch.select(["text"]))]
+            gram, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(k)], names=["gram", "k"])
+
+    counts = chosen.select("text").mapInArrow(tidy(count), "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k"))
+    found = counts.filter(F.col("k") > share * most / 2).orderBy(F.desc("k"), "gram").limit(longest).select("gram").collect()
+    return np.sort(np.asarray([r["gram"] for r in found], np.int64).astype(np.uint64))
+
+
+def _among(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
+    return hot[at] == grams
+
+
+def segments(docs: DataFrame, fragments: int, n: int, hot: np.ndarray, chunk: int = 1_000_000) -> DataFrame:
     """Per task and fragment the packed segments of its classes (kind 0), and a row per document (kind 1)."""
     bits = (fragments - 1).bit_length()
-    shift = np.uint64(64 - bits)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        sent: set[int] = set()
+        shingle, hot = kept(("shingler", n), lambda: Shingler(n)), shared.value
+        sent: set[bytes] = set()
         sets: list[np.ndarray] = []
-        classes: list[int] = []
-        held = 0
+        classes: list[bytes] = []
+        held = nameless = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             sizes = np.asarray([len(s) for s in sets])
             flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            frag = (flat >> shift).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
-            # sets are sorted, so a set's n-grams of one fragment already lie together
-            order = np.argsort(frag * len(sets) + owner, kind="stable")
-            frag, owner, low = frag[order], owner[order], flat[order] & np.uint64((1 << LOW_BITS) - 1)
-            ids = np.asarray(classes, np.int64)
-            edges = np.searchsorted(frag, np.arange(fragments + 1))
-            for f in range(fragments):
-                a, b = edges[f], edges[f + 1]
-                if a < b:
-                    own, at, cnt = np.unique(owner[a:b], return_index=True, return_counts=True)
-                    yield _packed([(f, 0, ids[own].tobytes(), _planes(sizes[own], "<u4"), _planes(cnt, "<u4"), _low_bytes(low[a:b]), None, None, None, None)])
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+            ids = np.frombuffer(b"".join(classes), "S16")
+            frag = (flat >> np.uint64(HASH_BITS - bits)).astype(np.int32)
+            if len(hot):
+                common = _among(flat, hot)
+                frag[common] = (_class_numbers(ids) >> np.uint64(64 - bits)).astype(np.int32)[owner[common]] if bits else 0
+            # owners are in order, so the stable sort keeps a class's n-grams together within a fragment
+            order = np.argsort(frag, kind="stable")
+            frag, owner, flat = frag[order], owner[order], flat[order]
+            at = np.concatenate(([0], np.flatnonzero(np.diff(frag)) + 1, [len(frag)]))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own, cnt = np.unique(owner[a:b], return_counts=True)
+                yield _packed([(int(frag[a]), 0, ids[own].tobytes(), _planes(sizes[own], "<u4"), _planes(cnt, "<u4"), _gram_bytes(flat[a:b]), None, None, None)])
 
         for batch in batches:
             rows = []
             for doc_id, text in rows_of(batch):
                 grams = shingle(text)
-                cid = _digest(grams, b"class") if len(grams) else 0
-                rows.append((hash((doc_id, cid)) % fragments, 1, None, None, None, None, doc_id, cid, _digest(grams, b"check") if len(grams) else 0, len(grams)))
-                if len(grams) and cid not in sent:
-                    if len(sent) < 1_000_000:
-                        sent.add(cid)
+                cid = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+                nameless += doc_id is None
+                spread = hash((doc_id, int.from_bytes(cid or b"", "little"))) + (nameless if doc_id is None else 0)
+                rows.append((spread % fragments, 1, None, None, None, None, doc_id, cid, len(grams)))
+                if cid is not None and cid not in sent:
+                    if len(sent) == 100_000:
+                        sent.clear()  # a class that is sent again counts once all the same
+                    sent.add(cid)
                     sets.append(grams)
                     classes.append(cid)
                     held += len(grams)
@@ -163,89 +212,104 @@ def segments(docs: DataFrame, fragments: int, n: int, chunk: int = 2_000_000) ->
         if sets:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PACKED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keeps=True), _PACKED)
 
 
-def _shared_grams(table: pa.Table, buckets: int) -> Iterator[tuple]:
-    """One fragment: the n-grams of two or more classes, packed by class bucket."""
-    fragment = table.column("fragment")[0].as_py()
-    rows = [r for r in zip(*(table.column(c).to_pylist() for c in ("class", "n", "len", "low")), strict=True) if r[0] is not None]
-    if not rows:
+def _shared_grams(table: pa.Table, bits: int, buckets: int, hot: np.ndarray, part_grams: int = 1_000_000) -> Iterator[tuple]:
+    """One fragment: the n-grams of two or more classes, packed by class bucket. The fragment is counted in parts of about part_grams n-grams."""
+    table = table.filter(pa.compute.equal(table.column("kind"), 0)).select(["fragment", "class", "n", "len", "gram"])
+    if not table.num_rows:
         return
-    cls = np.concatenate([np.frombuffer(r[0], "<i8") for r in rows])
-    n, cnt = (np.concatenate([_of_planes(r[i], "<u4") for r in rows]).astype(np.int64) for i in (1, 2))
-    low = np.concatenate([_low_of(r[3]) for r in rows])
+    fragment = table.column("fragment")[0].as_py()
+    cls = np.concatenate([np.frombuffer(x, "S16") for x in table.column("class").to_pylist()])
+    n, cnt = (np.concatenate([_of_planes(x, "<u4") for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("n", "len"))
+    gram = np.concatenate([_grams_of(x.as_py()) for x in table.column("gram")])
     # a class that several tasks have sent counts once
     first = np.zeros(len(cls), bool)
     first[np.unique(cls, return_index=True)[1]] = True
-    keep = np.repeat(first, cnt)
-    cls, n, cnt, low = cls[first], n[first], cnt[first], low[keep]
-    owner = np.repeat(np.arange(len(cls)), cnt)
-    _, inverse, df = np.unique(low, return_inverse=True, return_counts=True)
-    df = df[inverse]
-    common = df >= 2
-    owner, low, df = owner[common], low[common], np.minimum(df[common], 65535)
-    if not len(owner):
-        return
-    bucket = (cls % buckets)[owner]
-    order = np.lexsort((owner, bucket))
-    owner, low, df, bucket = owner[order], low[order], df[order], bucket[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        i, j = edges[b], edges[b + 1]
-        if i < j:
-            own, k = np.unique(owner[i:j], return_counts=True)
-            yield b, fragment, cls[own].tobytes(), _planes(n[own], "<u4"), _planes(k, "<u4"), _low_bytes(low[i:j]), _planes(df[i:j], "<u2")
-
-
-def _reduced_sets(rows: list[tuple], percent: int) -> Iterator[tuple]:
-    """One bucket of classes: (class, n, commonness, n-grams, prefix) of each class that can have a partner."""
-    cls = np.concatenate([np.frombuffer(r[1], "<i8") for r in rows]).astype(np.int64)
-    n, cnt = (np.concatenate([_of_planes(r[i], "<u4") for r in rows]).astype(np.int64) for i in (2, 3))
-    low = np.concatenate([_low_of(r[4]) | np.uint64(r[0] << LOW_BITS) for r in rows])
-    df = np.concatenate([_of_planes(r[5], "<u2") for r in rows]).astype(np.int64)
-    owner, size = np.repeat(cls, cnt), np.repeat(n, cnt)
-    order = np.lexsort((low, df, owner))
-    owner, size, low, df = owner[order], size[order], low[order], df[order]
-    ids, at, have = np.unique(owner, return_index=True, return_counts=True)
-    total = size[at]
+    if not first.all():
+        gram = gram[np.repeat(first, cnt)]
+        cls, n, cnt = cls[first], n[first], cnt[first]
+    owner = np.repeat(np.arange(len(cls), dtype=np.int32), cnt)
+    deep = max(0, -(-len(gram) // part_grams) - 1).bit_length()
+    bucket_of = (_class_numbers(cls) % np.uint64(buckets)).astype(np.int64)
+    for part in range(1 << deep):
+        mine = (gram >> np.uint64(HASH_BITS - bits - deep)) & np.uint64((1 << deep) - 1) == part if deep else slice(None)
+        low, own = gram[mine], owner[mine]
+        _, inverse, df = np.unique(low, return_inverse=True, return_counts=True)
+        df = np.minimum(df[inverse], 65535)
+        if len(hot) and len(low):
+            df[_among(low, hot)] = 65535
+        common = df >= 2
+        low, own, df = low[common], own[common], df[common]
+        if not len(low):
+            continue
+        bucket = bucket_of[own]
+        order = np.lexsort((own, bucket))
+        own, low, df, bucket = own[order], low[order], df[order], bucket[order]
+        at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            of, k = np.unique(own[i:j], return_counts=True)
+            yield int(bucket[i]), fragment, cls[of].tobytes(), _planes(n[of], "<u4"), _planes(k, "<u4"), _gram_bytes(low[i:j]), _planes(df[i:j], "<u2")
+
+
+def _reduced_sets(table: pa.Table, percent: int) -> pa.Table:
+    """One bucket of classes: class, n, commonness, n-grams and prefix of each class that can have a partner."""
+    cls = np.concatenate([np.frombuffer(x, "S16") for x in table.column("class").to_pylist()])
+    n, cnt = (np.concatenate([_of_planes(x, "<u4") for x in table.column(c).to_pylist()]).astype(np.int64) for c in ("n", "len"))
+    gram = np.concatenate([_grams_of(x.as_py()) for x in table.column("gram")])
+    df = np.concatenate([_of_planes(x, "<u2") for x in table.column("df").to_pylist()])
+    ids, at, number = np.unique(cls, return_index=True, return_inverse=True)
+    total = n[at]
+    owner = np.repeat(number.astype(np.int32), cnt)
+    have = np.bincount(owner, minlength=len(ids))
     least = -(-percent * total // 100)
-    for k in np.flatnonzero(have >= least).tolist():
-        grams, d = low[at[k] : at[k] + have[k]], df[at[k] : at[k] + have[k]]
-        # n-grams of one class only come first in the order of rarity, and are part of the prefix
-        prefix = int(total[k] - least[k] + 1 - (total[k] - have[k]))
-        yield int(ids[k]), int(total[k]), float(np.log2(d).sum() / total[k]), np.sort(grams.astype(np.int64)), grams[:prefix].astype(np.int64)
-
-
-def reduced_sets(docs: DataFrame, n: int, percent: int, fragments: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, class_id, check_id, size; sets: class_id, n, common, grams, prefix), both written."""
-    fragments = fragments or max(16, 1 << max(0, (input_bytes(docs) // (12 << 20)).bit_length()))
-    fragments = min(fragments, 1 << (63 - LOW_BITS))
+    able = have >= least
+    # n-grams of one class only come first in the order of rarity, and are part of the prefix
+    prefix = np.maximum(0, total - least + 1 - (total - have))
+    mine = able[owner]
+    owner, gram, df = owner[mine], gram[mine], df[mine]
+    order = np.lexsort((gram, df, owner))
+    owner, gram, df = owner[order], gram[order], df[order]
+    kept, start = np.flatnonzero(able), np.concatenate(([0], np.cumsum(have[able])))
+    rank = np.arange(len(owner)) - start[np.searchsorted(kept, owner)]
+    noted = rank < prefix[owner]
+    longs = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int64)))
+    common = np.bincount(owner, np.log2(np.maximum(df, 1)), len(ids))[kept] / total[kept]
+    by_gram = np.lexsort((gram, owner))
+    return pa.table({
+        "class_id": _binary(ids[kept]), "n": pa.array(total[kept]), "common": pa.array(common),
+        "grams": longs(gram[by_gram], start), "prefix": longs(gram[noted], np.concatenate(([0], np.cumsum(np.minimum(prefix, have)[kept])))),
+    })
+
+
+def reduced_sets(docs: DataFrame, n: int, percent: int, fragments: int | None = None, hot_classes: int = HOT_CLASSES) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, class_id, size; sets: class_id, n, common, grams, prefix), both written."""
+    fragments = fragments or min(1 << 24, max(16, 1 << max(0, (input_bytes(docs) // (24 << 20)).bit_length())))
+    bits = (fragments - 1).bit_length()
     buckets = fragments
-    packed = segments(docs, fragments, n)
-    schema = "bucket int, fragment int, class binary, n binary, len binary, low binary, df binary, doc_id long, class_id long, check_id long, size long"
+    hot = hot_grams(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, hot_classes)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    packed = segments(docs, fragments, n, hot)
+    schema = "bucket int, fragment int, class binary, n binary, len binary, gram binary, df binary, doc_id long, class_id binary, size long"
 
     def fragment_task(table: pa.Table) -> pa.Table:
-        rows = list(_shared_grams(table, buckets))
-        m = table.filter(pa.compute.equal(table.column("kind"), 1)).select(["doc_id", "class_id", "check_id", "size"])
+        rows = list(_shared_grams(table, bits, buckets, shared.value))
+        m = table.filter(pa.compute.equal(table.column("kind"), 1)).select(["doc_id", "class_id", "size"])
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        left = [pa.array([r[i] for r in rows] + [None] * m.num_rows, t) for i, t in enumerate(kinds)]
-        right = [pa.chunked_array([pa.nulls(len(rows), pa.int64()), *m.column(c).chunks]) for c in names[7:]]
+        left = [pa.chunked_array([pa.array([r[i] for r in rows], t), pa.nulls(m.num_rows, t)]) for i, t in enumerate(kinds)]
+        right = [pa.chunked_array([pa.nulls(len(rows), m.schema.field(c).type), *m.column(c).chunks]) for c in names[7:]]
         return pa.table([*left, *right], names=names)
 
-    both = materialize(packed.groupBy("fragment").applyInArrow(fragment_task, schema), "segments")
-    members = both.filter("bucket is null").select("doc_id", "class_id", "check_id", "size")
+    both = materialize(packed.groupBy("fragment").applyInArrow(tidy(fragment_task), schema), "segments")
+    members = both.filter("bucket is null").select("doc_id", "class_id", "size")
 
     def bucket_task(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("fragment", "class", "n", "len", "low", "df")), strict=True))
-        got = list(_reduced_sets(rows, percent))
-        longs = pa.list_(pa.int64())
-        kinds = (pa.int64(), pa.int64(), pa.float64(), longs, longs)
-        return pa.table([pa.array([r[i] for r in got], t) for i, t in enumerate(kinds)], names=["class_id", "n", "common", "grams", "prefix"])
-
-    sets = both.filter("bucket is not null").select("bucket", "fragment", "class", "n", "len", "low", "df")
-    sets = sets.groupBy("bucket").applyInArrow(bucket_task, "class_id long, n long, common double, grams array<long>, prefix array<long>")
+        return _reduced_sets(table, percent)
+
+    sets = both.filter("bucket is not null").select("bucket", "class", "n", "len", "gram", "df")
+    sets = sets.groupBy("bucket").applyInArrow(tidy(bucket_task), "class_id binary, n long, common double, grams array<long>, prefix array<long>")
     return members, materialize(sets, "reduced-sets")
 
 
@@ -261,7 +325,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """a, b, na, nb, overlap: counted per fragment of the n-gram order and summed per pair."""
-    seg = lambda p: F.filter("grams", lambda g: F.pmod(F.shiftright(g, LOW_BITS), F.lit(parts)) == p)
+    seg = lambda p: F.filter("grams", lambda g: F.shiftright(g * parts, HASH_BITS) == p)
     cut = sets.select("class_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), seg(p).alias("seg")) for p in range(parts)])).alias("s"))
     cut = cut.select("class_id", "s.part", "s.seg").filter(F.size("seg") > 0)
     first = pairs.join(cut.withColumnsRenamed({"class_id": "a", "seg": "seg_a"}), "a")
@@ -274,21 +338,36 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of every id in links (a, b); the component is the smallest id reachable."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
-        # jump: a label's own label
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = step.join(jump, "component", "left").select("id", "before", F.least("component", F.coalesce("far", "component")).alias("component"))
-        new = materialize(new, "labels")
-        labels = new.select("id", "component")
-        if new.filter(F.col("component") != F.col("before")).isEmpty():
-            return labels
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds")
+def connected_components(links: DataFrame, hops: int = 3) -> DataFrame:
+    """(id, component) of every id in links (a, b); the component is the smallest id reachable.
+
+    Each round, every vertex follows its neighbour of lowest rank, a hash that changes from round to round, if that
+    ranks below itself; paths are shortened by doubling ``hops`` times. Links between what they lead to are the next
+    round's. Of two rounds, each vertex that isn't alone takes part in a merge, so the number of rounds is logarithmic
+    at most, and each works on fewer vertices. The end of a path needn't be reached in a round: links keep what is connected together.
+    """
+    edges = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a != b").distinct(), "links")
+    labels = None
+    for k in range(1_000_000):
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)), F.col(c))  # noqa: B023, E731
+        lowest = edges.groupBy("a").agg(F.min(rank("b")).alias("low"))
+        step = materialize(lowest.select(F.col("a").alias("id"), F.when(F.col("low") < rank("a"), F.col("low.b")).otherwise(F.col("a")).alias("to")), "steps")
+        for _ in range(hops):
+            on = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            step = step.join(on, "to").select("id", F.col("next").alias("to"))
+        step = materialize(step, "steps")
+        if labels is None:
+            labels = step.withColumnRenamed("to", "at")
+        else:
+            moved = labels.join(step.select(F.col("id").alias("at"), "to"), "at", "left")
+            labels = materialize(moved.select("id", F.coalesce("to", "at").alias("at")), "labels")
+        for end in ("a", "b"):
+            edges = edges.join(step.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("to", end)
+        edges = materialize(edges.filter("a != b").select("a", "b").distinct(), "links")
+        if edges.isEmpty():
+            break
+    least = labels.groupBy("at").agg(F.min("id").alias("component"))
+    return materialize(labels.join(least, "at").select("id", "component"), "labels")
 
 
 def similar_links(sets: DataFrame, percent: int, list_cut: int = 24, parts: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -361,30 +440,58 @@ def _beyond_hubs(sets: DataFrame, long_: DataFrame, hubs: DataFrame, found: Data
     return pairs.union(small)
 
 
-def _block_degrees(rows: list[tuple], alone: bool, percent: int) -> tuple[list[int], np.ndarray]:
-    """One pair of blocks (sides 0 and 1, either may be empty), or a block alone with itself, of rows (class_id, n, grams, side): the class ids, and how many links each has across."""
-    rows = sorted(rows, key=lambda r: (r[3], r[0]))
-    size, flat = np.asarray([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
-    _, at = np.unique(flat, return_inverse=True)
-    edges = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows])))
-    degree = np.zeros(len(rows), np.int64)
-    mine = int(np.searchsorted([r[3] for r in rows], 1))
-    mark = np.zeros(int(at.max()) + 1, np.int32)
-    for k in range(mine):
-        lo = k + 1 if alone else mine  # a block with itself counts each pair once
-        if lo == len(rows):
-            break
-        own = at[edges[k] : edges[k + 1]]
-        mark[own] = 1
-        overlap = np.add.reduceat(mark[at[edges[lo] :]], edges[lo:-1] - edges[lo]).astype(np.int64)
-        mark[own] = 0
-        linked = 100 * overlap >= percent * (size[k] + size[lo:] - overlap)
-        degree[k] += linked.sum()
-        degree[lo:] += linked
-    return [r[0] for r in rows], degree
-
+def _block_degrees(size: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: int, alone: bool, percent: int, tile: int = 512, width: int = 2048, dense: int = 128) -> np.ndarray:
+    """How many links each row of a pair of blocks has across; rows up to mine are one block, the others the other. Of a block alone, all rows are both.
 
-def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_classes: int = 256, block_grams: int = 400_000) -> DataFrame:
+    N-grams of at least ``dense`` rows are multiplied as 0/1 matrices, a width of n-grams at a time; of the others the pairs of rows are counted.
+    """
+    rows = np.arange(len(size))
+    left, right = (rows, rows) if alone else (rows[:mine], rows[mine:])
+    first = int(right[0]) if len(right) else 0
+    degree = np.zeros(len(size), np.int64)
+    if not len(left) or not len(right):
+        return degree
+    _, gram, k = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(rows, np.diff(ends))
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    often = k[gram] >= dense
+    at, cols = owner[often], np.unique(gram[often], return_inverse=True)[1]
+    order = np.argsort(cols, kind="stable")
+    at, cols = at[order], cols[order]
+    for lo in range(0, int(cols[-1]) + 1 if len(cols) else 0, width):
+        a, b = np.searchsorted(cols, (lo, lo + width))
+        wide = np.zeros((len(size), width), np.float32)
+        wide[at[a:b], cols[a:b] - lo] = 1
+        overlap += wide[left] @ wide[right].T
+    few = ~often & (k[gram] > 1)  # those of one row make no overlap
+    order = np.argsort(gram[few], kind="stable")
+    at, cols = owner[few][order], gram[few][order]
+    in_right, in_left = (at >= first), (at < len(left))
+    right_at, starts = at[in_right] - first, np.searchsorted(cols[in_right], np.arange(len(k) + 1))
+    left_at, left_cols = at[in_left], cols[in_left]
+    met = starts[left_cols + 1] - starts[left_cols]
+    upto = np.concatenate(([0], np.cumsum(met)))
+    lo = 0
+    while lo < len(left_at):  # some million pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + 4_000_000, side="right")) - 1)
+        n = met[lo:hi]
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[left_cols[lo:hi]], n)
+        cell, times = np.unique(np.repeat(left_at[lo:hi], n) * len(right) + right_at[other], return_counts=True)
+        overlap.ravel()[cell] += times
+        lo = hi
+    for lo in range(0, len(left), tile):
+        own = left[lo : lo + tile]
+        o = overlap[lo : lo + tile].astype(np.int64)
+        linked = 100 * o >= percent * (size[own][:, None] + size[right][None, :] - o)
+        if alone:
+            linked[np.arange(len(own)), own] = False  # no class is linked with itself
+        degree[own] += linked.sum(axis=1)
+        if not alone:
+            degree[right] += linked.sum(axis=0)
+    return degree
+
+
+def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_classes: int = 2048, block_grams: int = 2_000_000) -> DataFrame:
     """class_id, n_class_links: the number of classes each class is linked with, over all pairs.
 
     Pairs of which one class is in no long list have all been tried, and are counted from the
@@ -412,14 +519,15 @@ def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: D
     groups = dealt.select("component", "class_id", "n", "grams", F.explode(met).alias("m")).select("component", "m.*", "class_id", "n", "grams")
 
     def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side")
         grams = table.column("grams").combine_chunks()
-        flat, ends = grams.flatten().to_numpy(), np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
-        ids, n, side = (table.column(c).to_pylist() for c in ("class_id", "n", "side"))
+        ends = np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
         low, high, step = (table.column(c)[0].as_py() for c in ("low", "high", "step"))
-        got, degree = _block_degrees([(ids[k], n[k], flat[ends[k] : ends[k + 1]], side[k]) for k in range(len(ids))], step == 0 and low == high, percent)
-        return pa.table([pa.array(got, pa.int64()), pa.array(degree, pa.int64())], names=["class_id", "n_class_links"])
+        mine = int((table.column("side").to_numpy() == 0).sum())
+        degree = _block_degrees(table.column("n").to_numpy(), grams.flatten().to_numpy(), ends, mine, step == 0 and low == high, percent)
+        return pa.table([table.column("class_id"), pa.array(degree, pa.int64())], names=["class_id", "n_class_links"])
 
-    counted = groups.groupBy(*keys).applyInArrow(count, "class_id long, n_class_links long")
+    counted = groups.groupBy(*keys).applyInArrow(count, "class_id binary, n_class_links long")
     seen = lambda key: long_.select(F.col("class_id").alias(key), F.lit(1).alias(f"long_{key}"))
     other = links.join(seen("a"), "a", "left").join(seen("b"), "b", "left").filter("long_a is null or long_b is null")
     told = other.select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("long").alias("n_class_links"))
@@ -431,23 +539,28 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, **o
     return _components(docs, n, percent, True, **options)
 
 
-def _components(docs: DataFrame, n: int = 5, percent: int = 75, count_links: bool = True, **options) -> DataFrame:
-    """ngram_jaccard_components(); without count_links, n_class_links is null for classes with links, and no links are counted."""
-    members, sets = reduced_sets(docs, n, percent)
+def _components(docs: DataFrame, n: int = 5, percent: int = 75, count_links: bool = True, fragments: int | None = None, hot_classes: int = HOT_CLASSES, hot_copies: int = 500, **options) -> DataFrame:
+    """ngram_jaccard_components(); without count_links, n_class_links is 0, and no links are counted."""
+    members, sets = reduced_sets(docs, n, percent, fragments, hot_classes)
     links, long_ = similar_links(sets, percent, **options)
     labels = connected_components(links)
     none = labels.select(F.col("id").alias("class_id"), F.lit(None).cast("long").alias("n_class_links"))
     degree = materialize(class_degrees(links, materialize(long_, "long-listed"), labels, sets, percent), "degrees") if count_links else none
     full = members.filter("size > 0")
-    classes = full.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.min("check_id").alias("lo"), F.max("check_id").alias("hi"))
-    classes = materialize(classes.withColumn("ok", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("two sets share a class id"))).otherwise(F.lit(True))).select("class_id", "first_doc", "ok"), "classes")
+    classes = materialize(full.groupBy("class_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")), "classes")
     # only classes in links need a component of more than themselves
     linked = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id").join(degree, "class_id", "left")
     named = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     linked = linked.join(named, "component").select("class_id", "component_id", "n_class_links")
-    every = classes.join(linked, "class_id", "left").select("class_id", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
-    told = full.join(every, "class_id").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "class_id", "n_class_links")
-    empty = members.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_class_links"))
+    every = classes.join(linked, "class_id", "left").select("class_id", "copies", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
+    every = materialize(every, "named-classes")
+    # classes of very many copies, 100,000 of them at most, are sent to the copies; the copies of all others meet their class
+    many = F.col("copies") > max(hot_copies, (classes.agg(F.sum("copies").alias("n")).first()["n"] or 0) // 100_000)
+    hot, cold = (every.filter(x).drop("copies") for x in (many, ~many))
+    sent = full.join(F.broadcast(hot), "class_id", "left")
+    rest = sent.filter("n_class_links is null").select("doc_id", "size", "class_id").join(cold, "class_id")
+    told = sent.filter("n_class_links is not null").unionByName(rest).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "class_id", "n_class_links")
+    empty = members.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("class_id"), F.lit(0).cast("long").alias("n_class_links"))
     return told.unionByName(empty)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, rows_of
+from tessera.llm.common import materialize, rows_of, tidy
 from tessera.llm.tokens import encoder
 
 
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capaci
             if rows:
                 yield _pieces(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut, keeps=True), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 KINDS = ("assign", "access", "hex", "secret", "id", "endpoint")
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
@@ -129,7 +131,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True, mo
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in kept], pa.array(found, kind)], names=[*kept, "secret_spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*names).mapInArrow(run, f"{schema}, secret_spans {SPANS}")
+    return docs.select(*names).mapInArrow(tidy(run), f"{schema}, secret_spans {SPANS}")
 
 
 def masked(text: str | None, spans: list[Span]) -> str | None:
@@ -159,7 +161,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
             new = [masked(t, sp) if (sp := scan(t, m)) else t for t, m in zip(batch.column(at).to_pylist(), repeat(most_lines))]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     if length in names:
         # a length that was null stays null
         out = out.withColumn(length, F.when(F.col(length).isNotNull(), F.length(text)).cast(docs.schema[length].dataType))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, parts_for, rows_of, shared_dir
+from tessera.llm.common import materialize, parts_for, rows_of, shared_dir, tidy
 from tessera.llm.tokens import encoder
 
 MAGIC = b"TSF1"
@@ -177,7 +177,7 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int |
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     # the text sink writes a row's bytes as they are, and a line feed after them
-    ranged.mapInArrow(write, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    ranged.mapInArrow(tidy(write, keeps=True), "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
 def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200_000) -> DataFrame:
@@ -221,7 +221,7 @@ def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200
     base = materialize(base.select("shard", "frame", (F.col("shard_base") + F.col("frame_base")).alias("base")), "frames")
     if base.count() <= broadcast_frames:
         base = F.broadcast(base)
-    rows = files.mapInArrow(documents_of, "shard long, frame long, doc_id long, local long, n_tokens long, ids binary")
+    rows = files.mapInArrow(tidy(documents_of), "shard long, frame long, doc_id long, local long, n_tokens long, ids binary")
     return rows.join(base, ["shard", "frame"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 

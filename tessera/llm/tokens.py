@@ -20,6 +20,8 @@ from array import array
 
 import numpy as np
 
+from tessera.llm.common import Memory, kept
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = re.compile(rf"( ?[{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -36,15 +38,13 @@ def _byte_chars() -> dict[int, int]:
 
 
 class WordwiseEncoder:
-    """Encodes texts to ids; at most ``most`` pieces are kept, which bounds the worker's memory, never the result."""
+    """Encodes texts to ids; pieces are kept up to ``most_bytes``, which bounds the worker's memory, never the result."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.cache: dict[str, bytes] = {}
-        self.endings: dict[str, bytes] = {}
+        self.cache, self.endings = Memory(most_bytes), Memory(2 << 20)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = self._kind(spec)
@@ -80,20 +80,15 @@ class WordwiseEncoder:
             if ids is None:
                 ids = self._model_ids(word.strip().lower() if self.kind == "bare" else word)
             if end:
-                self._keep(word, ids)
+                self.cache.keep(word, ids)
                 tail = self.endings.get(end)
                 if tail is None:
                     tail = self._model_ids(end)
-                    if len(self.endings) < 10_000:
-                        self.endings[end] = tail
+                    self.endings.keep(end, tail)
                 ids += tail
-        self._keep(piece, ids)
+        self.cache.keep(piece, ids)
         return ids
 
-    def _keep(self, piece: str, ids: bytes) -> None:
-        if len(self.cache) < self.most:
-            self.cache[piece] = ids
-
     def pieces(self, text: str) -> list[str]:
         """Cuts of the text at which no token can cross."""
         if self.kind == "bare":
@@ -114,11 +109,6 @@ class WordwiseEncoder:
         return b"".join([known(piece) or new(piece) for piece in self.pieces(text)])
 
 
-_ENCODERS: dict[str, WordwiseEncoder] = {}
-
-
 def encoder(path: str) -> WordwiseEncoder:
     """The worker's encoder for a tokenizer file, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordwiseEncoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: WordwiseEncoder(path))

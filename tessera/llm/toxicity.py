@@ -22,6 +22,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, rows_of
+from tessera.llm.common import Memory, kept, materialize, rows_of, tidy
 from tessera.llm.samples import training_labels
 
 STEMS = (4, 5, 6, 7)
@@ -129,9 +130,9 @@ class ToxicityModel:
 class Scorer:
     """Finds hits with a bounded memory of words it has met."""
 
-    def __init__(self, model: ToxicityModel, most: int = 400_000):
-        self.model, self.trie, self.most = model, Trie.of(model.terms), most
-        self.known: dict[str, tuple[str, str] | None] = {}
+    def __init__(self, model: ToxicityModel, most_bytes: int = 32 << 20):
+        self.model, self.trie = model, Trie.of(model.terms)
+        self.known = Memory(most_bytes)
 
     def look_up(self, raw: str) -> tuple[str, str] | None:
         """(kind, term) of a word as it stands in the text."""
@@ -142,8 +143,7 @@ class Scorer:
                 hit = ("stem" if term.endswith("*") else "exact", term)
             elif len(word) >= self.trie.fuzzy_from - 1 and self.trie.may_be_near(word) and (term := self.trie.fuzzy(word)) is not None:
                 hit = ("fuzzy", term)
-        if len(self.known) < self.most:
-            self.known[raw] = hit
+        self.known.keep(raw, hit)
         return hit
 
     def hits(self, text: str | None) -> tuple[list[tuple[int, str, str]], list[str]]:
@@ -193,7 +193,7 @@ def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3,
         for batch in batches:
             for text, y in rows_of(batch):
                 tally[1 if y else 0].update(_units(text))
-                if len(tally[0]) > 1_000_000:
+                if len(tally[0]) + len(tally[1]) > 200_000:
                     yield _tally(tally)
                     tally = (Counter(), Counter())
         yield _tally(tally)
@@ -202,7 +202,7 @@ def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3,
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic:
         return []
-    counts = rows.select("text", "y").mapInArrow(count, "unit string, in_toxic long, in_clean long").groupBy("unit").agg(F.sum("in_toxic").alias("t"), F.sum("in_clean").alias("c"))
+    counts = rows.select("text", "y").mapInArrow(tidy(count), "unit string, in_toxic long, in_clean long").groupBy("unit").agg(F.sum("in_toxic").alias("t"), F.sum("in_clean").alias("c"))
     p_t, p_c = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
     weight = F.log(p_t / p_c) * F.sqrt("t")
     # in one toxic document of fifty or more, and at least ten times as often as in clean ones
@@ -251,7 +251,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, in_fold: Column, target: st
             x = [scorer.scores(*scorer.hits(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": batch.column(1)})
 
-    got = rows.mapInArrow(measure, "x array<double>, y int").collect()
+    got = rows.mapInArrow(tidy(measure), "x array<double>, y int").collect()
     y = np.asarray([r["y"] for r in got], dtype=np.float64)
     model.base = float(y.mean()) if len(y) else 0.0
     if len(y) and 0 < y.mean() < 1:
@@ -265,12 +265,12 @@ def score_with(docs: DataFrame, model: ToxicityModel, text: str = "text", keep:
     """The kept columns (but for any called like the new ones), toxicity_score, and toxicity_hits (word number, kind, term) of every whole text."""
     names = docs.columns
     keep = [c for c in (names if keep is None else keep) if c not in ("toxicity_score", "toxicity_hits")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     hit = pa.list_(pa.struct([("word", pa.int32()), ("kind", pa.string()), ("term", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scorer = Scorer(m)
+        scorer = kept(("toxicity", name), lambda: Scorer(m))
         for batch in batches:
             measured, found = [], []
             for (t,) in rows_of(batch.select([text])):
@@ -285,7 +285,7 @@ def score_with(docs: DataFrame, model: ToxicityModel, text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in keep], pa.array(s), pa.array(found, hit)], names=[*keep, "toxicity_score", "toxicity_hits"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["toxicity_score double", "toxicity_hits array<struct<word:int,kind:string,term:string>>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, keeps=True), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **options) -> DataFrame:

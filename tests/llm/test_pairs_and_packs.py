@@ -4,12 +4,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, awkward_documents, empty, prose
+from tests.llm.helpers import SCHEMA, awkward, awkward_documents, empty, prose
 from tessera.llm import ngram_join, packing, token_store
 from tessera.llm.common import shared_dir
 from tessera.llm.queries import tokenizer_path
@@ -63,7 +64,7 @@ def brute_degrees(rows, percent=75):
 @pytest.mark.parametrize("cut", [3, 24])
 @pytest.mark.parametrize("block", [3, 256])
 def test_links_equal_all_pairs(spark, monkeypatch, cut, block):
-    monkeypatch.setattr(ngram_join.class_degrees, "__defaults__", (block, 400_000))
+    monkeypatch.setattr(ngram_join.class_degrees, "__defaults__", (block, 2_000_000))
     rng = random.Random(6)
     rows = [(r[0], r[1]) for r in awkward_documents()]
     base = prose(rng, 150).split()
@@ -91,15 +92,71 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(ids) == sorted(want)
 
 
-def test_chain_of_links_is_one_component(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
-    got = {r["id"]: r["component"] for r in ngram_join.connected_components(links).collect()}
-    assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100}
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    shuffled, n = rng.sample(range(10_000, 13_000), 3000), 3000
+    valley = [20_000 + (n - k if k < n // 2 else k) for k in range(n)]  # falls, then rises
+    combs = [30_000 + (k // 2 if k % 2 == 0 else n + k) for k in range(n)]  # every second vertex is a local minimum
+    paths = [list(range(1, 41)), [100, 101], shuffled, valley, combs]
+    links = spark.createDataFrame([e for p in paths for e in zip(p, p[1:], strict=False)], "a long, b long")
+    written = []
+    plain = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: written.append(name) or plain(df, name))
+    got = {r["id"]: r["component"] for r in ngram_join.connected_components(links.coalesce(4)).collect()}
+    assert got == {x: min(p) for p in paths for x in p}
+    assert written.count("links") - 1 <= 20
+
+
+def test_hot_ngrams_and_copies_change_no_result(spark):
+    rows = [(d, t, *rest) for d, t, *rest in awkward_documents()]
+    shared = " ".join(f"chorus{k}" for k in range(9))
+    rows = [(d, f"{t} {shared}" if t and d is not None and d % 3 == 0 else t, *rest) for d, t, *rest in rows]
+    rows += [(5000 + k, rows[60][1], None, None, None, None, None) for k in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    hot = ngram_join.hot_grams(docs, 5, 20)
+    assert len(hot)
+    plain = ngram_join.ngram_jaccard_components(docs).drop("class_id")
+    steered = ngram_join.ngram_jaccard_components(docs, hot_classes=20, hot_copies=5, fragments=64).drop("class_id")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert key(plain) == key(steered)
+    assert [r[:3] for r in key(plain.select("doc_id", "n_shingles", "component_id"))] == brute_components([(r[0], r[1]) for r in rows])
+
+
+def test_a_fragment_is_counted_in_parts():
+    rng = np.random.default_rng(2)
+    docs = [(bytes([k]) * 16, np.unique(rng.integers(0, 1 << 56, 40, dtype=np.uint64) >> np.uint64(40) << np.uint64(40))) for k in range(30)]
+    cols = {"fragment": [0] * 30, "kind": [0] * 30, "class": [c for c, _ in docs], "n": [ngram_join._planes(np.array([len(g)]), "<u4") for _, g in docs]}
+    cols |= {"len": cols["n"], "gram": [ngram_join._gram_bytes(g) for _, g in docs]}
+    seen = []
+    for part_grams in (10_000, 50):
+        got = collections.Counter()
+        for _, _, cls, _, cnt, gram, df in ngram_join._shared_grams(pa.table(cols), 0, 4, np.zeros(0, np.uint64), part_grams):
+            owner = np.repeat(np.frombuffer(cls, "S16"), ngram_join._of_planes(cnt, "<u4"))
+            got.update(zip(owner.tolist(), ngram_join._grams_of(gram).tolist(), ngram_join._of_planes(df, "<u2").tolist(), strict=True))
+        seen.append(got)
+    times = collections.Counter(int(x) for _, g in docs for x in g)
+    assert seen[0] == seen[1] == collections.Counter((c, int(x), times[int(x)]) for c, g in docs for x in g if times[int(x)] > 1)
+
+
+@given(st.integers(0, 1 << 30))
+@settings(max_examples=60, deadline=None)
+def test_block_degrees_equal_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    m, percent = int(rng.integers(1, 25)), int(rng.choice([30, 75]))
+    sets = [rng.choice(50, size=rng.integers(1, 40), replace=False) for _ in range(m)]
+    size, ends = np.array([len(s) + rng.integers(0, 3) for s in sets]), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    alone = bool(rng.integers(2))
+    mine = m if alone else int(rng.integers(0, m + 1))
+    meets = lambda i, j: i != j and (alone or (i < mine) != (j < mine))
+    linked = lambda o, i, j: 100 * o >= percent * (size[i] + size[j] - o)
+    want = [sum(meets(i, j) and linked(len(np.intersect1d(sets[i], sets[j])), i, j) for j in range(m)) for i in range(m)]
+    got = ngram_join._block_degrees(size, np.concatenate(sets), ends, mine, alone, percent, tile=7, width=5, dense=int(rng.integers(2, 20)))
+    assert got.tolist() == want
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_wordwise_ids_are_the_librarys(name):
-    enc = WordwiseEncoder(tokenizer_path(name), most=50)
+    enc = WordwiseEncoder(tokenizer_path(name), most_bytes=5000)
     odd = ["a  b\n c\t\td", "x’s it's 'S ’ll I'LL", "  lead", "trail  ", "é áb", "A\x1cB \x1c C", "\x85 x\x85 y", "日本 語, ok", "<|endoftext|> a<|endoftext|>b", "\r\n\r\n a", "½²³ ªº µ", " ", "\n", "İI ıK ſ", "a\nb", "x###\ny,&&& z", "a\x00b \x00"]
     for t in odd + [r[1] or "" for r in awkward_documents()]:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:50])

@@ -313,3 +313,28 @@ def test_markers_are_recovered(spark):
     got = chat.parse_transcripts(chat.as_transcript(conv)).orderBy("seq").collect()
     assert [(r.role, r.content) for r in got][:3] == [("system", "Be brief."), ("user", "What is it?\nTell me."), ("assistant", "A thing.\n- one")]
     assert got[0].rendered == "<|system|>\nBe brief.<|end|>\n"
+
+
+def test_words_of_a_million_letters():
+    old = re.compile(rb"(?<![^ \t-\r])[A-Z\x80-\xff]*[A-Z][A-Z\x80-\xff]*[A-Z][A-Z\x80-\xff]*[^a-z \t-\r]*(?![^ \t-\r])")
+    rng = random.Random(1)
+    at = features.COUNTS.index("n_upper_words")
+    for _ in range(3000):
+        t = "".join(rng.choice("ABÃéa1-, \n") for _ in range(rng.randrange(20)))
+        assert features.document_counts(t)[at] == len(old.findall(t.encode()))
+    long_ = "A" * 1_000_000
+    assert features.document_counts(long_ + "a")[at] == 0
+    assert features.document_counts(long_)[at] == features.document_counts(long_ + "1 x")[at] == 1
+    assert secrets.scan(long_ + "a") == []
+
+
+def test_items_without_an_id_and_interleaved_matches(spark):
+    rng = random.Random(9)
+    passages = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(12)) for _ in range(60)]
+    items = [(None, passages[0]), (1, passages[0]), *[(k, p) for k, p in enumerate(passages[1:], 2)]]
+    texts = [(1, passages[0]), (2, " ".join(passages)), (3, passages[0] + " x " + passages[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got[1]["items"] == ["1"] and got[1]["n_hit"] == 12
+    assert sorted(got[2]["items"], key=int) == [str(k) for k in range(1, 61)] and got[2]["n_hit"] == 720
+    assert len(got[2]["matches"]) == 60 and len(got[3]["matches"]) == 2
