@@ -491,7 +491,7 @@ def _block_degrees(size: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: i
     return degree
 
 
-def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_classes: int = 2048, block_grams: int = 2_000_000) -> DataFrame:
+def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_classes: int = 512, block_grams: int = 2_000_000) -> DataFrame:
     """class_id, n_class_links: the number of classes each class is linked with, over all pairs.
 
     Pairs of which one class is in no long list have all been tried, and are counted from the
