@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words read as true and as false.
-TRUE_WORDS = ("true", "yes", "y", "1", "是", "有", "对")
-FALSE_WORDS = ("false", "no", "n", "0", "否", "无", "没有", "不", "不是", "not")
-# How hard a cut is, soft words first.
-SOFT_WORDS = ("dissolve", "fade", "crossfade", "叠化", "淡入", "淡出", "渐变", "溶解")
+TRUE_WORDS = ("true", "1", "是", "有", "yes", "y")
+FALSE_WORDS = ("false", "0", "否", "无", "没有", "not", "no", "n")
+# Transitions between pictures that belong together, and cuts.
+SOFT_WORDS = ("叠化", "溶解", "运镜衔接", "匹配剪辑", "转场衔接", "无缝", "遮罩转场", "划像", "闪白", "闪黑", "同镜")
+HARD_WORDS = ("硬切", "切换", "直切", "跳切", "无")
 
 
 def first_filled(*names: Column) -> Column:
@@ -80,9 +81,10 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w)), F.lit(False))
 
 
-def soft_transition(text: Column) -> Column:
-    """Soft words are looked for first; an empty text is a hard cut."""
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", False).otherwise(contains_any(text, SOFT_WORDS))
+def hard_cut(text: Column) -> Column:
+    """Whether a shot begins with a cut: a blank text or a word for a cut says so, unless a soft word stands there too; other texts don't."""
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return ~contains_any(text, SOFT_WORDS) & (contains_any(text, HARD_WORDS) | blank)
 
 
 def strip_marks(text: Column) -> Column:
@@ -90,6 +92,17 @@ def strip_marks(text: Column) -> Column:
     return squeeze(F.regexp_replace(text, r"\([^)]*\)|（[^）]*）|【[^】]*】|\[[^\]]*\]", " "))
 
 
+def sound_effects(text: Column) -> Column:
+    """The clauses in round brackets only, joined by a space: what is heard but not spoken."""
+    inside = F.transform(F.regexp_extract_all(text, F.lit(r"[(（]([^)）]*)[)）]"), 1), F.trim)
+    return F.array_join(F.filter(inside, lambda x: x != ""), " ")
+
+
+def strip_music(text: Column) -> Column:
+    """Without angle-bracketed marks that speak of music; other tags are kept."""
+    return squeeze(F.regexp_replace(text, r"(?i)<[^<>]*(?:music|bgm|音乐|配乐)[^<>]*>", " "))
+
+
 def strip_role(text: Column) -> Column:
     """Without a short speaker name and colon at the start."""
     return F.regexp_replace(text, r"^\s*[^:：\s]{1,12}[:：]\s*", "")
@@ -106,14 +119,14 @@ def slug(text: Column, most: int = 80) -> Column:
 
 
 def display_width(text: Column) -> Column:
-    """Columns a text takes: wide characters (three or more bytes of UTF-8) two, others one."""
-    wide = F.length(F.regexp_replace(text, r"[^⺀-鿿豈-﫿＀-｠]", ""))
-    return F.length(text) + wide
+    """Columns a text takes: characters from U+2E80 on two, others one."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{2E80}-\x{10FFFF}]", ""))
 
 
-def split_sentences(text: Column) -> Column:
-    """Sentences with their closing mark; blank ones are left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？；…!?;.])"), F.trim), lambda s: s != "")
+def split_sentences(text: Column, commas: bool = False) -> Column:
+    """Sentences with their closing mark; blank ones are left out. With commas, clauses."""
+    marks = "。！？；…!?;" + ("，,、" if commas else "")
+    return F.filter(F.transform(F.split(text, rf"(?<=[{marks}])"), F.trim), lambda s: s != "")
 
 
 def hex_channels(color: Column) -> tuple[Column, Column, Column]:
@@ -161,6 +174,33 @@ def position_code(vertical: Column, horizontal: Column) -> Column:
     return row + col
 
 
+def listed(items: Column) -> Column:
+    """Texts of a list, white space squeezed, each once in the order they are first seen; nulls and blanks go."""
+    return F.array_distinct(F.filter(F.transform(items, lambda x: squeeze(x.cast("string"))), lambda x: x != ""))
+
+
+def brief(parts: dict[str, Column], between: str = "；") -> Column:
+    """"label: value" of the parts that are filled."""
+    told = [F.when(F.trim(c.cast("string")) != "", F.concat(F.lit(f"{k}: "), F.trim(c.cast("string")))) for k, c in parts.items()]
+    return F.concat_ws(between, *told)
+
+
+def contained_in(path: Column, root: Column) -> Column:
+    """Whether a path lies below a root, without any step up."""
+    base = F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"))
+    return F.coalesce(F.startswith(path, base) & ~path.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
+
+
+def near_black(color: Column, most: int = 40) -> Column:
+    return F.greatest(*hex_channels(color)) <= most
+
+
+def squeeze_time(at: Column, old_start: Column, old_end: Column, start: Column, end: Column) -> Column:
+    """A time inside [old_start, old_end] moved in proportion into [start, end]."""
+    span = old_end - old_start
+    return F.when(span > 0, start + (at - old_start) * (end - start) / span).otherwise(start)
+
+
 def normal_box(box: Column) -> Column:
     """[x0, y0, x1, y1] within 0..1, corners in order, four digits; null if flat or not four numbers."""
     top = F.array_max(F.transform(box, lambda v: F.abs(v)))

@@ -73,3 +73,30 @@ def never_present(df: DataFrame, keys: list[str], lack: str, order: str) -> Data
     items = df.select(*keys, order, F.posexplode(F.array_distinct(lack)).alias("_p", "_item"))
     common = items.groupBy(*keys, "_item").agg(F.count("*").alias("_n"), F.min(F.struct(order, "_p")).alias("_o")).join(steps, keys).filter("_n = _steps")
     return common.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_item"))), lambda s: s["_item"]).alias("never"))
+
+
+def summarize_runs(df: DataFrame, keys: list[str], run: str, start: str, end: str, step: Column | float, modes: dict[str, str], medians: dict[str, str], unions: dict[str, str], order: str) -> DataFrame:
+    """collapse_runs() with, per run, first-seen modes, medians and ordered unions of columns (result: column).
+
+    Modes and unions are counted by value first, so a run of any length is a few rows by the time it comes together.
+    """
+    g = [*keys, run]
+    out = df.groupBy(*g).agg(F.min(start).alias("start"), (F.max(end) + step).alias("end"), F.count("*").alias("frames"), *[F.expr(f"percentile(`{c}`, 0.5)").alias(n) for n, c in medians.items()])
+    for name, column in modes.items():
+        out = out.join(mode_first_seen(df, g, column, order, name), g, "left")
+    for name, column in unions.items():
+        out = out.join(union_distinct(df, g, column, order, name), g, "left")
+    return out
+
+
+def segment_lists(df: DataFrame, keys: list[str], ids: str, item: Column, order: list[str]) -> DataFrame:
+    """keys, ids (distinct, sorted), items (in order): what a segment holds."""
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], item.alias("item"))))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(ids)).alias("ids"), F.transform(rows, lambda r: r["item"]).alias("items"))
+
+
+def assemble(df: DataFrame, keys: list[str], position: str, text: str, between: str = "\n") -> DataFrame:
+    """keys, body, parts, complete: a segment's parts put together in order; complete if no position between the first and the last is missing."""
+    rows = F.array_sort(F.collect_list(F.struct(position, text)))
+    n = F.countDistinct(position)
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[text]), between).alias("body"), F.count("*").alias("parts"), (n == F.max(position) - F.min(position) + 1).alias("complete"))

@@ -70,3 +70,10 @@ def merge_urls(df: DataFrame, keys: list[str], url: str, order: str, most: int =
     w = Window.partitionBy(*keys).orderBy("_o", url)
     top = first.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", url))), lambda s: s[url]).alias("urls"))
+
+
+def url_labels(df: DataFrame, labels: DataFrame, url: str, label: str, order: str) -> DataFrame:
+    """df with the label of its URL, compared without query strings; of several labels the first by order."""
+    key = F.substring_index(url, "?", 1)
+    index = labels.groupBy(key.alias("_u")).agg(F.min_by(label, order).alias(label))
+    return df.withColumn("_u", key).join(index, "_u", "left").drop("_u")

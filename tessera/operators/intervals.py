@@ -143,3 +143,15 @@ def proportional_timeline(df: DataFrame, keys: list[str], order: list[str], shar
     scale = F.col(total) / whole
     run = F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("start", (run - F.col(share)) * scale).withColumn("end", run * scale)
+
+
+def mostly_inside(start: Column, end: Column, lo: Column, hi: Column, share: float = 0.5) -> Column:
+    """Whether at least so much of [start, end] lies in [lo, hi]; an empty interval on either side counts as inside."""
+    inter = F.greatest(F.lit(0), F.least(end, hi) - F.greatest(start, lo))
+    return F.when((end <= start) | (hi <= lo), True).otherwise(inter >= share * (end - start))
+
+
+def roll_overs(df: DataFrame, keys: list[str], order: list[str], start: str) -> DataFrame:
+    """Rows that begin before an earlier row of their group, in the order in which windows were given out."""
+    before = F.max(start).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_b", before).filter(F.col(start) < F.col("_b")).drop("_b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.functions.scalars import folded
+
 
 def latest_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the last one: what a dictionary built in order would hold."""
@@ -28,45 +30,67 @@ def ranked_candidates(df: DataFrame, keys: list[str], score: Column, pos: str) -
     return x.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), pos)) - 1)
 
 
-def word_ngrams(text: Column, n: int) -> Column:
-    """array<struct<pos, gram>> of lower-cased words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    # shifted copies side by side: the words are not split anew for each position
-    have = F.greatest(F.size(words) - n + 1, F.lit(0))
-    side = F.arrays_zip(*[F.slice(words, k + 1, have) for k in range(n)])
-    return F.transform(side, lambda x, i: F.struct(i.alias("pos"), F.concat_ws(" ", *[x[str(k)] for k in range(n)]).alias("gram")))
+def candidates_of(items: DataFrame, known: DataFrame, key: str, choices: str, choice: str) -> DataFrame:
+    """One row per item and known choice: score within 0..1, and rank by (score desc, place in the list), from 0.
+
+    choices is an array of structs with the choice's name and a score; choices that known doesn't hold go.
+    """
+    x = items.select(key, F.posexplode(choices).alias("_pos", "_c")).select(key, "_pos", F.col("_c")[choice].alias(choice), F.col("_c.score").alias("_score"))
+    return ranked_candidates(x.join(known.select(choice).distinct(), choice), [key], F.col("_score"), "_pos").select(key, choice, "score", "rank")
+
+
+def char_grams(df: DataFrame, keys: list[str], text: Column, at: Column, n: int) -> DataFrame:
+    """keys, i, gram, t: the character n-grams of a text, with the time of their first character (at: array<double>, one per character)."""
+    have = F.length(text) - n + 1
+    grams = F.transform(F.sequence(F.lit(0), have - 1), lambda i: F.struct(i.alias("i"), F.substring(text, i + 1, F.lit(n)).alias("gram"), F.element_at(at, i + 1).alias("t")))
+    return df.filter(have > 0).select(*keys, F.explode(grams).alias("g")).select(*keys, "g.i", "g.gram", "g.t")
+
+
+def ngram_votes(queries: DataFrame, stream: DataFrame, query: list[str], source: list[str], pace: float = 0.12) -> DataFrame:
+    """query, source, at, votes, rank: the n-grams that a query (query, source, i, gram) shares with the stream it is looked for in (source, gram, t) vote for its beginning, t - pace * i in tenths of a second.
+
+    Rank 1 has most votes; of equals the earliest.
+    """
+    keys = [*dict.fromkeys([*query, *source])]
+    hits = queries.select(*keys, "i", "gram").join(stream.select(*source, "gram", "t"), [*source, "gram"])
+    at = F.round(F.col("t") - pace * F.col("i"), 1)
+    votes = hits.groupBy(*keys, at.alias("at")).agg(F.count("*").alias("votes"))
+    return votes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("votes"), "at")))
 
 
-def ngram_votes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n: int = 5, stop: int = 12, cell: int = 8, least: int = 2) -> DataFrame:
-    """left_id, right_id, shift, votes: shared n-grams vote for the offset between two texts.
+def anchor_cells(ref: DataFrame, src: DataFrame, ref_id: list[str], src_id: list[str], stop: int = 12, least: int = 2) -> DataFrame:
+    """ref_id, src_id, ref_at, src_at, votes: half-second cells in which at least ``least`` n-grams of a reference (ref_id, src_id, gram, t) meet its source (src_id, gram, t).
 
-    N-grams that stand in more than stop places on the right are dropped before the join,
-    so no key fans out.
+    An n-gram that a source has more than stop times says nothing about it, and goes before the join.
     """
-    l = left.select(left_id, F.explode(word_ngrams(F.col("text"), n)).alias("g")).select(left_id, "g.pos", "g.gram")
-    r = right.select(right_id, F.explode(word_ngrams(F.col("text"), n)).alias("g")).select(right_id, F.col("g.pos").alias("rpos"), "g.gram")
-    rare = r.groupBy("gram").agg(F.count("*").alias("_k")).filter(F.col("_k") <= stop).select("gram")
-    hits = l.join(r.join(rare, "gram"), "gram")
-    shift = F.floor((F.col("rpos") - F.col("pos")) / cell).cast("long")
-    return hits.groupBy(left_id, right_id, shift.alias("shift")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
+    keys = [*dict.fromkeys([*ref_id, *src_id])]
+    rare = src.groupBy(*src_id, "gram").agg(F.count("*").alias("_k"), F.collect_list(F.when(F.col("t").isNotNull(), F.col("t"))).alias("_t")).filter(F.col("_k") <= stop)
+    hits = ref.select(*keys, "gram", F.col("t").alias("_r")).join(rare, [*src_id, "gram"]).select(*keys, "_r", F.explode("_t").alias("_s"))
+    cell = lambda c: F.bround(c * 2) / 2
+    return hits.groupBy(*keys, cell(F.col("_r")).alias("ref_at"), cell(F.col("_s")).alias("src_at")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= least)
 
 
 def monotone_chain(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The longest chain that is non-decreasing in the second place, of pairs in the order of the first; patience sorting with links."""
+    """The longest chain that is non-decreasing in the second place, of pairs in order; of equally long ones, each link goes to the earliest pair it can.
+
+    By levels: pairs that end chains of one length stand in falling order of their second place, so both the level and
+    the earliest pair in it are found by binary search.
+    """
     pairs = sorted(pairs)
-    tails: list[float] = []
-    at: list[int] = []
+    levels: list[list[int]] = []
+    lowest: list[float] = []
     link = [-1] * len(pairs)
     for i, (_, y) in enumerate(pairs):
-        k = bisect_right(tails, y)
+        k = bisect_right(lowest, y)
         if k:
-            link[i] = at[k - 1]
-        if k == len(tails):
-            tails.append(y)
-            at.append(i)
-        else:
-            tails[k], at[k] = y, i
-    out, i = [], at[-1] if at else -1
+            below = levels[k - 1]
+            link[i] = below[bisect_left(below, -y, key=lambda j: -pairs[j][1])]
+        if k == len(levels):
+            levels.append([])
+            lowest.append(y)
+        levels[k].append(i)
+        lowest[k] = y
+    out, i = [], levels[-1][0] if levels else -1
     while i >= 0:
         out.append(pairs[i])
         i = link[i]
@@ -87,44 +111,93 @@ def anchor_chain(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame
     return pairs.select(*keys, x, y).groupBy(*keys).applyInPandas(chain, schema)
 
 
-def hamming_align(queries: DataFrame, index: DataFrame, query: str, source: str, most: float = 12.0) -> DataFrame:
-    """query, source, base, mean_dist, hit: the best place of a tap pattern (query, tap, offset, bits) in a series (source, pos, bits).
+def anchor_map(ref: DataFrame, src: DataFrame, ref_id: list[str], src_id: list[str], **options) -> DataFrame:
+    """ref_id, src_id, ref_at, src_at: which moments of a reference are which of its source, from the n-grams of both."""
+    keys = [*dict.fromkeys([*ref_id, *src_id])]
+    return anchor_chain(anchor_cells(ref, src, ref_id, src_id, **options), keys, "ref_at", "src_at")
+
 
-    A band join: each tap meets each position once, and votes for base = pos - offset. The
-    sum over the taps of a base is the distance there; bases that miss a tap don't count.
+def anchor_window(shots: DataFrame, chain: DataFrame, keys: list[str], start: str = "start", end: str = "end", pad: float = 6.0, drift: float = 0.25) -> DataFrame:
+    """shots with lo and hi, where in the source a shot should begin: between the last anchor up to its end and the first from its start on.
+
+    Each side is widened by pad, and by drift for each second its anchor is away. Null without anchors. A chain is a few
+    hundred anchors at most, kept as one array per pair of sources.
+    """
+    arrays = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ref_at", "src_at"))).alias("_a"))
+    x = shots.join(arrays, keys, "left")
+    s, e = F.col(start), F.col(end)
+    b = F.try_element_at(F.filter("_a", lambda a: a["ref_at"] <= e), F.lit(-1))
+    f = F.try_element_at(F.filter("_a", lambda a: a["ref_at"] >= s), F.lit(1))
+    gap_b, gap_f = F.abs(s - b["ref_at"]), F.abs(f["ref_at"] - e)
+    lo = F.coalesce(b["src_at"] + (s - b["ref_at"]), f["src_at"])
+    hi = F.coalesce(f["src_at"] + (e - f["ref_at"]), b["src_at"])
+    gap_lo, gap_hi = F.coalesce(gap_b, gap_f), F.coalesce(gap_f, gap_b)
+    swap = lo > hi
+    low, low_gap = F.when(swap, hi).otherwise(lo), F.when(swap, gap_hi).otherwise(gap_lo)
+    high, high_gap = F.when(swap, lo).otherwise(hi), F.when(swap, gap_lo).otherwise(gap_hi)
+    return x.withColumn("lo", F.greatest(F.lit(0.0), low - pad - drift * low_gap)).withColumn("hi", high + pad + drift * high_gap).withColumn("lo", F.when(F.col("hi").isNotNull(), F.col("lo"))).drop("_a")
+
+
+def tap_count(duration: Column, per_second: float = 4.0, least: int = 3, most: int = 12) -> Column:
+    """How many frames of a shot are compared."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.bround(duration * per_second).cast("int")))
+
+
+def hamming_align(queries: DataFrame, index: DataFrame, pairs: DataFrame, query: str, source: str, most: float = 12.0) -> DataFrame:
+    """query, source, base, mean_dist, hit: the best place of a tap pattern (query, tap, offset, bits) in the series (source, pos, bits) it is paired with.
+
+    pairs (query, source) names where each query is looked for, such as the sources that hold its anchors; nothing
+    else is compared. A tap meets each position of such a series once, and votes for base = pos - offset. The sum over the taps of a
+    base is the distance there; bases that miss a tap don't count.
     """
     taps = queries.groupBy(query).agg(F.count("*").alias("_taps"))
-    met = queries.select(query, "tap", "offset", F.col("bits").alias("_q")).join(index.select(source, "pos", F.col("bits").alias("_i")))
+    met = queries.select(query, "tap", "offset", F.col("bits").alias("_q")).join(pairs.select(query, source).distinct(), query).join(index.select(source, "pos", F.col("bits").alias("_i")), source)
     at = met.withColumn("base", F.col("pos") - F.col("offset")).groupBy(query, source, "base").agg(F.sum(F.bit_count(F.col("_q").bitwiseXOR(F.col("_i")))).alias("_d"), F.count("*").alias("_k"))
-    full = at.join(F.broadcast(taps), query).filter("_k = _taps").withColumn("mean_dist", F.col("_d") / F.col("_k"))
+    full = at.join(taps, query).filter("_k = _taps").withColumn("mean_dist", F.col("_d") / F.col("_k"))
     best = full.groupBy(query).agg(F.min(F.struct("mean_dist", source, "base")).alias("_b"))
     return best.select(query, f"_b.{source}", "_b.base", "_b.mean_dist", (F.col("_b.mean_dist") <= most).alias("hit"))
 
 
-def exclusive_assignment(cands: DataFrame, item: str, choice: str, score: str, rank: str, cut: float = 0.55, order: str | None = None, most_rounds: int = 200) -> DataFrame:
-    """item, choice, score: the pairs a greedy pass by (score desc, item, rank) takes, each item and choice once.
+def exclusive_assignment(cands: DataFrame, item: str, choice: str, score: str, rank: str, cut: float = 0.55, order: str | None = None) -> DataFrame:
+    """item, choice, score, first_choice, held_by: the pairs a greedy pass by (score desc, item, rank) takes, each item and choice once.
 
     A pair that is best for both of its sides is in the greedy result, so each round takes
-    all such pairs, removes their sides, and goes on until no pair is left. Items that had
-    candidates but got none come with a null choice.
+    all such pairs, removes their sides, and goes on until no pair is left; the best pair of all is always one of
+    them. Items that had candidates but got none come with a null choice. held_by is the item that has the first
+    choice, where it is another. Rows that repeat a pair count once, with their best score.
     """
     from tessera.plans.tables import written
 
     o = order or item
-    open_ = written(cands.filter(F.col(score) >= cut).select(item, choice, F.struct((-F.col(score)).alias("s"), F.col(o).alias("o"), F.col(rank).alias("r"), F.col(choice).alias("c")).alias("_k")))
-    every, taken = open_.select(item).distinct(), None
-    for _ in range(most_rounds):
+    key = F.struct((-F.col(score)).alias("s"), F.col(o).alias("o"), F.col(rank).alias("r"), F.col(choice).alias("c"))
+    open_ = written(cands.filter(F.col(score) >= cut).groupBy(item, choice).agg(F.min(key).alias("_k")))
+    every = cands.groupBy(item).agg(F.min(F.struct(F.col(rank).alias("r"), F.col(choice).alias("first_choice"))).alias("_f"), F.max(score).alias("_s")).filter(F.col("_s") >= cut).select(item, "_f.first_choice")
+    taken = open_.select(item, choice, F.lit(0.0).alias(score)).limit(0)
+    while not open_.isEmpty():
         best_i = open_.groupBy(item).agg(F.min("_k").alias("_k"))
         best_c = open_.groupBy(choice).agg(F.min("_k").alias("_kc"))
         won = open_.join(best_i, [item, "_k"]).join(best_c, choice).filter(F.col("_k") == F.col("_kc")).select(item, choice, (-F.col("_k.s")).alias(score))
         won = written(won)
-        taken = won if taken is None else taken.unionByName(won)
+        taken = taken.unionByName(won)
         open_ = written(open_.join(won.select(item), item, "left_anti").join(won.select(choice), choice, "left_anti"))
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"pairs are left after {most_rounds} rounds")
-    return every.join(taken, item, "left")
+    held = taken.select(F.col(item).alias("held_by"), F.col(choice).alias("first_choice"))
+    return every.join(taken, item, "left").join(held, "first_choice", "left").select(item, choice, score, "first_choice", F.when(F.col("held_by") != F.col(item), F.col("held_by")).alias("held_by"))
+
+
+def demoted(rows: DataFrame, strategy: str, choice: str, generated: str = "regenerate") -> DataFrame:
+    """rows without a choice of their own are to be generated; what they were meant for stays in was."""
+    return rows.withColumn("was", F.when(F.col(choice).isNull() & (F.col(strategy) != generated), F.col(strategy))).withColumn(strategy, F.when(F.col(choice).isNull(), F.lit(generated)).otherwise(F.col(strategy)))
+
+
+def can_cut(strategy: Column, source: Column, clip_action: Column, usable: tuple[str, ...] = ("keep_original", "separate_voice", "mute_and_dub")) -> Column:
+    """Whether a match row may be cut from footage as it is."""
+    action = F.coalesce(F.nullif(clip_action, F.lit("")), F.lit(usable[0]))
+    return F.coalesce((strategy == "direct_cut") & (source != "") & action.isin(*usable), F.lit(False))
+
+
+def cuttable(source: Column, clip_action: Column, seconds: Column, usable: tuple[str, ...] = ("keep_original", "separate_voice", "mute_and_dub")) -> Column:
+    """Whether footage is at hand, whatever the present strategy."""
+    return F.coalesce((source != "") & clip_action.isin(*usable) & (seconds > 0), F.lit(False))
 
 
 def greedy_in_groups(cands: DataFrame, group: str, item: str, choice: str, score: str, rank: str, cut: float = 0.55) -> DataFrame:
@@ -159,6 +232,29 @@ def fuzzy_cover(a: Column, b: Column) -> Column:
     return cover(a, b)
 
 
+def line_span(words: Column, line: Column) -> Column:
+    """struct<until, cover>: when the last character of a line that is heard in words (array<struct<text, until>>) has been said, and the line's share that is heard.
+
+    Letters, digits and CJK are compared. Without any word or line both are 0; with no character in common, until is the last word's.
+    """
+
+    @F.pandas_udf("struct<until:double,cover:double>")
+    def run(heard: pd.Series, ends: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        out = []
+        for texts, until, want in zip(heard, ends, wanted, strict=True):
+            chars = "".join(texts)
+            at = [e for t, e in zip(texts, until, strict=True) for _ in t]
+            if not chars or not want:
+                out.append((0.0, 0.0))
+                continue
+            blocks = [b for b in SequenceMatcher(None, want, chars).get_matching_blocks() if b.size]
+            out.append((at[blocks[-1].b + blocks[-1].size - 1] if blocks else at[-1], sum(b.size for b in blocks) / len(want)))
+        return pd.DataFrame(out, columns=["until", "cover"])
+
+    plain = lambda c: folded(F.coalesce(c, F.lit("")))
+    return run(F.transform(words, lambda w: plain(w["text"])), F.transform(words, lambda w: w["until"]), plain(line))
+
+
 def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
 
@@ -194,6 +290,35 @@ def place_in_stream(items: list[str], stream: str) -> list[tuple[int, int] | Non
     return out
 
 
+def place_lines(items: DataFrame, stream: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
+    """items with line_start, line_end and found: where their text stands in the group's character stream (char_no, ch, char_start, char_end), or their own window where it doesn't.
+
+    A group is one recording: its cursor moves from item to item.
+    """
+    names = items.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", line_start double, line_end double, found boolean"
+
+    def run(mine: pd.DataFrame, chars: pd.DataFrame) -> pd.DataFrame:
+        p, c = mine.sort_values(order, kind="stable"), chars.sort_values("char_no", kind="stable")
+        places = place_in_stream(list(p[text].fillna("")), "".join(c["ch"]))
+        first, last = c["char_start"].to_numpy(), c["char_end"].to_numpy()
+        p = p.assign(line_start=[first[x[0]] if x else s for x, s in zip(places, p["start"], strict=True)], line_end=[last[x[1] - 1] if x else e for x, e in zip(places, p["end"], strict=True)], found=[x is not None for x in places])
+        return p[[*names, "line_start", "line_end", "found"]]
+
+    return items.groupBy(*keys).cogroup(stream.select(*keys, "char_no", "ch", "char_start", "char_end").groupBy(*keys)).applyInPandas(run, schema)
+
+
+def planned_by_keyword(assets: DataFrame, shots: DataFrame, asset: str, words: str, shot: str, text: str) -> DataFrame:
+    """asset, shots: of each asset the shots it belongs to, and in whose text one of its words stands (words and shots are arrays of the asset).
+
+    The join is on the asset's own list of shots.
+    """
+    x = assets.select(asset, words, F.explode("shots").alias(shot)).join(shots.select(shot, text), shot)
+    said = F.exists(words, lambda w: F.contains(F.lower(F.col(text)), F.lower(w)))
+    found = x.groupBy(asset).agg(F.array_sort(F.collect_set(F.when(said, F.col(shot)))).alias("_s"))
+    return assets.select(asset).join(found, asset, "left").select(asset, F.coalesce("_s", F.array().cast(f"array<{shots.schema[shot].dataType.simpleString()}>")).alias("shots"))
+
+
 def zip_by_order(left: DataFrame, right: DataFrame, keys: list[str], left_order: list, right_order: list) -> DataFrame:
     """The k-th row of the left with the k-th of the right per group; surplus rows match nothing."""
     l = left.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))

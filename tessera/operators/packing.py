@@ -3,40 +3,45 @@
 from __future__ import annotations
 
 import math
-import re
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tessera.functions.scalars import split_sentences
 
 # Segment limits and costs.
 MAX_SEG, MIN_SEG, SPEECH_RATE, SHOT_MAX = 15.0, 4.0, 6.5, 6.0
+SOFT_COST, SHORT_COST, FREE_COST = 8.0, 3.0, 0.3
 
 
 def dp_segments(lengths: list[float], soft: list[bool], most: float = MAX_SEG, least: float = MIN_SEG) -> list[tuple[int, int]]:
     """Contiguous segments [i, j) of at most ``most`` seconds with the least cost.
 
     A segment costs 1, three per second under ``least``, 0.3 per second left free, and 8 for
-    each soft boundary it ends at inside the list. Of equal costs the earliest start wins.
+    each of its ends that is a soft boundary inside the list. Of equal costs the earliest start wins.
+    An item that is too long is a segment of its own. From each start only ends within ``most`` are
+    tried, so the work is the list's length times the items that fit into a segment.
     """
-    n = len(lengths)
-    pre = [0.0]
-    for d in lengths:
-        pre.append(pre[-1] + d)
-    cost, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-    for j in range(1, n + 1):
-        for i in range(j):
-            size = pre[j] - pre[i]
-            if size > most + 1e-9 and j - i > 1:
-                continue
-            c = cost[i] + 1 + 3 * max(0.0, least - size) + (8 if i > 0 and soft[i] else 0) + (8 if j < n and soft[j] else 0) + 0.3 * (most - size)
-            if c < cost[j] - 1e-12:
-                cost[j], back[j] = c, i
-    out, j = [], n
-    while j:
-        out.append((back[j], j))
-        j = back[j]
-    return out[::-1]
+    n, at = len(lengths), [0.0, *accumulate(lengths)]
+    charge = [SOFT_COST if 0 < k < n and soft[k] else 0.0 for k in range(n + 1)]
+    cheapest: list[tuple[float, int]] = [(0.0, 0), *[(math.inf, 0)] * n]  # cost up to an item, and its last segment's start
+    for i in range(n):
+        paid = cheapest[i][0] + 1 + charge[i]
+        for j in range(i + 1, n + 1):
+            size = at[j] - at[i]
+            if j > i + 1 and size > most + 1e-9:
+                break
+            cost = paid + charge[j] + SHORT_COST * max(0.0, least - size) + FREE_COST * (most - size)
+            if cost < cheapest[j][0] - 1e-12:
+                cheapest[j] = cost, i
+    bounds = [n]
+    while bounds[-1]:
+        bounds.append(cheapest[bounds[-1]][1])
+    return list(pairwise(reversed(bounds)))
 
 
 def pack_segments(items: DataFrame, keys: list[str], order: list[str], length: str, soft: str) -> DataFrame:
@@ -85,33 +90,29 @@ def redistribute(items: DataFrame, keys: list[str], length: str, chars: str, rat
 
 
 def water_fill(total: float, sizes: list[float], cap: float = SHOT_MAX, least: float = 0.4) -> list[float]:
-    """Shares of total in proportion to sizes, each within [least, cap] as far as that can be, one decimal; drift goes to the roomiest."""
+    """Shares of total in proportion to sizes, one decimal, each within [least, cap].
+
+    Where the total is too small or too large for that, an even share is the limit instead. What the limits cut off
+    goes to the shares with room, in proportion to it, until nothing is left over; the rounding's drift goes to the
+    roomiest.
+    """
     n = len(sizes)
     if not n:
         return []
-    out, fixed, left = [0.0] * n, [False] * n, total
+    even, weight = total / n, np.asarray(sizes, np.float64)
+    floor, ceiling = min(least, even), max(cap, even)
+    share = total * weight / weight.sum() if weight.sum() else np.full(n, even)
     for _ in range(n + 2):
-        free = [i for i in range(n) if not fixed[i]]
-        weight = sum(max(sizes[i], 1e-9) for i in free)
-        if not free:
-            break
-        bad = False
-        for i in free:
-            out[i] = left * max(sizes[i], 1e-9) / weight
-        over = [i for i in free if out[i] > cap + 1e-9]
-        under = [i for i in free if out[i] < least - 1e-9]
-        for i in over or under:
-            out[i], fixed[i], bad = (cap if over else least), True, True
-        left = total - sum(out[i] for i in range(n) if fixed[i])
-        if not bad:
+        share = share.clip(floor, ceiling)
+        missing = total - share.sum()
+        room = ceiling - share if missing > 0 else share - floor
+        if abs(missing) < 0.01 or room.sum() < 0.01:
             break
-    rest = total - sum(out)
-    if rest > 1e-9:  # all are at the cap: the surplus is spread evenly
-        out = [x + rest / n for x in out]
-    out = [round(x, 1) for x in out]
+        share = share + missing * room / room.sum()
+    out = [round(x, 1) for x in share.tolist()]
     drift = round(total - sum(out), 1)
-    if drift:
-        k = max(range(n), key=lambda i: (cap - out[i] if drift > 0 else out[i] - least, -i))
+    if abs(drift) >= 0.05:
+        k = int(np.argmax([ceiling - x if drift > 0 else x for x in out]))
         out[k] = round(out[k] + drift, 1)
     return out
 
@@ -135,19 +136,64 @@ def cut_items(items: DataFrame, keys: list[str], order: list[str], length: str,
 
 
 def deal_sentences(sentences: list[str], groups: int) -> list[list[str]]:
-    """Consecutive sentences in at most so many groups; a group closes when it holds its share of what is left."""
-    out, cur, left = [], [], sum(map(len, sentences))
-    need = max(1, groups)
-    size = 0
-    for k, s in enumerate(sentences):
-        cur.append(s)
-        size += len(s)
-        rest = len(sentences) - k - 1
-        if need > 1 and rest and size >= left / need - 1e-9:
-            out.append(cur)
-            left -= size
-            need, cur, size = need - 1, [], 0
-    return out + ([cur] if cur else [])
+    """Consecutive sentences in at most so many groups. A group closes when it holds its share of what is left, or when only as many sentences are left as groups."""
+    filled = [x for x in sentences if x]
+    left, rest, out = min(groups, len(filled)), sum(map(len, filled)), [[]]
+    for k, sentence in enumerate(filled):
+        out[-1].append(sentence)
+        held = sum(map(len, out[-1]))
+        if left > 1 and (len(filled) - k <= left or held * left >= rest):
+            left, rest = left - 1, rest - held
+            out.append([])
+    return [g for g in out if g]
+
+
+def deal_text(text: Column, groups: Column) -> Column:
+    """array<string> of exactly so many texts: the sentences dealt into groups, at commas too where sentences are too few, filled up with empty texts."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def deal(sentences: pd.Series, clauses: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for a, b, k in zip(sentences, clauses, n, strict=True):
+            got = deal_sentences(list(a), k)
+            if len(got) < k:
+                got = deal_sentences(list(b), k)
+            out.append(["".join(g) for g in got] + [""] * (k - len(got)))
+        return pd.Series(out)
+
+    clean = F.coalesce(text, F.lit(""))
+    return deal(split_sentences(clean), split_sentences(clean, commas=True), groups)
+
+
+def cut_spoken(items: DataFrame, length: str, text: str, most: float = SHOT_MAX) -> DataFrame:
+    """Items over most (by more than 0.05 at the last part) as children that share the text by sentences and the length by the text's sizes: part_no, parts, warned.
+
+    A row is a whole item, so nothing is grouped. Items that aren't cut keep their text and length.
+    """
+    whole = F.floor(F.col(length) / most)
+    parts = F.greatest(F.lit(1), (whole + F.when(F.col(length) - whole * most > 0.05, 1).otherwise(0))).cast("int")
+
+    @F.pandas_udf("array<double>")
+    def lengths(total: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([water_fill(float(t), [float(x) for x in z], most) for t, z in zip(total, sizes, strict=True)])
+
+    x = items.withColumn("parts", F.when(F.col(length) > most, parts).otherwise(1))
+    long_ = x.filter("parts > 1").withColumn("_t", deal_text(F.col(text), F.col("parts")))
+    long_ = long_.withColumn("_l", lengths(F.col(length), F.transform("_t", lambda v: F.length(v))))
+    cut = long_.select("*", F.posexplode(F.arrays_zip("_t", "_l")).alias("_p", "_c"))
+    cut = cut.withColumns({text: F.col("_c._t"), length: F.col("_c._l"), "part_no": F.col("_p") + 1, "warned": F.lit(True)})
+    kept = x.filter("parts = 1").withColumns({"part_no": F.lit(1), "warned": F.lit(False)})
+    names = [*items.columns, "parts", "part_no", "warned"]
+    return kept.select(*names).unionByName(cut.select(*names))
+
+
+def split_spoken(items: DataFrame, length: str, text: str, most: float = MAX_SEG) -> DataFrame:
+    """Items over most as ceil(length / most) equal parts (one decimal) that share the text by sentences: part_no, parts."""
+    x = items.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col(length) / most)).cast("int"))
+    texts = F.when(F.col("parts") > 1, deal_text(F.col(text), F.col("parts"))).otherwise(F.array(F.coalesce(text, F.lit(""))))
+    cut = x.select("*", F.posexplode(texts).alias("_p", "_t"))
+    part = F.when(F.col("parts") > 1, F.round(F.col(length) / F.col("parts"), 1)).otherwise(F.col(length))
+    return cut.withColumns({length: part, text: F.col("_t"), "part_no": F.col("_p") + 1}).select(*items.columns, "parts", "part_no")
 
 
 def block_needs(items: DataFrame, keys: list[str], need: str, avail: str, stretch: float = 1.6) -> DataFrame:
@@ -176,57 +222,76 @@ def stretch_factor(planned: Column, dub: Column, most: float = 1.5) -> Column:
     return F.when(dub > 1.4 * planned + 0.15, F.least(F.lit(most), dub / planned)).otherwise(1.0)
 
 
-_WIDE = re.compile("[⺀-鿿豈-﫿＀-｠]")
-_PUNCT = set("，。！？；：、,.!?;: ")
+# Where a line may end early, and from how much of its width.
+LINE_STOPS, EARLY = "，。！？；：、,.!?;:", 0.7
+
+
+def char_width(ch: str) -> int:
+    return 2 if ord(ch) > 0x2E7F else 1
 
 
 def text_width(text: str) -> int:
-    return len(text) + len(_WIDE.findall(text))
+    return sum(map(char_width, text))
 
 
 def wrap(text: str, width: int) -> list[str]:
-    """Lines of at most width columns: after punctuation in the last 30 % if there is any, else at a space, else hard."""
-    out, rest = [], text.strip()
-    while text_width(rest) > width:
-        used, k = 0, 0
-        while k < len(rest) and used + text_width(rest[k]) <= width:
-            used += text_width(rest[k])
-            k += 1
-        k = max(1, k)
-        used_at, cut = 0, None
-        for i in range(k):
-            used_at += text_width(rest[i])
-            if rest[i] in _PUNCT and used_at > 0.7 * width:
-                cut = i + 1
-        if cut is None and k < len(rest) and rest[k - 1].isascii() and rest[k].isascii():
-            sp = rest.rfind(" ", 0, k)
-            cut = sp + 1 if sp > 0 else None
-        cut = cut or k
-        out.append(rest[:cut].rstrip())
-        rest = rest[cut:].lstrip()
-    return out + ([rest] if rest else [])
+    """Lines of at most width columns, by positions in the text.
+
+    A line ends at a stop once it is 70 % full. One that overflows ends before the character that is too much, or, if
+    that belongs to an ASCII word, at the line's last space. Spaces that would begin a line go.
+    """
+    text = text.strip()
+    cuts: list[tuple[int, int]] = []
+    begin, used, space = 0, 0, -1
+    for i, ch in enumerate(text):
+        if begin == i and ch in " \u3000":
+            begin = i + 1
+            continue
+        w = char_width(ch)
+        full = used + w > width
+        if full:
+            in_word = ch.isascii() and not ch.isspace() and text[begin : max(begin, space)].strip() != ""
+            stop, resume = (space, space + 1) if in_word else (i, i)
+            cuts.append((begin, stop))
+            begin, used, space = resume, text_width(text[resume:i]), -1
+        used += w
+        if ch == " ":
+            space = i
+        elif not full and ch in LINE_STOPS and used >= EARLY * width:
+            cuts.append((begin, i + 1))
+            begin, used, space = i + 1, 0, -1
+    lines = (text[a:b].strip() for a, b in [*cuts, (begin, len(text))])
+    return [x for x in lines if x]
 
 
 def wrap_screens(df: DataFrame, text: str, start: str, end: str, width: int = 32, lines: int = 2) -> DataFrame:
     """One row per screen of at most so many lines, each with its share of the time by width."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", screen int, screen_text string, screen_start double, screen_end double"
-    names = df.columns
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                d = dict(zip(names, r, strict=True))
-                w = wrap(d[text] or "", width)
-                screens = ["\n".join(w[i : i + lines]) for i in range(0, len(w), lines)]
-                total, at, span = sum(map(text_width, screens)) or 1, d[start], d[end] - d[start]
-                for k, s in enumerate(screens):
-                    upto = at + span * text_width(s) / total
-                    rows.append((*r, k, s, at, upto))
-                    at = upto
-            yield pd.DataFrame(rows, columns=[*names, "screen", "screen_text", "screen_start", "screen_end"])
-
-    return df.mapInPandas(run, schema)
+
+    @F.pandas_udf("array<struct<screen_text:string,w:int>>")
+    def screens(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            w = wrap(t or "", width)
+            joined = ["\n".join(w[i : i + lines]) for i in range(0, len(w), lines)]
+            out.append([{"screen_text": x, "w": text_width(x)} for x in joined])
+        return pd.Series(out)
+
+    wide = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["w"])
+    x = df.withColumn("_s", screens(F.col(text))).withColumn("_whole", F.greatest(wide(F.col("_s")), F.lit(1)))
+    x = x.select("*", F.posexplode("_s").alias("screen", "_one"))
+    before, span = wide(F.slice("_s", F.lit(1), F.col("screen"))), F.col(end) - F.col(start)
+    upto = lambda n: F.col(start) + span * n / F.col("_whole")
+    return x.select(*df.columns, "screen", "_one.screen_text", upto(before).alias("screen_start"), upto(before + F.col("_one.w")).alias("screen_end"))
+
+
+def balanced_break(text: Column, emphasis: Column) -> Column:
+    """The position after which a line of two or more characters breaks most evenly: not inside the emphasised part, and of equally even places the first."""
+    n = F.length(text)
+    at = F.instr(text, emphasis)
+    inside = lambda k: (F.length(emphasis) > 1) & (at > 0) & (k >= at) & (k < at + F.length(emphasis) - 1)
+    places = F.filter(F.sequence(F.lit(1), n - 1), lambda k: ~F.coalesce(inside(k), F.lit(False)))
+    best = F.array_min(F.transform(places, lambda k: F.struct(F.abs(2 * k - n).alias("d"), k.alias("k"))))
+    return F.when(n >= 2, best["k"])
 
 
 def uniform_size(df: DataFrame, keys: list[str], units: Column, width: float, least: int = 52) -> DataFrame:
@@ -279,3 +344,9 @@ def trim_to_budget(text: Column, budget: int, least: int = 8) -> Column:
     head = F.substring(text, 1, budget)
     cut = F.regexp_extract(head, rf"(?s)^(.{{{least - 1},}}[。！？；，,.!?;])", 1)
     return F.when(F.length(text) <= budget, text).when(cut != "", cut).otherwise(head)
+
+
+def probe_order(jobs: DataFrame, keys: list[str], largest: list[str], tie: str, most: int) -> DataFrame:
+    """jobs with probed: whether a job is among the group's first so many, the largest first."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in largest], tie))
+    return jobs.withColumn("probed", rank <= most)

@@ -141,19 +141,6 @@ def coverage_holes(spark, table: DecisionTable) -> DataFrame:
     return df.withColumn("d", table.decide(facts)).filter(F.col("d.hit_row") == len(table.rows) - 1).select(F.lit(table.name).alias("table"), F.to_json(F.struct(*table.fields)).alias("facts"))
 
 
-@dataclass(frozen=True)
-class Gate:
-    """A predicate over metrics; a null verdict is undecided and follows the policy when it is used."""
-
-    name: str
-    metrics: tuple[str, ...]
-    undecided: str  # "pass" or "block"
-    criterion: str
-
-    def test(self) -> Column:
-        raise NotImplementedError
-
-
 # The gates' limits.
 SILENT_DB, VOICE_MIN_DB, MUSIC_COVER, MUSIC_RUN, MUSIC_FLATNESS = -45.0, -38.0, 0.5, 5.0, 0.35
 
@@ -187,3 +174,30 @@ def gate_violations(df: DataFrame, *gates: str) -> DataFrame:
 def override_parameters(verdict: Column, note: Column) -> Column:
     """The verdict with forced dubbing; the action it had stays in the trace."""
     return verdict.withField("forced_from", verdict["action"]).withField("action", F.lit("mute_and_dub")).withField("note", note)
+
+
+def nested_violations(df: DataFrame, document: str, most_depth: int = 32) -> DataFrame:
+    """df with path: one row per object in a JSON document, at any depth, whose "passed" is false and whose "used" is true.
+
+    The document is walked as a VARIANT, a level of all rows at a time, until no row has anything below; paths name
+    fields, and [] stands for any place in a list.
+    """
+    names = [c for c in df.columns if c != "path"]
+    level = df.select(*names, F.try_parse_json(document).alias("_v"), F.lit("").alias("path"))
+    found = None
+    for depth in range(most_depth + 1):
+        hit = level.filter(F.expr("try_variant_get(_v, '$.passed', 'boolean') = false AND try_variant_get(_v, '$.used', 'boolean') = true"))
+        told = hit.select(*names, F.regexp_replace("path", "^[.]", "").alias("path"))
+        found = told if found is None else found.unionByName(told)
+        inner = level.filter(F.expr("schema_of_variant(_v) LIKE 'OBJECT<%' OR schema_of_variant(_v) LIKE 'ARRAY<%'"))
+        if depth == most_depth:
+            if not inner.isEmpty():
+                raise ValueError(f"a document is nested deeper than {most_depth}")
+            break
+        inner.createOrReplaceTempView("_nested")
+        step = F.when(F.col("_key").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.col("_key")))
+        below = inner.sparkSession.sql(f"SELECT {', '.join(f'`{c}`' for c in names)}, path, e.key AS _key, e.value AS _v FROM _nested, LATERAL variant_explode(_v) e")
+        level = below.select(*names, "_v", F.concat("path", step).alias("path"))
+        if level.isEmpty():
+            break
+    return found

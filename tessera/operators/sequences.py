@@ -51,16 +51,23 @@ def shots_from_runs(runs: DataFrame, keys: list[str], t: str = "t", step: float
     return _numbered(x, keys, ["run"], new, "shot").groupBy(*keys, "shot").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def soft_cut(df: DataFrame, keys: list[str], order: str, bits: str, t: str, lag: int = 4, edge: float = 0.12, peak: int = 20, above: int = 8, least_seconds: float = 2.5) -> DataFrame:
-    """keys, cut_at: where the distance to the fingerprint lag steps back peaks clearly; the earliest peak wins."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    g = Window.partitionBy(*keys)
-    x = df.withColumn("_d", F.bit_count(F.col(bits).bitwiseXOR(F.lag(bits, lag).over(w))))
-    x = x.withColumns({"_lo": F.min(t).over(g), "_hi": F.max(t).over(g)})
-    span = F.col("_hi") - F.col("_lo")
-    inner = x.filter(F.col("_d").isNotNull() & (span >= least_seconds) & (F.col(t) >= F.col("_lo") + edge * span) & (F.col(t) <= F.col("_hi") - edge * span))
-    best = inner.groupBy(*keys).agg(F.max(F.struct(F.col("_d"), -F.col(t))).alias("_b"), F.expr("percentile(_d, 0.5)").alias("_med"))
-    return best.filter((F.col("_b._d") >= peak) & (F.col("_b._d") >= F.col("_med") + above)).select(*keys, (-F.col("_b.col2")).alias("cut_at"), F.col("_b._d").alias("distance"))
+def soft_cut(df: DataFrame, keys: list[str], order: str, bits: str, t: str, lag: int = 4, edge: float = 0.12, peak: int = 20, above: int = 8, least_seconds: float = 2.5, least_part: float = 0.4) -> DataFrame:
+    """keys, cut_at, distance: where a series dissolves into another picture.
+
+    The distance of each fingerprint to the one lag steps on must peak (the earliest peak, away from the edges) clearly
+    above its median and fall off on both sides within three lags: a long plateau is motion. Both parts must be long enough.
+    """
+    w, g = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    x = df.select(*keys, order, t, F.bit_count(F.col(bits).bitwiseXOR(F.lead(bits, lag).over(w))).alias("_d"), (F.row_number().over(w) - 1).alias("_i"), F.lead(t, lag // 2).over(w).alias("_at"), F.min(t).over(g).alias("_lo"), F.max(t).over(g).alias("_hi"), F.count("*").over(g).alias("_frames"))
+    x = x.filter((F.col("_d").isNotNull()) & (F.col("_hi") - F.col("_lo") >= least_seconds) & (F.col("_frames") > lag + 2)).withColumn("_n", F.col("_frames") - lag)
+    pad = F.greatest(F.lit(1), F.bround(F.col("_n") * edge).cast("int"))
+    inner = (F.col("_i") >= pad) & (F.col("_i") < F.col("_n") - pad)
+    best = x.filter(inner).groupBy(*keys).agg(F.max(F.struct(F.col("_d"), (-F.col("_i")).alias("_m"), "_at", "_lo", "_hi", "_n")).alias("_b"), F.expr("percentile(_d, 0.5)").alias("_med"))
+    best = best.filter((F.col("_b._d") >= peak) & (F.col("_b._d") >= F.col("_med") + above)).select(*keys, F.col("_b._d").alias("distance"), (-F.col("_b._m")).alias("_peak"), F.col("_b._at").alias("cut_at"), F.col("_b._lo").alias("_first"), F.col("_b._hi").alias("_last"), F.col("_b._n").alias("_len"))
+    low = x.join(best, keys).filter(F.col("_d") < 0.7 * F.col("distance")).groupBy(*keys).agg(F.max(F.when(F.col("_i") < F.col("_peak"), F.col("_i"))).alias("_before"), F.min(F.when(F.col("_i") > F.col("_peak"), F.col("_i"))).alias("_after"))
+    y = best.join(low, keys, "left")
+    plateau = F.coalesce("_after", "_len") - F.coalesce("_before", F.lit(-1)) - 1
+    return y.filter((plateau <= 3 * lag) & (F.col("cut_at") - F.col("_first") >= least_part) & (F.col("_last") - F.col("cut_at") >= least_part)).select(*keys, "cut_at", "distance")
 
 
 def expand_chars(df: DataFrame, text: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -72,28 +79,36 @@ def expand_chars(df: DataFrame, text: str, start: str = "start", end: str = "end
 
 
 def boundary_marks(df: DataFrame, keys: list[str], order: list[str], ch: str = "ch") -> DataFrame:
-    """may_break: after punctuation or white space."""
-    return df.withColumn("may_break", F.col(ch).rlike(r"[\s,，.。!！?？;；:：、…]")).withColumn("at_end", F.lead(ch).over(Window.partitionBy(*keys).orderBy(*order)).isNull())
-
-
-def segment_chars(chars: list[tuple[float, float, bool]], gap: float = 0.45, want: int = 18, after: int = 6, most: int = 27) -> list[int]:
-    """Line numbers of timed characters (start, end, may break after). Cuts fall on legal places; a line of most characters is cut hard."""
-    out, line, n, last_legal = [], 0, 0, -1
-    for i, (start, _, legal) in enumerate(chars):
-        if n and (start - chars[i - 1][1] > gap or (n >= want and chars[i - 1][2]) or (n >= after and chars[i - 1][2] and want <= after)):
-            line, n, last_legal = line + 1, 0, -1
-        elif n >= most:
-            if last_legal >= 0:
-                for k in range(last_legal + 1, i):
-                    out[k] += 1
-                n = i - last_legal - 1
-            else:
-                n = 0
-            line, last_legal = line + 1, -1
+    """punct: after punctuation; brk: after that, after white space, or where letters of two scripts meet; a group's last character is both."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    following, last = F.lead(ch).over(w), F.lead(ch).over(w).isNull()
+    punct = F.col(ch).rlike(r"[,，.。!！?？;；:：、…]")
+    space = F.col(ch).rlike(r"\s") | F.coalesce(following.rlike(r"\s"), F.lit(False))
+    kind = lambda c: F.when(c.rlike(r"[\x{2E80}-\x{10FFFF}]"), "wide").when(c.rlike(r"[\p{L}\p{N}]"), "letter")
+    meet = F.coalesce(kind(F.col(ch)) != kind(following), F.lit(False))
+    return df.withColumn("punct", punct | last).withColumn("brk", punct | space | meet | last)
+
+
+def segment_chars(chars: list[tuple[float, float, bool, bool]], gap: float = 0.45, many: int = 18, few: int = 6) -> list[int]:
+    """Line numbers of timed characters (start, end, punct, brk).
+
+    A line would end at a pause, when it has many characters, or at punctuation once it has a few. It may end after
+    punctuation, after a break once it has many characters, and anywhere at one and a half times many; a stream
+    without any break may be cut anywhere.
+    """
+    marked = any(brk for *_, brk in chars)
+    line, length, out = 0, 0, []
+    before = None
+    for start, end, punct, brk in chars:
+        if before is not None:
+            stopped, was_punct, was_brk = before
+            wanted = start - stopped > gap or length >= many or (was_punct and length >= few)
+            legal = was_punct or not marked or length >= many + many // 2 or (was_brk and length >= many)
+            if wanted and legal:
+                line, length = line + 1, 0
         out.append(line)
-        n += 1
-        if legal and n >= after:
-            last_legal = i
+        length += 1
+        before = end, punct, brk
     return out
 
 
@@ -103,29 +118,30 @@ def timed_lines(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(order, kind="stable")
-        return p.assign(line_no=segment_chars(list(zip(p["char_start"], p["char_end"], p["may_break"], strict=True))))
+        return p.assign(line_no=segment_chars(list(zip(p["char_start"], p["char_end"], p["punct"], p["brk"], strict=True))))
 
     return df.groupBy(*keys).applyInPandas(fold, schema)
 
 
-def allocate(calls: Iterator[tuple[str, float]], total: float, cursor: float = 0.0, granted: dict | None = None) -> Iterator[tuple[float, float, bool]]:
-    """(offset, take, wrapped) for calls (key, need) on one source of total seconds.
+def allocate(calls: Iterator[tuple[str, float]], total: float, cursor: float = 0.0, granted: dict | None = None, least: float = 0.4) -> Iterator[tuple[float, float, bool]]:
+    """(offset, take, wrapped) for calls (key, need) on one source of total seconds, of which least are always taken.
 
-    The fresh part is given if it holds min(need, 1) seconds; else the cursor wraps to 0.
-    A key that comes again keeps its offset.
+    A new key gets what lies past the furthest end so far if that holds min(need, 1) seconds, else the source's
+    beginning, which is flagged as wrapped if anything had been taken. A key that comes again keeps its offset. The
+    caller's state is the furthest end, max(offset + take), and granted.
     """
     granted = {} if granted is None else granted
+    total = max(least, total)
     for key, need in calls:
-        if key in granted:
-            off = granted[key]
-            yield off, min(need, total - off), False
-            continue
-        wrapped = total - cursor < min(need, 1.0)
-        off = 0.0 if wrapped else cursor
-        take = min(need, total - off)
-        cursor = off + take
-        granted[key] = off
-        yield off, take, wrapped
+        wrapped = False
+        if key not in granted:
+            fits = total - cursor >= min(need, 1.0)
+            wrapped = not fits and cursor > 0
+            granted[key] = cursor if fits else 0.0
+        offset = granted[key]
+        take = max(least, min(need, total - offset))
+        cursor = max(cursor, offset + take)
+        yield offset, take, wrapped
 
 
 def window_allocator(calls: DataFrame, source: str, order: list[str], key: str, need: str, total: str) -> DataFrame:

@@ -32,18 +32,30 @@ def level_db(samples: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(-120.0), 10 * F.log10(F.greatest(power, F.lit(1e-12)))))
 
 
-def flatness_median(samples: np.ndarray, size: int = 2048, hop: int = 512, voiced: float = 0.05) -> float | None:
-    """Median spectral flatness, exp(mean log) / mean of the power, of frames above 5 % of the loudest."""
+#: Window and step in samples, share of the loudest frame that counts as voice, and what stands in for nothing.
+STFT_SIZE, STFT_HOP, VOICED, NOTHING = 2048, 512, 0.05, 1e-10
+
+
+def flatness_median(samples: np.ndarray) -> float | None:
+    """Median spectral flatness of the voiced frames: the geometric mean of a frame's power over its arithmetic mean.
+
+    1.0 where no frame is voiced; null for less than one window. Silent frames are left out before any spectrum is made.
+    """
     x = np.asarray(samples, dtype=np.float64)
-    if len(x) < size:
+    if len(x) < STFT_SIZE:
         return None
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-    rms = np.sqrt((frames**2).mean(axis=1))
-    loud = frames[rms > voiced * rms.max()] if rms.max() > 0 else frames[:0]
-    if not len(loud):
-        return None
-    power = np.abs(np.fft.rfft(loud * np.hanning(size), axis=1)) ** 2 + 1e-12
-    return float(np.median(np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1)))
+    begins = np.arange(0, len(x) - STFT_SIZE + 1, STFT_HOP)
+    energy = np.concatenate(([0.0], np.cumsum(x * x)))
+    loudness = np.sqrt(np.maximum(energy[begins + STFT_SIZE] - energy[begins], 0) / STFT_SIZE)
+    chosen = begins[loudness > max(VOICED * loudness.max(), NOTHING)]
+    if not len(chosen):
+        return 1.0
+    taper, per_frame = np.hanning(STFT_SIZE), []
+    for lo in range(0, len(chosen), 256):  # a bounded number of spectra at a time
+        at = chosen[lo : lo + 256, None] + np.arange(STFT_SIZE)
+        power = np.square(np.abs(np.fft.rfft(x[at] * taper)))
+        per_frame.append(np.exp(np.mean(np.log(power + NOTHING), axis=-1)) / (np.mean(power, axis=-1) + NOTHING))
+    return float(np.median(np.concatenate(per_frame)))
 
 
 def spectral_flatness(samples: Column) -> Column:
@@ -61,7 +73,7 @@ def median_cut(rgb: np.ndarray, most: int = 6) -> list[tuple[str, float]]:
     """Colours of pixels by median cut, each box's mean and its share, the largest first."""
     boxes = [rgb] if len(rgb) else []
     while len(boxes) < most:
-        k = max(range(len(boxes)), key=lambda i: (np.ptp(boxes[i], axis=0).max() * len(boxes[i]), -i), default=None)
+        k = max(range(len(boxes)), key=lambda i: (int(np.ptp(boxes[i], axis=0).max()) * len(boxes[i]), -i), default=None)
         if k is None or np.ptp(boxes[k], axis=0).max() == 0:
             break
         box = boxes.pop(k)
@@ -69,8 +81,11 @@ def median_cut(rgb: np.ndarray, most: int = 6) -> list[tuple[str, float]]:
         box = box[np.argsort(box[:, axis], kind="stable")]
         cut = min(max(1, len(box) // 2), len(box) - 1)
         boxes += [box[:cut], box[cut:]]
-    found = [("#%02x%02x%02x" % tuple(int(round(c)) for c in b.mean(axis=0)), len(b) / len(rgb)) for b in boxes]
-    return sorted(found, key=lambda c: (-c[1], c[0]))
+    pixels: dict[str, int] = {}
+    for b in boxes:  # boxes of one colour are one
+        color = "#%02x%02x%02x" % tuple(int(round(c)) for c in b.mean(axis=0))
+        pixels[color] = pixels.get(color, 0) + len(b)
+    return sorted(((c, n / len(rgb)) for c, n in pixels.items()), key=lambda c: (-c[1], c[0]))
 
 
 def color_clusters(pixels: Column, most: int = 6) -> Column:
@@ -143,3 +158,9 @@ def snap_to_cuts(parts: DataFrame, cuts: str, at: str) -> DataFrame:
     """at moved to the nearest legal cut (the smaller of two equally near); unchanged without cuts."""
     near = F.array_min(F.transform(cuts, lambda c: F.struct(F.abs(c - F.col(at)).alias("d"), c.alias("c"))))
     return parts.withColumn(at, F.coalesce(near["c"], F.col(at)))
+
+
+def within_budget(df: DataFrame, keys: list[str], order: str, value: str, asked: Column, most: int) -> DataFrame:
+    """df where value stays for the first so many rows of a group that ask for it, and is null for the others: what a budget of calls allows."""
+    n = F.count_if(F.coalesce(asked, F.lit(False))).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_n", n).withColumn(value, F.when(F.coalesce(asked, F.lit(False)) & (F.col("_n") <= most), F.col(value))).drop("_n")

@@ -130,10 +130,13 @@ def gate_violations(spark, d):
 # Projection and normalisation
 
 
-@query("""SELECT event_id, coalesce(nullif(json_extract_string(props, '$.name'), ''), nullif(json_extract_string(props, '$.k'), ''), '') AS k FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 5 = 0 THEN '' ELSE json_extract_string(props, '$.k') END AS k FROM events""")
 def converge_alias(spark, d):
-    j = lambda p: F.get_json_object("props", p)
-    return t(spark, d, "events").select("event_id", S.first_filled(j("$.name"), j("$.k")).alias("k"))
+    """The first alias that is filled: a name in every third record, else k, which is empty in every fifth."""
+    e = t(spark, d, "events")
+    name, k = F.when(F.col("event_id") % 3 == 0, F.col("event_type")), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.get_json_object("props", "$.k"))
+    record = F.to_json(F.struct(name.alias("name"), k.alias("k")))
+    return e.select("event_id", record.alias("r")).select("event_id", S.first_filled(F.get_json_object("r", "$.name"), F.get_json_object("r", "$.k")).alias("k"))
 
 
 @query("""
@@ -165,13 +168,14 @@ def text_scrub(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(S.folded(F.col("text"))).alias("folded"), (S.strip_marks(F.col("text")) == "").alias("blank"))
 
 
-@query("""SELECT conv_id, turn, length(text) + length(regexp_replace(text, '[^⺀-鿿豈-﫿＀-｠]', '', 'g')) AS width FROM conversations""")
+@query("""
+SELECT conv_id, turn, list_sum(list_transform(string_split(text || ' 한글 😀', ''), lambda c: CASE WHEN unicode(c) > 11903 THEN 2 ELSE 1 END))::BIGINT AS width FROM conversations""")
 def display_width(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", S.display_width(F.col("text")).cast("long").alias("width"))
+    return t(spark, d, "conversations").select("conv_id", "turn", S.display_width(F.concat("text", F.lit(" 한글 😀"))).cast("long").alias("width"))
 
 
 @query(r"""
-SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(text, '([。！？；…!?;.])', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n FROM conversations""")
+SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(text, '([。！？；…!?;])', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS n FROM conversations""")
 def sentence_split(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.size(S.split_sentences(F.col("text"))).cast("long").alias("n"))
 
@@ -360,36 +364,52 @@ def nearest_k(spark, d):
     return I.nearest_rows(iv, fr, ["user_id"], "iv_id", "fr_id", bucket=3600.0).select("iv_id", "fr_id", "rank")
 
 
-NGRAM = r"""SELECT {id}, p - 1 AS pos, array_to_string(w[p:p + 4], ' ') AS gram FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS p FROM (SELECT {id}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}))"""
+FOLDED = "regexp_replace(lower(coalesce(text, '')), '[^0-9a-z一-鿿]', '', 'g')"
+GRAMS = "SELECT {id}, i - 1 AS i, c[i:i + {n} - 1] AS gram, (i - 1) * 0.1 AS t FROM (SELECT *, unnest(range(1, length(c) - {n} + 2)) AS i FROM ({source}))"
+LINES = f"SELECT conv_id, turn, {FOLDED} AS c FROM conversations WHERE role = 'user'"
+STREAM = f"SELECT conv_id, string_agg({FOLDED}, '' ORDER BY turn) AS c FROM conversations GROUP BY 1"
+
+
+def line_grams(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Character n-grams of the user's turns, and of whole conversations, ten characters a second."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", S.folded(F.coalesce("text", F.lit(""))).alias("c"))
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda x: x["c"]), "").alias("c"))
+    at = F.transform(F.sequence(F.lit(0), F.length("c")), lambda i: i * 0.1)
+    lines = M.char_grams(c.filter("role = 'user'"), ["conv_id", "turn"], F.col("c"), at, n)
+    return lines, M.char_grams(whole, ["conv_id"], F.col("c"), at, n)
 
 
 @query(f"""
-WITH l AS ({NGRAM.format(id="item_id", table="benchmark")}), r0 AS ({NGRAM.format(id="doc_id", table="documents")}), rare AS (SELECT gram FROM r0 GROUP BY 1 HAVING count(*) <= 12)
-SELECT item_id, doc_id, floor((r0.pos - l.pos) / 8.0)::BIGINT AS shift, count(*) AS votes FROM l JOIN r0 USING (gram) WHERE gram IN (SELECT gram FROM rare) GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+WITH l AS ({GRAMS.format(id="conv_id, turn", source=LINES, n=4)}), r AS ({GRAMS.format(id="conv_id", source=STREAM, n=4)}),
+v AS (SELECT conv_id, turn, round(r.t - 0.12 * l.i, 1) AS "at", count(*) AS votes FROM l JOIN r USING (conv_id, gram) GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY votes DESC, "at") AS rank FROM v)
+SELECT conv_id, turn, "at", votes, rank::INT AS rank FROM k WHERE rank <= 3""")
 def ngram_vote(spark, d):
-    return M.ngram_votes(t(spark, d, "benchmark"), t(spark, d, "documents"), "item_id", "doc_id")
+    """The three best places of each of the user's turns in its conversation."""
+    lines, stream = line_grams(spark, d, 4)
+    return M.ngram_votes(lines, stream, ["conv_id", "turn"], ["conv_id"]).filter("rank <= 3")
 
 
 @query("""
 WITH i AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding AS e FROM embeddings), q AS (SELECT label AS query, (pos - 3) // 2 AS tap, pos - 3 AS off, e AS qe FROM i WHERE pos IN (3, 5, 7)),
-m AS (SELECT query, label, pos - off AS base, list_sum(list_transform(range(1, 65), lambda k: ((e[k] > 0) != (qe[k] > 0))::INT)) AS dist FROM q, i), a AS (SELECT query, label, base, sum(dist) / 3 AS mean_dist FROM m GROUP BY 1, 2, 3 HAVING count(*) = 3),
+m AS (SELECT query, label, pos - off AS base, list_sum(list_transform(range(1, 65), lambda k: ((e[k] > 0) != (qe[k] > 0))::INT)) AS dist FROM q JOIN i ON label IN (query, query + 1)), a AS (SELECT query, label, base, sum(dist) / 3 AS mean_dist FROM m GROUP BY 1, 2, 3 HAVING count(*) = 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mean_dist, label, base) AS r FROM a)
 SELECT query, label, base, mean_dist, mean_dist <= 12 AS hit FROM b WHERE r = 1""")
 def hamming_align(spark, d):
+    """Each label's taps in its own series and the next label's."""
     from pyspark.sql import Window
 
     i = sign_bits(spark, d).select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long").alias("pos"), "bits")
     q = i.filter(F.col("pos").isin(3, 5, 7)).select(F.col("label").alias("query"), ((F.col("pos") - 3) / 2).cast("int").alias("tap"), (F.col("pos") - 3).alias("offset"), "bits")
-    return M.hamming_align(q, i, "query", "label")
+    pairs = i.select(F.col("label").alias("query")).distinct().select("query", F.explode(F.array(F.col("query"), F.col("query") + 1)).alias("label"))
+    return M.hamming_align(q, i, pairs, "query", "label")
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS item, l_suppkey AS choice, round(1 - l_discount * 4, 4) AS score, l_linenumber AS rank FROM lineitem WHERE l_orderkey % 50 = 0)
+WITH c AS (SELECT l_orderkey AS item, l_suppkey AS choice, round(1 - l_discount * 4, 4) AS score, l_linenumber AS rank FROM lineitem)
 SELECT count(DISTINCT item)::BIGINT AS items FROM c WHERE score >= 0.55""")
 def greedy_assignment_items(spark, d):
-    """How many items the assignment covers; the pairs themselves are tested against a plain greedy pass."""
-    x = t(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("choice"), F.round(1 - F.col("l_discount") * 4, 4).alias("score"), F.col("l_linenumber").alias("rank"))
-    return M.exclusive_assignment(x, "item", "choice", "score", "rank").agg(F.countDistinct("item").alias("items"))
+    """How many orders have a row in the assignment; supplier_assignment has the pairs."""
+    return greedy_assignment(spark, d).agg(F.countDistinct("item").alias("items"))
 
 
 @query(None)
@@ -421,10 +441,42 @@ def evaluate_once(spark, d):
     return M.evaluate_once(x, ["p_name", "p_size"], {"cost": (F.length("p_name") * F.col("p_size")).cast("long")}).select("p_partkey", "cost")
 
 
-@query(None)
+CELLS = f"""l AS ({GRAMS.format(id="conv_id, turn", source=LINES, n=5)}), r AS ({GRAMS.format(id="conv_id", source=STREAM, n=5)}), k AS (SELECT conv_id, gram FROM r GROUP BY 1, 2 HAVING count(*) <= 12),
+c AS (SELECT conv_id, turn, round_even(l.t * 2, 0) / 2 AS x, round_even(r.t * 2, 0) / 2 AS y, count(*) AS votes FROM l JOIN r USING (conv_id, gram) JOIN k USING (conv_id, gram) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4)"""
+
+
+@query(f"WITH {CELLS} SELECT conv_id, turn, x AS ref_at, y AS src_at, votes FROM c")
+def anchor_cells(spark, d):
+    return M.anchor_cells(*line_grams(spark, d, 5), ["conv_id", "turn"], ["conv_id"], least=4)
+
+
+CHAIN = f"""{CELLS},
+p AS (SELECT conv_id, turn, list(x ORDER BY x, y) AS xs, list(y ORDER BY x, y) AS ys, count(*) AS n FROM c GROUP BY 1, 2),
+f AS (SELECT conv_id, turn, xs, ys, n, 0 AS i, []::BIGINT[] AS best, []::BIGINT[] AS back FROM p
+  UNION ALL SELECT conv_id, turn, xs, ys, n, i + 1, list_append(best, 1 + coalesce(m, 0)), list_append(back, CASE WHEN m IS NULL THEN 0 ELSE list_position(w, m) END)
+  FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN ys[j] <= ys[i + 1] THEN best[j] END) AS w, list_max(w) AS m FROM f WHERE i < n)),
+b AS (SELECT conv_id, turn, xs, ys, back, list_position(best, list_max(best))::BIGINT AS pk FROM f WHERE i = n UNION ALL SELECT conv_id, turn, xs, ys, back, back[pk] FROM b WHERE back[pk] > 0)"""
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT conv_id, turn, xs[pk] AS ref_at, ys[pk] AS src_at FROM b")
 def anchor_chain(spark, d):
-    e = t(spark, d, "events").select("event_type", F.col("user_id").cast("double").alias("x"), "value")
-    return M.anchor_chain(e, ["event_type"], "x", "value")
+    """Which moments of the user's turns are which of the conversation: votes of shared 5-grams, and the longest chain of each pair."""
+    return M.anchor_map(*line_grams(spark, d, 5), ["conv_id", "turn"], ["conv_id"], least=4)
+
+
+@query(f"""
+WITH RECURSIVE {CHAIN}, h AS (SELECT conv_id, turn, xs[pk] AS x, ys[pk] AS y FROM b),
+s AS (SELECT DISTINCT conv_id, turn, k * 3.0 AS start, k * 3.0 + 2 AS "end" FROM h, range(0, 4) r(k)),
+e AS (SELECT s.*, (SELECT max({{'x': x, 'y': y}}) FROM h WHERE h.conv_id = s.conv_id AND h.turn = s.turn AND x <= s."end") AS bf, (SELECT min({{'x': x, 'y': y}}) FROM h WHERE h.conv_id = s.conv_id AND h.turn = s.turn AND x >= s.start) AS af FROM s),
+g AS (SELECT *, coalesce(bf.y + start - bf.x, af.y) AS lo, coalesce(af.y + "end" - af.x, bf.y) AS hi, coalesce(abs(start - bf.x), abs(af.x - "end")) AS glo, coalesce(abs(af.x - "end"), abs(start - bf.x)) AS ghi FROM e)
+SELECT conv_id, turn, start, round(greatest(0, least(lo, hi) - 6 - 0.25 * CASE WHEN lo > hi THEN ghi ELSE glo END), 4) AS lo, round(greatest(lo, hi) + 6 + 0.25 * CASE WHEN lo > hi THEN glo ELSE ghi END, 4) AS hi FROM g""")
+def anchor_window(spark, d):
+    """Where four stretches of each of the user's turns should lie in the conversation."""
+    chain = anchor_chain(spark, d)
+    shots = chain.select("conv_id", "turn").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    shots = shots.select("conv_id", "turn", (F.col("k") * 3.0).alias("start"), (F.col("k") * 3.0 + 2).alias("end"))
+    x = M.anchor_window(shots, chain, ["conv_id", "turn"])
+    return x.select("conv_id", "turn", "start", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 @query(None)
@@ -436,10 +488,18 @@ def fuzzy_cover(spark, d):
 # Packing
 
 
-@query(None)
+@query("""
+WITH RECURSIVE p AS (SELECT conv_id, list(turn ORDER BY turn) AS ts, list(least(15.0, greatest(0.5, round(length(text) / 100.0, 1)))::DOUBLE ORDER BY turn) AS ls, list(turn % 3 = 1 ORDER BY turn) AS so, count(*) AS n FROM conversations GROUP BY 1),
+q AS (SELECT *, list_transform(range(0, n + 1), lambda k: CASE WHEN k = 0 THEN 0.0 ELSE list_sum(ls[1:k]) END) AS pre FROM p),
+r AS (SELECT conv_id, ts, ls, so, pre, n, 0::BIGINT AS j, [0.0]::DOUBLE[] AS costs, [0]::BIGINT[] AS backs FROM q
+  UNION ALL SELECT conv_id, ts, ls, so, pre, n, j + 1, list_append(costs, m.c), list_append(backs, m.i) FROM (SELECT *, list_sort(list_transform(list_filter(range(0, j + 1), lambda i: i = j OR pre[j + 2] - pre[i + 1] <= 15.000000001), lambda i: {
+    'c': round(costs[i + 1] + 1 + CASE WHEN i > 0 AND so[i + 1] THEN 8 ELSE 0 END + CASE WHEN j + 1 < n AND so[j + 2] THEN 8 ELSE 0 END + 3 * greatest(0, 4 - (pre[j + 2] - pre[i + 1])) + 0.3 * (15 - (pre[j + 2] - pre[i + 1])), 8), 'i': i}))[1] AS m FROM r WHERE j < n)),
+b AS (SELECT conv_id, ts, pre, backs, n AS j FROM r WHERE j = n UNION ALL SELECT conv_id, ts, pre, backs, backs[j + 1] FROM b WHERE backs[j + 1] > 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY j) - 1 AS segment_no, pre[j + 1] - pre[backs[j + 1] + 1] AS raw FROM b)
+SELECT conv_id, unnest(ts[backs[j + 1] + 1:j]) AS turn, segment_no::INT AS segment_no, round(raw, 4) AS raw_s, least(15, greatest(4, floor(raw + 0.5)))::INT AS gen_s FROM s""")
 def dp_packing(spark, d):
     x = t(spark, d, "conversations").select("conv_id", "turn", F.least(F.lit(15.0), F.greatest(F.lit(0.5), F.round(F.length("text") / 100.0, 1))).alias("length"), (F.col("turn") % 3 == 1).alias("soft"))
-    return P.pack_segments(x, ["conv_id"], ["turn"], "length", "soft").drop("soft")
+    return P.pack_segments(x, ["conv_id"], ["turn"], "length", "soft").select("conv_id", "turn", "segment_no", F.round("raw_s", 4).alias("raw_s"), "gen_s")
 
 
 @query("""
@@ -483,16 +543,30 @@ def tempo_plan(spark, d):
     return v.select("event_id", F.round("v.tempo", 6).alias("tempo"), F.round("v.residual", 6).alias("residual"), "v.truncated")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE p AS (SELECT conv_id, list(turn ORDER BY turn) AS ts, list(length(text)::DOUBLE ORDER BY turn) AS z, count(*) AS n FROM conversations GROUP BY 1),
+q AS (SELECT *, least(0.4, 20.0 / n) AS lo, greatest(6.0, 20.0 / n) AS hi, list_sum(z) AS base FROM p),
+r AS (SELECT conv_id, ts, n, lo, hi, 0 AS k, list_transform(z, lambda x: CASE WHEN base > 0 THEN 20.0 * x / base ELSE 20.0 / n END) AS d, false AS done FROM q
+  UNION ALL SELECT conv_id, ts, n, lo, hi, k + 1, CASE WHEN stop THEN c ELSE list_transform(c, lambda x: x + gap * CASE WHEN gap > 0 THEN hi - x ELSE x - lo END / avail) END, stop FROM (
+    SELECT *, list_transform(d, lambda x: least(hi, greatest(lo, x))) AS c, 20.0 - list_sum(c) AS gap, list_sum(list_transform(c, lambda x: CASE WHEN gap > 0 THEN hi - x ELSE x - lo END)) AS avail, abs(gap) < 0.01 OR avail < 0.01 AS stop FROM r WHERE NOT done AND k < n + 2)),
+e AS (SELECT conv_id, ts, hi, list_transform(d, lambda x: round(x, 1)) AS o FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+g AS (SELECT *, round(20.0 - list_sum(o), 1) AS drift, list_transform(o, lambda x: CASE WHEN drift > 0 THEN round(hi - x, 9) ELSE x END) AS room FROM e)
+SELECT conv_id, unnest(ts) AS turn, round(unnest(list_transform(range(1, len(o) + 1), lambda i: o[i] + CASE WHEN abs(drift) >= 0.05 AND i = list_position(room, list_max(room)) THEN drift ELSE 0 END)), 1) AS filled FROM g""")
 def water_fill(spark, d):
     x = t(spark, d, "conversations").select("conv_id", "turn", F.lit(20.0).alias("total"), F.length("text").cast("double").alias("size"))
-    return P.fill_groups(x, ["conv_id"], ["turn"], "total", "size")
+    return P.fill_groups(x, ["conv_id"], ["turn"], "total", "size").select("conv_id", "turn", "filled")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE c AS (SELECT user_id, event_id, event_type AS key, value / 60 AS need, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, 0.0::DOUBLE AS off, 0.0::DOUBLE AS take, false AS wrapped, 0.0::DOUBLE AS cur, []::VARCHAR[] AS ks, []::DOUBLE[] AS os FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL SELECT user_id, event_id, i, off, take, wrapped, greatest(cur, off + take), CASE WHEN known THEN ks ELSE list_append(ks, key) END, CASE WHEN known THEN os ELSE list_append(os, off) END FROM (
+    SELECT c.user_id, c.event_id, c.i, c.key, r.cur, r.ks, r.os, list_contains(r.ks, c.key) AS known, 30.0 - r.cur >= least(c.need, 1.0) AS fits, CASE WHEN known THEN r.os[list_position(r.ks, c.key)] WHEN fits THEN r.cur ELSE 0.0 END AS off, NOT known AND NOT fits AND r.cur > 0 AS wrapped, greatest(0.4, least(c.need, 30.0 - off)) AS take
+    FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1))
+SELECT user_id, event_id, round(off, 6) AS "offset", round(take, 6) AS take, wrapped FROM r WHERE i > 0""")
 def window_allocator(spark, d):
     x = t(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("key"), (F.col("value") / 60).alias("need"), F.lit(30.0).alias("total"))
-    return W.window_allocator(x, "user_id", ["event_id"], "key", "need", "total")
+    return W.window_allocator(x, "user_id", ["event_id"], "key", "need", "total").select("user_id", "event_id", F.round("offset", 6).alias("offset"), F.round("take", 6).alias("take"), "wrapped")
 
 
 @query(None)
@@ -501,11 +575,18 @@ def wrap_screens(spark, d):
     return P.wrap_screens(x, "text", "start", "end").drop("text")
 
 
-@query(None)
+@query(r"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, string_split(text, '') AS c, length(text) AS n FROM conversations WHERE length(text) > 0),
+k AS (SELECT *, list_transform(range(1, n + 1), lambda i: regexp_matches(c[i], '[,，.。!！?？;；:：、…]') OR i = n) AS pu, list_transform(range(1, n + 1), lambda i: CASE WHEN unicode(c[i]) > 11903 THEN 2 WHEN regexp_matches(c[i], '[\p{L}\p{N}]') THEN 1 END) AS kd,
+  list_transform(range(1, n + 1), lambda i: pu[i] OR regexp_matches(c[i], '\s') OR coalesce(regexp_matches(c[i + 1], '\s'), false) OR coalesce(kd[i] != kd[i + 1], false)) AS br FROM x),
+z AS (SELECT conv_id, turn, n, list_filter(range(1, n + 1), lambda i: pu[i]) AS pus, list_filter(range(1, n + 1), lambda i: br[i]) AS brs FROM k),
+r AS (SELECT conv_id, turn, n, pus, brs, 0::BIGINT AS line, 0::BIGINT AS a, least(n, 0 + 27, coalesce(list_min(list_filter(pus, lambda x: x >= 0 + 6)), n), coalesce(list_min(list_filter(brs, lambda x: x >= 0 + 18)), n)) AS b FROM z UNION ALL SELECT conv_id, turn, n, pus, brs, line + 1, b, least(n, b + 27, coalesce(list_min(list_filter(pus, lambda x: x >= b + 6)), n), coalesce(list_min(list_filter(brs, lambda x: x >= b + 18)), n)) FROM r WHERE b < n)
+SELECT conv_id, turn, line::INT AS line_no, b - a AS n, round(a * 0.1, 4) AS start, round(b * 0.1, 4) AS "end" FROM r""")
 def timed_lines(spark, d):
     x = t(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(0.0).alias("start"), (F.length("text") * 0.1).alias("end"))
-    chars = W.boundary_marks(W.expand_chars(x, "text"), ["conv_id", "turn"], ["char_no"]).drop("text")
-    return W.timed_lines(chars.select("conv_id", "turn", "char_no", "ch", "char_start", "char_end", "may_break"), ["conv_id", "turn"], "char_no").groupBy("conv_id", "turn", "line_no").agg(F.count("*").alias("n"), F.min("char_start").alias("start"), F.max("char_end").alias("end"))
+    chars = W.boundary_marks(W.expand_chars(x, "text"), ["conv_id", "turn"], ["char_no"])
+    lines = W.timed_lines(chars.select("conv_id", "turn", "char_no", "char_start", "char_end", "punct", "brk"), ["conv_id", "turn"], "char_no")
+    return lines.groupBy("conv_id", "turn", "line_no").agg(F.count("*").alias("n"), F.round(F.min("char_start"), 4).alias("start"), F.round(F.max("char_end"), 4).alias("end"))
 
 
 # Catalogs
@@ -559,16 +640,16 @@ def merge_references(spark, d):
 
 
 @query("""
-SELECT conv_id, turn, md5((turn + 1)::VARCHAR || chr(10) || '00:' || printf('%02d', (turn * 5) // 60) || ':' || printf('%02d', (turn * 5) % 60) || ',000 --> 00:' || printf('%02d', (turn * 5 + 4) // 60) || ':' || printf('%02d', (turn * 5 + 4) % 60) || ',500' || chr(10) || left(text, 20) || chr(10)) AS cue FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
+SELECT conv_id, turn, md5((turn + 1)::VARCHAR || chr(10) || '00:' || printf('%02d', (turn * 5) // 60) || ':' || printf('%02d', (turn * 5) % 60) || ',000 --> 00:' || printf('%02d', (turn * 5 + 4) // 60) || ':' || printf('%02d', (turn * 5 + 4) % 60) || ',500' || chr(10) || text || chr(10)) AS cue FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
 def srt_cues(spark, d):
-    x = t(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("cue_no"), (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4.5).alias("end"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 20).alias("text"))
+    x = t(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("cue_no"), (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4.5).alias("end"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return files.srt_cues(x, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("cue").alias("cue"))
 
 
 @query("""
 SELECT conv_id, turn, md5((turn + 1)::VARCHAR || chr(10) || '00:' || printf('%02d', (turn * 5) // 60) || ':' || printf('%02d', (turn * 5) % 60) || ',000 --> 00:' || printf('%02d', (turn * 5 + 4) // 60) || ':' || printf('%02d', (turn * 5 + 4) % 60) || ',500' || chr(10) || text || chr(10)) AS cue FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
 def srt_cues_whole(spark, d):
-    """The cues of srt_cues with their whole texts."""
+    """The cues of srt_cues under the name they had while srt_cues was cut."""
     x = t(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("cue_no"), (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4.5).alias("end"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return files.srt_cues(x, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("cue").alias("cue"))
 
@@ -619,3 +700,6 @@ def top_orders(spark, d):
 @query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
 def customers_without_orders(spark, d):
     return t(spark, d, "customer").select("c_custkey").exceptAll(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+
+
+from tessera.plans import more_queries  # noqa: E402,F401  (registers its queries)

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructType
 from tessera.functions.scalars import format_ass, format_srt, parse_timecode
 
 # What counts as which kind of media.
-MEDIA = {"video": ("mp4", "mov", "mkv", "webm", "avi", "m4v"), "image": ("jpg", "jpeg", "png", "webp", "bmp"), "audio": ("mp3", "wav", "m4a", "aac", "flac")}
+MEDIA = {"video": ("mp4", "mov", "mkv", "webm", "avi", "m4v"), "image": ("jpg", "jpeg", "png", "webp", "bmp"), "audio": ("mp3", "wav", "m4a", "aac", "flac", "ogg")}
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: StructType, bad: str = "_corrupt") -> DataFrame:
@@ -25,6 +25,12 @@ def read_json_documents(spark: SparkSession, path: str, schema: StructType, bad:
     return spark.read.schema(s).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path).withColumn("path", F.input_file_name())
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: StructType, bad: str = "_corrupt") -> DataFrame:
+    """One row per line of JSON; a line that is no such document has nulls and its text in ``bad``."""
+    s = StructType([*schema.fields]).add(bad, "string")
+    return spark.read.schema(s).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+
+
 def write_json_documents(df: DataFrame, path: str) -> None:
     """The committer publishes all files or none."""
     df.write.mode("overwrite").json(path)
@@ -77,6 +83,12 @@ def probe_duration(text: Column) -> Column:
     return F.when(d == "", F.lit(None).cast("double")).otherwise(parse_timecode(d))
 
 
+def probe_media(text: Column) -> Column:
+    """struct<seconds, has_audio, width, height> from a media tool's text; what it doesn't say is null, but no audio stream is false."""
+    size = lambda k: F.regexp_extract(text, r"Video:[^\n]*?\b(\d{2,5})x(\d{2,5})\b", k).try_cast("int")
+    return F.struct(probe_duration(text).alias("seconds"), F.coalesce(text.rlike(r"Stream [^\n]*Audio:"), F.lit(False)).alias("has_audio"), size(1).alias("width"), size(2).alias("height"))
+
+
 def read_subtitle_events(spark: SparkSession, path: str) -> DataFrame:
     """path, start, end, text of the Dialogue lines of styled-subtitle files; style tags go, line breaks become spaces."""
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value").filter(F.col("value").startswith("Dialogue:"))

@@ -28,10 +28,8 @@ def stream_allocator(calls: DataFrame, source: str, key: str, need: str, order:
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = []
         for name, want in zip(rows[key], rows[need], strict=True):
-            fresh = name not in granted
             off, take, wrapped = next(iter(allocate(iter([(name, want)]), total, cursor, granted)))
-            if fresh:
-                cursor = off + take
+            cursor = max(cursor, off + take)
             out.append((k[0], name, off, take, wrapped))
         state.update((cursor, list(granted), list(granted.values())))
         yield pd.DataFrame(out, columns=[source, key, "offset", "take", "wrapped"])

@@ -60,11 +60,11 @@ def test_timecodes(spark):
 
 def test_scalars(spark):
     assert one(spark, S.first_filled(F.col("a"), F.col("b")), [("", "x"), (None, None), ("0", "y")], "a string, b string") == ["x", "", "0"]
-    assert one(spark, S.tristate(F.col("a")), [(" YES ",), ("不",), ("maybe",), (None,)], "a string") == [True, False, None, None]
+    assert one(spark, S.tristate(F.col("a")), [(" YES ",), ("没有",), ("对",), (None,)], "a string") == [True, False, None, None]
     assert one(spark, S.score_01(F.col("a")), [("1.7",), ("x",), ("0.3",)], "a string") == [1.0, 0.0, 0.3]
     assert one(spark, S.ordinal(F.col("a")), [("7",), ("x",)], "a string") == [7, 1 << 30]
     assert one(spark, S.json_object_in(F.col("a")), [('```json\n{"a": {"b": 1}}\n```',), ("none",)], "a string") == ['{"a": {"b": 1}}', None]
-    assert one(spark, S.soft_transition(F.col("a")), [("Fade out",), ("hard cut",), ("",), (None,)], "a string") == [True, False, False, False]
+    assert one(spark, S.hard_cut(F.col("a")), [("叠化",), ("硬切",), ("叠化后硬切",), ("推镜",), ("",), (None,)], "a string") == [False, True, False, False, True, True]
     assert one(spark, S.display_width(F.col("a")), [("ab",), ("中文a",)], "a string") == [2, 5]
     assert one(spark, S.normal_box(F.col("a")), [([0.9, 0.8, 0.1, 0.2],), ([0.1, 0.1, 0.1, 0.5],), ([100.0, 50.0, 0.0, 0.0],)], "a array<double>") == [[0.1, 0.2, 0.9, 0.8], None, [0.0, 0.0, 1.0, 0.5]]
     assert one(spark, F.round(S.saturation(F.col("a")), 4), [("#ff0000",), ("#808080",)], "a string") == [1.0, 0.0]
@@ -116,8 +116,14 @@ def test_allocator():
 
 
 def test_line_segmentation_cuts_hard_and_at_gaps():
-    assert max(W.segment_chars([(i * 0.1, i * 0.1 + 0.1, False) for i in range(60)])) == 2
-    assert W.segment_chars([(0.0, 0.1, False), (1.0, 1.1, False)]) == [0, 1]
+    flat = lambda marks: [(i * 0.1, i * 0.1 + 0.1, i in marks, i in marks) for i in range(60)]
+    assert W.segment_chars(flat({59})).count(0) == 27  # no break before the end: cut hard
+    assert W.segment_chars(flat(set())).count(0) == 18  # no break at all: anywhere
+    assert W.segment_chars(flat({7, 59})).count(0) == 8 and W.segment_chars(flat({3, 59})).count(0) == 27
+    words = [(i * 0.1, i * 0.1 + 0.1, False, i in {5, 19}) for i in range(40)]
+    assert W.segment_chars(words).count(0) == 20
+    assert W.segment_chars([(0.0, 0.1, False, False), (1.0, 1.1, False, False)]) == [0, 1]
+    assert W.segment_chars([(0.0, 0.1, False, False), (1.0, 1.1, False, True)]) == [0, 0]  # a pause waits for a legal place
 
 
 def test_dp_vectors():
@@ -130,7 +136,8 @@ def test_dp_vectors():
 def test_water_fill():
     assert P.water_fill(8, [30, 2]) == [6.0, 2.0]
     assert P.water_fill(10, [1, 1, 1]) == [3.4, 3.3, 3.3]
-    assert P.water_fill(25, [2, 2, 2, 2, 40]) == [4.8, 4.8, 4.8, 4.8, 5.8] or abs(sum(P.water_fill(25, [2, 2, 2, 2, 40])) - 25) < 1e-9
+    assert P.water_fill(25, [2, 2, 2, 2, 40]) == [4.8, 4.8, 4.8, 4.8, 5.8]
+    assert P.water_fill(1.0, [1, 1, 1, 1]) == [0.4, 0.2, 0.2, 0.2] and min(P.water_fill(20, [1] * 60)) > 0
 
 
 def test_redistribution(spark):
@@ -141,6 +148,7 @@ def test_redistribution(spark):
 
 def test_deal_sentences():
     assert [sum(map(len, g)) for g in P.deal_sentences(["aaaaa", "bbb", "cccccccc", "dddd"], 2)] == [16, 4]
+    assert P.deal_sentences(["a", "b", "cccccccccc"], 3) == [["a"], ["b"], ["cccccccccc"]] and P.deal_sentences([], 3) == []
 
 
 def test_wrap_keeps_text_and_width():
@@ -200,13 +208,31 @@ def test_lines_and_cues_take_every_turn_whole(spark, tmp_path):
     for r in QUERIES["timed_lines"][0](spark, str(tmp_path)).collect():
         got.setdefault((r["conv_id"], r["turn"]), {})[r["line_no"]] = r["n"]
     for c, k, text in rows:
-        lines = W.segment_chars([(i * 0.1, (i + 1) * 0.1, x in " ,") for i, x in enumerate(text)])
+        last = len(text) - 1
+        marks = [(x == "," or i == last, x in " ," or i == last or text[i + 1] == " ") for i, x in enumerate(text)]
+        lines = W.segment_chars([(i * 0.1, (i + 1) * 0.1, *m) for i, m in enumerate(marks)])
         assert got[c, k] == {n: lines.count(n) for n in set(lines)}
     cues = {(r["conv_id"], r["turn"]): r["cue"] for r in QUERIES["srt_cues_whole"][0](spark, str(tmp_path)).collect()}
     want = "2\n00:00:05,000 --> 00:00:09,500\n" + "x" * 60 + "\n"
     assert cues[1, 1] == hashlib.md5(want.encode()).hexdigest()
 
 
+def test_monotone_chain_takes_the_earliest_links():
+    rng = random.Random(1)
+    for _ in range(500):
+        pairs = sorted((rng.randrange(8), rng.randrange(8)) for _ in range(rng.randrange(1, 12)))
+        size, link = [], []
+        for i, (_, y) in enumerate(pairs):
+            before = [j for j in range(i) if pairs[j][1] <= y]
+            link.append(max(before, key=lambda j: (size[j], -j), default=-1))
+            size.append(1 + (size[link[-1]] if before else 0))
+        at, want = size.index(max(size)), []
+        while at >= 0:
+            want.append(pairs[at])
+            at = link[at]
+        assert M.monotone_chain(pairs) == want[::-1]
+
+
 def test_monotone_chain():
     assert M.monotone_chain([(1, 10), (2, 50), (3, 11), (4, 12), (5, 12), (6, 3)]) == [(1, 10), (3, 11), (4, 12), (5, 12)]
 
