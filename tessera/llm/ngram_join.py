@@ -535,7 +535,7 @@ def class_degrees(links: DataFrame, long_: DataFrame, labels: DataFrame, sets: D
 
 
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id and n_class_links (the number of other classes it is linked with) of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class_id (the smallest doc_id with an equal set) and n_class_links (the number of other classes it is linked with) of every document."""
     return _components(docs, n, percent, True, **options)
 
 
@@ -552,15 +552,15 @@ def _components(docs: DataFrame, n: int = 5, percent: int = 75, count_links: boo
     linked = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id").join(degree, "class_id", "left")
     named = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     linked = linked.join(named, "component").select("class_id", "component_id", "n_class_links")
-    every = classes.join(linked, "class_id", "left").select("class_id", "copies", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
+    every = classes.join(linked, "class_id", "left").select("class_id", "copies", "first_doc", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"))
     every = materialize(every, "named-classes")
     # classes of very many copies, 100,000 of them at most, are sent to the copies; the copies of all others meet their class
     many = F.col("copies") > max(hot_copies, (classes.agg(F.sum("copies").alias("n")).first()["n"] or 0) // 100_000)
     hot, cold = (every.filter(x).drop("copies") for x in (many, ~many))
     sent = full.join(F.broadcast(hot), "class_id", "left")
     rest = sent.filter("n_class_links is null").select("doc_id", "size", "class_id").join(cold, "class_id")
-    told = sent.filter("n_class_links is not null").unionByName(rest).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "class_id", "n_class_links")
-    empty = members.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("class_id"), F.lit(0).cast("long").alias("n_class_links"))
+    told = sent.filter("n_class_links is not null").unionByName(rest).select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("first_doc").alias("class_id"), "n_class_links")
+    empty = members.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_class_links"))
     return told.unionByName(empty)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import oracles
 from tessera.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +71,7 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.warc import archive_pages
 
     index = archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "range_no", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can say: all but the spans of the method's own kinds."""
+    return op6_secret_scan(spark, sf_dir).drop("spans")
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can say: all but the trees' score and verdict."""
+    return op10_quality_rules(spark, sf_dir).drop("tree_score", "kept")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -111,8 +122,10 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_chat_turns": op9_chat_turns,
         "op10_quality_rules": op10_quality_rules,
+        "secret_base_spans": secret_base_spans,
+        "quality_rule_counts": quality_rule_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_turns": OP9_SQL}
+    return {"op1_ngram_jaccard": oracles.OP1, "op5_decontamination": oracles.OP5, "op7_warc_index": oracles.OP7, "secret_base_spans": oracles.SECRET_BASE, "quality_rule_counts": oracles.RULE_COUNTS}

@@ -1,20 +1,24 @@
 """WARC archives with revisit records, and a merged index of all captures.
 
 ``write_archive`` finds equal payloads by their SHA-1 digest, writes a response record
-for one capture of each and revisit records for the others, one archive file per task.
+for one capture of each and revisit records for the others, in archive files of about 64 MB.
 ``read_archive`` reads the files back. ``capture_index`` is the external index merge:
-each archive file yields a run of index entries sorted by URL key and timestamp; the
-runs are dealt out by ranges of (URL key, timestamp, record), and each range merges
-the k runs that reach it with a loser tree. The ranges in order are the captures of
-the whole archive in order. A URL captured very often is split over ranges, as the
-timestamp and the record id are part of the range key.
+each archive file yields a run of index entries, sorted by URL key and timestamp, and the runs
+are written. They are then dealt out by ranges of (URL key, timestamp, record) of about
+``range_rows`` entries, and each range merges with a loser tree the sorted stretches that reach
+it. Nothing is sorted again: a shuffle delivers each run's part as it was written, so a new
+stretch begins only where an entry is smaller than the one before. The ranges in order, with the
+number of entries before each, give every capture its place in the whole archive. A URL
+captured very often is split over ranges, as the timestamp and the record id are part of the key.
 
 Records are plain WARC/1.1, one after the other. The text sink writes a task's record
 chunks byte by byte; each chunk leaves its last line feed to the sink.
 
 Defined results: a null html is an empty payload; null url and page_id are written as
 empty fields and read back as null; where rows repeat the winning page_id, each of
-them is a response; an empty table writes no records.
+them is a response, and equal entries keep the order of their files; a very long html is one
+record of its own chunk; columns other than page_id, url and html, however they are called, are
+ignored; an empty table writes no records.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shared_dir
+from tessera.llm.common import materialize, rows_of, shared_dir, tidy
 
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 RECORD = "page_id long, url string, urlkey string, date string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
@@ -78,11 +82,12 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
         at = end + 4
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes: int = 16 << 20, broadcast_copies: int = 300_000) -> None:
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes: int = 8 << 20, file_chunks: int = 8, broadcast_copies: int = 300_000) -> None:
     """Write page_id, url, html as WARC files; payloads of at least least_bytes are stored once.
 
     The digests that occur more than once are broadcast up to broadcast_copies of them (20 MB),
-    so that payloads stay where they were read; beyond, both sides are shuffled.
+    so that payloads stay where they were read; beyond, both sides are shuffled. A file is closed
+    after file_chunks chunks, so the largest is about as large as its chunks, or as its largest record.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload").cast("long"))
@@ -113,7 +118,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes
         if out:
             yield chunk()
 
-    kinds.mapInArrow(write, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.text(path)
+    kinds.mapInArrow(tidy(write), "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("maxRecordsPerFile", file_chunks).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +131,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, data in rows_of(batch, 1):
                 rows = []
                 for head, block, offset, length in records_of(data):
                     if (kind := head["WARC-Type"]) == "revisit":
@@ -140,7 +145,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 for lo in range(0, len(rows), 5000):
                     yield _records(rows[lo : lo + 5000])
 
-    return files.mapInArrow(read, RECORD)
+    return files.mapInArrow(tidy(read), RECORD)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -185,31 +190,35 @@ class LoserTree:
             self.winner = run
 
 
-def capture_index(records: DataFrame, ranges: int | None = None) -> DataFrame:
-    """All captures in one order: records with range_no and position; (range_no, position) orders by URL key, timestamp and page_id."""
-    spark = records.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def sorted_stretches(rows: Iterator[tuple]) -> list[list[tuple]]:
+    """The rows (key, ...) cut wherever a key is smaller than the one before."""
+    out: list[list[tuple]] = []
+    for row in rows:
+        if out and out[-1][-1][0] <= row[0]:
+            out[-1].append(row)
+        else:
+            out.append([row])
+    return out
+
+
+def capture_index(records: DataFrame, range_rows: int = 50_000) -> DataFrame:
+    """records, which must be cheap to read twice (a written table), with position: each capture's place in the order of URL key, timestamp and page_id, from 0."""
+    ranges = max(1, -(-records.count() // range_rows))
     names = [f.split()[0] for f in RECORD.split(", ")]
+    at = {n: i for i, n in enumerate(names)}
     dealt = records.select(*names).repartitionByRange(ranges, *[F.col(c).asc_nulls_first() for c in (*INDEX_KEYS, "file", "offset")])
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in rows_of(batch, 5000):
+                page_id = row[at["page_id"]]
+                yield (row[at["urlkey"]], row[at["date"]], page_id is not None, page_id or 0, row[at["file"]], row[at["offset"]]), row
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        where = TaskContext.get().partitionId()
-        runs: dict[str, list[tuple]] = {}
-        at = {n: i for i, n in enumerate(names)}
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                page_id = row[at["page_id"]]
-                key = (row[at["urlkey"]], row[at["date"]], page_id is not None, page_id or 0, row[at["file"]], row[at["offset"]])
-                runs.setdefault(row[at["file"]], []).append((key, row))
-        merging = []
-        for run in runs.values():
-            if any(a[0] > b[0] for a, b in zip(run, run[1:], strict=False)):
-                run.sort(key=lambda e: e[0])  # the shuffle mixed the run's blocks
-            merging.append(run)
-        n, out = 0, []
-        for _, row in LoserTree(merging):
+        where, n, out = TaskContext.get().partitionId(), 0, []
+        for _, row in LoserTree(sorted_stretches(keyed(batches))):
             out.append((*row, where, n))
             n += 1
             if len(out) == 5000:
@@ -220,9 +229,15 @@ def capture_index(records: DataFrame, ranges: int | None = None) -> DataFrame:
 
     def _indexed(rows: list[tuple]) -> pa.RecordBatch:
         body = _records([r[:-2] for r in rows])
-        return pa.RecordBatch.from_arrays([*body.columns, pa.array([r[-2] for r in rows], pa.int32()), pa.array([r[-1] for r in rows], pa.int64())], names=[*names, "range_no", "position"])
-
-    return dealt.mapInArrow(merge, f"{RECORD}, range_no int, position long")
+        return pa.RecordBatch.from_arrays([*body.columns, pa.array([r[-2] for r in rows], pa.int32()), pa.array([r[-1] for r in rows], pa.int64())], names=[*names, "range_no", "place"])
+
+    merged = materialize(dealt.mapInArrow(tidy(merge), f"{RECORD}, range_no int, place long"), "merged")
+    # one row per range of range_rows captures
+    sizes = merged.groupBy("range_no").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("range_no", before.alias("_before"))
+    starts = F.broadcast(starts) if ranges <= 500_000 else starts
+    return merged.join(starts, "range_no").select(*names, (F.col("_before") + F.col("place")).alias("position"))
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -134,8 +134,10 @@ def test_archive_round_trip_and_order(spark):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record_type string")
     for least, most in ((0, 0), (5, 1000)):
         path = shared_dir(spark, "test-warc")
-        warc.write_archive(pages.repartition(4), path, least, broadcast_copies=most)
-        index = warc.capture_index(warc.read_archive(spark, path), ranges=5).orderBy("range_no", "position").collect()
+        warc.write_archive(pages.repartition(4), path, least, chunk_bytes=2000, file_chunks=2, broadcast_copies=most)
+        assert len(spark.read.format("binaryFile").load(path).select("path").collect()) > 4  # files are closed and go on in others
+        index = warc.capture_index(warc.read_archive(spark, path), range_rows=25).orderBy("position").collect()
+        assert [r["position"] for r in index] == list(range(len(rows)))
         top = {}
         for d, _, h in rows:
             if d is not None:
@@ -149,6 +151,7 @@ def test_archive_round_trip_and_order(spark):
         keys = [(r["urlkey"], r["date"], r["page_id"] is not None, r["page_id"] or 0) for r in index]
         assert keys == sorted(keys)
     assert warc.archive_pages(pages.limit(0)).count() == 0
+    assert warc.sorted_stretches(iter([(1,), (2,), (2,), (1,), (3,), (0,)])) == [[(1,), (2,), (2,)], [(1,), (3,)], [(0,)]]
 
 
 @given(st.lists(st.lists(st.integers(0, 20)), max_size=9))
