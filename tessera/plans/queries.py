@@ -576,10 +576,10 @@ def wrap_screens(spark, d):
 
 
 @query(r"""
-WITH RECURSIVE x AS (SELECT conv_id, turn, string_split(text, '') AS c, length(text) AS n FROM conversations WHERE length(text) > 0),
-k AS (SELECT *, list_transform(range(1, n + 1), lambda i: regexp_matches(c[i], '[,，.。!！?？;；:：、…]') OR i = n) AS pu, list_transform(range(1, n + 1), lambda i: CASE WHEN unicode(c[i]) > 11903 THEN 2 WHEN regexp_matches(c[i], '[\p{L}\p{N}]') THEN 1 END) AS kd,
-  list_transform(range(1, n + 1), lambda i: pu[i] OR regexp_matches(c[i], '\s') OR coalesce(regexp_matches(c[i + 1], '\s'), false) OR coalesce(kd[i] != kd[i + 1], false)) AS br FROM x),
-z AS (SELECT conv_id, turn, n, list_filter(range(1, n + 1), lambda i: pu[i]) AS pus, list_filter(range(1, n + 1), lambda i: br[i]) AS brs FROM k),
+WITH RECURSIVE u AS (SELECT conv_id, turn, length(text) AS n, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS ch FROM conversations WHERE length(text) > 0),
+v AS (SELECT *, lead(ch) OVER (PARTITION BY conv_id, turn ORDER BY i) AS nx FROM u),
+k AS (SELECT *, regexp_matches(ch, '[,，.。!！?？;；:：、…]') OR nx IS NULL AS pu, CASE WHEN unicode(ch) > 11903 THEN 2 WHEN regexp_matches(ch, '[\p{L}\p{N}]') THEN 1 END AS kd, CASE WHEN unicode(nx) > 11903 THEN 2 WHEN regexp_matches(nx, '[\p{L}\p{N}]') THEN 1 END AS kx FROM v),
+z AS (SELECT conv_id, turn, n, list(i) FILTER (pu) AS pus, list(i) FILTER (pu OR regexp_matches(ch, '\s') OR coalesce(regexp_matches(nx, '\s'), false) OR coalesce(kd != kx, false)) AS brs FROM k GROUP BY 1, 2, 3),
 r AS (SELECT conv_id, turn, n, pus, brs, 0::BIGINT AS line, 0::BIGINT AS a, least(n, 0 + 27, coalesce(list_min(list_filter(pus, lambda x: x >= 0 + 6)), n), coalesce(list_min(list_filter(brs, lambda x: x >= 0 + 18)), n)) AS b FROM z UNION ALL SELECT conv_id, turn, n, pus, brs, line + 1, b, least(n, b + 27, coalesce(list_min(list_filter(pus, lambda x: x >= b + 6)), n), coalesce(list_min(list_filter(brs, lambda x: x >= b + 18)), n)) FROM r WHERE b < n)
 SELECT conv_id, turn, line::INT AS line_no, b - a AS n, round(a * 0.1, 4) AS start, round(b * 0.1, 4) AS "end" FROM r""")
 def timed_lines(spark, d):
