@@ -6,18 +6,21 @@ Each distinct word of a text becomes a Levenshtein automaton, whose states are (
 read, edits left), and is intersected with the trie: both advance letter by letter, and a
 branch is left as soon as no state can go on. So misspelled
 terms (one edit in terms of five letters or more) are found without a list of
-misspellings. A word that neither begins with the first half of a term nor ends with its second half
+misspellings; two neighbouring letters swapped are one edit too. A word that neither begins with the first half of
+a term (as it is, or with the letters at the middle swapped) nor ends with its second half
 is more than one edit away from it, and skips the automaton.
 
 Each hit is weighed by its window of words: quotation marks around it and words of
-reporting (learnt like the lexicon from clean documents with hits; quotation marks are
-given) speak for a quotation, other hits nearby for abuse. A logistic model over these
+reporting speak for a quotation, other hits nearby for abuse. Words of reporting are learnt too
+(``learn_reporting``): those that stand in the windows of hits in clean documents far more often than in toxic ones;
+where clean documents never hold a term, there are none. A logistic model over these
 scores, fitted on the same bounded sample, gives the document's score.
 
 Defined results: a null or empty text has no hits and gets the score of a text without
-hits; rows that repeat are scored alike; without toxic labels in the training rows the
+hits; a very long text is read whole, and a very long word is one word; rows that repeat are scored alike; without toxic labels in the training rows the
 lexicon is empty and every score is the share of toxic labels; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns, however they are called, are ignored by score_toxicity and kept by score_with, but for
+its own toxicity_score and toxicity_hits.
 """
 
 from __future__ import annotations
@@ -69,6 +72,8 @@ class Trie:
                 half = len(term) // 2
                 near = {len(term) - 1, len(term), len(term) + 1}
                 t.heads.setdefault(term[:half], set()).update(near)
+                # letters swapped across the middle leave neither half as it was
+                t.heads.setdefault(term[: half - 1] + term[half], set()).add(len(term))
                 t.tails.setdefault(term[half:], set()).update(near)
                 sizes |= {half, len(term) - half}
         t.sizes = tuple(sorted(sizes))
@@ -108,6 +113,8 @@ class Trie:
             if left:
                 if i < n:
                     stack.append((node, i + 1, left - 1))  # a letter too many
+                if i + 1 < n and (child := node.get(word[i + 1])) is not None and (child := child.get(word[i])) is not None:
+                    stack.append((child, i + 2, left - 1))  # two letters swapped
                 for ch, child in node.items():
                     if ch:
                         stack.append((child, i, left - 1))  # a letter left out
@@ -175,17 +182,45 @@ class Scorer:
         return [np.log1p(kinds["exact"]), np.log1p(kinds["fuzzy"]), np.log1p(kinds["stem"]), np.log1p(1000 * n / len(words)), clustered / n, quoted / n, np.log1p(n - quoted), np.log1p(len({t for *_, t in found}))]
 
 
+def learn_reporting(rows: DataFrame, model: ToxicityModel, least_docs: int = 3, times: float = 3.0) -> frozenset[str]:
+    """Words in the windows around hits, without the terms themselves, that stand there in at least least_docs clean documents of rows (text, y), and in a share of them so many times that of the toxic ones with hits."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        w = shared.value.window
+        for batch in batches:
+            found: Counter = Counter()
+            for text, y in rows_of(batch):
+                hits, words = scorer.hits(text)
+                at = {i for i, *_ in hits}
+                if at:
+                    around = {k for i in at for k in range(max(0, i - w), min(len(words), i + w + 1))} - at
+                    found.update({(p, y) for k in around if (p := plain(words[k]))} | {("", y)})
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "y", "n"])
+
+    counts = rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(tidy(near), "word string, y int, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
+    counts = materialize(counts, "near-hits")
+    total = counts.filter("word = ''").first()
+    if total is None or not total["c"]:
+        return frozenset()
+    share = lambda n, of: (n + 0.5) / (of + 1)
+    kept = counts.filter((F.col("word") != "") & (F.col("c") >= least_docs) & (share(F.col("c"), total["c"]) >= times * share(F.col("t"), total["t"])))
+    return frozenset(r["word"] for r in kept.select("word").collect())
+
+
 def _units(text: str | None) -> set[str]:
     """Distinct words of a text, and their beginnings marked with a star."""
     words = {p for x in (text or "").split() if (p := plain(x)) and not p.isdigit()}
     return words | {x[:k] + "*" for x in words for k in STEMS if len(x) > k}
 
 
-def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3, least_weight: float = 8.0) -> list[tuple[str, bool]]:
+def learn_lexicon(rows: DataFrame, least_docs: int = 3, least_weight: float = 8.0) -> list[tuple[str, bool]]:
     """Terms that toxic documents of rows (text, y) use far more often than others.
 
     A unit's weight is the logarithm of how many times more often, times the root of its toxic
-    documents; least_weight leaves out what chance would put there. Counting runs in Spark with partial counts per task; at most most_terms rows reach the driver.
+    documents; least_weight leaves out what chance would put there. Counting runs in Spark with partial counts per task; the units that are left reach the driver, and
+    are bounded by the sample's size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +241,7 @@ def learn_lexicon(rows: DataFrame, most_terms: int = 2000, least_docs: int = 3,
     p_t, p_c = (F.col("t") + 0.5) / (toxic + 1), (F.col("c") + 0.5) / (clean + 1)
     weight = F.log(p_t / p_c) * F.sqrt("t")
     # in one toxic document of fifty or more, and at least ten times as often as in clean ones
-    kept = counts.filter((F.col("t") >= max(least_docs, toxic // 50)) & (p_t >= 10 * p_c)).withColumn("weight", weight).filter(F.col("weight") >= least_weight).orderBy(F.desc("weight"), "unit").limit(most_terms)
+    kept = counts.filter((F.col("t") >= max(least_docs, toxic // 50)) & (p_t >= 10 * p_c)).withColumn("weight", weight).filter(F.col("weight") >= least_weight)
     units = [(r["unit"], r["t"], r["c"]) for r in kept.select("unit", "t", "c").collect()]
     stems = {u[:-1] for u, *_ in units if u.endswith("*")}
     # the shortest stem says it all; a word that a stem covers isn't needed either unless it is as strong alone
@@ -243,6 +278,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, in_fold: Column, target: st
     chosen = F.broadcast(known) if most_labels <= broadcast_rows else known
     rows = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y"), "toxic-sample")
     model = ToxicityModel(learn_lexicon(rows))
+    model.reporting = learn_reporting(rows, model)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

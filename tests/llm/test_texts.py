@@ -199,13 +199,14 @@ def test_pu_learning_separates():
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """Letters changed, left out, put in, or swapped with their neighbour."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 @given(st.text("abcd", max_size=8), st.lists(st.text("abcd", min_size=5, max_size=7), min_size=1, max_size=6))
@@ -238,6 +239,27 @@ def scored_tables(spark):
     return spark.createDataFrame(docs, awkward(spark).schema).unionByName(awkward(spark).withColumn("doc_id", F.col("doc_id") + 10_000)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_reporting_words_are_learnt_and_tell_reports_from_abuse(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        w, term = prose(rng, 40).split(), rng.choice(["grumbleton", "snarfwick", "bogbrain"])
+        if i % 6 == 0:
+            w[10:10] = [term, term]
+        elif i % 15 == 1:
+            w[10:10] = ["witness", "testified", "someone", "shouted", term, "at", "him"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert {"witness", "testified", "shouted"} <= model.reporting and not {t for t, _ in model.terms} & model.reporting
+    calm = prose(rng, 30)
+    probes = spark.createDataFrame([(1, f"{calm} grumbleton {calm}"), (2, f"{calm} witness testified someone shouted grumbleton {calm}"), (3, calm)], "doc_id long, text string")
+    score = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score_with(probes, model).collect()}
+    assert score[1] > 2 * score[2] and score[1] > 0.3 > score[2] and score[3] < 0.3
+    assert toxicity.Scorer(model).hits("grmubleton")[0][0][1:] == ("fuzzy", "grumbleton")
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = scored_tables(spark)
     out = toxicity.score_toxicity(docs, labels, F.col("doc_id") % 4 == 2)
