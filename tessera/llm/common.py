@@ -25,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is empty (a plain local session) the session's own
-    checkpoint directory is used, and set under the warehouse if there is none.
+    Where the setting is empty the session's own checkpoint directory is used. If there is none, a local session
+    gets one under its warehouse; on a cluster that could be one machine's folder, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"

@@ -570,11 +570,12 @@ def keep_one_per_component(docs: DataFrame, broadcast_ids: int = 1_000_000, **op
     Up to ``broadcast_ids`` ids of documents that go are broadcast, so that the texts stay where
     they are read; more of them are joined by a shuffle.
 
-    Rows that repeat both doc_id and text count as one document. Rows with a null doc_id
-    can't be named and all stay.
+    Rows that repeat both doc_id and text count as one document. Rows that share a doc_id with different texts go
+    only if each of them is a copy of another document. Rows with a null doc_id can't be named and all stay. Null and
+    empty texts are no copies of anything; columns are kept as they are, however they are called; an empty table stays empty.
     """
     found = materialize(_components(docs, count_links=False, **options).select("doc_id", "component_id"), "components")
-    gone = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    gone = materialize(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy")).filter("copy").select("doc_id"), "gone")
     if gone.count() <= broadcast_ids:
         gone = F.broadcast(gone)
     one = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

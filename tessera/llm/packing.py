@@ -17,7 +17,8 @@ run. The result equals best-fit decreasing over single pieces.
 Defined results: a null text is the empty text (the end id only); a text longer
 than the capacity is cut from its end into full pieces, so the first may be shorter;
 rows that repeat a doc_id are packed each on its own; ties are ranked by a hash and
-then by the key columns; an empty table packs into nothing.
+then by the key columns; a very long word is tokenized whole like any other; columns of documents other than doc_id and
+text, however they are called, are ignored; an empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -112,18 +113,26 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...]
     """pieces with sequence_id and offset; all other columns are carried along.
 
     pieces must be cheap to read twice (a written table). bucket_rows bounds the
-    rows ranked in one group.
+    rows ranked in one group. Columns called sequence_id and offset are replaced, all others kept.
     """
+    spark, names = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    inner = {c: c if c == "length" else f"c{i}" for i, c in enumerate(names)}
+    packed = _best_fit(pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()]), capacity, tuple(inner[k] for k in keys), bucket_rows)
+    return packed.toDF(*names, "sequence_id", "offset")
+
+
+def _best_fit(pieces: DataFrame, capacity: int, keys: tuple[str, ...], bucket_rows: int) -> DataFrame:
     spark = pieces.sparkSession
     fits = F.col("length").between(1, capacity)
     hist = {r["length"]: r["n"] for r in pieces.filter(fits).groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan(hist, capacity)
     buckets = max(16, -(-max(hist.values(), default=1) // bucket_rows))
-    salted = pieces.filter(fits).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    # null keys are told apart by what else the rows hold
+    tie = [c for c in pieces.columns if c not in keys and dict(pieces.dtypes)[c] != "binary"]
+    salted = pieces.filter(fits).withColumn("_bucket", F.pmod(F.xxhash64(*keys, *tie), F.lit(buckets)).cast("int"))
     # at most capacity * buckets rows
     per = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     base = per.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    tie = [c for c in pieces.columns if c not in keys and dict(pieces.dtypes)[c] != "binary"]
     w = Window.partitionBy("length", "_bucket").orderBy(*keys, *tie)
     ranked = salted.withColumn("_rank", F.row_number().over(w) - 1).join(base, ["length", "_bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("_rank") + F.col("_base")).cast("long").alias("_rank"))

@@ -196,6 +196,7 @@ def test_pu_learning_separates():
     mixed = np.vstack((rng.normal(1, 1, (1500, 6)), rng.normal(-1.5, 1, (500, 6))))
     m = quality.fit_pu(pos, mixed, 0.75, mixed.mean(0), mixed.std(0))
     assert (m.score(pos) > 0.5).mean() > 0.95 and (m.score(neg) < 0.5).mean() > 0.9
+    assert quality.estimate_prior(pos, mixed, np.ones(2000), mixed.mean(0), mixed.std(0)) == pytest.approx(0.75, abs=0.06)
 
 
 def edits(a, b):
