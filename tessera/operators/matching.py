@@ -41,9 +41,12 @@ def candidates_of(items: DataFrame, known: DataFrame, key: str, choices: str, ch
 
 def char_grams(df: DataFrame, keys: list[str], text: Column, at: Column, n: int) -> DataFrame:
     """keys, i, gram, t: the character n-grams of a text, with the time of their first character (at: array<double>, one per character)."""
-    have = F.length(text) - n + 1
-    grams = F.transform(F.sequence(F.lit(0), have - 1), lambda i: F.struct(i.alias("i"), F.substring(text, i + 1, F.lit(n)).alias("gram"), F.element_at(at, i + 1).alias("t")))
-    return df.filter(have > 0).select(*keys, F.explode(grams).alias("g")).select(*keys, "g.i", "g.gram", "g.t")
+    # the one-row explode keeps the arrays from being worked out anew for each n-gram
+    x = df.select(*keys, F.explode(F.array(F.struct(F.filter(F.split(text, ""), lambda c: c != "").alias("ch"), at.alias("at")))).alias("x"))
+    have = F.greatest(F.size("x.ch") - n + 1, F.lit(0))
+    side = F.arrays_zip(*[F.slice("x.ch", k + 1, have).alias(f"c{k}") for k in range(n)], F.slice("x.at", 1, have).alias("t"))
+    grams = F.transform(side, lambda v, i: F.struct(i.alias("i"), F.concat(*[v[f"c{k}"] for k in range(n)]).alias("gram"), v["t"].alias("t")))
+    return x.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.i", "g.gram", "g.t")
 
 
 def ngram_votes(queries: DataFrame, stream: DataFrame, query: list[str], source: list[str], pace: float = 0.12) -> DataFrame:
