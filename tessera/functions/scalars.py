@@ -94,7 +94,7 @@ def strip_marks(text: Column) -> Column:
 
 def sound_effects(text: Column) -> Column:
     """The clauses in round brackets only, joined by a space: what is heard but not spoken."""
-    inside = F.transform(F.regexp_extract_all(text, F.lit(r"[(（]([^)）]*)[)）]"), 1), F.trim)
+    inside = F.transform(F.regexp_extract_all(text, F.lit(r"[(（]([^)）]*)[)）]"), 1), lambda s: F.trim(s))
     return F.array_join(F.filter(inside, lambda x: x != ""), " ")
 
 
@@ -126,7 +126,7 @@ def display_width(text: Column) -> Column:
 def split_sentences(text: Column, commas: bool = False) -> Column:
     """Sentences with their closing mark; blank ones are left out. With commas, clauses."""
     marks = "。！？；…!?;" + ("，,、" if commas else "")
-    return F.filter(F.transform(F.split(text, rf"(?<=[{marks}])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, rf"(?<=[{marks}])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def hex_channels(color: Column) -> tuple[Column, Column, Column]:

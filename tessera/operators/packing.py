@@ -55,7 +55,7 @@ def pack_segments(items: DataFrame, keys: list[str], order: list[str], length: s
             total = float(p[length].iloc[i:j].sum())
             for x in range(i, j):
                 no[x], raw[x] = k, total
-        gen = [int(min(MAX_SEG, max(MIN_SEG, math.floor(r + 0.5)))) for r in raw]
+        gen = [int(min(MAX_SEG, max(MIN_SEG, round(round(r, 6))))) for r in raw]
         return p.assign(segment_no=no, raw_s=raw, gen_s=gen)
 
     return items.groupBy(*keys).applyInPandas(run, schema)

@@ -204,10 +204,10 @@ def eligibility(spark, d):
     return M.demoted(x, "strategy", "choice").select("p_partkey", "can_cut", "cuttable", "strategy", "was")
 
 
-@query("""SELECT event_id, CASE WHEN db <= -45 OR abs(g) < 0.8 THEN 0.0 ELSE g END AS gain FROM (SELECT event_id, db, greatest(-6, least(6, -20 - db)) AS g FROM (SELECT event_id, round(-value / 8, 2) AS db FROM events))""")
+@query("""SELECT event_id, CASE WHEN db <= -45 OR abs(g) < 0.8 THEN 0.0 ELSE round(g, 6) END AS gain FROM (SELECT event_id, db, greatest(-6, least(6, -20 - db)) AS g FROM (SELECT event_id, -value / 8 AS db FROM events))""")
 def loudness_gain(spark, d):
-    x = t(spark, d, "events").select("event_id", F.round(-F.col("value") / 8, 2).alias("db"))
-    return x.select("event_id", S.loudness_gain(F.col("db")).alias("gain"))
+    x = t(spark, d, "events").select("event_id", (-F.col("value") / 8).alias("db"))
+    return x.select("event_id", F.round(S.loudness_gain(F.col("db")), 6).alias("gain"))
 
 
 # Decision tables on facts
@@ -341,7 +341,7 @@ def middle_uncovered(spark, d):
 
 
 @query(f"""
-SELECT user_id, event_id, s < n AND e > n AND least(e, ne) - n >= 0.5 * (e - s) AS mostly FROM (SELECT *, lead(s) OVER w AS n, lead(e) OVER w AS ne FROM {SPANS} WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)) WHERE e > s AND n IS NOT NULL AND n > s""")
+SELECT user_id, event_id, ne <= n OR (e > n AND least(e, ne) - n >= 0.5 * (e - s)) AS mostly FROM (SELECT *, lead(s) OVER w AS n, lead(e) OVER w AS ne FROM {SPANS} WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)) WHERE e > s AND n IS NOT NULL AND n > s""")
 def overlap_share(spark, d):
     """Whether at least half of an event lies inside the next one of its user."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id")

@@ -496,7 +496,7 @@ r AS (SELECT conv_id, ts, ls, so, pre, n, 0::BIGINT AS j, [0.0]::DOUBLE[] AS cos
     'c': round(costs[i + 1] + 1 + CASE WHEN i > 0 AND so[i + 1] THEN 8 ELSE 0 END + CASE WHEN j + 1 < n AND so[j + 2] THEN 8 ELSE 0 END + 3 * greatest(0, 4 - (pre[j + 2] - pre[i + 1])) + 0.3 * (15 - (pre[j + 2] - pre[i + 1])), 8), 'i': i}))[1] AS m FROM r WHERE j < n)),
 b AS (SELECT conv_id, ts, pre, backs, n AS j FROM r WHERE j = n UNION ALL SELECT conv_id, ts, pre, backs, backs[j + 1] FROM b WHERE backs[j + 1] > 0),
 s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY j) - 1 AS segment_no, pre[j + 1] - pre[backs[j + 1] + 1] AS raw FROM b)
-SELECT conv_id, unnest(ts[backs[j + 1] + 1:j]) AS turn, segment_no::INT AS segment_no, round(raw, 4) AS raw_s, least(15, greatest(4, floor(raw + 0.5)))::INT AS gen_s FROM s""")
+SELECT conv_id, unnest(ts[backs[j + 1] + 1:j]) AS turn, segment_no::INT AS segment_no, round(raw, 4) AS raw_s, least(15, greatest(4, round_even(round(raw, 6), 0)))::INT AS gen_s FROM s""")
 def dp_packing(spark, d):
     x = t(spark, d, "conversations").select("conv_id", "turn", F.least(F.lit(15.0), F.greatest(F.lit(0.5), F.round(F.length("text") / 100.0, 1))).alias("length"), (F.col("turn") % 3 == 1).alias("soft"))
     return P.pack_segments(x, ["conv_id"], ["turn"], "length", "soft").select("conv_id", "turn", "segment_no", F.round("raw_s", 4).alias("raw_s"), "gen_s")
