@@ -201,3 +201,15 @@ def nested_violations(df: DataFrame, document: str, most_depth: int = 32) -> Dat
         if level.isEmpty():
             break
     return found
+
+
+def assemble_facts(rows: DataFrame, sources: list[DataFrame], keys: list[str], facts: dict[str, list[str]]) -> DataFrame:
+    """rows with one column per fact: the first filled of its columns, in order, over rows and the sources joined to them; null where none knows.
+
+    Each source has one row per key at most. A column that several hold is told apart by its place: "0.name" is that of the first source.
+    """
+    x = rows
+    for k, source in enumerate(sources):
+        x = x.join(source.select(*keys, *[F.col(c).alias(f"_{k}_{c}") for c in source.columns if c not in keys]), keys, "left")
+    of = lambda c: F.col("_" + c.replace(".", "_", 1)) if c[:1].isdigit() else F.col(c)
+    return x.select(*rows.columns, *[F.coalesce(*[of(c) for c in cs]).alias(name) for name, cs in facts.items()])

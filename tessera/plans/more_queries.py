@@ -625,3 +625,66 @@ def rendered_tables(spark, d):
     """The decision tables as documents: rows and columns of each."""
     rows = [(x.name, len(lines) - 2, lines[0].count("|") - 2) for x in R.TABLES if (lines := x.markdown().split("\n"))]
     return spark.createDataFrame(rows, "name string, n int, fields int")
+
+
+@query("""
+SELECT doc_id, coalesce(quality = 1, n_chars > 1500) AS speech, toxic = 1 AS music, coalesce(s.many, false) AS many FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN (SELECT source, count(*) > 60 AS many FROM documents GROUP BY 1 HAVING source <> 'web') s ON s.source = d.source""")
+def assembled_facts(spark, d):
+    """What labels know first, then what the documents show; sources are counted but for the web's."""
+    docs = t(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") > 1500).alias("long"), F.lit(False).alias("no"))
+    labels = t(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("speech"), (F.col("toxic") == 1).alias("music"))
+    many = docs.groupBy("source").agg((F.count("*") > 60).alias("many")).filter("source <> 'web'")
+    x = R.assemble_facts(docs, [labels], ["doc_id"], {"speech": ["0.speech", "long"], "music": ["0.music"]})
+    return R.assemble_facts(x, [many], ["source"], {"many_": ["0.many", "no"]}).select("doc_id", "speech", "music", F.col("many_").alias("many"))
+
+
+@query("""
+WITH x AS (SELECT user_id, event_id, k, CASE WHEN user_id % 3 = 0 THEN k * 4.0 ELSE k * 10.0 END AS s, CASE WHEN user_id % 3 = 0 THEN k * 4.0 + 6 ELSE k * 10.0 + 5 + event_id % 5 END AS e, CASE WHEN user_id % 3 = 2 THEN 50.0 ELSE n * 10.0 END AS total FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)),
+y AS (SELECT *, e - s AS d, bool_and(s >= 0 AND e > s AND e <= 1.05 * total AND ok) OVER (PARTITION BY user_id) AS trusted FROM (SELECT *, coalesce(s >= lag(e) OVER (PARTITION BY user_id ORDER BY event_id) - 0.05, true) AS ok FROM x)),
+z AS (SELECT *, CASE WHEN abs(sum(d) OVER w - total) > 0.05 * total THEN total / sum(d) OVER w ELSE 1.0 END AS f, sum(d) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM y WINDOW w AS (PARTITION BY user_id))
+SELECT user_id, event_id, CASE WHEN trusted THEN s ELSE round(run * f - d * f, 1) END AS start, CASE WHEN trusted THEN e ELSE round(run * f, 1) END AS "end", trusted FROM z""")
+def trusted_timeline(spark, d):
+    """Spans of every third user overlap, those of another third are too long in all."""
+    w, g = Window.partitionBy("user_id").orderBy("event_id"), Window.partitionBy("user_id")
+    x = t(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("k"), F.count("*").over(g).alias("n"))
+    odd = F.col("user_id") % 3
+    x = x.select("user_id", "event_id", F.when(odd == 0, F.col("k") * 4.0).otherwise(F.col("k") * 10.0).alias("start"), F.when(odd == 0, F.col("k") * 4.0 + 6).otherwise(F.col("k") * 10.0 + 5 + F.col("event_id") % 5).alias("end"), F.when(odd == 2, F.lit(50.0)).otherwise(F.col("n") * 10.0).alias("total"))
+    return I.trusted_timeline(x, ["user_id"], ["event_id"], "total").select("user_id", "event_id", "start", "end", "trusted")
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT user_id, event_type AS key, value / 60 AS need, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, NULL::VARCHAR AS key, 0::BIGINT AS i, 0.0::DOUBLE AS off, 0.0::DOUBLE AS take, false AS wrapped, 0.0::DOUBLE AS cur, []::VARCHAR[] AS ks, []::DOUBLE[] AS os FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL SELECT user_id, key, i, off, take, wrapped, greatest(cur, off + take), CASE WHEN known THEN ks ELSE list_append(ks, key) END, CASE WHEN known THEN os ELSE list_append(os, off) END FROM (
+    SELECT c.user_id, c.key, c.i, r.cur, r.ks, r.os, list_contains(r.ks, c.key) AS known, 30.0 - r.cur >= least(c.need, 1.0) AS fits, CASE WHEN known THEN r.os[list_position(r.ks, c.key)] WHEN fits THEN r.cur ELSE 0.0 END AS off, NOT known AND NOT fits AND r.cur > 0 AS wrapped, greatest(0.4, least(c.need, 30.0 - off)) AS take
+    FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1))
+SELECT user_id, key, round(off, 6) AS "offset", round(take, 6) AS take, wrapped FROM r WHERE i > 0""")
+def stream_allocator(spark, d):
+    """The allocator over a stream of the events, with its cursor and grants as state; the stream's files are read once and the sink is read back."""
+    from tessera.streaming import keyed
+
+    schema = t(spark, d, "events").schema
+    calls = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("user_id", "event_id", F.col("event_type").alias("key"), (F.col("value") / 60).alias("need"))
+    out = keyed.stream_allocator(calls, "user_id", "key", "need", "event_id", 30.0)
+    path = shared_path(spark, "stream")
+    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(path)
+    return got.select("user_id", "key", F.round("offset", 6).alias("offset"), F.round("take", 6).alias("take"), "wrapped")
+
+
+@query("""
+WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, epoch(min(ts)) AS start, epoch(max(ts)) + 3600.0 AS "end", count(*) AS n FROM n GROUP BY user_id, session""")
+def stream_sessions(spark, d):
+    """Sessions of a stream with an hour's gap. Each micro-batch's changed sessions are written, and the last state of each is read back."""
+    from tessera.streaming import keyed
+
+    schema = t(spark, d, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    path = shared_path(spark, "sessions")
+    sessions = keyed.session_windows(e, "user_id", "ts", "1 hour", "60 days")
+    plain = spark.createDataFrame([], sessions.schema)
+    sessions.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(plain.schema).parquet(path)
+    seconds = lambda c: F.unix_micros(c) / 1_000_000
+    return got.select("user_id", seconds("start").alias("start"), seconds("end").alias("end"), "n")

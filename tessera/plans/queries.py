@@ -569,10 +569,24 @@ def window_allocator(spark, d):
     return W.window_allocator(x, "user_id", ["event_id"], "key", "need", "total").select("user_id", "event_id", F.round("offset", 6).alias("offset"), F.round("take", 6).alias("take"), "wrapped")
 
 
-@query(None)
+@query(r"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM conversations),
+r AS (SELECT conv_id, turn, s, length(s) AS n, 0::BIGINT AS i, '' AS line, 0::BIGINT AS used, NULL::VARCHAR AS told FROM x
+  UNION ALL SELECT conv_id, turn, s, n, i + 1, CASE WHEN skip THEN line WHEN inword THEN rest || ch WHEN toomuch THEN ch WHEN closes THEN '' ELSE line || ch END,
+    CASE WHEN skip THEN used WHEN inword THEN coalesce(list_sum(list_transform(string_split(rest, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN unicode(c) > 11903 THEN 2 ELSE 1 END)), 0)::BIGINT + w WHEN toomuch THEN w WHEN closes THEN 0 ELSE used + w END,
+    CASE WHEN inword THEN head WHEN toomuch THEN line WHEN closes THEN line || ch END
+  FROM (SELECT *, substring(s, i + 1, 1) AS ch, CASE WHEN unicode(ch) > 11903 THEN 2 ELSE 1 END AS w, line = '' AND ch IN (' ', '　') AS skip, NOT skip AND used + w > 32 AS toomuch,
+    regexp_extract(line, '(?s)^(.*) [^ ]*$', 1) AS head, regexp_extract(line, '(?s)^.* ([^ ]*)$', 1) AS rest, toomuch AND unicode(ch) < 128 AND NOT regexp_matches(ch, '\s') AND regexp_matches(head, '\S') AS inword,
+    NOT skip AND NOT toomuch AND contains('，。！？；：、,.!?;:', ch) AND used + w >= 0.7 * 32 AS closes FROM r WHERE i < n)),
+l AS (SELECT conv_id, turn, i, 0 AS z, regexp_replace(told, '^\s+|\s+$', '', 'g') AS line FROM r WHERE told IS NOT NULL UNION ALL SELECT conv_id, turn, n, 1, regexp_replace(line, '^\s+|\s+$', '', 'g') FROM r WHERE i = n),
+k AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, z) - 1) // 2 AS screen FROM l WHERE line <> ''),
+m AS (SELECT conv_id, turn, screen, string_agg(line, chr(10) ORDER BY i, z) AS t FROM k GROUP BY 1, 2, 3), w AS (SELECT *, list_sum(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) > 11903 THEN 2 ELSE 1 END)) AS w FROM m),
+v AS (SELECT *, sum(w) OVER (PARTITION BY conv_id, turn) AS whole, sum(w) OVER (PARTITION BY conv_id, turn ORDER BY screen ROWS UNBOUNDED PRECEDING) AS upto FROM w)
+SELECT conv_id, turn, screen::INT AS screen, md5(t) AS shown, round(10.0 * (upto - w) / whole, 6) AS screen_start, round(10.0 * upto / whole, 6) AS screen_end FROM v""")
 def wrap_screens(spark, d):
     x = t(spark, d, "conversations").select("conv_id", "turn", "text", F.lit(0.0).alias("start"), F.lit(10.0).alias("end"))
-    return P.wrap_screens(x, "text", "start", "end").drop("text")
+    y = P.wrap_screens(x, "text", "start", "end")
+    return y.select("conv_id", "turn", "screen", F.md5("screen_text").alias("shown"), F.round("screen_start", 6).alias("screen_start"), F.round("screen_end", 6).alias("screen_end"))
 
 
 @query(r"""
