@@ -13,12 +13,13 @@ A frame (little endian):
 An Elias-Fano list of n values below u takes about n * (2 + log2(u / n)) bits: the
 low bits of each value side by side, and the high bits in unary in one bit vector.
 The position of every 256th set bit is kept (32 bits each), so select(i) reads one
-sample and scans a few bytes; no table of 64-bit offsets exists anywhere.
+sample and scans a few bytes. The reader takes documents 2,000 at a time: the first one's start by select(),
+the others by the same scan going on (part()); no table of a frame's offsets exists anywhere.
 
 Defined results: a null text is the empty text and gets only the end id; rows with
 a null doc_id come first; rows that repeat a doc_id each have their own entry,
-ordered by the text; an empty table gives no files and an empty result; columns
-other than doc_id and text are ignored.
+ordered by the text; a text or word of any length is tokenized whole, and a frame holds one document at least; an empty table
+gives no files and an empty result; columns other than doc_id and text, however they are called, are ignored.
 """
 
 from __future__ import annotations
@@ -100,17 +101,26 @@ class EliasFano:
         one = 8 * at + (byte & -byte).bit_length() - 1
         return (one - i) << self.low_bits | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        if not self.n:
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo to hi - 1: select() for a stretch of neighbours, from the sample before the first to the sample after the last."""
+        if lo >= hi:
             return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        base, until = lo // SAMPLE, (hi - 1) // SAMPLE + 1
+        first = int(self.samples[base])
+        stop = int(self.samples[until]) // 8 + 1 if until < len(self.samples) else len(self.high)
+        ones = 8 * (first // 8) + np.flatnonzero(np.unpackbits(self.high[first // 8 : stop], bitorder="little"))
+        ones = ones[np.searchsorted(ones, first) :][lo - base * SAMPLE : hi - base * SAMPLE]
+        out = (ones - np.arange(lo, hi)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            begin, end = lo * self.low_bits, hi * self.low_bits
+            bits = np.unpackbits(self.low[begin // 8 : (end + 7) // 8], bitorder="little")[begin % 8 :][: end - begin].reshape(hi - lo, self.low_bits)
             out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return out
 
+    def values(self) -> np.ndarray:
+        """All values at once."""
+        return self.part(0, self.n)
+
 
 def frame_bytes(shard: int, number: int, doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
     """One frame; its last byte is a line feed, which the text sink adds."""
@@ -125,7 +135,7 @@ def frame_bytes(shard: int, number: int, doc_ids: list[int | None], lengths: lis
 
 
 def frames_of(data: bytes) -> Iterator[tuple]:
-    """(shard, frame, doc_ids, ends, ids as bytes of u4) of each frame in a file."""
+    """(shard, frame, number of null ids, least doc_id, doc_ids above it, ends, ids) of each frame in a file; doc_ids and ends stay Elias-Fano coded."""
     at = 0
     while at < len(data):
         magic, size, shard, number, n_docs, n_tokens, n_null, least, width = struct.unpack_from(HEAD, data, at)
@@ -134,7 +144,7 @@ def frames_of(data: bytes) -> Iterator[tuple]:
         keys, pos = EliasFano.from_bytes(data, at + struct.calcsize(HEAD))
         ends, pos = EliasFano.from_bytes(data, pos)
         ids = np.frombuffer(data, "<u4" if width == 4 else "<u2", n_tokens, pos)
-        yield shard, number, [None] * n_null + [least + int(x) for x in keys.values()], ends, ids
+        yield shard, number, n_null, least, keys, ends, ids
         at += size
 
 
@@ -190,7 +200,7 @@ def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data in batch.column(0).to_pylist():
+            for (data,) in rows_of(batch, 1):
                 at = 0
                 while at < len(data):
                     _, size, shard, number, _, n_tokens, *_ = struct.unpack_from(HEAD, data, at)
@@ -200,16 +210,17 @@ def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200
 
     def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                for shard, number, keys, ends, ids in frames_of(data):
-                    stops = ends.values().astype(np.int64)
-                    for lo in range(0, len(keys), 2000):
-                        hi = min(lo + 2000, len(keys))
-                        cut = stops[lo:hi]
-                        begin = np.concatenate(([stops[lo - 1] if lo else 0], cut[:-1]))
+            for (data,) in rows_of(batch, 1):
+                for shard, number, n_null, least, keys, ends, ids in frames_of(data):
+                    for lo in range(0, ends.n, 2000):
+                        hi = min(lo + 2000, ends.n)
+                        cut = ends.part(lo, hi).astype(np.int64)
+                        begin = np.concatenate(([ends.select(lo - 1) if lo else 0], cut[:-1]))
+                        known = keys.part(max(0, lo - n_null), max(0, hi - n_null)).astype(np.int64) + least
+                        of = pa.array([None] * (hi - lo - len(known)) + known.tolist(), pa.int64())
                         yield pa.RecordBatch.from_pydict({
                             "shard": pa.array([shard] * (hi - lo), pa.int64()), "frame": pa.array([number] * (hi - lo), pa.int64()),
-                            "doc_id": pa.array(keys[lo:hi], pa.int64()), "local": pa.array(begin, pa.int64()), "n_tokens": pa.array(cut - begin, pa.int64()),
+                            "doc_id": of, "local": pa.array(begin, pa.int64()), "n_tokens": pa.array(cut - begin, pa.int64()),
                             "ids": pa.array([ids[b:e].astype("<u4").tobytes() for b, e in zip(begin.tolist(), cut.tolist(), strict=True)], pa.binary()),
                         })
 

@@ -171,6 +171,16 @@ def test_elias_fano_round_trip(values, shift):
     assert [ef.select(i) for i in range(len(v))] == v.tolist()
 
 
+@given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=900), st.data())
+@settings(max_examples=60, deadline=None)
+def test_elias_fano_parts(values, data):
+    values = sorted(values)
+    ef, _ = token_store.EliasFano.from_bytes(token_store.EliasFano.encode(np.asarray(values, dtype=np.uint64)).to_bytes(), 0)
+    lo = data.draw(st.integers(0, len(values)))
+    hi = data.draw(st.integers(lo, len(values)))
+    assert ef.part(lo, hi).tolist() == values[lo:hi]
+
+
 def test_token_files_round_trip(spark):
     path = shared_dir(spark, "test-tokens")
     enc = WordwiseEncoder(tokenizer_path("word_bpe_49k.json"))
