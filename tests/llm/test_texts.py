@@ -406,3 +406,34 @@ def test_items_without_an_id_and_interleaved_matches(spark):
     assert got[1]["items"] == ["1"] and got[1]["n_hit"] == 12
     assert sorted(got[2]["items"], key=int) == [str(k) for k in range(1, 61)] and got[2]["n_hit"] == 720
     assert len(got[2]["matches"]) == 60 and len(got[3]["matches"]) == 2
+
+
+def brute_links(text, most_lines=12):
+    """Parts with a complementary part in the same paragraph, fewer than most_lines lines away, by trying all pairs."""
+    found = secrets.parts(text)
+    line = lambda s: text.count("\n", 0, s)
+    paragraph = lambda s: sum(m.start() <= s for m in re.finditer(r"\n[ \t\r]*\n", text))
+    near = lambda a, b: paragraph(a[0]) == paragraph(b[0]) and abs(line(a[0]) - line(b[0])) < most_lines
+    return {a for a in found if any((a[2] == "secret") != (b[2] == "secret") and near(a, b) for b in found)}
+
+
+def test_secrets_of_whole_tables_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(r[0], r[1]) for r in awkward_documents()]
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 40)):
+            random_ = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789") for _ in range(40))
+            lines.append(rng.choice(["", prose(rng, 5), prose(rng, 3), f"user_id: u{rng.randrange(999)}", f"key {random_}", "host db1.prod.internal:5432", "password=hunter2222", "AKIA" + random_.upper()[:16]]))
+        rows.append((7000 + i, "\n".join(lines)))
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, secret_spans string")
+    got = secrets.find_secrets(docs)
+    assert got.columns == ["doc_id", "text", "secret_spans"]
+    linked = 0
+    for r in got.collect():
+        mine = {(s["start"], s["end"], s["kind"]) for s in r["secret_spans"]}
+        want = brute_links(r["text"] or "")
+        assert {s for s in mine if s[2] in ("secret", "id", "endpoint")} == want
+        linked += len(want)
+    assert linked > 100
+    assert secrets.find_secrets(empty(spark)).count() == 0
