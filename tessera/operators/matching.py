@@ -101,17 +101,15 @@ def monotone_chain(pairs: list[tuple[float, float]]) -> list[tuple[float, float]
 
 
 def anchor_chain(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, x, y of the longest monotone chain of each pair of sources; a group holds one pair's few anchors."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys, x, y).schema)
+    """keys, x, y of the longest monotone chain of each pair of sources, whose few anchors come together as two arrays."""
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = monotone_chain(list(zip(pdf[x], pdf[y], strict=True)))
-        out = pd.DataFrame(kept, columns=[x, y])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, x, y]]
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def chain(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": a, "y": b} for a, b in monotone_chain(list(zip(p, q, strict=True)))] for p, q in zip(xs, ys, strict=True)])
 
-    return pairs.select(*keys, x, y).groupBy(*keys).applyInPandas(chain, schema)
+    rows = pairs.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).alias("_p"))
+    kept = rows.select(*keys, F.explode(chain(F.transform("_p", lambda p: p["x"]), F.transform("_p", lambda p: p["y"]))).alias("_c"))
+    return kept.select(*keys, F.col("_c.x").cast(pairs.schema[x].dataType).alias(x), F.col("_c.y").cast(pairs.schema[y].dataType).alias(y))
 
 
 def anchor_map(ref: DataFrame, src: DataFrame, ref_id: list[str], src_id: list[str], **options) -> DataFrame:

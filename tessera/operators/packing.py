@@ -44,21 +44,30 @@ def dp_segments(lengths: list[float], soft: list[bool], most: float = MAX_SEG, l
     return list(pairwise(reversed(bounds)))
 
 
+def _in_order(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys and _rows, the group's rows as an array of structs in order."""
+    rest = [c for c in items.columns if c not in keys and c not in order]
+    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in order if c not in keys], *rest))).alias("_rows"))
+
+
 def pack_segments(items: DataFrame, keys: list[str], order: list[str], length: str, soft: str) -> DataFrame:
-    """items with segment_no, raw_s and gen_s; one group is one script."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", segment_no int, raw_s double, gen_s int"
+    """items with segment_no, raw_s and gen_s; one group is one script, whose lengths and boundaries come together as arrays."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        no, raw = [0] * len(p), [0.0] * len(p)
-        for k, (i, j) in enumerate(dp_segments([float(x) for x in p[length]], [bool(x) for x in p[soft]])):
-            total = float(p[length].iloc[i:j].sum())
-            for x in range(i, j):
-                no[x], raw[x] = k, total
-        gen = [int(min(MAX_SEG, max(MIN_SEG, round(round(r, 6))))) for r in raw]
-        return p.assign(segment_no=no, raw_s=raw, gen_s=gen)
+    @F.pandas_udf("array<struct<segment_no:int,raw_s:double,gen_s:int>>")
+    def pack(lengths: pd.Series, softs: pd.Series) -> pd.Series:
+        out = []
+        for d, s in zip(lengths, softs, strict=True):
+            rows = []
+            for k, (i, j) in enumerate(dp_segments([float(x) for x in d], [bool(x) for x in s])):
+                raw = float(sum(d[i:j]))
+                rows += [{"segment_no": k, "raw_s": raw, "gen_s": int(min(MAX_SEG, max(MIN_SEG, round(round(raw, 6)))))}] * (j - i)
+            out.append(rows)
+        return pd.Series(out)
 
-    return items.groupBy(*keys).applyInPandas(run, schema)
+    x = _in_order(items, keys, order)
+    x = x.withColumn("_seg", pack(F.transform("_rows", lambda r: r[length].cast("double")), F.transform("_rows", lambda r: F.coalesce(r[soft], F.lit(False)))))
+    y = x.select(*keys, F.explode(F.arrays_zip("_rows", "_seg")).alias("_z")).select(*keys, "_z._rows.*", "_z._seg.*")
+    return y.select(*items.columns, "segment_no", "raw_s", "gen_s")
 
 
 def split_long(items: DataFrame, length: str, most: float = MAX_SEG) -> DataFrame:
@@ -118,14 +127,16 @@ def water_fill(total: float, sizes: list[float], cap: float = SHOT_MAX, least: f
 
 
 def fill_groups(items: DataFrame, keys: list[str], order: list[str], total: str, size: str) -> DataFrame:
-    """items with filled: water_fill per group."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", filled double"
+    """items with filled: water_fill per group, with the first row's total."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(order, kind="stable")
-        return p.assign(filled=water_fill(float(p[total].iloc[0]), [float(x) for x in p[size]]))
+    @F.pandas_udf("array<double>")
+    def fill(totals: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([water_fill(float(t), [float(x) for x in z]) for t, z in zip(totals, sizes, strict=True)])
 
-    return items.groupBy(*keys).applyInPandas(run, schema)
+    x = _in_order(items, keys, order)
+    x = x.withColumn("_f", fill(F.element_at("_rows", 1)[total].cast("double"), F.transform("_rows", lambda r: r[size].cast("double"))))
+    y = x.select(*keys, F.explode(F.arrays_zip("_rows", "_f")).alias("_z")).select(*keys, "_z._rows.*", F.col("_z._f").alias("filled"))
+    return y.select(*items.columns, "filled")
 
 
 def cut_items(items: DataFrame, keys: list[str], order: list[str], length: str, most: float = SHOT_MAX) -> DataFrame:
