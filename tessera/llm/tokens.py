@@ -40,7 +40,7 @@ def _byte_chars() -> dict[int, int]:
 class WordwiseEncoder:
     """Encodes texts to ids; pieces are kept up to ``most_bytes``, which bounds the worker's memory, never the result."""
 
-    def __init__(self, path: str, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most_bytes: int = 72 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
