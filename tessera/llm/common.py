@@ -142,3 +142,14 @@ def fold(doc_id: Column, parts: int) -> Column:
 def ids_bytes(ids: list[int] | np.ndarray) -> bytes:
     """Token ids as little-endian unsigned 32-bit integers."""
     return np.asarray(ids, dtype="<u4").tobytes()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that df doesn't have, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own += "_"
+        out.append(own)
+    return out

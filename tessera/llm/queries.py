@@ -98,6 +98,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.fim import fill_in_middle, restored
+
+    rows = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    output, form = F.col("output"), F.col("form")
+    return rows.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha(output).alias("output_sha256"), sha(restored(output, form)).alias("restored_sha256"))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that SQL can say: all but the spans of the method's own kinds."""
     return op6_secret_scan(spark, sf_dir).drop("spans")
@@ -120,10 +129,11 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_chat_turns": op9_chat_turns,
         "op10_quality_rules": op10_quality_rules,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "secret_base_spans": secret_base_spans,
         "quality_rule_counts": quality_rule_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": oracles.OP1, "op5_decontamination": oracles.OP5, "op7_warc_index": oracles.OP7, "secret_base_spans": oracles.SECRET_BASE, "quality_rule_counts": oracles.RULE_COUNTS}
+    return {"op1_ngram_jaccard": oracles.OP1, "op5_decontamination": oracles.OP5, "op7_warc_index": oracles.OP7, "secret_base_spans": oracles.SECRET_BASE, "quality_rule_counts": oracles.RULE_COUNTS, "op13_fill_in_middle": oracles.OP13}
