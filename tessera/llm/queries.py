@@ -98,6 +98,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), slip=199, least_chars=6, least_n=5, times=5)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fim import fill_in_middle, restored
 
@@ -129,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_chat_turns": op9_chat_turns,
         "op10_quality_rules": op10_quality_rules,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_fill_in_middle": op13_fill_in_middle,
         "secret_base_spans": secret_base_spans,
         "quality_rule_counts": quality_rule_counts,
