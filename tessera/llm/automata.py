@@ -92,7 +92,8 @@ class Automaton:
             order = np.lexsort((c, p))
             self.source, self.code, self.target, self.base = p[order], c[order], own[order], b[order]
         else:
-            self.source = self.code = self.target = self.base = np.zeros(0, np.int64)
+            self.source = self.code = np.zeros(0, np.int64)
+            self.target = self.base = np.zeros(1, np.int64)  # what -1, no transition, looks up
         self.width = int(self.code.max(initial=0)) + 1
         self.key = self.source * self.width + self.code
         self.out = np.searchsorted(self.source, np.arange(len(first) + 1))

@@ -104,6 +104,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), slip=199, least_chars=6, least_n=5, times=5)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.wrappers import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.fim import fill_in_middle, restored
 
@@ -136,6 +142,7 @@ def queries() -> dict[str, Query]:
         "op9_chat_turns": op9_chat_turns,
         "op10_quality_rules": op10_quality_rules,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_html_extraction": op12_html_extraction,
         "op13_fill_in_middle": op13_fill_in_middle,
         "secret_base_spans": secret_base_spans,
         "quality_rule_counts": quality_rule_counts,

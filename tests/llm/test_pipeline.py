@@ -69,7 +69,7 @@ def test_stages_and_run_equal_brute_force(spark, tmp_path):
 
 def test_registration():
     names = queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert set(oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "best_fit_packing"]
 
