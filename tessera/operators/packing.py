@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -101,29 +102,25 @@ def redistribute(items: DataFrame, keys: list[str], length: str, chars: str, rat
 def water_fill(total: float, sizes: list[float], cap: float = SHOT_MAX, least: float = 0.4) -> list[float]:
     """Shares of total in proportion to sizes, one decimal, each within [least, cap].
 
-    Where the total is too small or too large for that, an even share is the limit instead. What the limits cut off
-    goes to the shares with room, in proportion to it, until nothing is left over; the rounding's drift goes to the
-    roomiest.
+    Where the total is too small or too large for that, an even share is the limit instead. Shares cut to the limits are all
+    moved by the same fraction of their way to one limit, the upper if something is left over, which makes up the total at once;
+    under 0.01 stays as it is. What single decimals leave over goes to the roomiest.
     """
     n = len(sizes)
     if not n:
         return []
-    even, weight = total / n, np.asarray(sizes, np.float64)
-    floor, ceiling = min(least, even), max(cap, even)
-    share = total * weight / weight.sum() if weight.sum() else np.full(n, even)
-    for _ in range(n + 2):
-        share = share.clip(floor, ceiling)
-        missing = total - share.sum()
-        room = ceiling - share if missing > 0 else share - floor
-        if abs(missing) < 0.01 or room.sum() < 0.01:
-            break
-        share = share + missing * room / room.sum()
-    out = [round(x, 1) for x in share.tolist()]
-    drift = round(total - sum(out), 1)
-    if abs(drift) >= 0.05:
-        k = int(np.argmax([ceiling - x if drift > 0 else x for x in out]))
-        out[k] = round(out[k] + drift, 1)
-    return out
+    weight = np.asarray(sizes, np.float64)
+    low, high = min(least, total / n), max(cap, total / n)
+    cut = np.clip(total * weight / weight.sum(), low, high) if weight.sum() else np.full(n, total / n)
+    over = total - cut.sum()
+    limit = high if over > 0 else low
+    if abs(over) >= 0.01:
+        cut += (limit - cut) * (over / (n * limit - cut.sum()))
+    tenths = np.asarray([round(x, 1) for x in cut.tolist()])
+    rest = round(total - float(tenths.sum()), 1)
+    if abs(rest) >= 0.05:
+        tenths[np.argmax(high - tenths if rest > 0 else tenths)] += rest
+    return [round(x, 1) for x in tenths.tolist()]
 
 
 def fill_groups(items: DataFrame, keys: list[str], order: list[str], total: str, size: str) -> DataFrame:
@@ -147,16 +144,15 @@ def cut_items(items: DataFrame, keys: list[str], order: list[str], length: str,
 
 
 def deal_sentences(sentences: list[str], groups: int) -> list[list[str]]:
-    """Consecutive sentences in at most so many groups. A group closes when it holds its share of what is left, or when only as many sentences are left as groups."""
+    """Consecutive sentences in at most so many groups: each ends where the running total first reaches its share of what is left, and leaves a sentence for each later group."""
     filled = [x for x in sentences if x]
-    left, rest, out = min(groups, len(filled)), sum(map(len, filled)), [[]]
-    for k, sentence in enumerate(filled):
-        out[-1].append(sentence)
-        held = sum(map(len, out[-1]))
-        if left > 1 and (len(filled) - k <= left or held * left >= rest):
-            left, rest = left - 1, rest - held
-            out.append([])
-    return [g for g in out if g]
+    upto = list(accumulate(map(len, filled), initial=0))
+    begins = [0]
+    for g in range(min(groups, len(filled)), 1, -1):
+        share = upto[begins[-1]] * (g - 1) + upto[-1]  # over g
+        end = bisect_left(upto, share, lo=begins[-1] + 1, key=lambda x, g=g: x * g)
+        begins.append(min(end, len(filled) - g + 1))
+    return [filled[a:b] for a, b in pairwise([*begins, len(filled)]) if a < b]
 
 
 def deal_text(text: Column, groups: Column) -> Column:

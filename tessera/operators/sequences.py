@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_in_blocks
+
 
 def _numbered(df: DataFrame, keys: list[str], order: list[str], new: Column, name: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -89,38 +92,63 @@ def boundary_marks(df: DataFrame, keys: list[str], order: list[str], ch: str = "
     return df.withColumn("punct", punct | last).withColumn("brk", punct | space | meet | last)
 
 
-def segment_chars(chars: list[tuple[float, float, bool, bool]], gap: float = 0.45, many: int = 18, few: int = 6) -> list[int]:
-    """Line numbers of timed characters (start, end, punct, brk).
+#: A pause in seconds, and how many characters of a line are few, many and too many.
+PAUSE, FEW, MANY, TOO_MANY = 0.45, 6, 18, 27
 
-    A line would end at a pause, when it has many characters, or at punctuation once it has a few. It may end after
-    punctuation, after a break once it has many characters, and anywhere at one and a half times many; a stream
-    without any break may be cut anywhere.
-    """
-    marked = any(brk for *_, brk in chars)
-    line, length, out = 0, 0, []
-    before = None
-    for start, end, punct, brk in chars:
-        if before is not None:
-            stopped, was_punct, was_brk = before
-            wanted = start - stopped > gap or length >= many or (was_punct and length >= few)
-            legal = was_punct or not marked or length >= many + many // 2 or (was_brk and length >= many)
-            if wanted and legal:
-                line, length = line + 1, 0
-        out.append(line)
-        length += 1
-        before = end, punct, brk
-    return out
-
-
-def timed_lines(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """line_no of each timed character: a fold over one group, which is one recording."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", line_no int"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(order, kind="stable")
-        return p.assign(line_no=segment_chars(list(zip(p["char_start"], p["char_end"], p["punct"], p["brk"], strict=True))))
+def line_starts(start: np.ndarray, end: np.ndarray, punct: np.ndarray, brk: np.ndarray, marked: bool, held: int = 0, before: tuple[float, bool, bool] | None = None) -> np.ndarray:
+    """Places in a stretch of timed characters at which a new line begins, without the one that is open before it.
 
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    From a line's first character on, the next line begins at the nearest of these places: after punctuation that a pause follows; after
+    punctuation, FEW characters on or later; after a break, MANY or more on; and TOO_MANY on. In a stream that isn't marked every place
+    counts as a break, and a pause is enough. ``held`` characters of the open line, the last of them as ``before`` (end, punct, brk), precede the stretch.
+    """
+    n = len(start)
+    stop = np.concatenate([[before[0] if before else np.inf], end[:-1]])
+    mark = np.concatenate([[before[1] if before else False], punct[:-1]]).astype(bool)
+    place = np.concatenate([[before[2] if before else False], brk[:-1]]).astype(bool) if marked else np.ones(n, bool)
+    paused = start - stop > PAUSE
+    near = [(np.flatnonzero(paused & (mark if marked else place)), 1), (np.flatnonzero(mark), FEW), (np.flatnonzero(place), MANY)]
+    at, out = -held, []
+    while True:
+        following = [at + TOO_MANY]
+        for places, least in near:
+            k = np.searchsorted(places, at + least)
+            if k < len(places):
+                following.append(int(places[k]))
+        at = max(min(following), 0)
+        if at >= n:
+            return np.asarray(out, np.int64)
+        out.append(at)
+
+
+def segment_chars(chars: list[tuple[float, float, bool, bool]]) -> list[int]:
+    """Line numbers of timed characters (start, end, punct, brk), a whole stream."""
+    if not chars:
+        return []
+    start, end, punct, brk = (np.asarray(x) for x in zip(*chars, strict=True))
+    new = np.zeros(len(chars), np.int64)
+    new[line_starts(start.astype(float), end.astype(float), punct, brk, bool(brk.any()))] = 1
+    return np.cumsum(new).tolist()
+
+
+def timed_lines(df: DataFrame, keys: list[str], order: str, block_rows: int = 200_000) -> DataFrame:
+    """line_no of each timed character (char_start, char_end, punct, brk). A recording of any length is folded in blocks, which carry the open line."""
+    whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    flags = df.groupBy(*keys).agg(F.max(F.coalesce("brk", F.lit(False))).alias("_marked")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    marked = df.join(flags, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).select(*df.columns, "_marked")
+
+    def fold(p: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, object]:
+        line, held, before = state or (0, 0, None)
+        flags = [p[c].fillna(False).to_numpy(bool) for c in ("punct", "brk")]
+        begun = line_starts(p["char_start"].to_numpy(float), p["char_end"].to_numpy(float), *flags, bool(p["_marked"].iloc[0]), held, tuple(before) if before else None)
+        new = np.zeros(len(p), np.int64)
+        new[begun] = 1
+        held = len(p) - int(begun[-1]) if len(begun) else held + len(p)
+        last = [float(p["char_end"].iloc[-1]), bool(flags[0][-1]), bool(flags[1][-1])]
+        return p.drop(columns="_marked").assign(line_no=line + np.cumsum(new)), [line + len(begun), held, last]
+
+    return fold_in_blocks(marked, keys, [order], fold, whole + ", line_no int", block_rows)
 
 
 def allocate(calls: Iterator[tuple[str, float]], total: float, cursor: float = 0.0, granted: dict | None = None, least: float = 0.4) -> Iterator[tuple[float, float, bool]]:
