@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.tables import written
@@ -22,11 +22,10 @@ from tessera.plans.tables import written
 Step = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    out = F.lit(True)
-    for c in names:
-        out = out & left[c].eqNullSafe(right[c])
-    return out
+def _meet(left: DataFrame, right: DataFrame, names: list[str], how: str, take: list[str]) -> DataFrame:
+    """left joined with right where names are equal, null being equal to null; with the columns ``take`` of right."""
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
+    return left.alias("l").join(right.alias("r"), on, how).select("l.*", *[F.col(f"r.{c}") for c in take])
 
 
 def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step, results: str, block_rows: int = 200_000) -> DataFrame:
@@ -34,50 +33,38 @@ def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step,
 
     Rows with equal (keys, order) lie in one block. Null keys are a key. An empty table gives an empty one.
     """
+    own = [f"_key{i}" for i in range(len(keys))]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, object]:
         state = json.loads(pdf["_state"].iloc[0]) if "_state" in pdf and pdf["_state"].iloc[0] else None
-        rows = pdf.sort_values(order, kind="stable", ignore_index=True).drop(columns=["_state", "_block"], errors="ignore")
-        return step(rows, state)
+        rows = pdf.sort_values(order, kind="stable", ignore_index=True)
+        return step(rows.drop(columns=["_state", "_block", *own], errors="ignore"), state)
 
     def result(pdf: pd.DataFrame) -> pd.DataFrame:
         return ordered(pdf)[0]
 
     def ending(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[[*keys, "_block"]].head(1).assign(_end=json.dumps(ordered(pdf)[1]))
+        return pdf[[*own, "_block"]].head(1).assign(_end=json.dumps(ordered(pdf)[1]))
 
     blocks = math.ceil(df.count() / block_rows)
     if blocks <= 1:
         return df.groupBy(*keys).applyInPandas(result, results)
-    cut = written(df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id()))
-    pieces = cut.select(*keys, "_block").distinct()
-    mine = Window.partitionBy(*keys)
-    chained = pieces.select(*keys, "_block", F.count("*").over(mine).alias("_n"), F.row_number().over(mine.orderBy("_block")).alias("_k")).filter("_n > 1")
-    chained = written(chained)  # of keys that go on from block to block: two rows a block at most
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    ends_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _block int, _end string"
-    states = written(chained.select(*keys, "_block", "_k", F.lit(None).cast("string").alias("_state")))
-    todo, ends = states, None
+    cut = df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id())
+    cut = written(cut.withColumns(dict(zip(own, map(F.col, keys), strict=True))))
+    mine = Window.partitionBy(*own)
+    pieces = cut.select(*own, "_block").distinct()
+    pieces = pieces.select(*own, "_block", F.count("*").over(mine).alias("_n"), F.row_number().over(mine.orderBy("_block")).alias("_no"))
+    pieces = written(pieces.filter("_n > 1").drop("_n"))  # of keys that go on from block to block: two for each block at most
+    piece = [*own, "_block"]
+    states = todo = written(pieces.withColumn("_state", F.lit(None).cast("string")))
+    ends, ended = None, ", ".join(f"{o} {kinds[k]}" for o, k in zip(own, keys, strict=True)) + ", _block int, _end string"
     while not todo.isEmpty():
-        chosen = todo.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b"), "_state")
-        match = (F.col("_block") == F.col("_b")) & _all(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
-        ran = cut.join(chosen, match).drop("_b", *[f"_{k}" for k in keys]).groupBy(*keys, "_block").applyInPandas(ending, ends_schema)
-        kept = ends.join(todo, _same(ends, todo, [*keys, "_block"]), "left_anti") if ends is not None else None
-        ends = written(ran if kept is None else kept.unionByName(ran))
-        before = chained.join(ends, _same(chained, ends, [*keys, "_block"])).select(*[chained[k].alias(f"_{k}") for k in keys], (F.col("_k") + 1).alias("_next"), "_end")
-        match = (states["_k"] == before["_next"]) & _all(states[k].eqNullSafe(before[f"_{k}"]) for k in keys)
-        new = written(states.join(before, match, "left").select(*[states[k] for k in keys], states["_block"], states["_k"], F.col("_end").alias("_state")))
-        old = states.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b"), F.col("_state").alias("_was"))
-        match = (F.col("_block") == F.col("_b")) & _all(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
-        todo = written(new.join(old, match).filter(~F.col("_state").eqNullSafe(F.col("_was"))).select(*keys, "_block", "_k", "_state"))
+        ran = _meet(cut, todo, piece, "inner", ["_state"]).groupBy(*piece).applyInPandas(ending, ended)
+        ends = written(ran if ends is None else _meet(ends, todo, piece, "left_anti", []).unionByName(ran))
+        before = _meet(pieces, ends, piece, "inner", ["_end"]).select(*own, (F.col("_no") + 1).alias("_no"), "_end")
+        new = written(_meet(states.drop("_state"), before, [*own, "_no"], "left", ["_end"]).withColumnRenamed("_end", "_state"))
+        was = states.select(*piece, F.col("_state").alias("_was"))
+        todo = written(_meet(new, was, piece, "inner", ["_was"]).filter(~F.col("_state").eqNullSafe(F.col("_was"))).drop("_was"))
         states = new
-    begun = states.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b"), "_state")
-    match = (F.col("_block") == F.col("_b")) & _all(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)
-    return cut.join(begun, match, "left").drop("_b", *[f"_{k}" for k in keys]).groupBy(*keys, "_block").applyInPandas(result, results)
-
-
-def _all(conditions) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    return _meet(cut, states, piece, "left", ["_state"]).groupBy(*piece).applyInPandas(result, results)
