@@ -660,31 +660,42 @@ r AS (SELECT user_id, NULL::VARCHAR AS key, 0::BIGINT AS i, 0.0::DOUBLE AS off,
     FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1))
 SELECT user_id, key, round(off, 6) AS "offset", round(take, 6) AS take, wrapped FROM r WHERE i > 0""")
 def stream_allocator(spark, d):
-    """The allocator over a stream of the events, with its cursor and grants as state; the stream's files are read once and the sink is read back."""
+    """The allocator over a stream of the events that comes in three files, after each of which the stream is stopped and started again."""
     from tessera.streaming import keyed
 
-    schema = t(spark, d, "events").schema
-    calls = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("user_id", "event_id", F.col("event_type").alias("key"), (F.col("value") / 60).alias("need"))
-    out = keyed.stream_allocator(calls, "user_id", "key", "need", "event_id", 30.0)
     path = shared_path(spark, "stream")
-    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema(out.schema).parquet(path)
+    for k, part in enumerate(_thirds(t(spark, d, "events"))):
+        part.coalesce(1).write.parquet(f"{path}/in/{k}")
+        calls = spark.readStream.schema(part.schema).parquet(f"{path}/in/*").select("user_id", "event_id", F.col("event_type").alias("key"), (F.col("value") / 60).alias("need"))
+        out = keyed.stream_allocator(calls, "user_id", "key", "need", "event_id", 30.0)
+        with keyed.map_state(spark):
+            out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{path}/out")
     return got.select("user_id", "key", F.round("offset", 6).alias("offset"), F.round("take", 6).alias("take"), "wrapped")
 
 
+def _thirds(events):
+    """The events in three parts of about equal numbers, in their order."""
+    cuts = events.select(F.expr("approx_percentile(event_id, array(0.33, 0.67))").alias("c")).first()[0] or [0, 0]
+    return [events.filter(c) for c in (F.col("event_id") <= cuts[0], (F.col("event_id") > cuts[0]) & (F.col("event_id") <= cuts[1]), F.col("event_id") > cuts[1])]
+
+
 @query("""
 WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
 SELECT user_id, epoch(min(ts)) AS start, epoch(max(ts)) + 3600.0 AS "end", count(*) AS n FROM n GROUP BY user_id, session""")
 def stream_sessions(spark, d):
-    """Sessions of a stream with an hour's gap. Each micro-batch's changed sessions are written, and the last state of each is read back."""
+    """Sessions of a stream with an hour's gap, each given out once when the watermark has passed it; a last event without user, two days after all others, closes the last ones."""
     from tessera.streaming import keyed
 
-    schema = t(spark, d, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = t(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     path = shared_path(spark, "sessions")
-    sessions = keyed.session_windows(e, "user_id", "ts", "1 hour", "60 days")
-    plain = spark.createDataFrame([], sessions.schema)
-    sessions.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema(plain.schema).parquet(path)
+    last = e.agg(F.max("event_id").alias("event_id"), F.lit(None).cast("long").alias("user_id"), (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    for k, part in enumerate([*_thirds(e), last]):
+        part.coalesce(1).write.parquet(f"{path}/in/{k}")
+        stream = spark.readStream.schema(e.schema).parquet(f"{path}/in/*")
+        sessions = keyed.session_windows(stream, "user_id", "ts", "1 hour", "1 day")
+        schema = sessions.schema
+        sessions.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{path}/out").filter("user_id IS NOT NULL")
     seconds = lambda c: F.unix_micros(c) / 1_000_000
     return got.select("user_id", seconds("start").alias("start"), seconds("end").alias("end"), "n")

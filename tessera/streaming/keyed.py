@@ -1,40 +1,73 @@
-"""Streaming forms: gap sessions and the keyed window allocator."""
+"""Streaming forms: gap sessions that are given out when they are over, and the keyed window allocator with its state in maps."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators.sequences import allocate
+#: Fixed value: seconds that are always taken of a source.
+LEAST_TAKE = 0.4
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def map_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, which map states and expiry need; the session's own setting comes back after it."""
+    was = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, was)
 
 
 def session_windows(events: DataFrame, key: str, t: str, gap: str, late: str) -> DataFrame:
-    """Sessions of events at most gap apart, with late data up to ``late`` behind the newest."""
+    """Sessions of events at most gap apart, with data up to ``late`` behind the newest. In append mode each comes out once, when the watermark has passed its end, and its state goes."""
     s = F.session_window(F.col(t), gap)
     return events.withWatermark(t, late).groupBy(key, s.alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def stream_allocator(calls: DataFrame, source: str, key: str, need: str, order: str, total: float) -> DataFrame:
-    """source, key, offset, take, wrapped: the allocator with its cursor and grants as state per source."""
-    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+class Allocator(StatefulProcessor):
+    """One source's cursor and what each key was granted. Rows of a micro-batch are taken in order; a grant that is not asked for again expires with its time to live."""
+
+    def __init__(self, key: str, need: str, order: str, total: float, kind: str, keep_ms: int | None):
+        self.key, self.need, self.order, self.total, self.kind, self.keep_ms = key, need, order, max(LEAST_TAKE, total), kind, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cursor = handle.getValueState("cursor", "upto double")
+        self.granted = handle.getMapState("granted", f"k {self.kind}", "at double", ttlDurationMs=self.keep_ms)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cursor, keys, offsets = state.get if state.exists else (0.0, [], [])
-        granted = dict(zip(keys, offsets, strict=True))
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        upto = self.cursor.get()[0] if self.cursor.exists() else 0.0
+        calls = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         out = []
-        for name, want in zip(rows[key], rows[need], strict=True):
-            off, take, wrapped = next(iter(allocate(iter([(name, want)]), total, cursor, granted)))
-            cursor = max(cursor, off + take)
-            out.append((k[0], name, off, take, wrapped))
-        state.update((cursor, list(granted), list(granted.values())))
-        yield pd.DataFrame(out, columns=[source, key, "offset", "take", "wrapped"])
-
-    return calls.groupBy(source).applyInPandasWithState(
-        step, f"{source} {kinds[source]}, {key} {kinds[key]}, offset double, take double, wrapped boolean",
-        f"cursor double, keys array<{kinds[key]}>, offsets array<double>", "append", GroupStateTimeout.NoTimeout,
-    )
+        for name, want in zip(calls[self.key].tolist(), calls[self.need].tolist(), strict=True):
+            known = self.granted.containsKey((name,))
+            room = self.total - upto >= min(want, 1.0)
+            at = self.granted.getValue((name,))[0] if known else upto if room else 0.0
+            if not known or self.keep_ms:
+                self.granted.updateValue((name,), (at,))
+            take = max(LEAST_TAKE, min(want, self.total - at))
+            out.append((key[0], name, at, take, not known and not room and upto > 0))
+            upto = max(upto, at + take)
+        self.cursor.update((upto,))
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_allocator(calls: DataFrame, source: str, key: str, need: str, order: str, total: float, keep_ms: int | None = None) -> DataFrame:
+    """source, key, offset, take, wrapped: the allocator of tessera.operators.sequences over a stream.
+
+    The state of a source is its cursor and a map of grants, row by row in the state store, so a call reads and writes its own key alone. It
+    goes on from micro-batch to micro-batch and over restarts. keep_ms lets grants expire that were not asked for so long. Start it within map_state().
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+    schema = f"{source} {kinds[source]}, {key} {kinds[key]}, offset double, take double, wrapped boolean"
+    return calls.groupBy(source).transformWithStateInPandas(Allocator(key, need, order, total, kinds[key], keep_ms), schema, "append", "ProcessingTime" if keep_ms else "None")
