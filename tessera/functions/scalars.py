@@ -1,9 +1,14 @@
-"""Scalar expressions: all are built-in column functions, so they stay inside generated code."""
+"""Scalar expressions: built-in column functions, which stay inside generated code, but for the mending of broken JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructType
 
 # Words read as true and as false.
 TRUE_WORDS = ("true", "1", "是", "有", "yes", "y")
@@ -73,6 +78,129 @@ def json_object_in(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+("|\Z)|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+
+
+def closed_json(text: str | None) -> str | None:
+    """A JSON object that was cut off or has lost commas or closing brackets, made whole; null where that can't be.
+
+    A stack of open brackets is kept while the tokens are read. Whatever is complete stays: a value that was cut off inside of a text ends there, a key without value
+    and a comma without anything behind it go. A closing bracket that doesn't fit closes those inside, too.
+    """
+    out: list[str] = []
+    stack: list[str] = []  # what closes each open bracket
+    wants, safe = "value", 0  # what may come next; how much of out is complete
+    for m in _JSON_TOKEN.finditer(text or ""):
+        token = m[0]
+        if token in "}]":
+            if token not in stack or (wants in ("value", "colon") and out[-1] not in "[,"):
+                del out[safe:]  # a key without a value
+            if token not in stack:
+                continue
+            if out[-1] == ",":
+                out.pop()
+            while True:
+                out.append(stack.pop())
+                if out[-1] == token:
+                    break
+            wants, safe = "comma", len(out)
+            if not stack:
+                break
+            continue
+        if wants == "comma" and token != ",":
+            out.append(",")
+            wants = "key" if stack[-1] == "}" else "value"
+        if token in "{[":
+            if wants == "key":
+                return None
+            out.append(token)
+            stack.append("}" if token == "{" else "]")
+            wants, safe = "key" if token == "{" else "value", len(out)
+        elif token == ":" and wants == "colon":
+            out.append(token)
+            wants = "value"
+        elif token == ",":
+            if wants == "comma":
+                out.append(token)
+                wants = "key" if stack[-1] == "}" else "value"
+        elif wants == "key":
+            if token[0] != '"' or m[1] == "":
+                break
+            out.append(token)
+            wants = "colon"
+        elif wants == "value":
+            token = token if token[0] != '"' or m[1] else _ended(token)
+            if token[0] != '"' and not _is_value(token):
+                break
+            out.append(token)
+            wants, safe = "comma", len(out)
+        else:
+            return None
+    whole = "".join(out[:safe]) + "".join(reversed(stack))
+    return whole if whole[:1] == "{" and _is_value(whole) else None
+
+
+def _ended(cut: str) -> str:
+    """A text that ends without its quotation mark, ended; half an escape goes."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\(u[0-9a-fA-F]{0,3})?\Z", r"\1", cut) + '"'
+
+
+def _is_value(token: str) -> bool:
+    try:
+        json.loads(token)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def json_repaired(text: Column) -> Column:
+    """The JSON object in a noisy text, mended if it is broken; null without one."""
+
+    @F.pandas_udf(StringType())
+    def mend(broken: pd.Series) -> pd.Series:
+        return broken.map(closed_json, na_action="ignore").astype(object)
+
+    raw = json_object_in(text)
+    sound = F.try_parse_json(raw).isNotNull()
+    return F.when(sound, raw).otherwise(mend(F.when(~sound, raw)))
+
+
+def item_objects(items: Column, key: str) -> Column:
+    """array<string> of the JSON objects of a JSON list: texts and numbers come as {key: value}, blanks, booleans, nulls and lists go; null for what is no list."""
+    kind = lambda v: F.schema_of_variant(v)
+    found = F.try_variant_get(F.try_parse_json(items), "$", "array<variant>")
+    bare = lambda v: F.to_json(F.struct(v.alias(key)))
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    wrap = lambda v: F.when(kind(v).startswith("OBJECT"), F.to_json(v)).when(kind(v).isin("BOOLEAN", "VOID") | kind(v).startswith("ARRAY") | (F.trim(text(v)) == ""), F.lit(None)).otherwise(bare(v))
+    return F.filter(F.transform(found, wrap), lambda x: x.isNotNull())
+
+
+def told_value(value: Column, kind: DataType) -> Column:
+    """A nested value as text: lists by "、", fields as name and value by "，", at any depth; null is "None" and booleans begin with a capital."""
+    if isinstance(kind, ArrayType):
+        return F.array_join(F.transform(value, lambda x: told_value(x, kind.elementType)), "、")
+    if isinstance(kind, StructType):
+        return F.concat_ws("，", *[F.concat(F.lit(f.name), told_value(value[f.name], f.dataType)) for f in kind.fields])
+    if isinstance(kind, MapType):
+        return F.array_join(F.transform(F.map_entries(value), lambda e: F.concat(e["key"].cast("string"), told_value(e["value"], kind.valueType))), "，")
+    told = F.initcap(value.cast("string")) if isinstance(kind, BooleanType) else value.cast("string")
+    return F.coalesce(told, F.lit("None"))
+
+
+def nested_brief(df: DataFrame, fields: dict[str, str]) -> Column:
+    """"name：value" of the columns of df that are filled, by "；". Empty texts and lists, null and "无" are left out; lists and structs are told at any depth."""
+    told = []
+    for name, column in fields.items():
+        kind, value = df.schema[column].dataType, F.col(column)
+        empty = value.isNull()
+        if isinstance(kind, ArrayType):
+            empty = empty | (F.size(value) == 0)
+        elif isinstance(kind, StringType):
+            empty = empty | value.isin("", "无")
+        told.append(F.when(~empty, F.concat(F.lit(f"{name}："), told_value(value, kind))))
+    return F.concat_ws("；", *told)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -9,6 +9,7 @@ itself a DataFrame, is joined.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -176,31 +177,31 @@ def override_parameters(verdict: Column, note: Column) -> Column:
     return verdict.withField("forced_from", verdict["action"]).withField("action", F.lit("mute_and_dub")).withField("note", note)
 
 
-def nested_violations(df: DataFrame, document: str, most_depth: int = 32) -> DataFrame:
+def nested_violations(df: DataFrame, document: str) -> DataFrame:
     """df with path: one row per object in a JSON document, at any depth, whose "passed" is false and whose "used" is true.
 
-    The document is walked as a VARIANT, a level of all rows at a time, until no row has anything below; paths name
-    fields, and [] stands for any place in a list.
+    The document is walked as a VARIANT, a level of all rows at a time, until no row has anything below. Each level is written before the next is made from it, so
+    a level is parsed once however deep the documents are. Paths name fields, and [] stands for any place in a list.
     """
+    from tessera.plans.tables import written
+
     names = [c for c in df.columns if c != "path"]
-    level = df.select(*names, F.try_parse_json(document).alias("_v"), F.lit("").alias("path"))
-    found = None
-    for depth in range(most_depth + 1):
-        hit = level.filter(F.expr("try_variant_get(_v, '$.passed', 'boolean') = false AND try_variant_get(_v, '$.used', 'boolean') = true"))
-        told = hit.select(*names, F.regexp_replace("path", "^[.]", "").alias("path"))
-        found = told if found is None else found.unionByName(told)
-        inner = level.filter(F.expr("schema_of_variant(_v) LIKE 'OBJECT<%' OR schema_of_variant(_v) LIKE 'ARRAY<%'"))
-        if depth == most_depth:
-            if not inner.isEmpty():
-                raise ValueError(f"a document is nested deeper than {most_depth}")
-            break
-        inner.createOrReplaceTempView("_nested")
-        step = F.when(F.col("_key").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.col("_key")))
-        below = inner.sparkSession.sql(f"SELECT {', '.join(f'`{c}`' for c in names)}, path, e.key AS _key, e.value AS _v FROM _nested, LATERAL variant_explode(_v) e")
-        level = below.select(*names, "_v", F.concat("path", step).alias("path"))
+    told = [F.col(f"`{c}`") for c in names]
+    level = df.select(*told, F.try_parse_json(document).cast("string").alias("_v"), F.lit("").alias("path"))
+    found = []
+    while True:
+        level = written(level.select(*told, "_v", "path"))
         if level.isEmpty():
             break
-    return found
+        v = F.try_parse_json("_v")
+        flag = lambda name: F.try_variant_get(v, f"$.{name}", "boolean")  # noqa: E731, B023
+        found.append(level.filter((~flag("passed")) & flag("used")).select(*told, F.regexp_replace("path", "^[.]", "").alias("path")))
+        fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), F.to_json(e["value"]).alias("v")))
+        places = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.struct(F.lit("[]").alias("step"), F.to_json(e).alias("v")))
+        below = level.select(*told, "path", F.explode(F.coalesce(fields, places)).alias("_e"))
+        nested = F.substring(F.ltrim("_e.v"), 1, 1).isin("{", "[")
+        level = below.filter(nested).select(*told, F.col("_e.v").alias("_v"), F.concat("path", F.col("_e.step")).alias("path"))
+    return reduce(DataFrame.unionByName, found) if found else df.select(*told, F.lit("").alias("path")).limit(0)
 
 
 def assemble_facts(rows: DataFrame, sources: list[DataFrame], keys: list[str], facts: dict[str, list[str]]) -> DataFrame:

@@ -716,4 +716,4 @@ def customers_without_orders(spark, d):
     return t(spark, d, "customer").select("c_custkey").exceptAll(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
-from tessera.plans import more_queries, tracing_queries  # noqa: E402,F401  (register their queries)
+from tessera.plans import document_queries, more_queries, tracing_queries  # noqa: E402,F401  (register their queries)

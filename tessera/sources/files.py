@@ -125,3 +125,19 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def markdown_head(columns: list[str]) -> str:
     return "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
+
+
+def provenance_reports(sections: DataFrame, key: str, unread: str | None = None) -> DataFrame:
+    """key, report: one Markdown document for each task from its sections (key, section_no, title, lines, error), in order of number.
+
+    A section with an error is a line that says so (160 characters of it), and costs none of the others; sections without lines and error are left out. Where the column ``unread``
+    holds an error of reading the task itself, the report is that alone (300 characters). Trailing white space goes, and the document ends with a line break.
+    """
+    failed = F.concat(F.lit("> （"), F.col("title"), F.lit(" 章节生成失败："), F.substring("error", 1, 160), F.lit("）"))
+    lines = F.when(F.col("error").isNotNull(), F.array(F.lit(""), failed)).otherwise(F.coalesce("lines", F.array().cast("array<string>")))
+    whole = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("section_no", lines.alias("l")))), lambda s: s["l"])), "\n", "")
+    text = F.concat(F.rtrim(F.regexp_replace(whole, r"\s+$", "")), F.lit("\n"))
+    if unread:
+        why = F.min(unread)
+        text = F.when(why.isNotNull(), F.concat(F.lit("# 任务报告 "), F.first(F.col(key).cast("string")), F.lit("\n\n> 读取任务产物失败："), F.substring(why, 1, 300), F.lit("\n"))).otherwise(text)
+    return sections.groupBy(key).agg(text.alias("report"))
