@@ -116,28 +116,41 @@ class RoleModel:
         return path[::-1]
 
 
+#: Places of chunks that a pair of turns has in a transcript's order; more than an array can hold.
+PAIR = 1 << 32
+
+
 def split_lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
 def learn_roles(turns: DataFrame, block: int = 256) -> RoleModel:
-    """A model from labelled turns (conv_id, seq, role, text with the markers that transcripts have). Only sums of counts reach the driver, some 100 numbers."""
-    rows = turns.select("conv_id", F.floor(F.coalesce(F.col("seq").cast("long"), F.lit(0)) / block).cast("long").alias("b"), F.col("seq").cast("long").alias("seq"), "role", "text")
+    """A model from labelled turns (conv_id, seq, role, text with the markers that transcripts have). Only sums of counts reach the driver, some 100 numbers.
+
+    Turns are counted in blocks of so many seq values; a block knows the role that the turn before it has. A turn of unknown role is neither counted nor followed by a
+    change, and only the first turn of a conversation is a start.
+    """
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(0))
+    rows = turns.select("conv_id", F.floor(seq / block).cast("long").alias("b"), seq.alias("seq"), "role", "text")
+    order = Window.partitionBy("conv_id").orderBy("b")  # a row for each block
+    ends = rows.groupBy("conv_id", "b").agg(F.max_by(F.struct("role"), F.struct("seq", "text")).alias("e"))
+    ends = ends.select("conv_id", "b", F.coalesce(F.lag("e.role").over(order), F.lit("")).alias("entry"), (F.row_number().over(order) == 1).alias("begins"))
+    rows = rows.alias("r").join(ends.alias("e"), F.expr("r.conv_id <=> e.conv_id AND r.b = e.b")).select("r.conv_id", "r.b", "r.seq", "r.role", "r.text", "e.entry", "e.begins")
     rows = rows.repartition("conv_id", "b").sortWithinPartitions("conv_id", "b", "seq", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int, int], int] = {}
-        where, before = None, None
+        where, before, begins = None, None, False
 
         def add(*key) -> None:
             counts[key] = counts.get(key, 0) + 1
 
         for batch in batches:
-            for conv_id, b, _, role, text in rows_of(batch):
+            for conv_id, b, _, role, text, entry, first in rows_of(batch):
                 if (conv_id, b) != where:
-                    where, before = (conv_id, b), None
+                    where, before, begins = (conv_id, b), ROLES.index(entry) if entry in ROLES else None, first
                 if role not in ROLES:
-                    before = None
+                    before, begins = None, False
                     continue
                 r = ROLES.index(role)
                 for line in split_lines(text):
@@ -146,9 +159,9 @@ def learn_roles(turns: DataFrame, block: int = 256) -> RoleModel:
                         add(k, r, v)
                     if before is not None:
                         add("turn" if values["marker"] < 3 else "stay", before, r)
-                    elif b == 0:
+                    elif begins:
                         add("start", r, 0)
-                    before = r
+                    before, begins = r, False
         names = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in names], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array([counts[k] for k in names], pa.int64())], names=["name", "role", "value", "n"])
 
@@ -281,4 +294,4 @@ def as_transcript(turns: DataFrame, lines: int = 4) -> DataFrame:
     both = turns.groupBy("conv_id", pair.alias("pair")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
     all_ = F.split("text", "\n")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / lines).cast("int")), lambda k: F.array_join(F.slice(all_, k * lines + 1, F.lit(lines)), "\n"))
-    return both.select("conv_id", "pair", F.posexplode(cut).alias("k", "text")).select("conv_id", (F.col("pair") * 1_000_000 + F.col("k")).alias("seq"), "text")
+    return both.select("conv_id", "pair", F.posexplode(cut).alias("k", "text")).select("conv_id", (F.col("pair") * PAIR + F.col("k")).alias("seq"), "text")

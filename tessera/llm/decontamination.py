@@ -11,14 +11,15 @@ of words in the array, and runs shorter than the shortest window are left out.
 
 The benchmark is read in blocks of at most ``block_chars`` characters; each block
 is broadcast on its own and takes one pass over the documents, so no broadcast
-grows with the benchmark.
+grows with the benchmark. Where there are several, one is held at a time: the
+documents are written once with row numbers, and each pass leaves its hits.
 
 A window that stands in several items is searched once. All of them are told as items;
 matches name the first of them.
 
 Defined results: a null or empty text has no words and no hits; an item with fewer
 words than the window is one window; an item without words never occurs; items that
-repeat an item_id count once; an item with a null item_id hits words, but has no id to
+repeat an item_id and its text count once, and rows that repeat a document are each told; an item with a null item_id hits words, but has no id to
 tell; an empty benchmark marks nothing, and an empty table of documents gives an empty
 result; a very long text is searched whole, and a very long word is one word; extra
 columns are kept, but for those called n_words, n_hit, items, hits or matches, which
@@ -27,21 +28,23 @@ find_contamination replaces and decontaminate keeps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+import uuid
+from array import array
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tidy
+from tessera.llm.common import fresh, kept, materialize, tidy
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, and blanks the rest.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 HITS = "array<struct<start:int,end:int>>"
-_ADDED = ("_n_words", "_hits", "_items", "_matches")
 MATCHES = "array<struct<item_id:string,item_start:int,doc_start:int,length:int>>"
 
 
@@ -75,34 +78,57 @@ def _inside(ids: np.ndarray, step: int) -> np.ndarray:
     return (zeros[ahead] == zeros) & (np.arange(len(ids)) + step < len(ids))
 
 
+def _distinct(column: Callable[[int], np.ndarray], width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row of a table of n rows given by columns, and which of these each row is. Rows are told apart by a hash of 64 bits, which is verified."""
+    mixed = np.zeros(n, np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ column(k).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    _, first, of = np.unique(mixed, return_index=True, return_inverse=True)
+    del mixed
+    if any((c != c[first][of]).any() for c in map(column, range(width))):  # two rows of one hash
+        _, first, of = np.unique(np.stack([column(k) for k in range(width)], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
 class Suffixes:
-    """The suffixes of a block of benchmark items, with their distinct windows."""
+    """The suffixes of a block of benchmark items, with their distinct windows, as flat arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.vocab: dict[bytes, int] = {}
         self.window = window
         self.items: list[str] = []
-        seqs: list[list[int]] = []
+        number = self.vocab.setdefault
+        flat, lengths = array("i"), []
         for item_id, text in items:
             if w := words(text):
                 self.items.append(item_id)
-                seqs.append([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w])
-        self.flat = np.asarray([x for s in seqs for x in [*s, 0]], dtype=np.int64)
-        starts = np.cumsum([0, *[len(s) + 1 for s in seqs]])[:-1] if seqs else []
-        self.item_start = np.asarray(starts, dtype=np.int64)
+                flat.extend(number(x, len(self.vocab) + 1) for x in w)
+                flat.append(0)
+                lengths.append(len(w))
+        self.flat = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+        length = np.asarray(lengths, np.int64)
+        self.item_start = np.cumsum(length + 1) - (length + 1)
         # a window starts wherever enough words are left; a short item is one window
-        rows = [(k, p, min(window, len(s))) for k, s in enumerate(seqs) for p in range(max(1, len(s) - window + 1))]
-        item, at, size = (np.asarray(c, dtype=np.int64) for c in (zip(*rows, strict=True) if rows else ([], [], [])))
-        self.shortest = int(size.min()) if rows else 0
-        cols = np.arange(window)
-        test = np.concatenate((self.flat, np.zeros(window, np.int64)))
+        n = np.maximum(1, length - window + 1)
+        item = np.repeat(np.arange(len(length), dtype=np.int32), n)
+        at = (np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        size = np.minimum(window, length)[item].astype(np.int32)
+        self.shortest = int(size.min(initial=window)) if len(size) else 0
+        test = np.concatenate((self.flat, np.zeros(window, np.int32)))
         begin = self.item_start[item] + at
-        want = np.where(cols < size[:, None], test[begin[:, None] + cols], 0)
+        column = lambda k: np.where(k < size, test[begin + k], 0)
         # equal windows are one: searched once, whatever number of items they stand in, and told by the first of them
-        self.want, first, of = np.unique(want, axis=0, return_index=True, return_inverse=True) if rows else (want, at, at)
+        first, of = _distinct(column, window, len(item))
         self.item, self.at, self.size = item[first], at[first], size[first]
-        order = np.lexsort((item, of.ravel()))
-        self.members = np.split(item[order], np.cumsum(np.bincount(of.ravel(), minlength=len(first)))[:-1]) if rows else []
+        begin, size = begin[first], self.size
+        self.want = np.stack([column(k) for k in range(window)], axis=1)
+        self.member = item[np.argsort(of, kind="stable")]  # items of each window, one window after the other
+        self.member_end = np.cumsum(np.bincount(of, minlength=len(first)))
+
+    def members(self, w: int) -> list[int]:
+        """The items that a window stands in."""
+        return self.member[self.member_end[w - 1] if w else 0 : self.member_end[w]].tolist()
 
     def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, position, length) of all places where a window stands, with the longest match of its first item there."""
@@ -151,13 +177,13 @@ class Suffixes:
         return suffix, pos, length
 
 
-def _annotate(docs: DataFrame, block: list[tuple[str, str | None]], window: int, text: str, shard_words: int) -> DataFrame:
-    """docs with this block's hits added to n_words, hits, items and matches."""
-    shared = docs.sparkSession.sparkContext.broadcast((block, window))
+def _annotate(docs: DataFrame, block: list[tuple[str, str | None]], window: int, text: str, shard_words: int, added: list[str]) -> DataFrame:
+    """docs with the block's columns ``added``: number of words, hits, items and matches. A Python worker builds a block's suffixes once."""
+    shared, block_id = docs.sparkSession.sparkContext.broadcast((block, window)), uuid.uuid4().hex
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = Suffixes(*shared.value)
+        suffixes = kept(("suffixes", block_id), lambda: Suffixes(*shared.value))
         get, shortest = suffixes.vocab.get, suffixes.shortest
         for batch in batches:
             col = batch.column(names.index(text)).to_pylist()
@@ -167,16 +193,17 @@ def _annotate(docs: DataFrame, block: list[tuple[str, str | None]], window: int,
                 parts.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
                 held += len(w)
                 if held >= shard_words:
-                    yield _hits(batch.slice(lo, k + 1 - lo), parts, suffixes, shortest)
+                    yield _hits(batch.slice(lo, k + 1 - lo), parts, suffixes, shortest, added)
                     lo, held, parts = k + 1, 0, []
             if parts:
-                yield _hits(batch.slice(lo), parts, suffixes, shortest)
+                yield _hits(batch.slice(lo), parts, suffixes, shortest, added)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(tidy(run), f"{schema}, _n_words long, _hits {HITS}, _items array<string>, _matches {MATCHES}")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    kinds = [f"`{c}` {kind}" for c, kind in zip(added, ("long", HITS, "array<string>", MATCHES), strict=True)]
+    return docs.mapInArrow(tidy(run, keeps=True), ", ".join([*schema, *kinds]))
 
 
-def _hits(rows: pa.RecordBatch, parts: list[np.ndarray], suffixes: Suffixes, shortest: int) -> pa.RecordBatch:
+def _hits(rows: pa.RecordBatch, parts: list[np.ndarray], suffixes: Suffixes, shortest: int, added: list[str]) -> pa.RecordBatch:
     lengths = np.asarray([len(p) for p in parts])
     shard, source = [], []
     for d, p in enumerate(parts):  # only runs that can hold a window
@@ -207,15 +234,14 @@ def _hits(rows: pa.RecordBatch, parts: list[np.ndarray], suffixes: Suffixes, sho
                 open_[d, k, s - at] = s + int(length[j])
                 matches[d].append({"item_id": suffixes.items[k], "item_start": at, "doc_start": s, "length": int(length[j])})
         for d, w in np.unique(np.column_stack((doc, suffix)), axis=0).tolist():
-            items[d].update(suffixes.members[w].tolist())
+            items[d].update(suffixes.members(w))
     extra = [
         pa.array(lengths, pa.int64()),
         pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         pa.array([sorted({suffixes.items[k] for k in x} - {None}) for x in items], pa.list_(pa.string())),
         pa.array(matches, pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))),
     ]
-    names = [*rows.schema.names, "_n_words", "_hits", "_items", "_matches"]
-    return pa.RecordBatch.from_arrays([*rows.columns, *extra], names=names)
+    return pa.RecordBatch.from_arrays([*rows.columns, *extra], names=[*rows.schema.names, *added])
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int, key: str, text: str) -> Iterator[list[tuple[str, str | None]]]:
@@ -231,23 +257,30 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int, key: str, text: str
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = 16_000_000, shard_words: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = 8_000_000, shard_words: int = 2_000_000) -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids), hits (merged word spans) and matches (longest verbatim ones)."""
-    out, blocks = docs, 0
-    for block in benchmark_blocks(benchmark, block_chars, item_key, item_text):
-        out = _annotate(out, block, window, text, shard_words).withColumnsRenamed({c: f"{c}{blocks}" for c in _ADDED})
-        blocks += 1
-    if not blocks:
-        out, blocks = _annotate(docs, [], window, text, shard_words).withColumnsRenamed({c: f"{c}0" for c in _ADDED}), 1
-    together = {c: F.concat(*[f"{c}{k}" for k in range(blocks)]) for c in ("_hits", "_items", "_matches")}
-    spans = F.array_sort(together["_hits"])
+    blocks = benchmark_blocks(benchmark, block_chars, item_key, item_text)
+    first, second = next(blocks, []), next(blocks, None)
+    row, *added = fresh(docs, "row", "n_words", "hits", "items", "matches")
+    n_words, hits, items, matches = added
+    if second is None:
+        out = _annotate(docs, first, window, text, shard_words, added)
+    else:  # one block at a time; what a block's pass leaves is its hits
+        whole = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        texts, passes = whole.select(row, text), []
+        for k, block in enumerate(chain([first, second], blocks)):
+            found = _annotate(texts, block, window, text, shard_words, added).drop(text)
+            passes.append(materialize(found if k == 0 else found.filter(F.size(hits) > 0), "hits"))
+        each = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.max(n_words).alias(n_words), *[F.flatten(F.collect_list(c)).alias(c) for c in (hits, items, matches)])
+        out = whole.join(each, row)
+    spans = F.array_sort(hits)
     # spans of several blocks may overlap: count each word once
     covered = F.aggregate(
         spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["end"]).alias("upto")),
     )["n"]
-    mine = {"n_words": F.col("_n_words0"), "n_hit": covered.cast("long"), "items": F.array_sort(F.array_distinct(together["_items"])), "hits": spans, "matches": together["_matches"]}
-    return out.select(*[c for c in docs.columns if c not in mine], *[v.alias(k) for k, v in mine.items()])
+    mine = {"n_words": F.col(n_words), "n_hit": covered.cast("long"), "items": F.array_sort(F.array_distinct(items)), "hits": spans, "matches": F.col(matches)}
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine], *[v.alias(k) for k, v in mine.items()])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, most_hit: float = 0.0, text: str = "text", **options) -> DataFrame:

@@ -82,13 +82,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts in which every third turn has lost its marker, and chunks don't end where turns do; the model is learnt from the roles of conversations whose crc32 mod 4 isn't 0."""
-    from tessera.llm.chat import as_transcript, learn_roles, parse_transcripts, with_markers
+    from tessera.llm.chat import PAIR, as_transcript, learn_roles, parse_transcripts, with_markers
     from tessera.llm.common import materialize
 
     turns = materialize(with_markers(table(spark, sf_dir, "conversations"), unmarked=3), "turns")
     model = learn_roles(turns.filter(fold(F.col("conv_id"), 4) != 0))
-    # seq counts a million a pair of turns
-    found = parse_transcripts(as_transcript(turns, lines=4), model, block=16_000_000)
+    found = parse_transcripts(as_transcript(turns, lines=4), model, block=16 * PAIR)
     return found.select("conv_id", "turn_no", "role", F.col("n_lines").cast("long").alias("n_lines"), F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
 
 

@@ -70,22 +70,6 @@ def parts(text: str) -> list[Span]:
     return out + [(m.start(), m.end(), "endpoint") for m in _ENDPOINT_PART.finditer(text)]
 
 
-def scopes(text: str, most_lines: int) -> list[tuple[int, int]]:
-    """Paragraphs between blank lines; longer ones are cut into overlapping windows of most_lines lines. scan() links by distance instead."""
-    out, at = [], 0
-    for stop in [*[m.start() for m in _BLANK.finditer(text)], len(text)]:
-        lines = [at, *[m.end() for m in re.finditer("\n", text[at:stop]) if m.end() < stop - at]]
-        lines = [at, *[at + x for x in lines[1:]]]
-        if len(lines) <= most_lines:
-            out.append((at, stop))
-        else:
-            half = most_lines // 2
-            for k in range(0, len(lines) - half, half):
-                out.append((lines[k], lines[k + most_lines] if k + most_lines < len(lines) else stop))
-        at = stop
-    return out
-
-
 def places(text: str, found: list[Span]) -> list[tuple[int, int]]:
     """(paragraph, line) of each part; a part lies in one line."""
     ends, blanks = [m.start() for m in re.finditer("\n", text)], [m.start() for m in _BLANK.finditer(text)]

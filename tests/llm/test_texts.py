@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, awkward_documents, empty, prose
+from tests.llm.helpers import SCHEMA, awkward, awkward_documents, empty, prose
 from tessera.llm import decontamination, features, quality, quality_rules, secrets, toxicity, warc
 from tessera.llm.common import shared_dir
 
@@ -55,6 +55,28 @@ def test_contamination_equals_brute_force(spark, block):
     assert clean.count() == sum(r["n_hit"] == 0 for r in got)
 
 
+def test_contamination_takes_columns_of_any_name(spark):
+    names = ["_hits", "_items", "_matches", "_n_words", "_row", "N_HIT", "hits"]
+    rows = awkward_documents(n=12)
+    items = [(1, rows[0][1]), (2, rows[2][1]), (3, "a b c d")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for block in (1, 10_000):
+        found = decontamination.find_contamination(df, bench, block_chars=block)
+        assert found.columns == ["doc_id", "text", *names[:5], "n_words", "n_hit", "items", "hits", "matches"]
+        got = found.collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in got), key=str) == brute_hits([(r[0], r[1]) for r in rows], items)
+        assert all(r["_row"] == 4 for r in got)
+        assert decontamination.decontaminate(df, bench, block_chars=block).columns == df.columns
+
+
+def test_a_word_of_a_million_characters_is_one_word(spark):
+    rows = [(1, "z" * 1_000_000), (2, "a " + "z" * 1_000_000 + " b"), (3, "a b")]
+    bench = spark.createDataFrame([(7, "z" * 1_000_000)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (1, 1), 2: (3, 1), 3: (2, 0)}
+
+
 def test_contamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_contamination(empty(spark), bench).count() == 0
@@ -90,13 +112,6 @@ def test_secrets_base_and_links():
     assert secrets.masked("a secret=abcdef b", secrets.scan("a secret=abcdef b")) == "a [assign] b"
 
 
-def test_scopes_cover_long_paragraphs():
-    text = "\n".join(f"line {i}" for i in range(40)) + "\n\nlast"
-    areas = secrets.scopes(text, 12)
-    assert areas[0][0] == 0 and areas[-1][1] == len(text)
-    assert all(b[0] <= a[1] for a, b in zip(areas, areas[1:]))
-
-
 def test_links_depend_on_distance_only():
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY4"
     for first in range(30):
@@ -373,6 +388,29 @@ def test_roles_of_unmarked_turns_are_recovered(spark):
     assert total > 500 and right > most + 0.35 * (total - most)
 
 
+@pytest.mark.parametrize("first", [0, 300])
+def test_roles_are_learnt_alike_in_blocks_of_any_size(spark, first):
+    """Changes across a block's border count, only a conversation's first turn is a start, and a turn of unknown role has no neighbours."""
+    from tessera.llm import chat
+
+    rng = random.Random(4)
+    rows = [(c, first + 7 * i, rng.choice([*chat.ROLES, "other", None]), f"User: {prose(rng, 5)}\nsecond line?" if i % 3 else prose(rng, 4)) for c in (1, 2, None) for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, seq long, role string, text string")
+    models = [chat.learn_roles(turns, block=b) for b in (1_000_000, 256, 20)]
+    for name in ("start", "turn", "stay"):
+        assert all(np.allclose(getattr(m, name), getattr(models[0], name)) for m in models)
+    begins = [rows[k][2] for k in (0, 40, 80) if rows[k][2] in chat.ROLES]
+    assert np.allclose(models[0].start, np.log(np.asarray([1 + begins.count(r) for r in chat.ROLES]) / (3 + len(begins))))
+
+
+def test_chunks_of_a_long_pair_stay_before_the_next_pair(spark):
+    from tessera.llm import chat
+
+    turns = spark.createDataFrame([(1, 0, "a\n" * 9), (1, 1, "b"), (1, 2, "c")], "conv_id long, seq long, text string")
+    got = [r["seq"] for r in chat.as_transcript(turns, lines=1).orderBy("seq").collect()]
+    assert got == [*range(11), chat.PAIR] and chat.PAIR > 2**31  # an array's most elements
+
+
 def test_markers_are_recovered(spark):
     from tessera.llm import chat
 
