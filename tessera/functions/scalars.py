@@ -78,7 +78,7 @@ def json_object_in(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+("|\Z)|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+("|\\?\Z)|[{}\[\]:,]|[^\s{}\[\]:,"]+', re.S)
 
 
 def closed_json(text: str | None) -> str | None:
@@ -124,12 +124,12 @@ def closed_json(text: str | None) -> str | None:
                 out.append(token)
                 wants = "key" if stack[-1] == "}" else "value"
         elif wants == "key":
-            if token[0] != '"' or m[1] == "":
+            if token[0] != '"' or m[1] != '"':
                 break
             out.append(token)
             wants = "colon"
         elif wants == "value":
-            token = token if token[0] != '"' or m[1] else _ended(token)
+            token = _ended(token) if token[0] == '"' and m[1] != '"' else token
             if token[0] != '"' and not _is_value(token):
                 break
             out.append(token)

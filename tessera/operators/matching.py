@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-from tessera.functions.scalars import folded
 
 
 def latest_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -201,77 +197,6 @@ def cuttable(source: Column, clip_action: Column, seconds: Column, usable: tuple
     return F.coalesce((source != "") & clip_action.isin(*usable) & (seconds > 0), F.lit(False))
 
 
-def greedy_in_groups(cands: DataFrame, group: str, item: str, choice: str, score: str, rank: str, cut: float = 0.55) -> DataFrame:
-    """The same per group, for groups of a bounded size: one ordered pass in one task per group."""
-    kinds = {f.name: f.dataType.simpleString() for f in cands.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[pdf[score] >= cut].sort_values([score, item, rank], ascending=[False, True, True], kind="stable")
-        items, choices, out = set(), set(), []
-        for i, c, s in zip(p[item], p[choice], p[score], strict=True):
-            if i not in items and c not in choices:
-                items.add(i)
-                choices.add(c)
-                out.append((pdf[group].iloc[0], i, c, s))
-        return pd.DataFrame(out, columns=[group, item, choice, score])
-
-    return cands.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{item}` {kinds[item]}, `{choice}` {kinds[choice]}, `{score}` double")
-
-
-def cover_ratio(a: str, b: str) -> float:
-    """Share of b's characters in the matching blocks of a and b."""
-    if not b:
-        return 0.0
-    return sum(m.size for m in SequenceMatcher(None, a or "", b, autojunk=False).get_matching_blocks()) / len(b)
-
-
-def fuzzy_cover(a: Column, b: Column) -> Column:
-    @F.pandas_udf(DoubleType())
-    def cover(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([cover_ratio(p, q) for p, q in zip(x, y, strict=True)])
-
-    return cover(a, b)
-
-
-def line_span(words: Column, line: Column) -> Column:
-    """struct<until, cover>: when the last character of a line that is heard in words (array<struct<text, until>>) has been said, and the line's share that is heard.
-
-    Letters, digits and CJK are compared. Without any word or line both are 0; with no character in common, until is the last word's.
-    """
-
-    @F.pandas_udf("struct<until:double,cover:double>")
-    def run(heard: pd.Series, ends: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        out = []
-        for texts, until, want in zip(heard, ends, wanted, strict=True):
-            chars = "".join(texts)
-            at = [e for t, e in zip(texts, until, strict=True) for _ in t]
-            if not chars or not want:
-                out.append((0.0, 0.0))
-                continue
-            blocks = [b for b in SequenceMatcher(None, want, chars).get_matching_blocks() if b.size]
-            out.append((at[blocks[-1].b + blocks[-1].size - 1] if blocks else at[-1], sum(b.size for b in blocks) / len(want)))
-        return pd.DataFrame(out, columns=["until", "cover"])
-
-    plain = lambda c: folded(F.coalesce(c, F.lit("")))
-    return run(F.transform(words, lambda w: plain(w["text"])), F.transform(words, lambda w: w["until"]), plain(line))
-
-
-def similarity(a: str, b: str) -> float:
-    return SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
-
-
-def not_planned(lines: DataFrame, plan: DataFrame, keys: list[str], text: str = "text", cut: float = 0.6) -> DataFrame:
-    """Lines of a group that neither contain, nor are contained in, nor resemble a line of the group's plan."""
-    schema = lines.schema
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = [t for t in right[text] if t]
-        keep = [not any(t in p or p in t or similarity(t, p) >= cut for p in known) for t in left[text].fillna("")]
-        return left[keep]
-
-    return lines.groupBy(*keys).cogroup(plan.select(*keys, text).groupBy(*keys)).applyInPandas(run, schema)
-
-
 def place_in_stream(items: list[str], stream: str) -> list[tuple[int, int] | None]:
     """(start, end) of each text in the stream, looked for from the last place on and then from the start; used places stay used."""
     cursor, used, out = 0, [False] * len(stream), []

@@ -142,6 +142,13 @@ def coverage_holes(spark, table: DecisionTable) -> DataFrame:
     return df.withColumn("d", table.decide(facts)).filter(F.col("d.hit_row") == len(table.rows) - 1).select(F.lit(table.name).alias("table"), F.to_json(F.struct(*table.fields)).alias("facts"))
 
 
+def observed_holes(df: DataFrame, table: DecisionTable, facts: dict[str, Column]) -> DataFrame:
+    """table, facts, n: which facts that rows of df have meet no row of the table but the last, and how many rows have them. Facts are told by name, null as null."""
+    told = F.concat_ws(", ", *[F.concat(F.lit(f"{f}="), F.coalesce(facts[f].cast("string"), F.lit("null"))) for f in table.fields])
+    met = df.select(table.decide(facts)["hit_row"].alias("_hit"), told.alias("facts"))
+    return met.filter(F.col("_hit") == len(table.rows) - 1).groupBy("facts").agg(F.count("*").alias("n")).select(F.lit(table.name).alias("table"), "facts", "n")
+
+
 # The gates' limits.
 SILENT_DB, VOICE_MIN_DB, MUSIC_COVER, MUSIC_RUN, MUSIC_FLATNESS = -45.0, -38.0, 0.5, 5.0, 0.35
 

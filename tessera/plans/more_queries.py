@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
 from tessera.operators import catalog as C
+from tessera.operators import fuzzy as Z
 from tessera.operators import intervals as I
 from tessera.operators import matching as M
 from tessera.operators import packing as P
@@ -86,10 +87,11 @@ def frame_hashes(spark, d):
     return t(spark, d, "documents").select("doc_id", G.frame_hash(F.unhex(F.substring(h, 1, 144))).alias("hash"))
 
 
-@query("""SELECT doc_id, md5(strlen(text)::VARCHAR || text || text) AS fp FROM documents WHERE strlen(text) BETWEEN 1 AND 1048576""")
+@query("""SELECT doc_id, md5(encode(strlen(text)::VARCHAR) || encode(text)[1:64] || encode(text)[greatest(1, strlen(text) - 63):strlen(text)]) AS fp FROM documents WHERE text IS NOT NULL""")
 def head_tail_fingerprint(spark, d):
-    x = t(spark, d, "documents").filter(F.octet_length("text").between(1, 1 << 20))
-    return x.select("doc_id", C.head_tail_fingerprint(F.col("text").cast("binary")).alias("fp"))
+    """Fingerprints of the first and the last 64 bytes of documents of any length, the empty ones too."""
+    text = F.col("text").cast("binary")
+    return t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", C.head_tail_fingerprint(text, 64).alias("fp"))
 
 
 @query("""SELECT conv_id::VARCHAR AS conv_id, turn * 5.0 AS start, turn * 5.0 + 4.5 AS "end", trim(replace(text, chr(10), ' ')) AS text FROM conversations""")
@@ -378,23 +380,41 @@ def version_choice(spark, d):
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, text AS text FROM conversations), w AS (SELECT conv_id, turn, left(text, 10) AS p FROM conversations WHERE turn % 2 = 0)
+WITH c AS (SELECT conv_id, turn, text AS text FROM conversations), w AS (SELECT conv_id, turn, text AS p FROM conversations WHERE turn % 2 = 0)
 SELECT conv_id, turn FROM c WHERE turn % 2 = 1 AND NOT EXISTS (SELECT 1 FROM w WHERE w.conv_id = c.conv_id AND w.p <> '' AND (contains(c.text, w.p) OR contains(w.p, c.text)))""")
 def unplanned_lines(spark, d):
-    """Odd turns that do not hold the beginning of an even one (a likeness below any text's: substrings only)."""
+    """Odd turns that neither hold an even one nor are held by one, by substrings alone; unlike_lines asks for likeness too."""
     c = t(spark, d, "conversations").select("conv_id", "turn", "text")
-    plan = c.filter("turn % 2 = 0").select("conv_id", F.substring("text", 1, 10).alias("text"))
-    return M.not_planned(c.filter("turn % 2 = 1"), plan, ["conv_id"], cut=2.0).select("conv_id", "turn")
+    return Z.not_planned(c.filter("turn % 2 = 1"), c.filter("turn % 2 = 0"), ["conv_id"], cut=2.0).select("conv_id", "turn")
+
+
+@query(None)
+def unlike_lines(spark, d):
+    """Turns that are unlike all earlier turns of their conversation; tests hold likeness against difflib."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "text")
+    return Z.not_planned(c.filter("turn % 2 = 1"), c.filter("turn % 2 = 0"), ["conv_id"], cut=0.6).select("conv_id", "turn")
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN length(c) > 0 THEN length(c) * 0.1 ELSE 0.0 END AS until, CASE WHEN length(c) > 0 THEN 1.0 ELSE 0.0 END AS cover FROM (SELECT conv_id, turn, regexp_replace(lower(coalesce(text, '')), '[^0-9a-z一-鿿]', '', 'g') AS c FROM conversations)""")
+def line_spans(spark, d):
+    """Turns looked for in their own words, which are all heard: the last one's end, and the whole line."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    plain = lambda w: F.length(S.folded(w))
+    until = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.aggregate(F.slice("w", F.lit(1), k), F.lit(0), lambda n, w: n + plain(w)) * 0.1)
+    x = t(spark, d, "conversations").select("conv_id", "turn", "text", words.alias("w")).filter(F.size("w") > 0)
+    x = x.select("conv_id", "turn", "text", F.zip_with("w", until, lambda w, u: F.struct(w.alias("text"), u.alias("until"))).alias("w"))
+    return x.select("conv_id", "turn", Z.line_span(F.col("w"), F.col("text")).alias("v")).select("conv_id", "turn", F.round("v.until", 4).alias("until"), "v.cover")
 
 
 @query("""
 SELECT conv_id, turn, k, CASE WHEN length(text) >= 5 * k + 5 THEN 5 * k * 0.1 ELSE 100.0 END AS line_start, CASE WHEN length(text) >= 5 * k + 5 THEN (5 * k + 5) * 0.1 ELSE 101.0 END AS line_end, length(text) >= 5 * k + 5 AS found
-FROM (SELECT conv_id, turn, string_agg(chr((20000 + i % 9000)::INT), '' ORDER BY i) AS text FROM (SELECT conv_id, turn, unnest(range(0, least(length(text), 40))) AS i FROM conversations) GROUP BY 1, 2), (SELECT unnest(range(0, 5)) AS k)""")
+FROM (SELECT conv_id, turn, string_agg(chr((20000 + i % 9000)::INT), '' ORDER BY i) AS text FROM (SELECT conv_id, turn, unnest(range(0, length(text))) AS i FROM conversations) GROUP BY 1, 2), (SELECT unnest(range(0, 5)) AS k)""")
 def lines_in_stream(spark, d):
-    """Five-character lines looked for in a stream of as many characters as the turn has (40 at most), all different."""
-    n = F.least(F.length("text"), F.lit(40))
+    """Five-character lines looked for in a stream of as many characters as the turn has, all different up to 9,000."""
+    n = F.length("text")
     c = t(spark, d, "conversations").filter(n > 0).select("conv_id", "turn", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("char_no", "i"))
-    ch = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 20000), 4, "0")), "UTF-16BE")
+    ch = lambda i: F.decode(F.unhex(F.lpad(F.hex(i % 9000 + 20000), 4, "0")), "UTF-16BE")
     stream = c.select("conv_id", "turn", "char_no", ch(F.col("i")).alias("ch"), (F.col("char_no") * 0.1).alias("char_start"), ((F.col("char_no") + 1) * 0.1).alias("char_end"))
     line = F.array_join(F.transform(F.sequence(F.col("k") * 5, F.col("k") * 5 + 4), ch), "")
     items = t(spark, d, "conversations").filter(n > 0).select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("conv_id", "turn", "k", line.alias("text"), F.lit(100.0).alias("start"), F.lit(101.0).alias("end"))
@@ -487,9 +507,9 @@ def trim_and_probe(spark, d):
     return P.probe_order(c, ["conv_id"], ["n"], "turn", 2).select("conv_id", "turn", P.trim_to_budget(F.col("text"), 40).alias("trimmed"), "probed")
 
 
-@query("""SELECT conv_id, greatest(52, min(floor(1900.0 / greatest(units, 1))))::INT AS size FROM (SELECT conv_id, length(left(text, 30)) AS units FROM conversations) GROUP BY 1""")
+@query("""SELECT conv_id, greatest(52, min(floor(1900.0 / greatest(units, 1))))::INT AS size FROM (SELECT conv_id, length(text) AS units FROM conversations) GROUP BY 1""")
 def uniform_sizes(spark, d):
-    x = t(spark, d, "conversations").select("conv_id", F.length(F.substring("text", 1, 30)).alias("units"))
+    x = t(spark, d, "conversations").select("conv_id", F.length("text").alias("units"))
     return P.uniform_size(x, ["conv_id"], F.col("units"), 1900.0)
 
 
@@ -597,11 +617,11 @@ def digest_lookup(spark, d):
     return C.lookup_digest(x, wanted, "text", "size", "digest").select("doc_id")
 
 
-@query("""SELECT user_id, event_id, wrapped FROM (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) < max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wrapped FROM events) WHERE wrapped""")
+@query("""SELECT user_id, event_id, wrapped FROM (SELECT user_id, event_id, epoch_us(ts) AS s, epoch_us(ts) < max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wrapped FROM events) WHERE wrapped""")
 def roll_overs(spark, d):
-    """Events of a user that step back behind an earlier one, in the order of their ids."""
-    x = t(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"))
-    return I.roll_overs(x, ["user_id"], ["event_id"], "s").select("user_id", "event_id", F.lit(True).alias("wrapped"))
+    """Events of a user that step back behind an earlier one, in the order of their values."""
+    x = t(spark, d, "events").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"))
+    return I.roll_overs(x, ["user_id"], ["value", "event_id"], "s").select("user_id", "event_id", F.lit(True).alias("wrapped"))
 
 
 @query("""
@@ -620,11 +640,16 @@ def signal_levels(spark, d):
 
 
 @query("""
-SELECT 'clip_handling' AS name, 5 AS n, 3 AS fields UNION ALL SELECT 'gap_fill', 5, 3 UNION ALL SELECT 'match_strategy', 3, 1 UNION ALL SELECT 'reference_audio', 6, 4 UNION ALL SELECT 'subtitles', 4, 4 UNION ALL SELECT 'narration', 2, 1""")
+SELECT r_regionkey AS no, '| ' || r_regionkey || ' | ' || replace(r_name, '|', ' ') || ' | ' || coalesce(n, '') || ' |' AS line FROM region LEFT JOIN (SELECT n_regionkey, replace(string_agg(n_name, ' / ' ORDER BY n_nationkey), '|', ' ') AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey
+UNION ALL SELECT -1, '| region | name | nations |' || chr(10) || '| --- | --- | --- |'""")
 def rendered_tables(spark, d):
-    """The decision tables as documents: rows and columns of each."""
-    rows = [(x.name, len(lines) - 2, lines[0].count("|") - 2) for x in R.TABLES if (lines := x.markdown().split("\n"))]
-    return spark.createDataFrame(rows, "name string, n int, fields int")
+    """A Markdown table of regions with their nations, with marks of the table's own in the cells."""
+    n = t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), " / ").alias("nations"))
+    x = t(spark, d, "region").join(n, "r_regionkey", "left").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"), "nations")
+    columns = ["region", "name", "nations"]
+    rows = files.markdown_rows(x, columns).select(F.col("region").alias("no"), "line")
+    head = x.agg(F.lit(-1).alias("no"), F.lit(files.markdown_head(columns)).alias("line"))
+    return rows.unionByName(head.select(F.col("no").cast(rows.schema["no"].dataType), "line"))
 
 
 @query("""

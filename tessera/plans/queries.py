@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
 from tessera.operators import catalog as C
+from tessera.operators import fuzzy as Z
 from tessera.operators import intervals as I
 from tessera.operators import matching as M
 from tessera.operators import packing as P
@@ -96,16 +97,15 @@ def rule_priority_pick(spark, d):
 
 
 @query("""
-SELECT * FROM (VALUES ('narration', '{"ref_has_speech":"true"}'),
- ('subtitles', '{"config":"follow","ref_has_caps":"true","has_ref":"false","style_tool":"false"}'),
- ('subtitles', '{"config":"follow","ref_has_caps":"true","has_ref":"false","style_tool":"true"}'),
- ('subtitles', '{"config":"follow","ref_has_caps":"true","has_ref":"true","style_tool":"false"}')) v("table", facts)""")
+WITH e AS (SELECT CASE WHEN event_type = 'error' THEN NULL ELSE event_type = 'click' END AS speech, CASE WHEN event_id % 3 = 0 THEN 'follow' ELSE 'always' END AS config, event_id % 2 = 0 AS caps, event_id % 5 < 3 AS ref, value > 100 AS tool FROM events)
+SELECT 'narration' AS "table", 'ref_has_speech=' || coalesce(speech::VARCHAR, 'null') AS facts, count(*) AS n FROM e WHERE speech IS DISTINCT FROM false GROUP BY ALL
+UNION ALL SELECT 'subtitles', 'config=' || config || ', ref_has_caps=' || caps || ', has_ref=' || ref || ', style_tool=' || tool, count(*) FROM e WHERE NOT (config = 'follow' AND NOT caps) AND NOT (ref AND tool) GROUP BY ALL""")
 def rule_coverage_holes(spark, d):
-    out = None
-    for table in R.TABLES:
-        x = R.coverage_holes(spark, table)
-        out = x if out is None else out.unionByName(x)
-    return out
+    """Facts of events that meet no row of two decision tables but the last, and how often they occur."""
+    e, i = t(spark, d, "events"), F.col("event_id")
+    speech = F.when(F.col("event_type") != "error", F.col("event_type") == "click")
+    subtitles = {"config": F.when(i % 3 == 0, "follow").otherwise("always"), "ref_has_caps": i % 2 == 0, "has_ref": i % 5 < 3, "style_tool": F.col("value") > 100}
+    return R.observed_holes(e, R.NARRATION, {"ref_has_speech": speech}).unionByName(R.observed_holes(e, R.SUBTITLES, subtitles))
 
 
 @query(f"""
@@ -404,17 +404,22 @@ def hamming_align(spark, d):
     return M.hamming_align(q, i, pairs, "query", "label")
 
 
-@query("""
-WITH c AS (SELECT l_orderkey AS item, l_suppkey AS choice, round(1 - l_discount * 4, 4) AS score, l_linenumber AS rank FROM lineitem)
-SELECT count(DISTINCT item)::BIGINT AS items FROM c WHERE score >= 0.55""")
+GREEDY = """
+WITH RECURSIVE c AS (SELECT l_orderkey AS item, l_suppkey AS choice, max(round(1 - l_discount * 4, 4)) AS score, arg_min(l_linenumber, {'s': -round(1 - l_discount * 4, 4), 'r': l_linenumber}) AS rank FROM lineitem WHERE round(1 - l_discount * 4, 4) >= 0.55 GROUP BY 1, 2),
+r AS (SELECT 0 AS k, []::BIGINT[] AS items, []::BIGINT[] AS choices, NULL::STRUCT(s DOUBLE, o BIGINT, r BIGINT, c BIGINT) AS m
+  UNION ALL SELECT k + 1, list_append(items, n.o), list_append(choices, n.c), n FROM (SELECT r.k, r.items, r.choices, (SELECT min({'s': -score, 'o': item, 'r': rank, 'c': choice}) FROM c WHERE NOT list_contains(r.items, item) AND NOT list_contains(r.choices, choice)) AS n FROM r) WHERE n IS NOT NULL),
+g AS (SELECT i.item, m.c AS choice, -m.s AS score FROM (SELECT DISTINCT item FROM c) i LEFT JOIN r ON m.o = i.item)"""
+
+
+@query(f"{GREEDY} SELECT count(*) AS items, count(choice) AS placed, round(sum(score), 4) AS score FROM g")
 def greedy_assignment_items(spark, d):
-    """How many orders have a row in the assignment; supplier_assignment has the pairs."""
-    return greedy_assignment(spark, d).agg(F.countDistinct("item").alias("items"))
+    """How many orders have a candidate, how many of them got one, and the sum of their scores."""
+    return greedy_assignment(spark, d).agg(F.count("item").alias("items"), F.count("choice").alias("placed"), F.round(F.sum("score"), 4).alias("score"))
 
 
-@query(None)
+@query(f"{GREEDY} SELECT * FROM g")
 def greedy_assignment(spark, d):
-    """item, choice, score of every order with a candidate, over all of lineitem; a recursive SQL pass takes too long, so it is tested against a plain greedy pass."""
+    """item, choice, score of every order with a candidate, over all of lineitem."""
     x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("choice"), F.round(1 - F.col("l_discount") * 4, 4).alias("score"), F.col("l_linenumber").alias("rank"))
     return M.exclusive_assignment(x, "item", "choice", "score", "rank").select("item", "choice", "score")
 
@@ -482,7 +487,7 @@ def anchor_window(spark, d):
 @query(None)
 def fuzzy_cover(spark, d):
     c = t(spark, d, "customer").select("c_custkey", "c_name", F.concat(F.lit("Customer "), F.col("c_mktsegment")).alias("other"))
-    return c.select("c_custkey", F.round(M.fuzzy_cover(F.col("c_name"), F.col("other")), 4).alias("cover"))
+    return c.select("c_custkey", F.round(Z.fuzzy_cover(F.col("c_name"), F.col("other")), 4).alias("cover"))
 
 
 # Packing
@@ -661,11 +666,17 @@ def srt_cues(spark, d):
 
 
 @query("""
-SELECT conv_id, turn, md5((turn + 1)::VARCHAR || chr(10) || '00:' || printf('%02d', (turn * 5) // 60) || ':' || printf('%02d', (turn * 5) % 60) || ',000 --> 00:' || printf('%02d', (turn * 5 + 4) // 60) || ':' || printf('%02d', (turn * 5 + 4) % 60) || ',500' || chr(10) || text || chr(10)) AS cue FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)""")
+WITH c AS (SELECT conv_id, turn, (turn + 1)::VARCHAR || chr(10) || '00:' || printf('%02d', (turn * 5) // 60) || ':' || printf('%02d', (turn * 5) % 60) || ',000 --> 00:' || printf('%02d', (turn * 5 + 4) // 60) || ':' || printf('%02d', (turn * 5 + 4) % 60) || ',500' || chr(10) || replace(text, chr(10), ' ') || chr(10) AS cue FROM conversations)
+SELECT conv_id, md5(string_agg(cue || chr(10), '' ORDER BY turn)) AS file, count(*) AS cues FROM c GROUP BY 1""")
 def srt_cues_whole(spark, d):
-    """The cues of srt_cues under the name they had while srt_cues was cut."""
-    x = t(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") + 1).alias("cue_no"), (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4.5).alias("end"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-    return files.srt_cues(x, ["conv_id", "turn"]).select("conv_id", "turn", F.md5("cue").alias("cue"))
+    """A subtitle file for each conversation, written and read back whole."""
+    from tessera.plans.tables import shared_path
+
+    x = t(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("cue_no"), (F.col("turn") * 5.0).alias("start"), (F.col("turn") * 5.0 + 4.5).alias("end"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    path = shared_path(spark, "subtitles")
+    files.write_lines(files.srt_cues(x, ["conv_id"]), path, "cue", ["cue_no"], "conv_id")
+    got = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), "conv_id=([0-9]+)", 1).cast("long").alias("conv_id"), "value")
+    return got.select("conv_id", F.md5("value").alias("file"), F.size(F.regexp_extract_all("value", F.lit(r"(?m)^\d\d:\d\d:\d\d,\d{3} --> "), F.lit(0))).cast("long").alias("cues"))
 
 
 @query("""
@@ -711,9 +722,10 @@ def top_orders(spark, d):
     return x.filter("rk <= 2")
 
 
-@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000""")
 def customers_without_orders(spark, d):
-    return t(spark, d, "customer").select("c_custkey").exceptAll(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
+    """Customers without a large order."""
+    return t(spark, d, "customer").select("c_custkey").exceptAll(t(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
 from tessera.plans import document_queries, more_queries, tracing_queries  # noqa: E402,F401  (register their queries)

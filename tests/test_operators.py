@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tessera.functions import scalars as S
 from tessera.operators import aggregates as A
 from tessera.operators import catalog as C
+from tessera.operators import fuzzy as Z
 from tessera.operators import intervals as I
 from tessera.operators import matching as M
 from tessera.operators import packing as P
@@ -212,7 +213,7 @@ def test_lines_and_cues_take_every_turn_whole(spark, tmp_path):
         marks = [(x == "," or i == last, x in " ," or i == last or text[i + 1] == " ") for i, x in enumerate(text)]
         lines = W.segment_chars([(i * 0.1, (i + 1) * 0.1, *m) for i, m in enumerate(marks)])
         assert got[c, k] == {n: lines.count(n) for n in set(lines)}
-    cues = {(r["conv_id"], r["turn"]): r["cue"] for r in QUERIES["srt_cues_whole"][0](spark, str(tmp_path)).collect()}
+    cues = {(r["conv_id"], r["turn"]): r["cue"] for r in QUERIES["srt_cues"][0](spark, str(tmp_path)).collect()}
     want = "2\n00:00:05,000 --> 00:00:09,500\n" + "x" * 60 + "\n"
     assert cues[1, 1] == hashlib.md5(want.encode()).hexdigest()
 
@@ -239,13 +240,13 @@ def test_monotone_chain():
 
 def test_stream_placement_and_cover():
     assert M.place_in_stream(["ab", "cd", "ab", "zz"], "abxcdab") == [(0, 2), (3, 5), (5, 7), None]
-    assert M.cover_ratio("hello world", "world") == 1.0 and M.cover_ratio("", "x") == 0.0
+    assert Z.cover_ratio("hello world", "world") == 1.0 and Z.cover_ratio("", "x") == 0.0
 
 
 def test_not_planned(spark):
     a = spark.createDataFrame([("v", "hello there"), ("v", "quite different"), ("w", "alone")], "k string, text string")
     b = spark.createDataFrame([("v", "hello there friend")], "k string, text string")
-    assert {r.text for r in M.not_planned(a, b, ["k"]).collect()} == {"quite different", "alone"}
+    assert {r.text for r in Z.not_planned(a, b, ["k"]).collect()} == {"quite different", "alone"}
 
 
 def test_catalog(spark):
@@ -285,8 +286,9 @@ def test_streams(spark, tmp_path):
     calls.coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema(calls.schema).parquet(str(src))
     out = keyed.stream_allocator(stream, "source", "key", "need", "o", 5.0)
-    q = out.writeStream.format("memory").queryName("granted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.awaitTermination(60)
+    with keyed.map_state(spark):
+        q = out.writeStream.format("memory").queryName("granted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
+        q.awaitTermination(60)
     assert sorted((r.key, r.offset, r.take, r.wrapped) for r in spark.table("granted").collect()) == [("k1", 0.0, 2.0, False), ("k1", 0.0, 3.0, False), ("k2", 2.0, 2.5, False), ("k3", 0.0, 2.0, True)]
     ev = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:20"), (1, "2024-01-01 01:00:00")], "u int, t string").withColumn("t", F.col("t").cast("timestamp"))
     ev.coalesce(1).write.parquet(str(tmp_path / "ev"))
