@@ -345,9 +345,6 @@ def loudness_gain(db: Column, target: float = -20.0, most: float = 6.0, least: f
     return F.when(db.isNull() | (db <= silent) | (F.abs(gain) < least), F.lit(0.0)).otherwise(gain)
 
 
-def md5_of(*parts: Column) -> Column:
-    return F.md5(F.concat_ws("\u0001", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
-
 
 def url_key(url: Column) -> Column:
     return F.substring_index(url, "?", 1)

@@ -100,3 +100,19 @@ def assemble(df: DataFrame, keys: list[str], position: str, text: str, between:
     rows = F.array_sort(F.collect_list(F.struct(position, text)))
     n = F.countDistinct(position)
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r[text]), between).alias("body"), F.count("*").alias("parts"), (n == F.max(position) - F.min(position) + 1).alias("complete"))
+
+
+def assemble_pieces(df: DataFrame, keys: list[str], position: str, piece: str, kind: str, mode: str, error: str, label: str) -> DataFrame:
+    """keys, pieces, mode, error, mixed: a segment's pieces in order, or what went wrong with any of them.
+
+    One failed piece fails the segment: error tells label and error of each that failed, in order, and there are no pieces then. Pieces of several kinds make a mixed
+    segment; else its mode is that of the first. A row without a piece (null) is a segment's own: a segment that has nothing else has no usable piece.
+    """
+    bad = F.col(piece).isNotNull() & (F.coalesce(F.col(error), F.lit("")) != "")
+    rows = F.array_sort(F.collect_list(F.when(F.col(piece).isNotNull(), F.struct(position, F.col(piece).alias("p"), F.col(kind).alias("k"), F.col(mode).alias("m"), F.when(bad, F.concat_ws(" ", label, error)).alias("e")))))
+    x = df.groupBy(*keys).agg(rows.alias("_r"), F.count_if(bad).alias("_bad"), F.count_distinct(F.when(F.col(piece).isNotNull(), F.col(kind))).alias("_kinds"))
+    failed = F.when(F.size("_r") == 0, F.lit("这一段没有可用的片")).when(F.col("_bad") > 0, F.array_join(F.filter(F.transform("_r", lambda r: r["e"]), lambda e: e.isNotNull()), "；"))
+    x = x.withColumn("error", failed)
+    good = F.col("error").isNull()
+    told = F.when(F.col("_kinds") > 1, "mix_user_ai").otherwise(F.try_element_at("_r", F.lit(1))["m"])
+    return x.select(*keys, F.when(good, F.transform("_r", lambda r: r["p"])).alias("pieces"), F.when(good, told).alias("mode"), "error", F.when(good, F.col("_kinds") > 1).alias("mixed"))

@@ -224,11 +224,6 @@ def tempo_plan(video: Column, voice: Column, fastest: float = 1.4, slowest: floa
     return F.struct(tempo.alias("tempo"), F.when(rest > gap, rest).otherwise(0.0).alias("residual"), (rest < -1e-9).alias("truncated"))
 
 
-def stretch_factor(planned: Column, dub: Column, most: float = 1.5) -> Column:
-    """How much to stretch the picture for a dub that is much longer than planned."""
-    return F.when(dub > 1.4 * planned + 0.15, F.least(F.lit(most), dub / planned)).otherwise(1.0)
-
-
 # Where a line may end early, and from how much of its width.
 LINE_STOPS, EARLY = "，。！？；：、,.!?;:", 0.7
 

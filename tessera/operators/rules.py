@@ -173,6 +173,31 @@ def gate_report(name: str, passed: Column, policy: str, metrics: dict[str, Colum
     )
 
 
+def told_gate(gate: Column, criterion: Column, missing: Column, failed: Column | None = None) -> Column:
+    """A gate's report with criterion (what was measured against what limit) and reason (why nothing was).
+
+    Where ``missing`` names an object that is not there, or ``failed`` says why a probe failed (120 characters of it), the gate is undecided: it has no metrics and no
+    criterion, and is folded by its policy.
+    """
+    broken = F.lit(None).cast("string") if failed is None else F.concat(F.lit("探测失败："), F.substring(failed, 1, 120))
+    reason = F.when(missing.isNotNull(), F.concat(F.lit("文件不存在："), F.when(missing == "", "(空)").otherwise(missing))).otherwise(broken)
+    open_ = reason.isNotNull()
+    passed = F.when(~open_, gate["passed"])
+    return F.struct(
+        gate["gate"].alias("gate"), passed.alias("passed"), gate["policy"].alias("policy"), F.coalesce(passed, gate["policy"] == "pass").alias("ok"), gate["used"].alias("used"),
+        F.when(~open_, gate["metrics"]).alias("metrics"), F.when(~open_, criterion).alias("criterion"), reason.alias("reason"),
+    )
+
+
+def loudness_criterion(db: Column, limit: float, name: str) -> Column:
+    return F.format_string(f"平均响度 %.1f dB（{name} %.0f）", db.cast("double"), F.lit(limit))
+
+
+def music_criterion(active_ratio: Column, longest_run: Column, flatness: Column, duration: Column) -> Column:
+    run = F.least(F.lit(MUSIC_RUN), 0.6 * duration)
+    return F.format_string("占比%.2f≥%.2f、连续%.1fs≥%.1fs、平坦度%.2f≤%.2f", active_ratio, F.lit(MUSIC_COVER), longest_run, run, flatness, F.lit(MUSIC_FLATNESS))
+
+
 def gate_violations(df: DataFrame, *gates: str) -> DataFrame:
     """Rows of df, one per gate that failed (not undecided) and was used all the same."""
     exploded = df.withColumn("_gate", F.explode(F.array(*[F.col(g) for g in gates])))

@@ -1,10 +1,14 @@
-"""Queries for broken JSON, lists of objects, nested briefs and reports put together from sections."""
+"""Queries for broken JSON, lists of objects, nested briefs, reports, caption styles, tempos and what gates and pieces tell."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators import aggregates as A
+from tessera.operators import profiles as P
+from tessera.operators import rules as R
+from tessera.operators import tempo as D
 from tessera.plans.queries import query, t
 from tessera.sources import files
 
@@ -62,3 +66,104 @@ def provenance_reports(spark, d):
     parts = F.array(one(1, "head", F.array(F.concat(F.lit("# "), "c_name"))), one(3, "end", F.when(F.col("c_custkey") % 2 == 0, F.array(F.concat(F.lit("balance "), "c_mktsegment")))), one(2, "orders", orders, failed))
     x = x.select("c_custkey", F.explode(parts).alias("s"), F.when(F.col("c_custkey") % 50 == 0, "unreadable").alias("unread")).select("c_custkey", "s.*", "unread")
     return files.provenance_reports(x, "c_custkey", "unread").select("c_custkey", F.md5("report").alias("report"))
+
+
+CAPTIONS = """(SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'hook' WHEN 'purchase' THEN 'highlight' WHEN 'signup' THEN 'label' WHEN 'view' THEN NULL ELSE 'other' END AS role, '#' || md5(event_type)[1:6] AS fill_hint, '#' || md5((event_id % 2)::VARCHAR)[1:6] AS outline_hint,
+  '#' || md5((event_id % 4)::VARCHAR)[1:6] AS fill_calib, CASE WHEN event_id % 3 > 0 THEN '#' || md5((event_id % 5)::VARCHAR)[1:6] END AS outline_calib, (event_id % 10) / 10.0 AS confidence, CASE event_id % 4 WHEN 0 THEN 'top' WHEN 1 THEN 'middle' WHEN 2 THEN '' END AS vertical,
+  CASE event_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS horizontal, CASE WHEN event_id % 5 > 2 THEN 'big' ELSE '' END AS size, event_id % 2 = 0 AS slant, ['a' || (event_id % 3), 'b' || (event_id % 2)] AS effects FROM events)"""
+
+
+def _captions(spark, d):
+    e = F.col("event_id")
+    color = lambda c: F.concat(F.lit("#"), F.substring(F.md5(c.cast("string").cast("binary")), 1, 6))
+    kind = F.col("event_type")
+    role = F.when(kind == "click", "hook").when(kind == "purchase", "highlight").when(kind == "signup", "label").when(kind == "view", F.lit(None)).otherwise("other")
+    return t(spark, d, "events").select(
+        "user_id", "event_id", role.alias("role"), color(kind).alias("fill_hint"), color(e % 2).alias("outline_hint"), color(e % 4).alias("fill_calib"), F.when(e % 3 > 0, color(e % 5)).alias("outline_calib"), ((e % 10) / 10.0).alias("confidence"),
+        F.when(e % 4 == 0, "top").when(e % 4 == 1, "middle").when(e % 4 == 2, "").alias("vertical"), F.when(e % 3 == 0, "left").when(e % 3 == 1, "right").alias("horizontal"), F.when(e % 5 > 2, "big").otherwise("").alias("size"), (e % 2 == 0).alias("slant"),
+        F.array(F.concat(F.lit("a"), (e % 3).cast("string")), F.concat(F.lit("b"), (e % 2).cast("string"))).alias("effects"),
+    )
+
+
+SATURATED = "(SELECT c, CASE WHEN hi = lo THEN 0.0 WHEN (hi + lo) / 2 <= 0.5 THEN (hi - lo) / (hi + lo) ELSE (hi - lo) / (2 - hi - lo) END AS s FROM (SELECT c, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM (SELECT '#' || md5(k::VARCHAR)[1:6] AS c, ('0x' || c[2:3])::INT / 255.0::DOUBLE AS r, ('0x' || c[4:5])::INT / 255.0::DOUBLE AS g, ('0x' || c[6:7])::INT / 255.0::DOUBLE AS b FROM range(0, 5) v(k))))"
+
+
+def _commonest(column: str, name: str) -> str:
+    return f"{name} AS (SELECT user_id, style, arg_max(v, {{'n': n, 'f': -f}}) AS {name} FROM (SELECT user_id, style, {column} AS v, count(*) AS n, min(event_id) AS f FROM x WHERE {column} IS NOT NULL AND {column} <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+
+
+@query(f"""
+WITH sat AS {SATURATED}, x AS (SELECT c.*, CASE WHEN role IN ('hook') THEN 'emphasis' WHEN role IN ('highlight', 'label') THEN role ELSE 'narration' END AS style, coalesce(f.s >= 0.45 AND confidence >= 0.4, false) AS calib,
+  CASE WHEN calib THEN fill_calib ELSE fill_hint END AS best_fill, CASE WHEN coalesce(o.s >= 0.45 AND confidence >= 0.4, false) THEN outline_calib ELSE outline_hint END AS best_outline FROM {CAPTIONS} c LEFT JOIN sat f ON f.c = fill_calib LEFT JOIN sat o ON o.c = outline_calib),
+b AS (SELECT user_id, style, count(*) AS n, round(count(*) FILTER (calib) / count(*), 3) AS calib_share, 2 * count(*) FILTER (slant) >= count(*) AS slant FROM x GROUP BY 1, 2), t AS (SELECT user_id, sum(n)::BIGINT AS total FROM b GROUP BY 1),
+e AS (SELECT * FROM b UNION ALL SELECT user_id, 'narration', 0, 0.0, false FROM t WHERE user_id NOT IN (SELECT user_id FROM b WHERE style = 'narration')),
+{_commonest("best_fill", "fill")}, {_commonest("best_outline", "outline")}, {_commonest("fill_hint", "fill_hint")}, {_commonest("outline_hint", "outline_hint")}, {_commonest("size", "size")}, {_commonest("vertical", "vertical")}, {_commonest("horizontal", "horizontal")},
+u AS (SELECT user_id, style, string_agg(v, ',' ORDER BY f) AS effects FROM (SELECT user_id, style, v, min({{'e': event_id, 'p': p}}) AS f FROM (SELECT user_id, style, event_id, unnest(effects) AS v, unnest([0, 1]) AS p FROM x) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT e.user_id, e.style, n, round(n / total, 3) AS share, coalesce(fill, '#FFFFFF') AS fill, coalesce(outline, '#101010') AS outline, coalesce(fill_hint, '#FFFFFF') AS fill_hint, coalesce(outline_hint, '#101010') AS outline_hint, coalesce(size, 'normal') AS size, calib_share,
+  (CASE coalesce(vertical, 'bottom') WHEN 'top' THEN 6 WHEN 'middle' THEN 3 ELSE 0 END + CASE coalesce(horizontal, 'center') WHEN 'left' THEN 1 WHEN 'right' THEN 3 ELSE 2 END)::INT AS position, slant, coalesce(effects, '') AS effects
+FROM e JOIN t USING (user_id) {" ".join(f"LEFT JOIN {c} ON {c}.user_id = e.user_id AND {c}.style = e.style" for c in ("fill", "outline", "fill_hint", "outline_hint", "size", "vertical", "horizontal", "u"))}""")
+def style_profiles(spark, d):
+    """Users as videos whose events are captions: the style of each kind, and narration's for all."""
+    return P.style_profiles(_captions(spark, d), "user_id", "event_id").withColumn("effects", F.array_join("effects", ","))
+
+
+@query("""
+WITH s AS (SELECT user_id, (epoch_us(ts) // 1000000) % 86400 AS s, (epoch_us(ts) // 1000000) % 86400 + floor(value * 60)::BIGINT AS e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM s WHERE e > s),
+c AS (SELECT user_id, sum(e - greatest(s, coalesce(u, s))) FILTER (e > coalesce(u, s)) AS covered FROM m GROUP BY 1)
+SELECT c_custkey AS user_id, round(coalesce(covered, 0), 2)::DOUBLE AS covered, CASE WHEN c_custkey % 4 > 0 AND coalesce(covered, 0) / (40000.0 * (c_custkey % 4)) >= 0.55 THEN 'full' ELSE 'sparse' END AS density FROM customer LEFT JOIN c ON user_id = c_custkey""")
+def caption_density(spark, d):
+    """Customers as videos of none to 120,000 seconds, with the events of the user of the same number as captions."""
+    s = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) % 86400
+    x = t(spark, d, "events").select("user_id", s.cast("double").alias("start"), (s + F.floor(F.col("value") * 60)).cast("double").alias("end"))
+    return P.caption_density(x, t(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (40000.0 * (F.col("c_custkey") % 4)).alias("length")), "user_id", "length")
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN 'u' || (o_orderkey % 3) END AS url, list_filter(['a', 'b', 'c', 'd'], lambda x: (o_orderkey + ascii(x)) % 3 > 0) AS lacks FROM orders), h AS (SELECT * FROM s WHERE url IS NOT NULL),
+g AS (SELECT o_custkey, count(*) AS steps, arg_min({'k': o_orderkey, 'url': url, 'l': lacks}, o_orderkey) AS f, arg_max({'k': o_orderkey, 'url': url, 'l': lacks}, o_orderkey) AS z FROM h GROUP BY 1),
+i AS (SELECT o_custkey, x, count(*) AS n FROM (SELECT o_custkey, unnest(lacks) AS x FROM h) GROUP BY 1, 2), c AS (SELECT o_custkey, list(x) AS common FROM i JOIN g USING (o_custkey) WHERE n = steps GROUP BY 1),
+y AS (SELECT o_custkey, steps, list_filter(f.l, lambda x: list_contains(coalesce(common, []), x)) AS a, unnest(CASE WHEN steps = 1 THEN [{'p': NULL, 's': f}] WHEN f.url = z.url THEN [{'p': 'start', 's': f}] ELSE [{'p': 'start', 's': f}, {'p': 'end', 's': z}] END) AS b FROM g LEFT JOIN c USING (o_custkey))
+SELECT o_custkey, b.p AS place, steps, array_to_string(a, ',') AS always, b.s.k AS o_orderkey, b.s.url AS url FROM y""")
+def collapsed_states(spark, d):
+    """A customer's orders as steps of an assembly, told by the first and the last that has a picture."""
+    k = F.col("o_orderkey")
+    lacks = F.filter(F.array(*[F.lit(c) for c in "abcd"]), lambda x: (k + F.ascii(x)) % 3 > 0)
+    x = t(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(k % 5 > 0, F.concat(F.lit("u"), (k % 3).cast("string"))).alias("url"), lacks.alias("lacks"))
+    return P.collapsed_states(x, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "place", "steps", F.array_join("always_lacks", ",").alias("always"), "o_orderkey", "url")
+
+
+@query("""
+WITH x AS (SELECT event_id, (event_id % 9)::DOUBLE * 0.7 AS v, value / 61 AS d FROM events), y AS (SELECT *, v > 0.2 AND d > v + 0.15 AS longer, v > 0.2 AND d > 0.2 AND d < v - 0.25 AS shorter, CASE WHEN longer THEN least(1.4, d / v) WHEN shorter THEN greatest(0.85, d / v) ELSE 1.0 END AS t FROM x),
+z AS (SELECT *, greatest(0.4, least(v, d)) AS take, CASE WHEN d > take * 1.02 THEN greatest(1 / 1.6, take / d) ELSE 1.0 END AS speed, least(d + 1, v + 0.12) AS ends, (event_id % 5) / 5.0 AS cover FROM y)
+SELECT event_id, round(CASE WHEN d <= 0 OR v <= 0 OR d <= v * 1.4 + 0.15 THEN 1.0 ELSE least(1.5, d / 1.4 / v) END, 6) AS stretch, round(t, 3) AS tempo, CASE WHEN longer AND d / t > v + 0.3 THEN round(d / t - v, 2) END AS cut, CASE WHEN NOT longer AND shorter AND v - d / t > 0.25 THEN round(v - d / t, 2) END AS silent,
+  round(take, 2) AS take, round(speed, 3) AS speed, CASE WHEN d < 0.4 THEN 'too_short' WHEN cover < 0.5 THEN 'unsaid' WHEN ends <= d + 0.25 THEN 'cut' WHEN ends / d <= 1.5 THEN 'faster' ELSE 'cut_short' END AS outcome FROM z""")
+def tempo_policy(spark, d):
+    """Dubs of a 61st of an event's value in seconds under pictures of 0 to 5.6 seconds, footage as long for the same need, and lines said up to then."""
+    x = t(spark, d, "events").select("event_id", ((F.col("event_id") % 9).cast("double") * 0.7).alias("v"), (F.col("value") / 61).alias("d"))
+    y = x.select("event_id", F.round(D.dub_stretch(F.col("v"), F.col("d")), 6).alias("stretch"), D.dub_plan(F.col("v"), F.col("d")).alias("p"), D.slowed_take(F.col("v"), F.col("d")).alias("s"), D.speech_fit(F.col("d"), F.col("d") + 1, F.col("v"), (F.col("event_id") % 5) / 5.0).alias("f"))
+    return y.select("event_id", "stretch", "p.tempo", "p.cut", "p.silent", "s.take", "s.speed", "f.outcome")
+
+
+@query("""
+WITH x AS (SELECT event_id, -round(value, 1) AS db, CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 2 = 0 THEN '' ELSE 'f' || event_id END END AS missing, CASE WHEN event_id % 11 = 0 THEN repeat('bad ', 40) END AS failed, event_id % 2 = 0 AS lenient FROM events)
+SELECT event_id, CASE WHEN missing IS NULL AND failed IS NULL THEN db > -45 END AS passed, coalesce(CASE WHEN missing IS NULL AND failed IS NULL THEN db > -45 END, lenient) AS ok, CASE WHEN missing IS NULL AND failed IS NULL THEN printf('平均响度 %.1f dB（静音线 -45）', db) END AS criterion,
+  CASE WHEN missing IS NOT NULL THEN '文件不存在：' || CASE WHEN missing = '' THEN '(空)' ELSE missing END WHEN failed IS NOT NULL THEN '探测失败：' || failed[1:120] END AS reason FROM x""")
+def told_gates(spark, d):
+    """Gates of loudness with their criterion, over files that are there, missing, or can't be probed."""
+    e = F.col("event_id")
+    x = t(spark, d, "events").select("event_id", (-F.round("value", 1)).alias("db"), F.when(e % 7 == 0, F.when(e % 2 == 0, "").otherwise(F.concat(F.lit("f"), e.cast("string")))).alias("missing"), F.when(e % 11 == 0, F.repeat(F.lit("bad "), 40)).alias("failed"))
+    told = lambda policy: R.told_gate(R.gate_report("sound", R.has_sound(F.col("db")), policy, {"db": F.col("db")}), R.loudness_criterion(F.col("db"), R.SILENT_DB, "静音线"), F.col("missing"), F.col("failed"))
+    y = x.select("event_id", F.when(e % 2 == 0, told("pass")).otherwise(told("block")).alias("g"))
+    return y.select("event_id", "g.passed", "g.ok", "g.criterion", "g.reason")
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, l_linenumber, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, 'p' || l_partkey AS piece, CASE WHEN l_suppkey % 2 = 0 THEN 'cut' ELSE 'gen' END AS kind, 'm' || (l_suppkey % 3) AS mode, CASE WHEN l_partkey % 13 = 0 THEN 'lost' END AS error FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND o_orderkey % 17 > 0),
+g AS (SELECT o_orderkey, string_agg(piece, ',' ORDER BY pos) AS pieces, count(piece) AS n, count(DISTINCT kind) FILTER (piece IS NOT NULL) AS kinds, arg_min(mode, pos) AS first_mode, string_agg('#' || l_linenumber || ' ' || error, '；' ORDER BY pos) FILTER (error IS NOT NULL AND piece IS NOT NULL) AS error FROM x GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n > 0 AND error IS NULL THEN pieces END AS pieces, CASE WHEN n > 0 AND error IS NULL THEN CASE WHEN kinds > 1 THEN 'mix_user_ai' ELSE first_mode END END AS mode, CASE WHEN n = 0 THEN '这一段没有可用的片' ELSE error END AS error FROM g""")
+def assembled_pieces(spark, d):
+    """Orders as segments whose lines are pieces of two kinds, some of which failed; some orders have none."""
+    l = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", ((F.col("l_linenumber") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("pos"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("piece"), F.when(F.col("l_suppkey") % 2 == 0, "cut").otherwise("gen").alias("kind"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("mode"), F.when(F.col("l_partkey") % 13 == 0, "lost").alias("error"))
+    x = t(spark, d, "orders").select("o_orderkey").join(l.filter("o_orderkey % 17 > 0"), "o_orderkey", "left").withColumn("label", F.concat(F.lit("#"), F.col("l_linenumber").cast("string")))
+    got = A.assemble_pieces(x, ["o_orderkey"], "pos", "piece", "kind", "mode", "error", "label")
+    return got.select("o_orderkey", F.array_join("pieces", ",").alias("pieces"), "mode", "error")
