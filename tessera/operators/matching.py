@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,38 +199,53 @@ def cuttable(source: Column, clip_action: Column, seconds: Column, usable: tuple
 
 
 def place_in_stream(items: list[str], stream: str) -> list[tuple[int, int] | None]:
-    """(start, end) of each text in the stream, looked for from the last place on and then from the start; used places stay used."""
-    cursor, used, out = 0, [False] * len(stream), []
-    for t in items:
-        found = None
-        for begin in (cursor, 0):
-            at = stream.find(t, begin) if t else -1
-            while at >= 0 and any(used[at : at + len(t)]):
-                at = stream.find(t, at + 1)
-            if at >= 0:
-                found = (at, at + len(t))
-                break
-        if found:
-            used[found[0] : found[1]] = [True] * len(t)
-            cursor = found[1]
-        out.append(found)
+    """(start, end) of each text in the stream: the first one behind the last text's, else the first of all; None for an empty text, and for one the stream doesn't hold."""
+    behind, out = 0, []
+    for text in items:
+        at = stream.find(text, behind) if text else -1
+        at = stream.find(text) if at < 0 and text else at
+        out.append((at, at + len(text)) if at >= 0 else None)
+        behind = out[-1][1] if out[-1] else behind
     return out
 
 
+#: Fixed value: the least share of a line's time that must lie in the window it was planned for.
+IN_WINDOW = 0.5
+
+
 def place_lines(items: DataFrame, stream: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
-    """items with line_start, line_end and found: where their text stands in the group's character stream (char_no, ch, char_start, char_end), or their own window where it doesn't.
+    """items (with start and end) with line_start, line_end, found, drifted and chars (array<struct<ch, start, end>>): when each character of a line is said.
 
-    A group is one recording: its cursor moves from item to item.
+    A line is looked for in the group's character stream (char_no, ch, char_start, char_end), from the last line's end on and then from the beginning. Where it is found its characters have the stream's times;
+    where less than half of these lie in the line's own window the recogniser has drifted, and they are squeezed into the window, keeping their rhythm. A line that is not found, or of a group without
+    stream, is spread evenly over its window. Lines without text or with an empty window have no characters and keep their window. A group is one recording: its place moves from line to line.
     """
     names = items.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", line_start double, line_end double, found boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", line_start double, line_end double, found boolean, drifted boolean, chars array<struct<ch:string,start:double,end:double>>"
+
+    def timed(line: str, place: tuple[int, int] | None, begin: float, end: float, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        if place is None:
+            edges = np.linspace(begin, end, len(line) + 1)
+            return edges[:-1], edges[1:], False
+        s, e = first[place[0] : place[1]], last[place[0] : place[1]]
+        length = e[-1] - s[0]
+        if length <= 0 or min(e[-1], end) - max(s[0], begin) >= IN_WINDOW * length:
+            return s, e, False
+        scale = (end - begin) / length
+        return begin + (s - s[0]) * scale, begin + (e - s[0]) * scale, True
 
     def run(mine: pd.DataFrame, chars: pd.DataFrame) -> pd.DataFrame:
         p, c = mine.sort_values(order, kind="stable"), chars.sort_values("char_no", kind="stable")
-        places = place_in_stream(list(p[text].fillna("")), "".join(c["ch"]))
-        first, last = c["char_start"].to_numpy(), c["char_end"].to_numpy()
-        p = p.assign(line_start=[first[x[0]] if x else s for x, s in zip(places, p["start"], strict=True)], line_end=[last[x[1] - 1] if x else e for x, e in zip(places, p["end"], strict=True)], found=[x is not None for x in places])
-        return p[[*names, "line_start", "line_end", "found"]]
+        texts = [x if x and e > s else "" for x, s, e in zip(p[text].fillna(""), p["start"], p["end"], strict=True)]
+        places = place_in_stream(texts, "".join(c["ch"]))
+        first, last = c["char_start"].to_numpy(float), c["char_end"].to_numpy(float)
+        out = []
+        for line, place, begin, end in zip(texts, places, p["start"].astype(float), p["end"].astype(float), strict=True):
+            s, e, drifted = timed(line, place, begin, end, first, last) if line else ([], [], False)
+            told = [{"ch": ch, "start": float(a), "end": float(b)} for ch, a, b in zip(line, s, e, strict=True)]
+            out.append((told[0]["start"] if told else begin, told[-1]["end"] if told else end, place is not None, drifted, told))
+        got = pd.DataFrame(out, columns=["line_start", "line_end", "found", "drifted", "chars"], index=p.index)
+        return pd.concat([p[names], got], axis=1)
 
     return items.groupBy(*keys).cogroup(stream.select(*keys, "char_no", "ch", "char_start", "char_end").groupBy(*keys)).applyInPandas(run, schema)
 

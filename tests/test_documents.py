@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import fuzzy as Z
+from tessera.operators import matching as M
 from tessera.operators import rules as R
 from tessera.sources import files
 
@@ -137,3 +138,17 @@ def test_reports_lose_only_the_section_that_failed(spark):
     df = spark.createDataFrame(rows, "task int, section_no int, title string, lines array<string>, error string, unread string")
     got = {r["task"]: r["report"] for r in files.provenance_reports(df, "task", "unread").collect()}
     assert got == {1: "\n> （one 章节生成失败：" + "x" * 160 + "）\nb\n", 2: "# 任务报告 2\n\n> 读取任务产物失败：cannot read\n"}
+
+
+def test_lines_are_placed_in_a_recording(spark):
+    """Found behind the last line or from the beginning, drifted ones squeezed, others spread evenly."""
+    stream = "abcabcxyz"
+    chars = [("r", i, c, i * 1.0, i + 1.0) for i, c in enumerate(stream)]
+    lines = [("r", 0, "abc", 0.0, 3.0), ("r", 1, "abc", 3.0, 6.0), ("r", 2, "abc", 0.0, 3.0), ("r", 3, "xyz", 20.0, 26.0), ("r", 4, "none", 30.0, 32.0), ("r", 5, "", 1.0, 2.0), ("r", 6, "xyz", 5.0, 5.0), ("q", 0, "ab", 0.0, 1.0), ("r", 7, None, 1.0, 2.0)]
+    df, st_ = spark.createDataFrame(lines, "k string, o int, text string, start double, end double"), spark.createDataFrame(chars, "k string, char_no int, ch string, char_start double, char_end double")
+    got = {(r["k"], r["o"]): (r["line_start"], r["line_end"], r["found"], r["drifted"], [c["start"] for c in r["chars"]]) for r in M.place_lines(df, st_, ["k"], "o").collect()}
+    assert got["r", 0] == (0.0, 3.0, True, False, [0.0, 1.0, 2.0]) and got["r", 1] == (3.0, 6.0, True, False, [3.0, 4.0, 5.0])
+    assert got["r", 2] == (0.0, 3.0, True, False, [0.0, 1.0, 2.0])  # from the beginning again
+    assert got["r", 3] == (20.0, 26.0, True, True, [20.0, 22.0, 24.0])
+    assert got["r", 4] == (30.0, 32.0, False, False, [30.0, 30.5, 31.0, 31.5]) and got["q", 0] == (0.0, 1.0, False, False, [0.0, 0.5])
+    assert got["r", 5] == got["r", 7] == (1.0, 2.0, False, False, []) and got["r", 6] == (5.0, 5.0, False, False, [])
