@@ -36,14 +36,33 @@ def candidates_of(items: DataFrame, known: DataFrame, key: str, choices: str, ch
     return ranked_candidates(x.join(known.select(choice).distinct(), choice), [key], F.col("_score"), "_pos").select(key, choice, "score", "rank")
 
 
-def char_grams(df: DataFrame, keys: list[str], text: Column, at: Column, n: int) -> DataFrame:
-    """keys, i, gram, t: the character n-grams of a text, with the time of their first character (at: array<double>, one per character)."""
-    # the one-row explode keeps the arrays from being worked out anew for each n-gram
-    x = df.select(*keys, F.explode(F.array(F.struct(F.filter(F.split(text, ""), lambda c: c != "").alias("ch"), at.alias("at")))).alias("x"))
-    have = F.greatest(F.size("x.ch") - n + 1, F.lit(0))
-    side = F.arrays_zip(*[F.slice("x.ch", k + 1, have).alias(f"c{k}") for k in range(n)], F.slice("x.at", 1, have).alias("t"))
-    grams = F.transform(side, lambda v, i: F.struct(i.alias("i"), F.concat(*[v[f"c{k}"] for k in range(n)]).alias("gram"), v["t"].alias("t")))
-    return x.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.i", "g.gram", "g.t")
+#: Characters of a block of text; blocks overlap by an n-gram less one character.
+GRAM_BLOCK = 256
+
+
+def char_grams(df: DataFrame, keys: list[str], text: Column, n: int, first: Column | None = None, behind: Column | None = None) -> DataFrame:
+    """keys, i, gram: the character n-grams of a text, and where each begins (from ``first``, or 0, on). With ``behind``, n-grams that go on into what follows the text count too.
+
+    The text is cut into blocks that overlap, so an n-gram is taken from a short string and no array of all of them is made.
+    """
+    begin = F.lit(0) if first is None else first
+    x = df.select(*keys, begin.cast("long").alias("_b"), (text if behind is None else F.concat(text, F.substring(F.coalesce(behind, F.lit("")), 1, n - 1))).alias("_t"), F.length(text).alias("_own"))
+    # an n-gram begins in the text itself, and ends where there is text
+    x = x.withColumn("_n", F.least(F.col("_own"), F.length("_t") - n + 1)).filter("_n > 0")
+    x = x.select(*keys, "_b", "_n", "_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(GRAM_BLOCK))).alias("_at"))
+    x = x.select(*keys, (F.col("_b") + F.col("_at")).alias("_b"), F.least(F.lit(GRAM_BLOCK), F.col("_n") - F.col("_at")).alias("_n"), F.substring("_t", F.col("_at") + 1, F.lit(GRAM_BLOCK + n - 1)).alias("_t"))
+    x = x.select(*keys, "_b", "_t", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
+    return x.select(*keys, (F.col("_b") + F.col("_k") - 1).alias("i"), F.substring("_t", F.col("_k"), F.lit(n)).alias("gram"))
+
+
+def stream_grams(parts: DataFrame, keys: list[str], order: str, text: str, n: int) -> DataFrame:
+    """keys, i, gram: the character n-grams of what a group's parts are together, in order, without putting them together: a part sees the beginnings of the next ones."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    filled = parts.filter(F.length(text) > 0)  # each of the next n - 1 parts has a character
+    behind = F.concat_ws("", *[F.lead(F.substring(text, 1, n - 1), k).over(w) for k in range(1, n)])
+    before = F.coalesce(F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = filled.select(*keys, F.col(text).alias("_text"), before.alias("_before"), behind.alias("_behind"))
+    return char_grams(x, keys, F.col("_text"), n, F.col("_before"), F.col("_behind"))
 
 
 def ngram_votes(queries: DataFrame, stream: DataFrame, query: list[str], source: list[str], pace: float = 0.12) -> DataFrame:
@@ -53,7 +72,8 @@ def ngram_votes(queries: DataFrame, stream: DataFrame, query: list[str], source:
     """
     keys = [*dict.fromkeys([*query, *source])]
     hits = queries.select(*keys, "i", "gram").join(stream.select(*source, "gram", "t"), [*source, "gram"])
-    at = F.round(F.col("t") - pace * F.col("i"), 1)
+    x = F.col("t") - pace * F.col("i")
+    at = F.signum(x) * F.floor(F.abs(x) * 10 + 0.5) / 10  # half away from zero
     votes = hits.groupBy(*keys, at.alias("at")).agg(F.count("*").alias("votes"))
     return votes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("votes"), "at")))
 

@@ -373,10 +373,8 @@ STREAM = f"SELECT conv_id, string_agg({FOLDED}, '' ORDER BY turn) AS c FROM conv
 def line_grams(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
     """Character n-grams of the user's turns, and of whole conversations, ten characters a second."""
     c = t(spark, d, "conversations").select("conv_id", "turn", "role", S.folded(F.coalesce("text", F.lit(""))).alias("c"))
-    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda x: x["c"]), "").alias("c"))
-    at = F.transform(F.sequence(F.lit(0), F.length("c")), lambda i: i * F.lit(0.1))
-    lines = M.char_grams(c.filter("role = 'user'"), ["conv_id", "turn"], F.col("c"), at, n)
-    return lines, M.char_grams(whole, ["conv_id"], F.col("c"), at, n)
+    timed = lambda grams: grams.withColumn("t", F.col("i") * 0.1)
+    return timed(M.char_grams(c.filter("role = 'user'"), ["conv_id", "turn"], F.col("c"), n)), timed(M.stream_grams(c, ["conv_id"], "turn", "c", n))
 
 
 @query(f"""

@@ -152,3 +152,15 @@ def test_lines_are_placed_in_a_recording(spark):
     assert got["r", 3] == (20.0, 26.0, True, True, [20.0, 22.0, 24.0])
     assert got["r", 4] == (30.0, 32.0, False, False, [30.0, 30.5, 31.0, 31.5]) and got["q", 0] == (0.0, 1.0, False, False, [0.0, 0.5])
     assert got["r", 5] == got["r", 7] == (1.0, 2.0, False, False, []) and got["r", 6] == (5.0, 5.0, False, False, [])
+
+
+def test_grams_of_a_stream_of_short_parts(spark):
+    rng = random.Random(6)
+    rows = [(k, o, "".join(rng.choice("ab語") for _ in range(rng.choice([0, 1, 1, 2, 300, 700])))) for k in (1, 2) for o in range(12)] + [(1, 99, None), (3, 0, "ab")]
+    df = spark.createDataFrame(rows, "k int, o int, text string")
+    for n in (1, 4):
+        got = sorted((r["k"], r["i"], r["gram"]) for r in M.stream_grams(df, ["k"], "o", "text", n).collect())
+        whole = {k: "".join(t or "" for key, _, t in sorted(rows, key=lambda r: r[:2]) if key == k) for k in (1, 2, 3)}
+        assert got == sorted((k, i, s[i : i + n]) for k, s in whole.items() for i in range(len(s) - n + 1))
+        each = sorted((r["k"], r["o"], r["i"], r["gram"]) for r in M.char_grams(df, ["k", "o"], F.col("text"), n).collect())
+        assert each == sorted((k, o, i, t[i : i + n]) for k, o, t in rows if t for i in range(len(t) - n + 1))
