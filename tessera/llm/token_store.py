@@ -148,8 +148,12 @@ def frames_of(data: bytes) -> Iterator[tuple]:
         at += size
 
 
+#: Frames after which a range goes on in another file, which is read in one piece: some 64 MB of ids.
+FRAMES_PER_FILE = 16
+
+
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, shards: int | None = None, frame_tokens: int = 2_000_000) -> None:
-    """Write doc_id, text as token files; part files are ranges of doc_id in ascending order.
+    """Write doc_id, text as token files; part files are ranges of doc_id in ascending order, and a range is as many files as it takes; rows with one id are in order of a hash of their texts.
 
     shards defaults to one per 16 MB of input. A frame closes at frame_tokens, so a
     writer holds one frame however large its range.
@@ -185,9 +189,11 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         if keys:
             yield frame()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share an id, or have none, are dealt out by their texts, so that no range grows with one id
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     # the text sink writes a row's bytes as they are, and a line feed after them
-    ranged.mapInArrow(tidy(write, keeps=True), "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    frames = ranged.mapInArrow(tidy(write, keeps=True), "frame binary").select(F.col("frame").cast("string").alias("value"))
+    frames.write.option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
 
 
 def read_token_store(spark: SparkSession, path: str, broadcast_frames: int = 200_000) -> DataFrame:

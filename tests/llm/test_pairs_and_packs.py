@@ -193,6 +193,15 @@ def test_token_files_round_trip(spark):
             ids = enc.encode(t or "") + b"\x02\0\0\0"
             assert (r["doc_id"], r["start"], bytes(r["ids"])) == (d, at, ids)
             at += len(ids) // 4
+    # all rows share an id or have none: they are dealt to several ranges, and a range to several files
+    many = spark.createDataFrame([(7 if k % 2 else None, f"text number {k} " * (k % 40)) for k in range(600)], "doc_id long, text string")
+    path = shared_dir(spark, "one-id")
+    token_store.write_token_store(many, path, tokenizer_path("word_bpe_49k.json"), shards=6, frame_tokens=200)
+    told = token_store.read_token_store(spark, path).orderBy("start").collect()
+    assert len(told) == 600 and [r["doc_id"] for r in told] == [None] * 300 + [7] * 300
+    assert [r["start"] for r in told] == [sum(x["n_tokens"] for x in told[:k]) for k in range(600)]
+    sizes = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert len(sizes) > 6 and len({r["doc_id"] for r in told}) == 2
     assert token_store.tokenize_to_store(empty(spark), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
