@@ -255,3 +255,18 @@ def test_packing_whole_documents(spark):
     whole = packing.sequences(packing.best_fit_pack(pieces, 256))
     assert whole.agg(F.sum("n_tokens")).first()[0] == total and whole.agg(F.max("n_tokens")).first()[0] <= 256
     assert packing.pack_documents(empty(spark), path)[1].count() == 0
+
+
+def test_a_very_long_word_goes_through_joins_stores_and_packs(spark):
+    word = "q" * 120_000
+    rows = [(1, word), (2, word), (3, word + " a b c d e"), (4, "a b c d e"), (5, "a b " + word)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_components(docs, n=5, percent=75).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (1, 4), 5: (1, 5)}
+    for store in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = WordwiseEncoder(tokenizer_path(store))
+        want = {d: len(enc.encode(t)) // 4 + 1 for d, t in rows}
+        told = {r["doc_id"]: r["n_tokens"] for r in token_store.tokenize_to_store(docs, tokenizer_path(store)).collect()}
+        assert told == want
+    pieces = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)[1].collect()
+    assert all(sum(r["length"] for r in pieces if r["doc_id"] == d) == n for d, n in want.items()) and max(r["length"] for r in pieces) <= 2048

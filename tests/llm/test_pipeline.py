@@ -83,3 +83,28 @@ def test_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).collect() == [] and stage(spark, docs, path).columns == docs.columns, name
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_null_and_repeated_ids_go_through_all_stages(spark, tmp_path):
+    """Rows without an id all stay; rows that repeat an id and its text are one from the join on; a word of any length is handled."""
+    path = f"file://{tmp_path}"
+    rows, _ = write_tables(spark, path)
+    rng = random.Random(3)
+    more = [(None, prose(rng, 40), "en", "web", None, None, None) for _ in range(5)] + [(None, None, None, None, None, None, None)] * 2
+    again = [r for r in rows if r[0] in (1, 2, 5, 2001)]
+    long_ = [(4000, "y" * 150_000, "en", "web", 150_000, None, None), (4001, "start " + "w" * 150_000, None, None, None, None, None)]
+    spark.createDataFrame([*rows, *more, *again, *long_], SCHEMA).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept, clean = {}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        clean = spark.createDataFrame(stage(spark, clean, path).collect(), SCHEMA)
+        kept[name] = [(r["doc_id"], r["text"]) for r in clean.collect()]
+    assert sum(d is None for d, _ in kept["toxicity"]) == 7 and sum(d == 1 for d, _ in kept["toxicity"]) == 2
+    for name in ("ngram_jaccard_join", "benchmark_decontamination", "secret_scan"):
+        assert sum(d is None for d, _ in kept[name]) == 7
+        known = [x for x in kept[name] if x[0] is not None]
+        assert len(known) == len(set(known)) and {4000, 4001} <= {d for d, _ in known}
+    enc = WordwiseEncoder(tokenizer_path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.run(spark, path).collect()
+    assert sum(r["length"] for r in packed) == sum(len(enc.encode(t or "")) // 4 + 1 for _, t in kept["secret_scan"])
+    assert sum(r["doc_id"] is None and r["piece"] == 0 for r in packed) == 7
