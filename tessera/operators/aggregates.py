@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,47 @@ def mode_first_seen(df: DataFrame, keys: list[str], value: str, order: str, name
     return counted.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(name))
 
 
-def median_vector(df: DataFrame, keys: list[str], vector: str, name: str = "median") -> DataFrame:
-    """keys, median: element-wise; an even count takes the mean of the middle two."""
+#: Rows up to which medians are taken by an aggregate that keeps a group's distinct values in memory.
+FEW_ROWS = 200_000
+
+
+def median_vector(df: DataFrame, keys: list[str], vector: str, name: str = "median", few_rows: int = FEW_ROWS, block_rows: int = 2_000_000) -> DataFrame:
+    """keys, median: element-wise; an even count takes the mean of the middle two. Nulls don't count; a place with nothing else is null.
+
+    A table of more rows is dealt out by range of (keys, place, value): counts of blocks say which one or two blocks hold a place's middle values, and only these are ranked, so a group
+    may be of any size.
+    """
     parts = df.select(*keys, F.posexplode(vector).alias("_i", "_v"))
-    med = parts.groupBy(*keys, "_i").agg(F.expr("percentile(_v, 0.5)").alias("_m"))
+    rows = df.count()
+    if rows <= few_rows:
+        med = parts.groupBy(*keys, "_i").agg(F.expr("percentile(_v, 0.5)").alias("_m"))
+    else:
+        med = _medians(parts, keys, math.ceil(rows * 8 / block_rows))
     return med.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(name))
 
 
+def _medians(parts: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """keys, _i, _m: medians of _v by the ranks of the middle rows."""
+    from tessera.plans.tables import written
+
+    group = [*keys, "_i"]
+    cut = written(parts.repartitionByRange(blocks, *group, "_v").withColumn("_block", F.spark_partition_id()))
+    sizes = cut.groupBy(*group, "_block").agg(F.count("_v").alias("_n"))  # a row for each block and place
+    every = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = sizes.select(*group, "_block", "_n", before.alias("_before"), F.sum("_n").over(every).alias("_all"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))
+    wanted = written(held.filter(inside(low) | inside(high)).select(*[F.col(c).alias(f"_of_{c}") for c in [*group, "_block"]], "_before", low.alias("_low"), high.alias("_high")))
+    own = F.row_number().over(Window.partitionBy(*group, "_block").orderBy("_v")) - 1
+    near = cut.filter(F.col("_v").isNotNull()).join(wanted, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, "_block"]])
+    ranked = near.withColumn("_r", own + F.col("_before"))
+    middle = ranked.groupBy(*group).agg((0.5 * F.min(F.when(F.col("_r") == F.col("_low"), F.col("_v"))) + 0.5 * F.min(F.when(F.col("_r") == F.col("_high"), F.col("_v")))).alias("_m"))
+    places = held.select(*group).distinct()
+    found = middle.select(*[F.col(c).alias(f"_of_{c}") for c in group], "_m")
+    return places.join(found, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group], "left").select(*group, "_m")
+
+
 def union_distinct(df: DataFrame, keys: list[str], value: str, order: str, name: str = "values") -> DataFrame:
     """keys, values: distinct values in the order they are first seen; grouped by value first, so repeats never pile up."""
     firsts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_o"))

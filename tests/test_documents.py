@@ -2,15 +2,19 @@
 
 import io
 import json
+import math
 import random
 import wave
 from difflib import SequenceMatcher
+from statistics import median
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.operators import aggregates as A
 from tessera.operators import fuzzy as Z
 from tessera.operators import matching as M
 from tessera.operators import rules as R
@@ -164,3 +168,21 @@ def test_grams_of_a_stream_of_short_parts(spark):
         assert got == sorted((k, i, s[i : i + n]) for k, s in whole.items() for i in range(len(s) - n + 1))
         each = sorted((r["k"], r["o"], r["i"], r["gram"]) for r in M.char_grams(df, ["k", "o"], F.col("text"), n).collect())
         assert each == sorted((k, o, i, t[i : i + n]) for k, o, t in rows if t for i in range(len(t) - n + 1))
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_medians_by_rank_equal_those_of_the_library(spark, blocks):
+    """One key has most rows; some places are null, and some hold nothing else."""
+    rng = random.Random(8)
+    rows = [("hot", [rng.choice([None, 1.5, 2.0, rng.random()]), rng.gauss(0, 1), None]) for _ in range(400)] + [(None, [1.0]), ("two", [3.0, 4.0]), ("two", [5.0, 4.5]), ("none", [])]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    want = {}
+    for k in {r[0] for r in rows}:
+        columns = [[v[i] for key, v in rows if key == k and len(v) > i and v[i] is not None] for i in range(max(len(v) for key, v in rows if key == k))]
+        if columns:
+            want[k] = [median(c) if c else None for c in columns]
+    for options in ({}, {"few_rows": 0, "block_rows": math.ceil(len(rows) * 8 / blocks)}):
+        got = {r["k"]: r["median"] for r in A.median_vector(df, ["k"], "v", **options).collect()}
+        assert got.keys() == want.keys()
+        for k, c in want.items():
+            assert all(x == y or abs(x - y) < 1e-12 for x, y in zip(got[k], c, strict=True))
