@@ -6,6 +6,8 @@ and then the same to the left and to the right of it. A text's likeness to anoth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,10 +62,12 @@ def cover_ratio(one: str | None, other: str | None) -> float:
     return common_chars(one, other) / len(other) if other else 0.0
 
 
-def _of_pairs(score) -> Column:
+def _of_pairs(score: Callable[[str | None, str | None], float]) -> Callable[[Column, Column], Column]:
+    """A function of two text columns; null for two nulls."""
+
     @F.pandas_udf(DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([score(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([None if p is None and q is None else score(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
     return run
 
@@ -121,8 +125,9 @@ def not_planned(lines: DataFrame, plan: DataFrame, keys: list[str], text: str =
     pairs = mine.join(known, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
     a, b = F.length("_t"), F.length("_p")
     inside = F.contains("_t", F.col("_p")) | F.contains("_p", F.col("_t"))
-    pairs = pairs.withColumn("_in", inside).filter(F.col("_in") | (2 * F.least(a, b) >= cut * (a + b)))
-    pairs = pairs.filter(F.col("_in") | (2 * _shared("_tc", "_pc") >= cut * (a + b)))
-    like = _of_pairs(similarity)(F.when(~F.col("_in"), F.col("_t")), F.when(~F.col("_in"), F.col("_p")))
-    found = pairs.withColumn("_like", like).filter(F.col("_in") | (F.col("_like") >= cut)).select("_row").distinct()
+    # a filter does not keep pairs from Python, which is asked before it; those that can't be as like go there as nulls
+    may = ~F.col("_in") & (2 * F.least(a, b) >= cut * (a + b)) & (2 * _shared("_tc", "_pc") >= cut * (a + b))
+    pairs = pairs.withColumn("_in", inside).withColumn("_may", may)
+    like = _of_pairs(similarity)(F.when(F.col("_may"), F.col("_t")), F.when(F.col("_may"), F.col("_p")))
+    found = pairs.withColumn("_like", like).filter(F.col("_in") | (F.col("_may") & (F.col("_like") >= cut))).select("_row").distinct()
     return rows.join(found, "_row", "left_anti").drop("_row")
