@@ -31,7 +31,7 @@ def _meet(left: DataFrame, right: DataFrame, names: list[str], how: str, take: l
 def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step, results: str, block_rows: int = 200_000) -> DataFrame:
     """step's result, with the schema ``results``, over all rows of df: each key's rows in order, from its first to its last.
 
-    Rows with equal (keys, order) lie in one block. Null keys are a key. An empty table gives an empty one.
+    Keys of up to block_rows rows are folded as they are, and only larger ones in blocks. Rows with equal (keys, order) lie in one block. Null keys are a key. An empty table gives an empty one.
     """
     own = [f"_key{i}" for i in range(len(keys))]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -47,9 +47,14 @@ def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step,
     def ending(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[[*own, "_block"]].head(1).assign(_end=json.dumps(ordered(pdf)[1]))
 
-    blocks = math.ceil(df.count() / block_rows)
-    if blocks <= 1:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > block_rows)
+    large = written(sizes.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_size"))  # one key for each block_rows rows at most
+    blocks = math.ceil((large.agg(F.sum("_size")).first()[0] or 0) / block_rows)
+    if not blocks:
         return df.groupBy(*keys).applyInPandas(result, results)
+    mine = df.withColumns(dict(zip(own, map(F.col, keys), strict=True)))
+    small = _meet(mine, F.broadcast(large), own, "left_anti", []).drop(*own).groupBy(*keys).applyInPandas(result, results)
+    df = _meet(mine, F.broadcast(large), own, "left_semi", []).drop(*own)
     cut = df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id())
     cut = written(cut.withColumns(dict(zip(own, map(F.col, keys), strict=True))))
     mine = Window.partitionBy(*own)
@@ -67,4 +72,4 @@ def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step,
         was = states.select(*piece, F.col("_state").alias("_was"))
         todo = written(_meet(new, was, piece, "inner", ["_was"]).filter(~F.col("_state").eqNullSafe(F.col("_was"))).drop("_was"))
         states = new
-    return _meet(cut, states, piece, "left", ["_state"]).groupBy(*piece).applyInPandas(result, results)
+    return small.unionByName(_meet(cut, states, piece, "left", ["_state"]).groupBy(*piece).applyInPandas(result, results))
