@@ -200,6 +200,14 @@ def test_assignment_query_covers_all_of_lineitem(spark, tmp_path):
     assert {(r["item"], r["choice"]) for r in got if r["choice"] is not None} == greedy([(i, c, round(1 - x * 4, 4), k) for i, c, k, x in rows], 0.55)
 
 
+def test_any_order_keeps_a_customer_out(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 5.0), (2, 400000.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r["c_custkey"] for r in QUERIES["customers_without_orders"][0](spark, str(tmp_path)).collect()] == [3]
+
+
 def test_lines_and_cues_take_every_turn_whole(spark, tmp_path):
     from tessera.plans.queries import QUERIES
 
