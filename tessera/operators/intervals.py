@@ -89,12 +89,16 @@ def nearest_rows(intervals: DataFrame, frames: DataFrame, keys: list[str], row_i
     w = Window.partitionBy(*keys, row_id).orderBy("t", frame_id)
     hit = inside.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*keys, row_id, frame_id, "t", "rank")
     miss = iv.join(hit.select(*keys, row_id).distinct(), [*keys, row_id], "left_anti").withColumn("_m", (F.col("t0") + F.col("t1")) / 2)
-    # frames are numbered by time; the k before and the k after the middle hold the k nearest
-    numbered = fr.select(*keys, frame_id, "t", F.row_number().over(Window.partitionBy(*keys).orderBy("t", frame_id)).alias("_no"))
+    # frames are numbered by time from both ends, of one time the smallest id first; the k before and the k after the middle hold the k nearest
+    number = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order, frame_id))
+    numbered = fr.select(*keys, frame_id, "t", number("t").alias("_up"), (-number(F.desc("t"))).alias("_down"))
+    numbered = numbered.select(*keys, frame_id, "t", F.explode(F.array("_up", "_down")).alias("_no"))
     side = miss.select(*keys, row_id, "_m", F.col("_m").alias("t"), F.lit(0).alias("_f"))
     line = side.unionByName(fr.select(*keys, "t", F.lit(1).alias("_f"), F.lit(None).cast("double").alias("_m"), F.lit(None).cast(iv.schema[row_id].dataType).alias(row_id)))
     passed = F.sum("_f").over(Window.partitionBy(*keys).orderBy("t", "_f").rowsBetween(Window.unboundedPreceding, 0))
-    asked = line.withColumn("_p", passed).filter("_f = 0").select(*keys, row_id, "_m", F.explode(F.sequence((F.col("_p") - k + 1).cast("int"), (F.col("_p") + k).cast("int"))).alias("_no"))
+    behind = F.sum("_f").over(Window.partitionBy(*keys)) - F.col("_p")
+    after, before = (F.sequence((c + 1).cast("int"), (c + k).cast("int")) for c in (F.col("_p"), F.col("_q")))
+    asked = line.withColumn("_p", passed).withColumn("_q", behind).filter("_f = 0").select(*keys, row_id, "_m", F.explode(F.concat(after, F.transform(before, lambda n: -n))).alias("_no"))
     near = asked.join(numbered, [*keys, "_no"]).select(*keys, row_id, "_m", F.struct("t", F.col(frame_id).alias("f")).alias("n"))
     w2 = Window.partitionBy(*keys, row_id).orderBy(F.abs(F.col("n.t") - F.col("_m")), "n.t", "n.f")
     far = near.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).select(*keys, row_id, F.col("n.f").alias(frame_id), F.col("n.t").alias("t"), "rank")

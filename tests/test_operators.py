@@ -80,6 +80,19 @@ def test_interval_union_and_complement(spark):
     assert (r.active, r.longest) == (5.0, 2.0)
 
 
+def test_nearest_of_equal_times_are_those_of_least_id(spark):
+    iv = spark.createDataFrame([("a", 1, 100.0, 110.0), ("a", 2, 0.0, 1.0), ("a", 3, 89.0, 91.0), ("b", 4, 5.0, 6.0)], "k string, iv long, t0 double, t1 double")
+    times = {"a": [90.0] * 5 + [95.0] + [115.0] * 4 + [116.0], "b": [200.0]}
+    frames = [(g, i, t) for g, ts in times.items() for i, t in enumerate(ts)]
+    got = {}
+    for r in I.nearest_rows(iv, spark.createDataFrame(frames[::-1], "k string, fr long, t double"), ["k"], "iv", "fr").collect():
+        got.setdefault(r["iv"], {})[r["rank"]] = r["fr"]
+    assert got == {1: {1: 5, 2: 6, 3: 7}, 2: {1: 0, 2: 1, 3: 2}, 3: {1: 0, 2: 1, 3: 2}, 4: {1: 0}}
+    late = spark.createDataFrame([("a", 5, 200.0, 201.0), ("a", 6, 93.4, 93.6)], "k string, iv long, t0 double, t1 double")
+    got = sorted((r["iv"], r["rank"], r["fr"]) for r in I.nearest_rows(late, spark.createDataFrame(frames[:10], "k string, fr long, t double"), ["k"], "iv", "fr").collect())
+    assert got == [(5, 1, 6), (5, 2, 7), (5, 3, 8), (6, 1, 5), (6, 2, 0), (6, 3, 1)]
+
+
 def test_bracket_window(spark):
     pts = spark.createDataFrame([(1, 18.0)], "g int, t double")
     anchors = spark.createDataFrame([(1, 10.0, 100.0), (1, 30.0, 140.0)], "g int, at double, v double")
