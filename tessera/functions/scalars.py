@@ -277,11 +277,12 @@ def saturation(color: Column) -> Column:
 
 
 def hue(color: Column) -> Column:
+    """Of the HLS model, 0..1; a turn is added before it is taken off, so distances round alike on both sides of red."""
     r, g, b = (c / 255.0 for c in hex_channels(color))
     hi, lo = F.greatest(r, g, b), F.least(r, g, b)
     d = hi - lo
     h = F.when(r == hi, (g - b) / d).when(g == hi, 2 + (b - r) / d).otherwise(4 + (r - g) / d)
-    return F.when(d == 0, F.lit(0.0)).otherwise(F.pmod(h / 6.0, F.lit(1.0)))
+    return F.when(d == 0, F.lit(0.0)).otherwise((h / 6.0 + 1) % F.lit(1.0))
 
 
 def hue_distance(a: Column, b: Column) -> Column:

@@ -179,6 +179,12 @@ def test_caption_colours_equal_brute_force(spark):
     assert got[100]["trusted"] is False and any(r["trusted"] for r in got.values())
 
 
+def test_hues_at_the_limit_of_likeness_fall_as_in_sql(spark):
+    df = spark.createDataFrame([([("#c8abce", 0.5), ("#31939a", 0.25), ("#fd09ff", 0.25)], "#1939af")], "clusters array<struct<color:string,share:double>>, hint string")
+    got = V.pick_colors(df, "clusters", "hint").first()
+    assert (got["fill"], got["outline"], got["confidence"]) == ("#FD09FF", "#31939A", 0.275)
+
+
 def test_caption_pixels_leave_the_rim_out(spark):
     whole = bytes(range(256)) * 3  # 16 x 16
     rows = [(1, bytearray(whole), 16, 16, (0.0, 0.0, 1.0, 1.0)), (2, bytearray(whole), 16, 16, (0.4, 0.4, 0.5, 0.5)), (3, None, 16, 16, (0.0, 0.0, 1.0, 1.0)), (4, bytearray(whole), 9, 9, (0.0, 0.0, 1.0, 1.0))]
