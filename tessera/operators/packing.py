@@ -77,10 +77,14 @@ def split_long(items: DataFrame, length: str, most: float = MAX_SEG) -> DataFram
     return items.withColumn("parts", parts).withColumn("part_no", F.explode(F.sequence(F.lit(1), F.col("parts")))).withColumn(length, F.col(length) / F.col("parts"))
 
 
-def rescale_total(items: DataFrame, keys: list[str], length: str, total: str, off: float = 0.10, least: float = 0.3) -> DataFrame:
-    """Lengths scaled to the group's total when off by more than a tenth; one decimal, never under least."""
-    s = F.sum(length).over(Window.partitionBy(*keys))
-    scaled = F.greatest(F.lit(least), F.round(F.col(length) * F.col(total) / s, 1))
+def rescale_total(items: DataFrame, keys: list[str], length: str, total: str, order: list[str], off: float = 0.10, least: float = 0.3) -> DataFrame:
+    """Lengths scaled to the group's total when off by more than a tenth; one decimal (half away from zero, as tenths), never under least.
+
+    Lengths are added up in order, so the last bit of the sum, and with it a share half way between two tenths, doesn't depend on how the rows arrive.
+    """
+    s = F.sum(length).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tenths = F.col(length) * F.col(total) / s * 10
+    scaled = F.greatest(F.lit(least), (F.floor(tenths) + F.when(tenths - F.floor(tenths) >= 0.5, 1).otherwise(0)) / 10)
     return items.withColumn(length, F.when((s > 0) & (F.abs(s - F.col(total)) > off * F.col(total)), scaled).otherwise(F.col(length)))
 
 

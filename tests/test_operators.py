@@ -154,6 +154,15 @@ def test_water_fill():
     assert P.water_fill(1.0, [1, 1, 1, 1]) == [0.4, 0.2, 0.2, 0.2] and min(P.water_fill(20, [1] * 60)) > 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_rescaled_lengths_are_tenths_in_any_order_of_rows(spark, order):
+    rows = [("a", k, x / 50.0) for k, x in enumerate([9, 69, 139, 583])] + [("b", k, x) for k, x in enumerate([0.1] * 3 + [1e16, 1.0, -1e16])]
+    df = spark.createDataFrame(rows[::order], "k string, i int, length double").coalesce(1).withColumn("total", F.lit(40.0))
+    got = {(r["k"], r["i"]): r["length"] for r in P.rescale_total(df, ["k"], "length", "total", ["i"]).collect()}
+    assert [got["a", k] for k in range(4)] == [0.5, 3.5, 7.0, 29.2]
+    assert [got["b", k] for k in range(6)] == [0.1] * 3 + [1e16, 1.0, -1e16]  # from left to right they come to 0; in another order not
+
+
 def test_redistribution(spark):
     df = spark.createDataFrame([(1, 1, 2.0, 26), (1, 2, 4.0, 6), (1, 3, 3.0, None)], "g int, o int, d double, c int")
     got = [r.new_length for r in P.redistribute(df, ["g"], "d", "c").orderBy("o").collect()]
