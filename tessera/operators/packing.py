@@ -103,36 +103,47 @@ def redistribute(items: DataFrame, keys: list[str], length: str, chars: str, rat
     return x.withColumn("new_length", new).withColumn("short", need - F.col("new_length") > 0.3).drop("_lack", "_slack", "_l", "_s")
 
 
-def water_fill(total: float, sizes: list[float], cap: float = SHOT_MAX, least: float = 0.4) -> list[float]:
+def _tenth(x: float) -> float:
+    """x in whole tenths, half away from zero."""
+    y = abs(x * 10)
+    whole = math.floor(y)
+    return math.copysign(whole + (y - whole >= 0.5), x) / 10
+
+
+def water_fill(total: float, sizes: list[float], cap: float = SHOT_MAX, least: float = 0.4, half_away: bool = False) -> list[float]:
     """Shares of total in proportion to sizes, one decimal, each within [least, cap].
 
     Where the total is too small or too large for that, an even share is the limit instead. Shares cut to the limits are all
     moved by the same fraction of their way to one limit, the upper if something is left over, which makes up the total at once;
-    under 0.01 stays as it is. What single decimals leave over goes to the roomiest.
+    under 0.01 stays as it is. What single decimals leave over goes to the roomiest. Sums are taken from left to right, so equal
+    input gives equal last bits anywhere. Half a tenth goes to the even one as Python rounds it, or with half_away from zero as SQL does.
     """
     n = len(sizes)
     if not n:
         return []
     weight = np.asarray(sizes, np.float64)
     low, high = min(least, total / n), max(cap, total / n)
-    cut = np.clip(total * weight / weight.sum(), low, high) if weight.sum() else np.full(n, total / n)
-    over = total - cut.sum()
-    limit = high if over > 0 else low
-    if abs(over) >= 0.01:
-        cut += (limit - cut) * (over / (n * limit - cut.sum()))
-    tenths = np.asarray([round(x, 1) for x in cut.tolist()])
-    rest = round(total - float(tenths.sum()), 1)
+    tenth = _tenth if half_away else lambda x: round(x, 1)
+    add = lambda v: float(np.cumsum(v)[-1])  # noqa: E731  (np.sum adds in pairs)
+    whole = add(weight)
+    cut = np.clip(total * weight / whole if whole > 0 else np.full(n, total / n), low, high)
+    over = total - add(cut)
+    room = high - cut if over > 0 else cut - low
+    if abs(over) >= 0.01 and add(room) >= 0.01:
+        cut = np.clip(cut + over * room / add(room), low, high)
+    tenths = np.asarray([tenth(x) for x in cut.tolist()])
+    rest = tenth(total - add(tenths))
     if abs(rest) >= 0.05:
-        tenths[np.argmax(high - tenths if rest > 0 else tenths)] += rest
-    return [round(x, 1) for x in tenths.tolist()]
+        tenths[np.argmax(np.round(high - tenths, 9) if rest > 0 else tenths)] += rest
+    return [tenth(x) for x in tenths.tolist()]
 
 
-def fill_groups(items: DataFrame, keys: list[str], order: list[str], total: str, size: str) -> DataFrame:
+def fill_groups(items: DataFrame, keys: list[str], order: list[str], total: str, size: str, half_away: bool = False) -> DataFrame:
     """items with filled: water_fill per group, with the first row's total."""
 
     @F.pandas_udf("array<double>")
     def fill(totals: pd.Series, sizes: pd.Series) -> pd.Series:
-        return pd.Series([water_fill(float(t), [float(x) for x in z]) for t, z in zip(totals, sizes, strict=True)])
+        return pd.Series([water_fill(float(t), [float(x) for x in z], half_away=half_away) for t, z in zip(totals, sizes, strict=True)])
 
     x = _in_order(items, keys, order)
     x = x.withColumn("_f", fill(F.element_at("_rows", 1)[total].cast("double"), F.transform("_rows", lambda r: r[size].cast("double"))))

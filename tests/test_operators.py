@@ -154,6 +154,20 @@ def test_water_fill():
     assert P.water_fill(1.0, [1, 1, 1, 1]) == [0.4, 0.2, 0.2, 0.2] and min(P.water_fill(20, [1] * 60)) > 0
 
 
+FILLS = [
+    ([118.0, 201.0, 373.0, 158.0], [4.1, 5.3, 5.9, 4.7]),
+    ([207.0, 958.0, 178.0, 1232.0], [4.1, 5.9, 4.0, 6.0]),
+    ([94.0, 1109.0, 235.0, 1074.0, 127.0, 686.0], [0.9, 6.0, 1.7, 6.0, 1.1, 4.3]),
+]
+
+
+def test_water_fill_rounds_as_its_sql_does():
+    """Three that fell on the other side of half a tenth; the values are those of the query's SQL."""
+    for sizes, want in FILLS:
+        assert P.water_fill(20.0, sizes, half_away=True) == want
+    assert P.water_fill(20.0, [1.0] * 80, half_away=True)[1:] == [0.3] * 79 and P.water_fill(20.0, [1.0] * 80)[1:] == [0.2] * 79
+
+
 @pytest.mark.parametrize("order", [1, -1])
 def test_rescaled_lengths_are_tenths_in_any_order_of_rows(spark, order):
     rows = [("a", k, x / 50.0) for k, x in enumerate([9, 69, 139, 583])] + [("b", k, x) for k, x in enumerate([0.1] * 3 + [1e16, 1.0, -1e16])]
