@@ -47,15 +47,22 @@ def _picture(gray: bytes | None, width: int, height: int) -> np.ndarray | None:
 def _longest_bright(levels: Column) -> Column:
     """struct<at, n>: the longest run of levels that are no bar (the first of equally long ones); everything in the dark."""
     peak = F.array_max(levels)
-    none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    # the limit goes along, or it would be found anew at each level
+    none = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("at"), F.lit(0).alias("n"), (peak * BAR).alias("least"))
 
     def step(a: Column, x: Column) -> Column:
-        run = F.when(x >= peak * BAR, a["run"] + 1).otherwise(F.lit(0))
+        run = F.when(x >= a["least"], a["run"] + 1).otherwise(F.lit(0))
         longer = run > a["n"]
-        return F.struct((a["i"] + 1).alias("i"), run.alias("run"), F.when(longer, a["i"] + 1 - run).otherwise(a["at"]).alias("at"), F.when(longer, run).otherwise(a["n"]).alias("n"))
+        return F.struct((a["i"] + 1).alias("i"), run.alias("run"), F.when(longer, a["i"] + 1 - run).otherwise(a["at"]).alias("at"), F.when(longer, run).otherwise(a["n"]).alias("n"), a["least"].alias("least"))
 
-    found = F.aggregate(levels, none, step)
-    return F.when(peak <= 0, F.struct(F.lit(0).alias("at"), F.size(levels).alias("n"))).otherwise(F.struct(found["at"].alias("at"), found["n"].alias("n")))
+    found = F.aggregate(levels, none, step, lambda a: F.struct(a["at"].alias("at"), a["n"].alias("n")))
+    return F.when(peak <= 0, F.struct(F.lit(0).alias("at"), F.size(levels).alias("n"))).otherwise(found)
+
+
+def _mean_of(profiles: str, part: str) -> Column:
+    """array<double>: level by level the mean of one part of all profiles."""
+    total = F.aggregate(profiles, F.array_repeat(F.lit(0.0), BOX_GRID), lambda a, p: F.zip_with(a, p[part], lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(profiles))
 
 
 def content_boxes(frames: DataFrame) -> DataFrame:
@@ -76,11 +83,12 @@ def content_boxes(frames: DataFrame) -> DataFrame:
             out.append((None, None) if small is None else (small.mean(axis=1), small.mean(axis=0)))
         return pd.DataFrame(out, columns=["rows", "cols"])
 
-    p = chosen.select("source", "width", "height", profile("gray", "width", "height").alias("p"))
+    p = chosen.select("source", "frame", "width", "height", profile("gray", "width", "height").alias("p"))
     size = p.groupBy("source").agg(F.first("width").alias("width"), F.first("height").alias("height"))
-    levels = p.select("source", F.posexplode(F.arrays_zip("p.rows", "p.cols")).alias("i", "v")).groupBy("source", "i").agg(F.avg("v.rows").alias("row"), F.avg("v.cols").alias("col"))
-    levels = levels.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("i", "row", "col"))).alias("l"))
-    spans = levels.select("source", _longest_bright(F.transform("l", lambda x: x["row"])).alias("r"), _longest_bright(F.transform("l", lambda x: x["col"])).alias("c"))
+    # a source has few chosen frames, so their profiles come together as they are, not level by level
+    whole = p.filter("p.rows is not null").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("frame", "p.rows", "p.cols"))).alias("_p"))
+    levels = whole.select("source", _mean_of("_p", "rows").alias("row"), _mean_of("_p", "cols").alias("col"))
+    spans = levels.select("source", _longest_bright(F.col("row")).alias("r"), _longest_bright(F.col("col")).alias("c"))
     share = lambda c, whole: F.coalesce(c / BOX_GRID, F.lit(float(whole)))
     box = F.struct(share(F.col("c.at"), 0).alias("x"), share(F.col("r.at"), 0).alias("y"), share(F.col("c.n"), 1).alias("w"), share(F.col("r.n"), 1).alias("h"))
     return size.join(spans, "source", "left").select("source", "width", "height", box.alias("box"))
@@ -147,6 +155,8 @@ def fingerprint_series(frames: DataFrame, sources: DataFrame, fps: float, one_as
     the frames a second and the crop. Only frames of sources that aren't in the store are decoded again, and what was found is added to it. With one_aspect all
     sources are cut to the narrowest aspect among them.
     """
+    from tessera.plans.tables import written
+
     spark = frames.sparkSession
     file = F.concat_ws("-", "source", F.col("size").cast("string"), F.col("modified").cast("string"))
     sources = sources.select("source", file.alias("file"))
@@ -158,7 +168,7 @@ def fingerprint_series(frames: DataFrame, sources: DataFrame, fps: float, one_as
         new = spark.read.parquet(f"{store}/boxes")
         boxes = sources.join(new, "file")
     else:
-        boxes = new
+        boxes = written(new)  # it is read several times, and each would decode all pictures again
     target = boxes.agg(F.min(aspect(boxes)).alias("_t"))  # one row
     boxes = crops(boxes.crossJoin(F.broadcast(target)), F.col("_t")) if one_aspect else crops(boxes)
     shown = F.concat_ws("-", *[F.format_string("%.4f", F.col(f"crop.{c}")) for c in "xywh"])

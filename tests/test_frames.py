@@ -179,6 +179,14 @@ def test_caption_colours_equal_brute_force(spark):
     assert got[100]["trusted"] is False and any(r["trusted"] for r in got.values())
 
 
+def test_pictures_are_decoded_for_boxes_once(spark):
+    """Without a store, the plan of the series holds one pass over the pictures for fingerprints, and none for boxes."""
+    frames = spark.createDataFrame(pictures(), FRAMES)
+    sources = frames.select("source").distinct().select("source", F.lit(1).alias("size"), F.lit(1).alias("modified"))
+    plan = V.fingerprint_series(frames, sources, 4.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_hues_at_the_limit_of_likeness_fall_as_in_sql(spark):
     df = spark.createDataFrame([([("#c8abce", 0.5), ("#31939a", 0.25), ("#fd09ff", 0.25)], "#1939af")], "clusters array<struct<color:string,share:double>>, hint string")
     got = V.pick_colors(df, "clusters", "hint").first()
