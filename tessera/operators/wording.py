@@ -16,6 +16,8 @@ _MARK = "[" + "".join("\\" + c if c in r"[]\^-&" else c for c in MARKS) + "]"
 JOINED = "[A-Za-z0-9]+"
 #: Fixed value: from how many characters on an uncovered stretch is cut in two.
 LONG_GAP = 14
+#: Up to so many words a dictionary goes to all executors; a larger one is joined by shuffle.
+SENT_WORDS = 500_000
 
 
 def verified_marks(chars: Column, text: Column) -> Column:
@@ -60,10 +62,16 @@ def word_breaks(streams: DataFrame, words: DataFrame, keys: list[str], chars: st
     A stream is a row: its characters (array<string>), and the text they were heard as, with marks. Where text and characters agree all through, its marks
     are phrase ends, and words are looked for between marks; otherwise no mark is used and words are looked for in the characters alone, as far as the first that is
     a mark or white space. Words are the best path through all words of the dictionary ``words`` (word, n) that the stretch holds; white space ends a word; runs
-    of ``joined`` characters are not cut. A stretch meets the dictionary in a join on its parts, so either side may be of any size.
+    of ``joined`` characters are not cut. Each different stretch meets the dictionary once, in a join on its parts: a dictionary of up to SENT_WORDS words is sent to all
+    executors, and a larger one is shuffled, so either side may be of any size.
     A null text, and one of another stream, agrees with nothing; a stream without characters has no breaks. keys tell streams apart, and null is equal to null.
     """
-    weights = word_weights(words)
+    from tessera.plans.tables import written
+
+    weights = written(word_weights(words))
+    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
+    few = size["n"] <= SENT_WORDS
+    sent = lambda table: F.broadcast(table) if few else table
     own = F.struct(*keys)
     x = streams.select(own.alias("_id"), F.coalesce(chars, F.array().cast("array<string>")).alias("_chars"), F.col(text).alias("_text")).dropDuplicates(["_id"])
     x = x.withColumn("_marks", verified_marks(F.col("_chars"), F.col("_text")))
@@ -75,12 +83,16 @@ def word_breaks(streams: DataFrame, words: DataFrame, keys: list[str], chars: st
     x = x.withColumn("_parts", parts)
     stretches = x.select("_id", F.explode("_parts").alias("_p")).select("_id", F.col("_p.b").alias("_at"), F.col("_p.s").alias("_s"))
     n = F.length("_s")
-    starts = stretches.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_i")).withColumn("_head", F.substring("_s", F.col("_i"), F.lit(3)))
+    # equal stretches have equal words: one stands for all of them
+    different = stretches.groupBy("_s").agg(F.min(F.struct("_id", "_at")).alias("_r")).select("_r._id", "_r._at", "_s")
+    starts = different.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
+    # what a word that begins here can hold; the stretch itself stays behind
+    starts = starts.select("_id", "_at", "_i", F.substring("_s", F.col("_i"), F.lit(size["longest"])).alias("_rest")).withColumn("_head", F.substring("_rest", 1, 3))
     heads = weights.filter(F.length("word") > 2).groupBy(F.substring("word", 1, 3).alias("_head")).agg(F.max(F.length("word")).alias("_most"))
-    starts = starts.join(heads, "_head", "left")  # no word is longer than those that begin alike
-    cut = starts.select("_id", "_at", (F.col("_i") - 1).alias("_i"), F.explode(F.sequence(F.lit(1), F.least(F.coalesce("_most", F.lit(2)), n - F.col("_i") + 1))).alias("_k"), "_s")
-    cut = cut.select("_id", "_at", "_i", "_k", F.substring("_s", F.col("_i") + 1, F.col("_k")).alias("word"))
-    edges = cut.join(weights.select("word", "weight"), "word").groupBy("_id", "_at").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_k").alias("k"), F.col("weight").alias("w"))).alias("_e"))
+    starts = starts.join(sent(heads), "_head", "left")  # no word is longer than those that begin alike
+    cut = starts.select("_id", "_at", (F.col("_i") - 1).alias("_i"), F.explode(F.sequence(F.lit(1), F.least(F.coalesce("_most", F.lit(2)), F.length("_rest")))).alias("_k"), "_rest")
+    cut = cut.select("_id", "_at", "_i", "_k", F.substring("_rest", F.lit(1), F.col("_k")).alias("word"))
+    edges = cut.join(sent(weights.select("word", "weight")), "word").groupBy("_id", "_at").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_k").alias("k"), F.col("weight").alias("w"))).alias("_e"))
     one = weights.select("total").limit(1).first()
     single = -int(round(float(np.log(one[0])) * 1_000_000)) if one else 0
 
@@ -93,7 +105,8 @@ def word_breaks(streams: DataFrame, words: DataFrame, keys: list[str], chars: st
         return pd.Series(out)
 
     field = lambda c: F.transform("_e", lambda e: e[c])
-    found = stretches.join(edges, ["_id", "_at"], "left").select("_id", "_s", "_at", ends(n, F.col("_at"), field("i"), field("k"), field("w")).alias("_ends"))
+    known = different.join(edges, ["_id", "_at"], "left").select("_s", ends(n, F.lit(0), field("i"), field("k"), field("w")).alias("_ends"))
+    found = stretches.join(known, "_s").select("_id", "_s", "_at", F.transform("_ends", lambda e: e + F.col("_at")).alias("_ends"))
     if joined:  # a cut between two characters of one run is none
         runs = F.transform(F.sequence(F.lit(1), F.length("_s")), lambda i: F.concat(F.substring("_s", i, F.lit(1)), F.substring("_s", i + 1, F.lit(1))).rlike(f"^(?:{joined.rstrip('+')}){{2}}$"))
         found = found.withColumn("_inside", runs).withColumn("_ends", F.filter("_ends", lambda e: ~F.get("_inside", e - F.col("_at"))))

@@ -153,3 +153,17 @@ def test_covered_parts_of_rows(spark):
     assert got[1] == brute_cover(40, rows[0][2], rows[0][3], "narration") and got[2] == [(0, 5, "narration")] and got[3] == [] and got[4] == []
     rng = random.Random(1)
     assert X.best_path(3, [(0, 2, -5), (1, 2, -5)], -5 - rng.randrange(3)) == [2, 3]
+
+
+def test_equal_stretches_meet_the_dictionary_once(spark, monkeypatch):
+    """Many copies of a stretch, at several places of their streams, get the words of one; a dictionary too large to be sent gives the same."""
+    rows = [(k, list("xy" * (k % 3) + "thecat"), None) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, chars array<string>, text string")
+    words = spark.createDataFrame([("the", 5), ("cat", 5), ("xy", 1)], "word string, n int")
+    want = {k: [2 * i + 1 for i in range(k % 3)] + [2 * (k % 3) + 2, 2 * (k % 3) + 5] for k in range(40)}
+    plan = X.word_breaks(df, words, ["k"], joined=None)
+    assert {r["k"]: r["brk"] for r in plan.collect()} == want
+    told = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in told and "min(struct(_id" in told
+    monkeypatch.setattr(X, "SENT_WORDS", 0)
+    assert {r["k"]: r["brk"] for r in X.word_breaks(df, words, ["k"], joined=None).collect()} == want
