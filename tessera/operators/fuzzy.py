@@ -22,58 +22,112 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(begin in a, begin in b, length) of the longest common stretch; lengths of stretches that end at each place of b are kept for one place of a."""
-    best, run = (0, 0, 0), np.zeros(len(b) + 1, np.int32)
-    for i, c in enumerate(a):
-        run[1:] = np.where(b == c, run[:-1] + 1, 0)
-        k = int(run.argmax())
-        if run[k] > best[2]:
-            best = (i + 1 - int(run[k]), k - int(run[k]), int(run[k]))
-    return best
+#: Cells of the table in which lengths of stretches are kept for the pairs that are compared at once.
+TABLE_CELLS = 1 << 17
+
+
+def _longest(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin in a, begin in b, length) of the longest common stretch of each pair of rows, of which ``sizes`` characters count; lengths of stretches that end at each place of b are kept for one place of a."""
+    rows = np.arange(len(a))
+    i, j, n = (np.zeros(len(a), np.int64) for _ in range(3))
+    inside = np.arange(b.shape[1]) < sizes[:, 1:]
+    run = np.zeros((len(a), b.shape[1] + 1), np.int32)
+    for k in range(a.shape[1]):
+        run[:, 1:] = (run[:, :-1] + 1) * ((b == a[:, k : k + 1]) & inside)
+        at = run.argmax(1)
+        length = run[rows, at]
+        more = (length > n) & (k < sizes[:, 0])
+        i[more], j[more], n[more] = k + 1 - length[more], at[more] - length[more], length[more]
+    return i, j, n
+
+
+def _rows(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of codes as rows, filled up with what follows."""
+    return codes[np.minimum(begin[:, None] + np.arange(size.max()), len(codes) - 1)]
+
+
+def blocks_of_pairs(pairs: list[tuple[str, str]]) -> list[list[tuple[int, int, int]]]:
+    """common_blocks of many pairs: stretches of like sizes that are still to be searched are rows of one table, and each round looks left and right of what the last one found."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in pairs]
+    open_ = []
+    for k, (one, other) in enumerate(pairs):
+        whole = (one.find(other), 0, len(other)) if len(other) <= len(one) else (0, other.find(one), len(one))
+        if whole[2] and min(whole) >= 0:  # the one holds the other
+            out[k].append(whole)
+        elif whole[2]:
+            open_.append(k)
+    if not open_:
+        return out
+    a, b = (_codes("".join(pairs[k][side] for k in open_)) for side in (0, 1))
+    sizes = np.array([[len(x) for x in pairs[k]] for k in open_])
+    begins = np.cumsum(sizes, 0) - sizes
+    pair, todo = np.arange(len(open_)), np.stack([begins, begins + sizes], 2)  # of each stretch to search: sides by (begin, end)
+    while len(pair):
+        size = todo[:, :, 1] - todo[:, :, 0]
+        order = np.lexsort([size[:, 0], size[:, 1]])
+        pair, todo, size = pair[order], todo[order], size[order]
+        new, at = [], 0
+        while at < len(pair):
+            end = at + max(1, int(np.searchsorted(size[at:, 1] * np.arange(1, len(pair) - at + 1), TABLE_CELLS, "right")))
+            p, t, z = pair[at:end], todo[at:end], size[at:end]
+            i, j, n = _longest(_rows(a, t[:, 0, 0], z[:, 0]), _rows(b, t[:, 1, 0], z[:, 1]), z)
+            i, j = i + t[:, 0, 0], j + t[:, 1, 0]
+            for k, x, y, m in zip(p.tolist(), (i - begins[p, 0]).tolist(), (j - begins[p, 1]).tolist(), n.tolist(), strict=True):
+                if m:
+                    out[open_[k]].append((x, y, m))
+            for left in (True, False):
+                rest = np.stack([np.stack([t[:, 0, 0], i], 1), np.stack([t[:, 1, 0], j], 1)], 1) if left else np.stack([np.stack([i + n, t[:, 0, 1]], 1), np.stack([j + n, t[:, 1, 1]], 1)], 1)
+                keep = (n > 0) & (rest[:, :, 1] > rest[:, :, 0]).all(1)
+                new.append((p[keep], rest[keep]))
+            at = end
+        pair, todo = np.concatenate([x for x, _ in new]), np.concatenate([x for _, x in new])
+    return [sorted(x) for x in out]
 
 
 def common_blocks(one: str, other: str) -> list[tuple[int, int, int]]:
     """(begin in one, begin in other, length) of the blocks, in order."""
-    a, b = _codes(one), _codes(other)
-    out, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        i, j, n = _longest(a[a0:a1], b[b0:b1])
-        if n:
-            i, j = a0 + i, b0 + j
-            out.append((i, j, n))
-            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
-    return sorted(out)
+    return blocks_of_pairs([(one, other)])[0]
 
 
-def common_chars(one: str | None, other: str | None) -> int:
-    return sum(n for *_, n in common_blocks(one or "", other or ""))
+def _similarity(one: str, other: str, shared: int) -> float:
+    whole = len(one) + len(other)
+    return 2.0 * shared / whole if whole else 1.0
+
+
+def _cover(one: str, other: str, shared: int) -> float:
+    return shared / len(other) if other else 0.0
+
+
+def _scored(score: Callable[[str, str, int], float], pairs: list[tuple[str | None, str | None]]) -> list[float]:
+    filled = [(x or "", y or "") for x, y in pairs]
+    return [score(x, y, sum(n for *_, n in blocks)) for (x, y), blocks in zip(filled, blocks_of_pairs(filled), strict=True)]
 
 
 def similarity(one: str | None, other: str | None) -> float:
     """1.0 for two empty texts."""
-    whole = len(one or "") + len(other or "")
-    return 2.0 * common_chars(one, other) / whole if whole else 1.0
+    return _scored(_similarity, [(one, other)])[0]
 
 
 def cover_ratio(one: str | None, other: str | None) -> float:
     """The share of the other text's characters that lie in blocks."""
-    return common_chars(one, other) / len(other) if other else 0.0
+    return _scored(_cover, [(one, other)])[0]
 
 
-def _of_pairs(score: Callable[[str | None, str | None], float]) -> Callable[[Column, Column], Column]:
+def _of_pairs(score: Callable[[str, str, int], float]) -> Callable[[Column, Column], Column]:
     """A function of two text columns; null for two nulls."""
 
     @F.pandas_udf(DoubleType())
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None and q is None else score(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+        told = ~(x.isna() & y.isna())
+        out = pd.Series(np.nan, x.index, float).astype(object).where(told, None)
+        out[told] = _scored(score, list(zip(x[told], y[told], strict=True)))
+        return out.astype("Float64")
 
     return run
 
 
 def fuzzy_cover(a: Column, b: Column) -> Column:
-    return _of_pairs(cover_ratio)(a, b)
+    return _of_pairs(_cover)(a, b)
 
 
 def line_span(words: Column, line: Column) -> Column:
@@ -85,10 +139,10 @@ def line_span(words: Column, line: Column) -> Column:
     @F.pandas_udf("struct<until:double,cover:double>")
     def run(heard: pd.Series, ends: pd.Series, wanted: pd.Series) -> pd.DataFrame:
         out = []
-        for texts, until, want in zip(heard, ends, wanted, strict=True):
-            texts = [] if texts is None else list(texts)
+        said = [[] if texts is None else list(texts) for texts in heard]
+        found = blocks_of_pairs([(want or "", "".join(texts)) for want, texts in zip(wanted, said, strict=True)])
+        for texts, until, want, blocks in zip(said, ends, wanted, found, strict=True):
             at = np.repeat(np.asarray([] if until is None else until, float), [len(x) for x in texts]) if texts else np.zeros(0)
-            blocks = common_blocks(want or "", "".join(texts))
             if not len(at) or not want:
                 out.append((0.0, 0.0))
             else:
@@ -128,6 +182,6 @@ def not_planned(lines: DataFrame, plan: DataFrame, keys: list[str], text: str =
     # a filter does not keep pairs from Python, which is asked before it; those that can't be as like go there as nulls
     may = ~F.col("_in") & (2 * F.least(a, b) >= cut * (a + b)) & (2 * _shared("_tc", "_pc") >= cut * (a + b))
     pairs = pairs.withColumn("_in", inside).withColumn("_may", may)
-    like = _of_pairs(similarity)(F.when(F.col("_may"), F.col("_t")), F.when(F.col("_may"), F.col("_p")))
+    like = _of_pairs(_similarity)(F.when(F.col("_may"), F.col("_t")), F.when(F.col("_may"), F.col("_p")))
     found = pairs.withColumn("_like", like).filter(F.col("_in") | (F.col("_may") & (F.col("_like") >= cut))).select("_row").distinct()
     return rows.join(found, "_row", "left_anti").drop("_row")
