@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +160,10 @@ def cover(n: int, cuts: list[int], parts: list[tuple[int, int, str]], role: str)
     return list(zip(begins, ends, roles, strict=True))
 
 
+#: Lines whose parts are Python objects at one time, whatever the size of a batch.
+FEW_LINES = 256
+
+
 def covered_parts(lines: DataFrame, parts: str = "parts", n: str = "n", cuts: str = "cuts", role: str = "narration") -> DataFrame:
     """lines whose parts (array<struct<a, b, role>>, in order and apart, in characters [a, b) of n) cover all characters, and begin and end at legal cuts.
 
@@ -166,14 +172,20 @@ def covered_parts(lines: DataFrame, parts: str = "parts", n: str = "n", cuts: st
     character don't count; a line without cuts keeps its borders. Null parts, and null cuts, are none. A line is one row.
     """
 
-    @F.pandas_udf("array<struct<a:int,b:int,role:string>>")
-    def run(size: pd.Series, marks: pd.Series, had: pd.Series) -> pd.Series:
-        out = []
-        for m, c, ps in zip(size, marks, had, strict=True):
-            legal = sorted({int(x) for x in (c if c is not None else ()) if 0 <= x < m - 1})
-            rows = [(int(p["a"]), int(p["b"]), p["role"]) for p in (ps if ps is not None else ())]
-            out.append([{"a": a, "b": b, "role": r} for a, b, r in cover(int(m), legal, rows, role)])
-        return pd.Series(out)
-
-    done = run(F.coalesce(n, F.lit(0)).cast("int"), F.col(cuts), F.col(parts))
-    return lines.select(*[done.alias(c) if c == parts else F.col(c) for c in lines.columns])
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("role", pa.string())]))
+    schema = ", ".join(f"`{f.name}` {'array<struct<a:int,b:int,role:string>>' if f.name == parts else f.dataType.simpleString()}" for f in lines.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FEW_LINES):
+                few = batch.slice(at, FEW_LINES)
+                out = []
+                for m, c, ps in zip(*[few.column(x).to_pylist() for x in (n, cuts, parts)], strict=True):
+                    m = int(m or 0)
+                    legal = sorted({int(x) for x in c or () if 0 <= x < m - 1})
+                    rows = [(int(p["a"]), int(p["b"]), p["role"]) for p in ps or ()]
+                    out.append([{"a": a, "b": b, "role": r} for a, b, r in cover(m, legal, rows, role)])
+                yield pa.RecordBatch.from_arrays([pa.array(out, kind) if c == parts else few.column(c) for c in lines_columns], lines_columns)
+
+    lines_columns = lines.columns
+    return lines.mapInArrow(run, schema)

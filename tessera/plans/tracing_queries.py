@@ -167,7 +167,7 @@ def covered_parts(spark, d):
     n, turn = F.length("text"), F.col("turn")
     made = lambda k: F.struct((40 * k + (k * 7 + turn) % 11).cast("int").alias("a"), F.least(n, 40 * k + 25 + (k * 5) % 16).cast("int").alias("b"), F.when((k + turn) % 3 == 0, "emphasis").when((k + turn) % 3 == 1, "highlight").otherwise("label").alias("role"))
     parts = F.filter(F.transform(F.sequence(F.lit(0), F.floor(n / 40).cast("int")), made), lambda p: p["a"] < p["b"])
-    cuts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 2)), lambda i: F.substring(F.col("text"), i + 1, F.lit(1)).rlike("[ ,.;!?]"))
+    cuts = F.filter(F.transform(F.split(F.substring("text", F.lit(1), n - 1), ""), lambda c, i: F.when(c.rlike("[ ,.;!?]"), i)), lambda i: i.isNotNull())
     x = t(spark, d, "conversations").filter(n > 0).select("conv_id", "turn", n.alias("n"), cuts.alias("cuts"), parts.alias("parts"))
     y = X.covered_parts(x).select("conv_id", "turn", F.posexplode("parts").alias("k", "p"))
     return y.select("conv_id", "turn", (F.col("k") + 1).alias("part_no"), "p.a", "p.b", "p.role")

@@ -167,3 +167,14 @@ def test_equal_stretches_meet_the_dictionary_once(spark, monkeypatch):
     assert "strategy=broadcast" in told and "min(struct(_id" in told
     monkeypatch.setattr(X, "SENT_WORDS", 0)
     assert {r["k"]: r["brk"] for r in X.word_breaks(df, words, ["k"], joined=None).collect()} == want
+
+
+def test_covered_parts_hold_few_lines_at_a_time(spark, monkeypatch):
+    """A batch of Python objects has FEW_LINES lines, whatever comes from Spark at once."""
+    rows = [(k, 30, [4, 9, 20], [(2, 7 + k % 5, "label")]) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, n int, cuts array<int>, parts array<struct<a:int,b:int,role:string>>").coalesce(1)
+    want = {r["k"]: r["parts"] for r in X.covered_parts(df).collect()}
+    monkeypatch.setattr(X, "FEW_LINES", 3)
+    got = X.covered_parts(df)
+    assert {r["k"]: r["parts"] for r in got.collect()} == want and len(want) == 50
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
