@@ -28,10 +28,11 @@ def _meet(left: DataFrame, right: DataFrame, names: list[str], how: str, take: l
     return left.alias("l").join(right.alias("r"), on, how).select("l.*", *[F.col(f"r.{c}") for c in take])
 
 
-def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step, results: str, block_rows: int = 200_000) -> DataFrame:
+def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step, results: str, block_rows: int = 200_000, many: Callable[[DataFrame], DataFrame] | None = None, ready: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """step's result, with the schema ``results``, over all rows of df: each key's rows in order, from its first to its last.
 
     Keys of up to block_rows rows are folded as they are, and only larger ones in blocks. Rows with equal (keys, order) lie in one block. Null keys are a key. An empty table gives an empty one.
+    ``many`` gives the results of rows of any number of such smaller keys, where there is a quicker way than a key at a time; ``ready`` adds to the rows of larger ones what step needs.
     """
     own = [f"_key{i}" for i in range(len(keys))]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -50,11 +51,12 @@ def fold_in_blocks(df: DataFrame, keys: list[str], order: list[str], step: Step,
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > block_rows)
     large = written(sizes.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], "_size"))  # one key for each block_rows rows at most
     blocks = math.ceil((large.agg(F.sum("_size")).first()[0] or 0) / block_rows)
+    many = many or (lambda rows: rows.groupBy(*keys).applyInPandas(result, results))
     if not blocks:
-        return df.groupBy(*keys).applyInPandas(result, results)
+        return many(df)
     mine = df.withColumns(dict(zip(own, map(F.col, keys), strict=True)))
-    small = _meet(mine, F.broadcast(large), own, "left_anti", []).drop(*own).groupBy(*keys).applyInPandas(result, results)
-    df = _meet(mine, F.broadcast(large), own, "left_semi", []).drop(*own)
+    small = many(_meet(mine, F.broadcast(large), own, "left_anti", []).drop(*own))
+    df = ready(_meet(mine, F.broadcast(large), own, "left_semi", []).drop(*own))
     cut = df.repartitionByRange(blocks, *keys, *order).withColumn("_block", F.spark_partition_id())
     cut = written(cut.withColumns(dict(zip(own, map(F.col, keys), strict=True))))
     mine = Window.partitionBy(*own)

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +79,9 @@ def expand_chars(df: DataFrame, text: str, start: str = "start", end: str = "end
     """One row per character, with its share of the time."""
     n = F.length(text)
     step = (F.col(end) - F.col(start)) / n
-    x = df.filter(n > 0).select("*", F.posexplode(F.split(text, "")).alias("char_no", "ch")).filter(F.col("ch") != "")
-    return x.withColumns({"char_start": F.col(start) + F.col("char_no") * step, "char_end": F.col(start) + (F.col("char_no") + 1) * step})
+    # the text is measured before its characters are rows
+    x = df.filter(n > 0).withColumn("_step", step).select("*", F.posexplode(F.split(text, "")).alias("char_no", "ch")).filter(F.col("ch") != "")
+    return x.withColumns({"char_start": F.col(start) + F.col("char_no") * F.col("_step"), "char_end": F.col(start) + (F.col("char_no") + 1) * F.col("_step")}).drop("_step")
 
 
 def boundary_marks(df: DataFrame, keys: list[str], order: list[str], ch: str = "ch") -> DataFrame:
@@ -96,30 +99,33 @@ def boundary_marks(df: DataFrame, keys: list[str], order: list[str], ch: str = "
 PAUSE, FEW, MANY, TOO_MANY = 0.45, 6, 18, 27
 
 
-def line_starts(start: np.ndarray, end: np.ndarray, punct: np.ndarray, brk: np.ndarray, marked: bool, held: int = 0, before: tuple[float, bool, bool] | None = None) -> np.ndarray:
+def line_starts(start: np.ndarray, end: np.ndarray, punct: np.ndarray, brk: np.ndarray, marked: bool | np.ndarray, held: int = 0, before: tuple[float, bool, bool] | None = None, first: np.ndarray | None = None) -> np.ndarray:
     """Places in a stretch of timed characters at which a new line begins, without the one that is open before it.
 
     From a line's first character on, the next line begins at the nearest of these places: after punctuation that a pause follows; after
-    punctuation, FEW characters on or later; after a break, MANY or more on; and TOO_MANY on. In a stream that isn't marked every place
+    punctuation, FEW characters on or later; after a break, MANY or more on; TOO_MANY on; and at a place of ``first``, where another stream begins. In a stream that isn't marked every place
     counts as a break, and a pause is enough. ``held`` characters of the open line, the last of them as ``before`` (end, punct, brk), precede the stretch.
     """
     n = len(start)
     stop = np.concatenate([[before[0] if before else np.inf], end[:-1]])
     mark = np.concatenate([[before[1] if before else False], punct[:-1]]).astype(bool)
-    place = np.concatenate([[before[2] if before else False], brk[:-1]]).astype(bool) if marked else np.ones(n, bool)
+    place = np.concatenate([[before[2] if before else False], brk[:-1]]).astype(bool) | ~np.asarray(marked, bool)
     paused = start - stop > PAUSE
-    near = [(np.flatnonzero(paused & (mark if marked else place)), 1), (np.flatnonzero(mark), FEW), (np.flatnonzero(place), MANY)]
-    at, out = -held, []
-    while True:
-        following = [at + TOO_MANY]
-        for places, least in near:
-            k = np.searchsorted(places, at + least)
-            if k < len(places):
-                following.append(int(places[k]))
-        at = max(min(following), 0)
-        if at >= n:
-            return np.asarray(out, np.int64)
+    nowhere = n + TOO_MANY
+
+    def nearest(places: np.ndarray) -> np.ndarray:
+        """For each place the nearest one of ``places`` from it on."""
+        at = np.full(n + TOO_MANY + 1, nowhere)
+        at[:n] = np.where(places, np.arange(n), nowhere)
+        return np.minimum.accumulate(at[::-1])[::-1]
+
+    near = [(nearest(paused & np.where(marked, mark, place)), 1), (nearest(mark), FEW), (nearest(place), MANY)] + ([] if first is None else [(nearest(first), 1)])
+    following = np.minimum.reduce([np.arange(n) + TOO_MANY, *[to[least : n + least] for to, least in near]]).tolist()
+    at, out = max(0, min(TOO_MANY - held, *[int(to[max(0, least - held)]) for to, least in near])), []
+    while at < n:
         out.append(at)
+        at = following[at]
+    return np.asarray(out, np.int64)
 
 
 def segment_chars(chars: list[tuple[float, float, bool, bool]]) -> list[int]:
@@ -133,10 +139,36 @@ def segment_chars(chars: list[tuple[float, float, bool, bool]]) -> list[int]:
 
 
 def timed_lines(df: DataFrame, keys: list[str], order: str, block_rows: int = 200_000) -> DataFrame:
-    """line_no of each timed character (char_start, char_end, punct, brk). A recording of any length is folded in blocks, which carry the open line."""
+    """line_no of each timed character (char_start, char_end, punct, brk). A recording of any length is folded in blocks, which carry the open line; the others are folded many at once, as they lie in order in a task."""
     whole = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    flags = df.groupBy(*keys).agg(F.max(F.coalesce("brk", F.lit(False))).alias("_marked")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    marked = df.join(flags, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).select(*df.columns, "_marked")
+    marks = F.coalesce("brk", F.lit(False))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        flags = rows.groupBy(*keys).agg(F.max(marks).alias("_marked")).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        return rows.join(flags, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).select(*df.columns, "_marked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, line, held, before = None, 0, 0, None
+        for batch in filter(lambda b: b.num_rows, batches):
+            of = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+            first = np.any([np.diff(x, prepend=x[0]) != 0 for x in of], axis=0)
+            key = lambda at: tuple(batch.column(k)[at].as_py() for k in keys)  # noqa: B023, E731
+            if last != key(0):
+                first[0], line, held, before = True, 0, 0, None
+            start, end = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("char_start", "char_end"))
+            punct, brk, known = (pc.fill_null(batch.column(c), False).to_numpy(zero_copy_only=False) for c in ("punct", "brk", "_marked"))
+            new = first.astype(np.int64)
+            new[line_starts(start, end, punct, brk, known, held, before, first)] = 1
+            upto, begun = np.cumsum(new), np.maximum.accumulate(np.where(first, np.arange(len(new)), -1))
+            number = np.where(begun < 0, line + upto, upto - upto[np.maximum(begun, 0)])
+            held = len(new) - int(np.flatnonzero(new)[-1]) if new.any() else held + len(new)
+            last, line, before = key(-1), int(number[-1]), (float(end[-1]), bool(punct[-1]), bool(brk[-1]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(number, pa.int32())], [*names, "line_no"])
+
+    def many(rows: DataFrame) -> DataFrame:
+        # the window has brought a key's rows together
+        known = rows.withColumn("_marked", F.max(marks).over(Window.partitionBy(*keys)))
+        return known.sortWithinPartitions(*keys, order).mapInArrow(run, whole + ", line_no int")
 
     def fold(p: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, object]:
         line, held, before = state or (0, 0, None)
@@ -148,7 +180,8 @@ def timed_lines(df: DataFrame, keys: list[str], order: str, block_rows: int = 20
         last = [float(p["char_end"].iloc[-1]), bool(flags[0][-1]), bool(flags[1][-1])]
         return p.drop(columns="_marked").assign(line_no=line + np.cumsum(new)), [line + len(begun), held, last]
 
-    return fold_in_blocks(marked, keys, [order], fold, whole + ", line_no int", block_rows)
+    names = df.columns
+    return fold_in_blocks(df, keys, [order], fold, whole + ", line_no int", block_rows, many, marked)
 
 
 def allocate(calls: Iterator[tuple[str, float]], total: float, cursor: float = 0.0, granted: dict | None = None, least: float = 0.4) -> Iterator[tuple[float, float, bool]]:

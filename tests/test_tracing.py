@@ -191,3 +191,30 @@ def test_a_state_that_never_forgets_still_settles(spark):
     got = folds.fold_in_blocks(df, ["k"], ["i"], step, "k string, i int, x int, total long", block_rows=60)
     assert all(r["total"] == (sum(j % 7 for j in range(r["i"] + 1)) if r["k"] == "a" else r["i"] + 1) for r in got.collect())
     assert folds.fold_in_blocks(df.limit(0), ["k"], ["i"], step, "k string, i int, x int, total long").count() == 0
+
+
+def test_many_recordings_are_folded_at_once(spark, monkeypatch):
+    """Recordings of all lengths in batches of few rows, marked and not, each as if it were alone; and no group of its own in the plan."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k in [None, *range(40)]:
+        n, at = int(rng.integers(1, 90)), 0.0
+        chars = []
+        for i in range(n):
+            start = at + (0.6 if rng.random() < 0.1 else 0.0)
+            at = start + 0.1
+            punct = bool(rng.random() < 0.15) and (k or 0) % 3 > 0
+            chars.append((start, at, punct, punct or (bool(rng.random() < 0.2) and (k or 0) % 3 > 0)))
+            rows.append((k, i, *chars[-1]))
+        want[k] = W.segment_chars(chars)
+    df = spark.createDataFrame(rows, "k int, i int, char_start double, char_end double, punct boolean, brk boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        lines = W.timed_lines(df, ["k"], "i")
+        assert "FlatMapGroupsInPandas" not in lines._jdf.queryExecution().optimizedPlan().toString()
+        got = {}
+        for r in sorted(lines.collect(), key=lambda r: r["i"]):
+            got.setdefault(r["k"], []).append(r["line_no"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
