@@ -43,18 +43,23 @@ class Allocator(StatefulProcessor):
         self.granted = handle.getMapState("granted", f"k {self.kind}", "at double", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        upto = self.cursor.get()[0] if self.cursor.exists() else 0.0
+        begun = self.cursor.exists()
+        upto = self.cursor.get()[0] if begun else 0.0
         calls = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = []
+        out, granted, asked = [], {}, set()  # of the keys of this batch: each is read once and written once
         for name, want in zip(calls[self.key].tolist(), calls[self.need].tolist(), strict=True):
-            known = self.granted.containsKey((name,))
+            if name not in granted and begun and self.granted.containsKey((name,)):
+                granted[name] = self.granted.getValue((name,))[0]
+            known = name in granted
             room = self.total - upto >= min(want, 1.0)
-            at = self.granted.getValue((name,))[0] if known else upto if room else 0.0
+            at = granted.setdefault(name, upto if room else 0.0)
             if not known or self.keep_ms:
-                self.granted.updateValue((name,), (at,))
+                asked.add(name)
             take = max(LEAST_TAKE, min(want, self.total - at))
             out.append((key[0], name, at, take, not known and not room and upto > 0))
             upto = max(upto, at + take)
+        for name in asked:
+            self.granted.updateValue((name,), (granted[name],))
         self.cursor.update((upto,))
         yield pd.DataFrame(out)
 
