@@ -98,11 +98,11 @@ def probe_media(text: Column) -> Column:
 
 
 def read_subtitle_events(spark: SparkSession, path: str) -> DataFrame:
-    """path, start, end, text of the Dialogue lines of styled-subtitle files; style tags go, line breaks become spaces."""
+    """path, name, start, end, text of the Dialogue lines of styled-subtitle files; style tags go, line breaks become spaces, an empty name is null."""
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value").filter(F.col("value").startswith("Dialogue:"))
     part = F.split(F.substring_index("value", "Dialogue:", -1), ",", 10)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.try_element_at(part, F.lit(10)), r"\{[^}]*\}", ""), r"\\[Nn]", " "))
-    return lines.select("path", parse_timecode(F.trim(part[1])).alias("start"), parse_timecode(F.trim(part[2])).alias("end"), text.alias("text")).filter("text is not null")
+    return lines.select("path", F.nullif(F.trim(F.try_element_at(part, F.lit(5))), F.lit("")).alias("name"), parse_timecode(F.trim(part[1])).alias("start"), parse_timecode(F.trim(part[2])).alias("end"), text.alias("text")).filter("text is not null")
 
 
 def srt_cues(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,10 +111,17 @@ def srt_cues(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "cue_no", F.concat_ws("\n", F.col("cue_no").cast("string"), stamp, F.regexp_replace("text", r"\n\s*\n", "\n"), F.lit("")).alias("cue"))
 
 
-def ass_events(df: DataFrame, keys: list[str], style: str = "Default") -> DataFrame:
-    """keys, event: Dialogue lines, with braces and line breaks of the text escaped."""
+def ass_events(df: DataFrame, keys: list[str], style: str = "Default", name: str | None = None) -> DataFrame:
+    """keys, event: Dialogue lines, with braces and line breaks of the text escaped. Their name is what the column ``name`` has, with spaces for commas, so the lines of many recordings can share a file."""
+    named = F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), r"[,\n]", " ") if name else F.lit("")
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\\", "/"), r"[{}]", ""), "\n", r"\\\\N")
-    return df.select(*keys, "start", F.concat_ws(",", F.lit("Dialogue: 0"), format_ass(F.col("start")), format_ass(F.col("end")), F.lit(style), F.lit(""), F.lit("0"), F.lit("0"), F.lit("0"), F.lit(""), body).alias("event"))
+    return df.select(*keys, "start", F.concat_ws(",", F.lit("Dialogue: 0"), format_ass(F.col("start")), format_ass(F.col("end")), F.lit(style), named, F.lit("0"), F.lit("0"), F.lit("0"), F.lit(""), body).alias("event"))
+
+
+def file_rows(df: DataFrame, line: str, order: list[str], by: str) -> DataFrame:
+    """by, value: the text file of each value as a row, its lines in order. For many small files: rows of one table are written and listed at once, and a folder for each file is not."""
+    lines = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("_line"))))
+    return df.groupBy(by).agg(F.concat(F.array_join(F.transform(lines, lambda r: r["_line"]), "\n"), F.lit("\n")).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, line: str, order: list[str], by: str | None = None) -> None:

@@ -332,3 +332,17 @@ def test_a_key_of_the_stream_is_read_and_written_once_a_batch():
     assert calls == 4
     again, calls = run([100, 200])
     assert once == again and calls == 4 + 8
+
+
+def test_recordings_share_subtitle_files(spark, tmp_path):
+    """Styled lines are told apart by their name and plain files are rows, so the number of files doesn't grow with that of recordings."""
+    rows = [(f"r,{k}", k, float(i), i + 0.5, f"line {i}") for k in range(300) for i in range(2)]
+    x = spark.createDataFrame(rows, "name string, k long, start double, end double, text string")
+    files.write_lines(files.ass_events(x, ["k"], name="name"), str(tmp_path / "ass"), "event", ["k", "start"])
+    assert len(list((tmp_path / "ass").rglob("*.txt"))) <= 8
+    got = files.read_subtitle_events(spark, str(tmp_path / "ass"))
+    assert sorted((r["name"], r["start"], r["text"]) for r in got.collect()) == sorted((f"r {k}", float(i), f"line {i}") for k in range(300) for i in range(2))
+    cues = files.srt_cues(x.withColumn("cue_no", (F.col("start") + 1).cast("long")), ["k"])
+    whole = files.file_rows(cues, "cue", ["cue_no"], "k")
+    assert whole.count() == 300
+    assert whole.filter("k = 7").first()["value"] == "1\n00:00:00,000 --> 00:00:00,500\nline 0\n\n2\n00:00:01,000 --> 00:00:01,500\nline 1\n\n"
