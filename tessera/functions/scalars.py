@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -268,12 +269,22 @@ def ass_color(color: Column) -> Column:
     return F.concat(F.lit("&H00"), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
 
 
+def worked_out_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that stands in it more than once; a plain expression would be worked out again at each place within conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def saturation(color: Column) -> Column:
     """Of the HLS model, 0..1."""
-    r, g, b = (c / 255.0 for c in hex_channels(color))
-    hi, lo = F.greatest(r, g, b), F.least(r, g, b)
-    light = (hi + lo) / 2
-    return F.when(hi == lo, F.lit(0.0)).when(light <= 0.5, (hi - lo) / (hi + lo)).otherwise((hi - lo) / (2 - hi - lo))
+
+    def of(c: Column) -> Column:
+        hi, lo = c["hi"], c["lo"]
+        light = (hi + lo) / 2
+        return F.when(hi == lo, F.lit(0.0)).when(light <= 0.5, (hi - lo) / (hi + lo)).otherwise((hi - lo) / (2 - hi - lo))
+
+    ends = lambda c: F.struct(F.array_max(c).alias("hi"), F.array_min(c).alias("lo"))
+    channels = worked_out_once(color, lambda c: F.array(*[x / 255.0 for x in hex_channels(c)]))
+    return worked_out_once(worked_out_once(channels, ends), of)
 
 
 def hue(color: Column) -> Column:
@@ -293,7 +304,7 @@ def hue_distance(a: Column, b: Column) -> Column:
 def trusted_color(calibrated: Column, confidence: Column, hint: Column) -> Column:
     """(value, source): the calibrated colour if it is saturated (0.45) and sure (0.40) enough, else the hint."""
     ok = calibrated.isNotNull() & (saturation(calibrated) >= 0.45) & (confidence >= 0.40)
-    return F.struct(F.when(ok, calibrated).otherwise(hint).alias("value"), F.when(ok, F.lit("calibrated")).otherwise(F.lit("hint")).alias("source"))
+    return worked_out_once(ok, lambda ok: F.struct(F.when(ok, calibrated).otherwise(hint).alias("value"), F.when(ok, F.lit("calibrated")).otherwise(F.lit("hint")).alias("source")))
 
 
 def position_code(vertical: Column, horizontal: Column) -> Column:

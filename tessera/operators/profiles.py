@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.aggregates import mode_first_seen, union_distinct
 from tessera.operators.intervals import covered_length
 
 #: Which style a caption's role counts to (any other: narration), and from which covered share on captions are dense.
@@ -26,20 +25,29 @@ def style_profiles(captions: DataFrame, video: str, order: str) -> DataFrame:
 
     captions: video, order, role, fill_hint, outline_hint, fill_calib, outline_calib, confidence, vertical, horizontal, size, slant, effects. A colour is the calibrated one where that is
     trusted. Of values that are equally common the one seen first counts; empty ones don't. slant is whether half of the captions or more are slanted. Every video has a style for
-    narration, empty if it has no such caption, with the fixed defaults. Each value is counted before it comes together, so a video with any number of captions is a few rows by then.
+    narration, empty if it has no such caption, with the fixed defaults. Each value is counted before it comes together, so a video with any number of captions is a few rows by then; all kinds of values are counted in one pass.
     """
     key = [video, "style"]
-    fill = S.trusted_color(F.col("fill_calib"), F.col("confidence"), F.col("fill_hint"))
-    outline = S.trusted_color(F.col("outline_calib"), F.col("confidence"), F.col("outline_hint"))
-    x = captions.withColumns({"style": bucket_of(F.col("role")), "_fill": fill["value"], "_calib": fill["source"] == "calibrated", "_outline": outline["value"]})
-    base = x.groupBy(*key).agg(F.count("*").alias("n"), F.round(F.count_if("_calib") / F.count("*"), 3).alias("calib_share"), (2 * F.count_if(F.coalesce("slant", F.lit(False))) >= F.count("*")).alias("slant"))
-    totals = base.groupBy(video).agg(F.sum("n").alias("_total"))
-    every = base.unionByName(totals.join(base.filter("style = 'narration'").select(video), video, "left_anti").select(video, F.lit("narration").alias("style"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("calib_share"), F.lit(False).alias("slant")))
-    out = every.join(totals, video)
-    for name, column in {"fill": "_fill", "outline": "_outline", "fill_hint": "fill_hint", "outline_hint": "outline_hint", "size": "size", "vertical": "vertical", "horizontal": "horizontal"}.items():
-        out = out.join(mode_first_seen(x, key, column, order, name), key, "left")
-    effects = x.select(*key, order, F.posexplode("effects").alias("_p", "_e")).withColumn("_at", F.struct(order, "_p"))
-    out = out.join(union_distinct(effects, key, "_e", "_at", "effects"), key, "left")
+    x = captions.withColumns({"style": bucket_of(F.col("role")), "_fill": S.trusted_color(F.col("fill_calib"), F.col("confidence"), F.col("fill_hint")), "_outline": S.trusted_color(F.col("outline_calib"), F.col("confidence"), F.col("outline_hint"))["value"]})
+    shown = {"fill": F.col("_fill.value"), "outline": F.col("_outline"), "fill_hint": F.col("fill_hint"), "outline_hint": F.col("outline_hint"), "size": F.col("size"), "vertical": F.col("vertical"), "horizontal": F.col("horizontal")}
+    one = lambda kind, value, p=F.lit(0): F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("v"), p.alias("p"))
+    flags = F.concat(F.when(F.col("_fill.source") == "calibrated", "c").otherwise(""), F.when(F.col("slant"), "s").otherwise(""))
+    listed = F.transform(F.coalesce("effects", F.array().cast("array<string>")), lambda v, p: one("effects", v, p))
+    rows = x.select(*key, F.col(order).alias("_o"), F.explode_outer(F.concat(F.array(one("caption", flags), *[one(k, c) for k, c in shown.items()]), listed)).alias("_x"))
+    # an outer explode, as from a plain one the optimizer makes a filter that works out all colours again; a caption is counted by its flags; empty values are no values, but for effects
+    rows = rows.select(*key, "_o", "_x.*").filter(F.col("v").isNotNull() & ((F.col("v") != "") | F.col("kind").isin("caption", "effects")))
+    counted = rows.groupBy(*key, "kind", "v", "p").agg(F.count("*").alias("_n"), F.min("_o").alias("_at"))  # plain buffers, so rows are hashed and not sorted
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    having = lambda flag: F.coalesce(F.sum(of("caption", F.when(F.contains("v", F.lit(flag)), F.col("_n")).otherwise(0))), F.lit(0))
+    commonest = [F.max_by("v", of(k, F.struct("_n", -F.col("_at")))).alias(k) for k in shown]
+    base = counted.groupBy(*key).agg(F.sum(of("caption", F.col("_n"))).alias("n"), having("c").alias("_calib"), having("s").alias("_slant"), *commonest, F.collect_list(of("effects", F.struct("_at", "p", "v"))).alias("_e"))
+    base = base.withColumns({"calib_share": F.round(F.col("_calib") / F.col("n"), 3), "slant": 2 * F.col("_slant") >= F.col("n"), "effects": F.array_distinct(F.transform(F.array_sort("_e"), lambda e: e["v"]))}).drop("_calib", "_slant", "_e")
+    # a video's few styles come together: the sum of their captions, and narration where it is missing
+    styles = base.groupBy(video).agg(F.sum("n").alias("_total"), F.collect_list(F.struct(*[c for c in base.columns if c != video])).alias("_s"))
+    none = {"style": F.lit("narration"), "n": F.lit(0).cast("long"), "calib_share": F.lit(0.0), "slant": F.lit(False)}
+    empty = F.struct(*[none.get(c, F.lit(None)).cast(base.schema[c].dataType).alias(c) for c in base.columns if c != video])
+    every = F.when(F.exists("_s", lambda r: r["style"] == "narration"), F.col("_s")).otherwise(F.concat("_s", F.array(empty)))
+    out = styles.select(video, "_total", F.explode(every).alias("_r")).select(video, "_total", "_r.*")
     filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.items()}
     return out.select(
         *key, "n", F.round(F.col("n") / F.col("_total"), 3).alias("share"), *[filled[c].alias(c) for c in ("fill", "outline", "fill_hint", "outline_hint", "size")], "calib_share",

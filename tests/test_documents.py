@@ -346,3 +346,14 @@ def test_recordings_share_subtitle_files(spark, tmp_path):
     whole = files.file_rows(cues, "cue", ["cue_no"], "k")
     assert whole.count() == 300
     assert whole.filter("k = 7").first()["value"] == "1\n00:00:00,000 --> 00:00:00,500\nline 0\n\n2\n00:00:01,000 --> 00:00:01,500\nline 1\n\n"
+
+
+def test_style_profiles_read_captions_once(spark):
+    plan = QUERIES["style_profiles"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 1
+
+
+def test_saturation_reads_a_colour_once(spark):
+    """The colour's expression stands once in it, and not at each place of its conditions."""
+    plan = spark.range(1).select(F.concat(F.lit("#"), F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 6)).alias("c")).select(S.saturation(F.col("c")).alias("s"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
