@@ -8,9 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lexicon import Paths, Words, codes, few_at_a_time, lists
+
 #: Marks after which a phrase ends.
 MARKS = "，,。.!！？?；;：:、…~—－·　\"'“”‘’()（）【】[]{}《》<>"
 _MARK = "[" + "".join("\\" + c if c in r"[]\^-&" else c for c in MARKS) + "]"
@@ -18,18 +21,23 @@ _MARK = "[" + "".join("\\" + c if c in r"[]\^-&" else c for c in MARKS) + "]"
 JOINED = "[A-Za-z0-9]+"
 #: Fixed value: from how many characters on an uncovered stretch is cut in two.
 LONG_GAP = 14
-#: Up to so many words a dictionary goes to all executors; a larger one is joined by shuffle.
-SENT_WORDS = 500_000
+#: Up to so many words a dictionary goes to all executors, for stretches of up to so many characters; otherwise slices and blocks of both meet by shuffle.
+SENT_WORDS, SENT_CHARS = 500_000, 1_000_000
+#: So many words are in a block at most, and so many characters in a slice, or half as many where there are several blocks; so many words go in one row.
+BLOCK_WORDS, SLICE_CHARS, PACK_WORDS = 3_000_000, 16_000_000, 20_000
 
 
 def verified_marks(chars: Column, text: Column) -> Column:
     """array<int>: after which characters (counted from 0) the text has a mark; null unless the text without marks and white space is exactly the characters."""
     bare = F.regexp_replace(text, r"\s", "")
-    pieces = F.split(bare, f"{_MARK}+", -1)
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + F.length(p))))
-    marks = F.array_distinct(F.filter(F.slice(ends, 1, F.greatest(F.lit(0), F.size(ends) - 1)), lambda e: e >= 0))
-    same = (F.length(text) > 0) & (F.array_join(pieces, "") == F.array_join(chars, ""))
-    return F.when(F.coalesce(same, F.lit(False)), marks)
+
+    def marks(pieces: Column) -> Column:
+        ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + F.length(p))))
+        found = F.array_distinct(F.filter(F.slice(ends, 1, F.greatest(F.lit(0), F.size(ends) - 1)), lambda e: e >= 0))
+        same = (F.length(text) > 0) & (F.array_join(pieces, "") == F.array_join(chars, ""))
+        return F.when(F.coalesce(same, F.lit(False)), found)
+
+    return F.get(F.transform(F.array(F.split(bare, f"{_MARK}+", -1)), marks), F.lit(0))  # the pieces are found once, and used three times
 
 
 def best_path(n: int, edges: list[tuple[int, int, int]], single: int) -> list[int]:
@@ -58,63 +66,128 @@ def word_weights(words: DataFrame, word: str = "word", n: str = "n") -> DataFram
     return counts.crossJoin(F.broadcast(total)).select("word", F.bround(F.log(F.col("n") / F.col("total")) * 1_000_000).cast("long").alias("weight"), "total")
 
 
+def _by_join(stretches: DataFrame, weights: DataFrame, longest: int, single: int) -> DataFrame:
+    """_s, _ends: the last characters of the words of each different stretch, its parts joined to words that are sent to all executors."""
+    n = F.length("_s")
+    # equal stretches have equal words: one stands for all of them
+    different = stretches.groupBy("_s").agg(F.min(F.struct("_id", "_at")).alias("_r")).select("_r._id", "_r._at", "_s")
+    starts = different.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
+    # what a word that begins here can hold; the stretch itself stays behind
+    starts = starts.select("_id", "_at", "_i", F.substring("_s", F.col("_i"), F.lit(longest)).alias("_rest")).withColumn("_head", F.substring("_rest", 1, 3))
+    heads = weights.filter(F.length("word") > 2).groupBy(F.substring("word", 1, 3).alias("_head")).agg(F.max(F.length("word")).alias("_most"))
+    starts = starts.join(F.broadcast(heads), "_head", "left")  # no word is longer than those that begin alike
+    cut = starts.select("_id", "_at", (F.col("_i") - 1).alias("_i"), F.explode(F.sequence(F.lit(1), F.least(F.coalesce("_most", F.lit(2)), F.length("_rest")))).alias("_k"), "_rest")
+    cut = cut.select("_id", "_at", "_i", "_k", F.substring("_rest", F.lit(1), F.col("_k")).alias("word"))
+    edges = cut.join(F.broadcast(weights.select("word", "weight")), "word").groupBy("_id", "_at").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_k").alias("k"), F.col("weight").alias("w"))).alias("_e"))
+
+    @F.pandas_udf("array<int>")
+    def ends(size: pd.Series, i: pd.Series, k: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for m, x0, x1, x2 in zip(size, i, k, w, strict=True):
+            found = [] if x0 is None else list(zip(map(int, x0), map(int, x1), map(int, x2), strict=True))
+            out.append([e - 1 for e in best_path(m, found, single)])
+        return pd.Series(out)
+
+    field = lambda c: F.transform("_e", lambda e: e[c])
+    return different.join(edges, ["_id", "_at"], "left").select("_s", ends(n, field("i"), field("k"), field("w")).alias("_ends"))
+
+
+def _by_slices(stretches: DataFrame, weights: DataFrame, n_chars: int, n_words: int, n_letters: int, single: int) -> DataFrame:
+    """_s, _ends, as _by_join has them: slices of the different stretches meet blocks of the dictionary, so that what is shuffled is stretches and words, and not their parts.
+
+    One block is searched and solved in one go. Of several, the words that each has found in a stretch are put together before its best path is looked for.
+    """
+    blocks = max(0, n_words - 1) // BLOCK_WORDS + 1
+    # each slice gets all words: there are as many as double what is shuffled, more where they would be large, and fewer where they would be tiny
+    slices = max(n_chars * min(blocks, 2) // SLICE_CHARS, min(n_chars // SENT_CHARS, n_chars // n_letters)) + 1
+    packs = blocks * (n_words // (blocks * PACK_WORDS) + 1)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = stretches.select("_s").distinct().select("_s", deal("_s", slices).alias("_slice"), every(blocks).alias("_block"))
+    right = weights.groupBy(deal("word", packs).alias("_pack")).agg(F.collect_list("word").alias("_words"), F.collect_list("weight").alias("_weights"))
+    right = right.select("_words", "_weights", (F.col("_pack") % blocks).alias("_block"), every(slices).alias("_slice"))
+
+    columns = ["_ends"] if blocks == 1 else ["_i", "_k", "_w"]
+    schema = pa.schema([("_s", pa.string()), *[(c, pa.list_(pa.int32())) for c in columns]])
+
+    def search(some: pa.Table, dictionary: pa.Table) -> pa.Table:
+        s = some["_s"].combine_chunks()
+        flat = lambda c: pc.list_flatten(dictionary[c].combine_chunks())
+        words = Words(flat("_words"), flat("_weights").to_numpy())
+        size, out = pc.utf8_length(s).to_numpy().astype(np.int64), []
+        for few in few_at_a_time(size, len(words.lengths)):
+            at = s.take(pa.array(few))
+            paths = Paths(size[few], sorted(words.lengths))
+            paths.search(codes(at)[0], words)
+            if blocks == 1:
+                out.append([at, lists(*paths.best(single))])
+                continue
+            stretch, *found = paths.found()
+            out.append([at, *[lists(x, np.bincount(stretch, minlength=len(few))) for x in found]])
+        return pa.concat_tables([schema.empty_table(), *[pa.Table.from_arrays(x, schema=schema) for x in out]])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, (i, k, w) = batch.column("_s"), [batch.column(c) for c in ("_i", "_k", "_w")]
+            size = pc.utf8_length(s).to_numpy().astype(np.int64)
+            lengths = sorted(pc.unique(pc.list_flatten(k)).to_pylist())
+            for few in few_at_a_time(size, len(lengths)):
+                rows = pa.array(few)
+                paths = Paths(size[few], lengths)
+                x, y, z = [pc.list_flatten(c.take(rows)).to_numpy() for c in (i, k, w)]
+                stretch = np.repeat(np.arange(len(few)), pc.list_value_length(k.take(rows)).to_numpy())
+                for n in paths.lengths:
+                    own = y == n
+                    paths.put(n, paths.at[paths.size[stretch[own]] - x[own]] + stretch[own], z[own])
+                yield pa.RecordBatch.from_arrays([s.take(rows), lists(*paths.best(single))], ["_s", "_ends"])
+
+    key, ends = ["_slice", "_block"], "_s string, _ends array<int>"
+    met = left.groupBy(*key).cogroup(right.groupBy(*key))
+    if blocks == 1:
+        return met.applyInArrow(search, ends)
+    found = met.applyInArrow(search, "_s string, _i array<int>, _k array<int>, _w array<int>").groupBy("_s")
+    return found.agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("_i", "_k", "_w")]).mapInArrow(solve, ends)
+
+
 def word_breaks(streams: DataFrame, words: DataFrame, keys: list[str], chars: str = "chars", text: str = "text", joined: str | None = JOINED) -> DataFrame:
     """streams with punct and brk, arrays of the characters after which a phrase, or a word, ends; the last one ends both.
 
     A stream is a row: its characters (array<string>), and the text they were heard as, with marks. Where text and characters agree all through, its marks
     are phrase ends, and words are looked for between marks; otherwise no mark is used and words are looked for in the characters alone, as far as the first that is
     a mark or white space. Words are the best path through all words of the dictionary ``words`` (word, n) that the stretch holds; white space ends a word; runs
-    of ``joined`` characters are not cut. Each different stretch meets the dictionary once, in a join on its parts: a dictionary of up to SENT_WORDS words is sent to all
-    executors, and a larger one is shuffled, so either side may be of any size.
+    of ``joined`` characters are not cut. Each different stretch meets the dictionary once: a small dictionary is sent to all executors and joined to the parts of
+    few stretches, and otherwise slices of the stretches meet blocks of the dictionary, so either side may be of any size.
     A null text, and one of another stream, agrees with nothing; a stream without characters has no breaks. keys tell streams apart, and null is equal to null.
     """
     from tessera.plans.tables import written
 
     weights = written(word_weights(words))
-    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
+    size = weights.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest"), F.coalesce(F.sum(F.length("word")), F.lit(1)).alias("letters")).first()
     few = size["n"] <= SENT_WORDS
-    sent = lambda table: F.broadcast(table) if few else table
     own = F.struct(*keys)
-    x = streams.select(own.alias("_id"), F.coalesce(chars, F.array().cast("array<string>")).alias("_chars"), F.col(text).alias("_text")).dropDuplicates(["_id"])
-    x = x.withColumn("_marks", verified_marks(F.col("_chars"), F.col("_text")))
-    heard = F.array_join("_chars", "")
-    clean = F.regexp_extract(heard, rf"^(?:(?!{_MARK})\S)*", 0)
-    spoken = F.when(F.col("_marks").isNotNull(), F.split("_text", rf"(?:{_MARK}|\s)+", -1)).otherwise(F.array(clean))
-    begun = F.aggregate(spoken, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    parts = F.filter(F.arrays_zip(spoken.alias("s"), F.slice(begun, 1, F.size(spoken)).alias("b")), lambda z: z["s"] != "")
-    x = x.withColumn("_parts", parts)
+    x = streams.select(own.alias("_id"), F.coalesce(chars, F.array().cast("array<string>")).alias("_chars"), F.col(text).alias("_text"))
+    x = x.withColumn("_marks", verified_marks(F.col("_chars"), F.col("_text"))).withColumn("_heard", F.array_join("_chars", ""))
+    clean = F.regexp_extract("_heard", rf"^(?:(?!{_MARK})\S)*", 0)
+    x = x.withColumn("_spoken", F.when(F.col("_marks").isNotNull(), F.split("_text", rf"(?:{_MARK}|\s)+", -1)).otherwise(F.array(clean)))
+    x = x.withColumn("_begun", F.aggregate("_spoken", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p)))))
+    parts = F.filter(F.arrays_zip(F.col("_spoken").alias("s"), F.slice("_begun", F.lit(1), F.size("_spoken")).alias("b")), lambda z: z["s"] != "")
+    # written, as each later use would look for marks and stretches again
+    x = written(x.select("_id", F.size("_chars").alias("_size"), "_marks", parts.alias("_parts")).dropDuplicates(["_id"]))
     stretches = x.select("_id", F.explode("_parts").alias("_p")).select("_id", F.col("_p.b").alias("_at"), F.col("_p.s").alias("_s"))
-    n = F.length("_s")
-    # equal stretches have equal words: one stands for all of them
-    different = stretches.groupBy("_s").agg(F.min(F.struct("_id", "_at")).alias("_r")).select("_r._id", "_r._at", "_s")
-    starts = different.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
-    # what a word that begins here can hold; the stretch itself stays behind
-    starts = starts.select("_id", "_at", "_i", F.substring("_s", F.col("_i"), F.lit(size["longest"])).alias("_rest")).withColumn("_head", F.substring("_rest", 1, 3))
-    heads = weights.filter(F.length("word") > 2).groupBy(F.substring("word", 1, 3).alias("_head")).agg(F.max(F.length("word")).alias("_most"))
-    starts = starts.join(sent(heads), "_head", "left")  # no word is longer than those that begin alike
-    cut = starts.select("_id", "_at", (F.col("_i") - 1).alias("_i"), F.explode(F.sequence(F.lit(1), F.least(F.coalesce("_most", F.lit(2)), F.length("_rest")))).alias("_k"), "_rest")
-    cut = cut.select("_id", "_at", "_i", "_k", F.substring("_rest", F.lit(1), F.col("_k")).alias("word"))
-    edges = cut.join(sent(weights.select("word", "weight")), "word").groupBy("_id", "_at").agg(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_k").alias("k"), F.col("weight").alias("w"))).alias("_e"))
     one = weights.select("total").limit(1).first()
     single = -int(round(float(np.log(one[0])) * 1_000_000)) if one else 0
-
-    @F.pandas_udf("array<int>")
-    def ends(size: pd.Series, begin: pd.Series, i: pd.Series, k: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for m, b, x0, x1, x2 in zip(size, begin, i, k, w, strict=True):
-            found = [] if x0 is None else list(zip(map(int, x0), map(int, x1), map(int, x2), strict=True))
-            out.append([b + e - 1 for e in best_path(m, found, single)])
-        return pd.Series(out)
-
-    field = lambda c: F.transform("_e", lambda e: e[c])
-    known = different.join(edges, ["_id", "_at"], "left").select("_s", ends(n, F.lit(0), field("i"), field("k"), field("w")).alias("_ends"))
+    heard = stretches.agg(F.coalesce(F.sum(F.length("_s")), F.lit(0)).alias("n")).first()["n"]
+    if size["n"] <= SENT_WORDS and heard <= SENT_CHARS:
+        known = _by_join(stretches, weights, size["longest"], single)
+    else:
+        known = _by_slices(stretches, weights, heard, size["n"], size["letters"], single)
     found = stretches.join(known, "_s").select("_id", "_s", "_at", F.transform("_ends", lambda e: e + F.col("_at")).alias("_ends"))
     if joined:  # a cut between two characters of one run is none
         runs = F.transform(F.sequence(F.lit(1), F.length("_s")), lambda i: F.concat(F.substring("_s", i, F.lit(1)), F.substring("_s", i + 1, F.lit(1))).rlike(f"^(?:{joined.rstrip('+')}){{2}}$"))
         found = found.withColumn("_inside", runs).withColumn("_ends", F.filter("_ends", lambda e: ~F.get("_inside", e - F.col("_at"))))
     found = found.groupBy("_id").agg(F.flatten(F.collect_list("_ends")).alias("_words"))
     x = x.join(found, "_id", "left")
-    last = F.filter(F.array(F.size("_chars") - 1), lambda e: e >= 0)
+    last = F.filter(F.array(F.col("_size") - 1), lambda e: e >= 0)
     none = F.array().cast("array<int>")
     punct = F.array_sort(F.array_union(F.coalesce("_marks", none), last))
     marked = x.select("_id", punct.alias("punct"), F.array_sort(F.array_union(F.array_union(F.coalesce("_words", none), F.coalesce("_marks", none)), last)).alias("brk"))

@@ -4,10 +4,13 @@ import math
 import random
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.operators import lexicon as L
 from tessera.operators import wording as X
 
 
@@ -169,6 +172,50 @@ def test_equal_stretches_meet_the_dictionary_once(spark, monkeypatch):
     assert {r["k"]: r["brk"] for r in X.word_breaks(df, words, ["k"], joined=None).collect()} == want
 
 
+def test_a_large_dictionary_meets_stretches_and_not_their_parts(spark, monkeypatch):
+    """Slices of stretches and blocks of words, in one block and in many, give the same as a plain search; no row is made for a character of a stretch."""
+    rows = []
+    for text in TEXTS:
+        bare = [c for c in text if not c.isspace() and c not in X.MARKS]
+        rows += [(len(rows) + j, chars, heard) for j, (chars, heard) in enumerate([(bare, text), (bare, None), (bare[::-1], text), (None, text)])]
+    df = spark.createDataFrame(rows, "k int, chars array<string>, text string")
+    words = spark.createDataFrame(list(WORDS.items()), "word string, n int")
+    for key, value in {"SENT_WORDS": 0, "SLICE_CHARS": 7, "PACK_WORDS": 2}.items():
+        monkeypatch.setattr(X, key, value)
+    for size in (100, 3):
+        monkeypatch.setattr(X, "BLOCK_WORDS", size)
+        plan = X.word_breaks(df, words, ["k"])
+        got = {r["k"]: (r["punct"], r["brk"]) for r in plan.collect()}
+        assert got == {k: brute_breaks(chars or [], text, WORDS, X.JOINED) for k, chars, text in rows}
+        told = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in told and "explode(sequence(1" not in told
+
+
+def test_words_and_paths_as_arrays_equal_a_plain_search(monkeypatch):
+    """Numbers that run full, tables of a single stretch, characters beyond 16 bits, and ties."""
+    rng = random.Random(3)
+    for room, cells in ((1 << 62, 8_000_000), (1000, 50), (60, 1)):
+        monkeypatch.setattr(L, "ROOM", room)
+        monkeypatch.setattr(L, "CELLS", cells)
+        for alphabet in ("ab", "abc漢字\U0001f600é") * 10:
+            draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(rng.randint(1, n)))
+            weight = {draw(alphabet, 9): -rng.choice([5, 7, 10, 10, 20]) for _ in range(rng.randint(0, 40))}
+            texts = sorted({draw(alphabet + "zq", 40) for _ in range(20)} | {a + b for a in list(weight)[:4] for b in list(weight)[:4]})
+            words, size, seen = L.Words(pa.array(list(weight), pa.string()), np.array(list(weight.values()), np.int64)), np.array([len(s) for s in texts]), 0
+            for few in L.few_at_a_time(size, len(words.lengths)):
+                paths = L.Paths(size[few], sorted(words.lengths))
+                paths.search(L.codes(pa.array([texts[i] for i in few]))[0], words)
+                ends, count = paths.best(-11)
+                stretch, *found = paths.found()
+                for no, at in enumerate(few):
+                    s = texts[at]
+                    edges = [(a, b - a, weight[s[a:b]]) for a in range(len(s)) for b in range(a + 1, len(s) + 1) if s[a:b] in weight]
+                    assert sorted(zip(*[x[stretch == no].tolist() for x in found], strict=True)) == edges
+                    assert [e + 1 for e in np.split(ends, np.cumsum(count))[no].tolist()] == X.best_path(len(s), edges, -11)
+                seen += len(few)
+            assert seen == len(texts)
+
+
 def test_covered_parts_hold_few_lines_at_a_time(spark, monkeypatch):
     """A batch of Python objects has FEW_LINES lines, whatever comes from Spark at once."""
     rows = [(k, 30, [4, 9, 20], [(2, 7 + k % 5, "label")]) for k in range(50)]
